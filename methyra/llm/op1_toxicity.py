@@ -1,16 +1,16 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A text is cut into sentences and those into windows: tokens in lower case without punctuation at their edges, and
-runs of single characters joined ("i d i o t"). The kernel counts, for two strings, the common subsequences of
+A text is cut into sentences and those into windows: tokens in lower case without punctuation, and runs of single
+characters joined ("i d i o t"). The kernel counts, for two strings, the common subsequences of
 ``ORDER`` characters, each weighted by ``DECAY`` to the power of the gaps it has in either string, so inserted
-characters and gaps lower a match and do not end it. Landmarks are character runs that tell toxic training texts
+characters and gaps lower a match and do not end it. It is normalised and squared. Landmarks are character runs that tell toxic training texts
 from others, and runs of ordinary words. A window's Nyström features are its kernel values to the landmarks, whitened
 by the landmarks' own kernel matrix. A linear support vector machine is trained on labelled sentences; a sentence
 counts by its highest window, and so does a text. A logistic curve fitted to training texts turns the margin into
 a score, 0.5 where it is 0.
 
-Training takes the labelled rows outside the held-out fold, at most ``MAX_ROWS`` of either class by a hash of the
-id, and of these texts of at most ``MAX_CHARS`` characters; this is the only bounded sample. Every text is scored
+Training takes the labelled rows outside the held-out fold, at most ``MAX_TOXIC`` and ``MAX_CLEAN`` of the classes by a
+hash of the id, and of these texts of at most ``MAX_CHARS`` characters; this is the only bounded sample. Every text is scored
 whole. A window longer than ``WINDOW`` characters is read in overlapping parts.
 
 Empty and null texts get the score of a text without windows (the intercept). Without labels of both classes every
@@ -32,20 +32,25 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_of, col_of, spread, table, texts_of
 
 ORDER, DECAY = 4, 0.6
-LANDMARKS, ORDINARY = 40, 8
-MAX_ROWS, MAX_CHARS = 1_500, 20_000
-WINDOW, STEP = 24, 12
+LANDMARKS, ORDINARY = 48, 8
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1_500, 3_000, 20_000
+WINDOW, STEP = 12, 6
 #: Windows that a worker remembers.
 CAP = 600_000
 
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def window_of(token: str) -> str:
-    """The token without punctuation at its edges, with a mark at its start."""
-    return "^" + _EDGE.sub("", token)
+    """The token without punctuation, with a mark at its start ("i.d.i.o.t" and "idiot" are one window)."""
+    return "^" + (token if token.isalnum() else _MARKS.sub("", token))
+
+
+def parts_of(window: str) -> list[str]:
+    """The window, or its overlapping parts if it is long."""
+    return [window[at : at + WINDOW] for at in range(0, max(1, len(window) - STEP), STEP)]
 
 
 def joined_singles(text: str) -> list[str]:
@@ -53,53 +58,79 @@ def joined_singles(text: str) -> list[str]:
     return [m[0].replace(" ", "") for m in _SPACED.finditer(text)]
 
 
-def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted counts of common subsequences, words by marks. Only gaps cost: a run without gaps weighs 1.
+def _codes(words: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(words), width), np.int32)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
 
-    The usual recursion over (length, position in word, position in mark), for all pairs at once.
+
+def _sharing(a: np.ndarray, marks: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose longest common subsequence has ``order`` characters; all others have the kernel value 0.
+
+    Bit-parallel: a zero bit of ``v`` for each character of the longest common subsequence.
     """
-    n, m = max(map(len, words), default=0), max(map(len, marks), default=0)
+    letters = sorted({ord(c) for m in marks for c in m})
+    masks = np.zeros((len(letters) + 1, len(marks)), np.uint32)
+    for j, m in enumerate(marks):
+        for k, c in enumerate(m):
+            masks[letters.index(ord(c)), j] |= np.uint32(1 << k)
+    at = np.searchsorted(letters, a)
+    at[(at == len(letters)) | (np.r_[letters, -1][at] != a)] = len(letters)
+    full = np.array([(1 << len(m)) - 1 for m in marks], np.uint32)
+    v = np.broadcast_to(full, (len(a), len(marks))).copy()
+    for i in range(a.shape[1]):
+        u = v & masks[at[:, i]]
+        v = ((v + u) | (v - u)) & full
+    common = np.array([len(m) for m in marks], np.int8) - np.bitwise_count(v).astype(np.int8)
+    return np.nonzero(common >= order)
+
+
+def _paired(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """Gap-weighted counts of common subsequences of string i of ``a`` and string i of ``b`` (codes by place, 0 fills).
+
+    Only gaps cost: a run without gaps weighs 1. The usual recursion over (length, place in a, place in b), for all
+    pairs at once.
+    """
+    b = np.where(b == 0, -1, b)
+    m, pairs = b.shape
+    lam, total = np.float32(decay), np.zeros(pairs, np.float32)
+    # tail[p][j]: weight of common subsequences of p + 1 characters that end at or before the current place of a and
+    # at or before place j of b, decayed by both distances.
+    tail = np.zeros((order - 1, m, pairs), np.float32)
+    for i in range(len(a)):
+        same = (a[i][None, :] == b).astype(np.float32)
+        fresh = [same]
+        for p in range(1, order):
+            x = np.zeros_like(same)
+            x[1:] = tail[p - 1, :-1] * same[1:]
+            fresh.append(x)
+        total += fresh[-1].sum(0)
+        tail *= lam
+        for p in range(order - 1):
+            carry = fresh[p]
+            for j in range(1, m):
+                carry[j] += lam * carry[j - 1]
+            tail[p] += carry
+    return total
+
+
+def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """The normalised kernel, words by marks (of up to 30 characters): 1 for equal strings, 0 without a common
+    subsequence. Values are worked out for the pairs only that share a subsequence at all."""
     out = np.zeros((len(words), len(marks)), np.float32)
+    n, m = max(map(len, words), default=0), max(map(len, marks), default=0)
     if not n or not m:
         return out
-    a = np.zeros((len(words), n), np.int32)
-    for i, w in enumerate(words):
-        a[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.int32)
-    b = np.full((len(marks), m), -1, np.int32)
-    for i, w in enumerate(marks):
-        b[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.int32)
-    lam = np.float32(decay)
-    # tail[p][j]: weight of common subsequences of p characters whose last one is at or before the current place of
-    # the word and at or before place j of the mark, decayed by the distance of both.
-    tail = [[np.zeros_like(out) for _ in range(m)] for _ in range(order)]
-    for i in range(n):
-        same = [(a[:, i, None] == b[None, :, j]) & (a[:, i, None] > 0) for j in range(m)]
-        hit = [x.any() for x in same]
-        fresh: list[list] = []
-        for p in range(order):
-            row = []
-            for j in range(m):
-                if not hit[j]:
-                    row.append(None)
-                elif p == 0:
-                    row.append(same[j].astype(np.float32))
-                else:
-                    row.append(tail[p - 1][j - 1] * same[j] if j else None)
-            fresh.append(row)
-        for j in range(m):
-            if fresh[order - 1][j] is not None:
-                out += fresh[order - 1][j]
-        for p in range(order - 1):
-            # decay over the word's place, then let every mark place take over what ends before it
-            carry = None
-            for j in range(m):
-                tail[p][j] *= lam
-                if fresh[p][j] is not None:
-                    carry = fresh[p][j] if carry is None else carry * lam + fresh[p][j]
-                elif carry is not None:
-                    carry = carry * lam
-                if carry is not None:
-                    tail[p][j] += carry
+    a, b = _codes(words, n), _codes(marks, m)
+    wi, mi = _sharing(a, marks, order)
+    if not len(wi):
+        return out
+    total = _paired(a[wi].T.copy(), b[mi].T.copy(), order, decay)
+    some, back = np.unique(wi, return_inverse=True)
+    mine = _paired(a[some].T.copy(), a[some].T.copy(), order, decay)
+    own = _paired(b.T.copy(), b.T.copy(), order, decay)
+    out[wi, mi] = total / np.sqrt(mine[back] * own[mi])
     return out
 
 
@@ -118,14 +149,14 @@ class Model:
         out = np.full(len(windows), self.intercept)
         parts, owner = [], []
         for i, w in enumerate(windows):
-            for at in range(0, max(1, len(w) - STEP), STEP):
-                parts.append(w[at : at + WINDOW])
+            for part in parts_of(w):
+                parts.append(part)
                 owner.append(i)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
         got = np.empty(len(parts))
-        for at in range(0, len(order), 512):
-            some = order[at : at + 512]
-            got[some] = kernel([parts[i] for i in some], self.marks) @ self.weights + self.intercept
+        for at in range(0, len(order), 2048):
+            some = order[at : at + 2048]
+            got[some] = kernel([parts[i] for i in some], self.marks) ** 2 @ self.weights + self.intercept
         if len(parts) == len(windows):
             return got
         out[:] = -np.inf
@@ -137,7 +168,8 @@ class Model:
 
 
 def _runs(word: str) -> set[str]:
-    return {word[i : i + k] for k in (5, 6) for i in range(len(word) - k + 1)}
+    """Character runs of five and six, and the whole word."""
+    return {word[i : i + k] for k in {5, 6, max(5, len(word))} for i in range(len(word) - k + 1)}
 
 
 def landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, ordinary: int) -> list[str]:
@@ -149,7 +181,7 @@ def landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, ordinary:
     worth = {g: (c / n - b[g] / m) / np.sqrt((c + b[g] + 1) / (n + m) * (1 / n + 1 / m)) for g, c in a.items() if c >= 3}
     chosen: list[str] = []
     for g in sorted(worth, key=lambda g: (-round(worth[g], 6), -len(g), g)):
-        if worth[g] < 3 or len(chosen) >= most:
+        if worth[g] < 3.5 or len(chosen) >= most:
             break
         if a[g] / n > 3 * b[g] / m and not any(g in c or c in g or g[1:] in c or g[:-1] in c for c in chosen):
             chosen.append(g)
@@ -177,30 +209,42 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model:
         low = (text or "").lower()
         sentences = [{window_of(t) for t in s.split()} for s in _SENTENCE.split(low)]
         sentences.append({window_of(t) for t in joined_singles(low)})
-        texts[int(label)].append([{w[:WINDOW] for w in s if len(w) > ORDER} for s in sentences if s])
+        texts[int(label)].append([{p for w in s for p in parts_of(w)} for s in sentences if s])
     if not texts[0] or not texts[1]:
         return Model([], np.zeros(0), -40.0, 1.0)
     whole = {k: [set().union(*t) for t in v] for k, v in texts.items()}
     marks = landmarks(whole[1], whole[0], LANDMARKS, ORDINARY)
     if not marks:
         return Model([], np.zeros(0), -40.0, 1.0)
-    gram = kernel(marks, marks).astype(float)
-    scale, base = np.linalg.eigh(gram + 1e-6 * np.trace(gram) / len(gram) * np.eye(len(gram)))
+    gram = kernel(marks, marks).astype(float) ** 2
+    scale, base = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
     white = base / np.sqrt(np.maximum(scale, 1e-9)) @ base.T
     words = sorted(set().union(*whole[0], *whole[1]))
-    raw = np.vstack([kernel(words[i : i + 512], marks) for i in range(0, len(words), 512)])
+    raw = np.vstack([kernel(words[i : i + 2048], marks) for i in range(0, len(words), 2048)]) ** 2
     at = {w: i for i, w in enumerate(words)}
-    told = raw[:, : max(1, len(marks) - ORDINARY)].max(1) if len(marks) > ORDINARY else raw.max(1)
-    pick = lambda s, by: max(s, key=lambda w: (by[at[w]], w))
-    margin = told
+    # A sentence of a toxic text is taken as toxic through each of its windows that holds a telling run and is at
+    # least three times as frequent there as in clean texts; a clean sentence counts by its highest window.
+    telling = marks[: len(marks) - ORDINARY] if len(marks) > ORDINARY else marks
+    seen = [Counter(w for t in whole[k] for w in t) for k in (0, 1)]
+    pos = [q for q, c in sorted(seen[1].items()) if c / len(whole[1]) > 3 * seen[0][q] / len(whole[0]) and any(g in q for g in telling)]
+    if not pos:
+        return Model([], np.zeros(0), -40.0, 1.0)
+    # Insults with one inserted character are positives as well; the character is none that any text has.
+    gapped = sorted({g[:k] + "\x01" + g[k:] for g in telling if g[0] == "^" and g in seen[1] for k in (len(g) // 2, len(g) // 2 + 1)})
+    if gapped:
+        raw = np.vstack([raw, kernel(gapped, marks) ** 2])
+        at |= {q: len(words) + i for i, q in enumerate(gapped)}
+    often = np.sqrt([seen[1][q] for q in pos] + [4.0] * len(gapped))
+    pos += gapped
+    margin = raw[:, : len(telling)].max(1)
     w, b = np.zeros(len(marks)), 0.0
-    for _ in range(4):
-        # a toxic text speaks through its highest sentence, a clean one through each of its sentences
-        pos = [pick(ws, margin) for ws in whole[1] if ws]
-        neg = [pick(s, margin) for t in texts[0] for s in t if s]
+    hard: set[str] = set()
+    for _ in range(5):
+        hard |= {max(s, key=lambda q: (margin[at[q]], q)) for t in texts[0] for s in t if s}
+        neg = sorted(hard)
         x = raw[[at[q] for q in pos + neg]] @ white
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = np.r_[np.full(len(pos), len(y) / 2 / max(1, len(pos))), np.full(len(neg), len(y) / 2 / max(1, len(neg)))]
+        weight = np.r_[often / often.sum(), np.full(len(neg), 1 / len(neg))] * len(y) / 2
         w, b = _svm(x, y, weight)
         margin = raw @ (white @ w) + b
     top = lambda v: np.array([max((margin[at[q]] for q in ws), default=b) for ws in v])
@@ -218,17 +262,17 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """(text, toxic) of the bounded training sample; ids are chosen from the labels alone, then their texts fetched."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = known.withColumn("h", F.xxhash64("doc_id"))
-    chosen = by_hash.where("toxic = 1").orderBy("h", "doc_id").limit(max_rows).unionByName(by_hash.where("toxic = 0").orderBy("h", "doc_id").limit(max_rows))
+    chosen = by_hash.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic).unionByName(by_hash.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean))
     texts = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS)
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    rows = sorted((r["text"], r["toxic"]) for r in training_rows(docs, labels, max_rows).collect())
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    rows = sorted((r["text"], r["toxic"]) for r in training_rows(docs, labels, max_toxic, max_clean).collect())
     return train(rows)
 
 
