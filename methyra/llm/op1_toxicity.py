@@ -276,9 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     return train(rows)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted of every whole text."""
-    names = ["doc_id", "score", "predicted"]
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, score and predicted of every whole text."""
+    names = [*keep, "score", "predicted"]
 
     def make():
         known: dict[str, float] = {}
@@ -299,11 +299,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 known.update((t, margins[w]) for t, w in names_.items())
             best = [max(map(known.__getitem__, t), default=model.intercept) for t in tokens]
             scores = [model.score(m) for m in best]
-            return batch_of(names, [col_of(b, "doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())])
+            return batch_of(names, [*(col_of(b, c) for c in keep), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())])
 
         return fn
 
-    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", "predicted int"])
+    return arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), make, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,27 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_intact(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ids, their number, and whether decoding them gives the text back."""
+    names = [*keep, "ids", "n_tokens", "intact"]
+
+    def make():
+        bpe = load(vocabulary)
+
+        def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = texts_of(b)
+            ids = [parsed(bpe.encode_text(t)) for t in texts]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            return batch_of(names, [*(col_of(b, c) for c in keep), pa.ListArray.from_arrays(offsets, flat), pa.array([len(x) for x in ids], pa.int64()), pa.array([bpe.decode(x) == t for x, t in zip(ids, texts)])])
+
+        return fn
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>, n_tokens long, intact boolean"])
+    return arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), make, schema)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip(spread(docs), default_vocabulary())

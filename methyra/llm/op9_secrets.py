@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 
-def mask(text: str) -> str:
+def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with every span replaced by its kind in square brackets; overlapping spans become one."""
     out, at = [], 0
-    for a, b, k in find(text):
+    for a, b, k in spans:
         if a >= at:
             out += [text[at:a], f"[{k}]"]
         at = max(at, b)
@@ -99,18 +100,33 @@ def _scan(blobs: DataFrame, rules: str) -> DataFrame:
     return arrow_map(blobs, make, "blob string, rules string, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def scan(versions: DataFrame, ledger: str, rules: str = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Findings of every version: the ``path`` column, blob and spans. ``ledger`` is the folder of the ledger; it is
+def scan(versions: DataFrame, ledger: str, rules: str = RULES, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Findings of every version: the ``keep`` columns, blob and spans. ``ledger`` is the folder of the ledger; it is
     created by the first run and grows with each."""
     spark = versions.sparkSession
-    named = versions.select(F.col(path).alias("path"), F.sha2(null_safe(text).cast("binary"), 256).alias("blob"), null_safe(text).alias("text"))
+    blob = F.sha2(null_safe(text).cast("binary"), 256)
+    named = versions.select(blob.alias("blob"), null_safe(text).alias("text"))
     blobs = named.select("blob", "text").mapInArrow(_first_of_each, "blob string, text string")
     known = _ledger(spark, ledger)
     if known is not None:
         blobs = blobs.join(known.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     _scan(blobs.repartition("blob"), rules).write.mode("append").parquet(ledger)
     found = spark.read.parquet(ledger).where(F.col("rules") == rules).select("blob", "spans")
-    return named.select("path", "blob").join(found, "blob", "left").select(F.col("path").alias(path), "blob", "spans")
+    paths = versions.select(F.struct(*keep).alias("path"), blob.alias("blob"))
+    return paths.join(found, "blob", "left").select("path.*", "blob", "spans")
+
+
+def masked(docs: DataFrame, ledger: str) -> DataFrame:
+    """The rows of ``docs`` with their secrets masked; n_chars follows the text."""
+
+    def redact(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or not len(s) else mask(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(text, spans)])
+
+    found = scan(docs, ledger, keep=tuple(docs.columns))
+    text = F.when(F.size("spans") > 0, F.pandas_udf(redact, "string")(null_safe("text"), "spans")).otherwise(F.col("text"))
+    hit = F.size("spans") > 0
+    out = found.withColumn("masked", text).withColumn("n_chars", F.when(hit, F.length("masked").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("masked")).select(*docs.columns)
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
