@@ -1,12 +1,675 @@
-"""Queries over the given tables."""
+"""Queries over the given tables: each applies operators to a bridge view, beside the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as fx
+from ..operators import context, design, genes, ingest, qc, qualify, summaries, trend
+from ..sources import tables
+from ..sources.scratch import scratch
+from ..streaming import ingest as live
+from . import bridge as b
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+# -- measurements --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.CELLS12}, grid AS (
+  SELECT f.dataset_id, f.feature_id, s.sample_id, s.dose_group_id, (c.value IS NULL)::INT AS miss FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)
+), lv AS (
+  SELECT dataset_id, 'feature' AS level, feature_id AS key, count(*) AS n_cells, sum(miss) AS n_missing FROM grid GROUP BY ALL
+  UNION ALL SELECT dataset_id, 'sample', sample_id, count(*), sum(miss) FROM grid GROUP BY ALL
+  UNION ALL SELECT dataset_id, 'group', dose_group_id, count(*), sum(miss) FROM grid GROUP BY ALL
+  UNION ALL SELECT dataset_id, 'dataset', dataset_id, count(*), sum(miss) FROM grid GROUP BY 1
+), dr AS (SELECT DISTINCT dataset_id, dose_group_id AS key FROM (SELECT dataset_id, dose_group_id, feature_id FROM grid GROUP BY ALL HAVING min(miss) = 1))
+SELECT lv.dataset_id, level, lv.key, n_cells, n_missing::BIGINT AS n_missing, round(n_missing / n_cells, 6) AS fraction,
+  CASE WHEN level = 'group' AND dr.key IS NOT NULL THEN 'exclusion' WHEN n_missing / n_cells >= 0.2 THEN 'exclusion' WHEN n_missing / n_cells >= 0.05 THEN 'warning' ELSE 'acceptable' END AS band
+FROM lv LEFT JOIN dr ON dr.dataset_id = lv.dataset_id AND dr.key = lv.key""")
+def a1_missingness(spark, d):
+    return rounded(qc.missingness(b.cells(spark, d), b.features(spark, d), b.samples(spark, d)), "fraction")
+
+
+@query(f"""WITH {b.CELLS12}, grid AS (SELECT f.dataset_id, f.feature_id, s.sample_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
+per AS (SELECT dataset_id, feature_id, bool_or(value IS NULL) AS gap FROM grid GROUP BY ALL), ad AS (SELECT dataset_id, count(*) >= 6 AS adequate FROM samples GROUP BY 1)
+SELECT dataset_id, count(*) AS n_features, count(*) FILTER (gap) AS n_incomplete, round(avg(gap::INT), 6) AS rate, avg(gap::INT) <= 0.1 AND any_value(adequate) AS passed FROM per JOIN ad USING (dataset_id) GROUP BY 1""")
+def a2_simple_qc(spark, d):
+    s = b.samples(spark, d)
+    grid = ingest.densify(b.cells(spark, d), b.features(spark, d), s)
+    return rounded(qc.simple_qc(grid, s.groupBy("dataset_id").agg((F.count("*") >= 6).alias("adequate"))), "rate")
+
+
+_SUMMARY = """g AS (SELECT dataset_id, dose_group_id, count(*) AS n_samples FROM samples GROUP BY ALL),
+st AS (SELECT dataset_id, feature_id, dose_group_id, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n FROM cells JOIN samples USING (dataset_id, sample_id) GROUP BY ALL),
+su AS (SELECT f.dataset_id, f.feature_id, g.dose_group_id, mean, coalesce(sd, 0) AS sd, coalesce(n, 0) AS n, n_samples - coalesce(n, 0) AS n_missing FROM features f JOIN g USING (dataset_id) LEFT JOIN st USING (dataset_id, feature_id, dose_group_id))"""
+
+
+@query(f"WITH {b.CELLS12}, {_SUMMARY} SELECT dataset_id, feature_id, dose_group_id, round(mean, 10) AS mean, round(sd, 10) AS sd, n, n_missing, round(n_missing / (n + n_missing), 10) AS missing_fraction FROM su")
+def a3_group_summary(spark, d):
+    return rounded(summaries.group_summary(b.cells(spark, d), b.features(spark, d), b.samples(spark, d)), "mean", "sd", "missing_fraction", places=10)
+
+
+@query(f"""WITH {b.CELLS12}, {_SUMMARY}, c AS (SELECT *, CASE WHEN n >= 2 AND abs(mean) >= 1e-12 THEN sd / abs(mean) END AS cv FROM su WHERE n > 0)
+SELECT dataset_id, dose_group_id, round(avg(mean), 6) AS mean_of_means, round(avg(sd), 6) AS mean_sd, round(quantile_cont(sd, 0.5), 6) AS median_sd, round(avg(cv), 6) AS mean_cv,
+  round(quantile_cont(cv, 0.5), 6) AS median_cv, round(max(cv), 6) AS max_cv, count(cv) AS n_evaluable, count(*) FILTER (cv > 0.3) AS n_over, coalesce(count(*) FILTER (cv > 0.3) / nullif(count(cv), 0) > 0.25, false) AS spread_warning FROM c GROUP BY ALL""")
+def a4_replicate_consistency(spark, d):
+    out = summaries.replicate_consistency(summaries.group_summary(b.cells(spark, d), b.features(spark, d), b.samples(spark, d)))
+    return rounded(out, "mean_of_means", "mean_sd", "median_sd", "mean_cv", "median_cv", "max_cv")
+
+
+@query(f"""WITH {b.CELLS12}, p AS (SELECT dataset_id, feature_id, count(*) AS n, avg(value) AS mean, CASE WHEN count(*) < 2 THEN 0 ELSE var_samp(value) END AS v FROM cells GROUP BY ALL)
+SELECT dataset_id, feature_id, n, round(mean, 10) AS mean, round(v, 10) AS variance, round(CASE WHEN abs(mean) >= 1e-12 THEN sqrt(v) / abs(mean) END, 6) AS cv,
+  CASE WHEN n < 2 THEN 'not_applicable' WHEN v >= 0.01 THEN 'high' WHEN v >= 0.001 THEN 'moderate' ELSE 'low' END AS dynamic_range FROM p""")
+def a5_variance(spark, d):
+    return rounded(rounded(qc.variance(b.cells(spark, d)), "cv"), "mean", "variance", places=10)
+
+
+@query(f"""WITH {b.CELLS12}, r AS (SELECT * FROM cells JOIN samples USING (dataset_id, sample_id) WHERE replicate_type <> 'technical'),
+p AS (SELECT x.dataset_id, x.dose_group_id, corr(x.value, y.value) AS r FROM r x JOIN r y ON x.dataset_id = y.dataset_id AND x.dose_group_id = y.dose_group_id AND x.feature_id = y.feature_id AND x.sample_id < y.sample_id
+  GROUP BY x.dataset_id, x.dose_group_id, x.sample_id, y.sample_id HAVING count(*) >= 2),
+q AS (SELECT dataset_id, dose_group_id, count(*) AS n_pairs, avg(r) AS mean_r, min(r) AS min_r FROM p GROUP BY ALL)
+SELECT dataset_id, dose_group_id, coalesce(n_pairs, 0) AS n_pairs, round(mean_r, 6) AS mean_r, round(min_r, 6) AS min_r, CASE WHEN mean_r IS NULL THEN 'not_assessed' WHEN mean_r >= 0.9 AND min_r >= 0.7 THEN 'stable' ELSE 'unstable' END AS stability
+FROM (SELECT DISTINCT dataset_id, dose_group_id FROM samples) LEFT JOIN q USING (dataset_id, dose_group_id)""")
+def a6_replicate_stability(spark, d):
+    return rounded(qc.replicate_stability(b.cells(spark, d), b.samples(spark, d)), "mean_r", "min_r")
+
+
+@query(f"""WITH {b.CELLS12}, g AS (SELECT f.dataset_id, f.feature_id, s.dose_group_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
+drop_ AS (SELECT dataset_id, max(m) AS d FROM (SELECT dataset_id, feature_id, dose_group_id, CASE WHEN count(value) = 0 THEN 2 ELSE 0 END AS m FROM g GROUP BY ALL) GROUP BY 1),
+fr AS (SELECT dataset_id, max(CASE WHEN x >= 0.2 THEN 2 WHEN x >= 0.05 THEN 1 ELSE 0 END) AS m FROM (SELECT dataset_id, avg((value IS NULL)::INT) AS x FROM g GROUP BY 1 UNION ALL SELECT dataset_id, avg((value IS NULL)::INT) FROM g GROUP BY dataset_id, dose_group_id) GROUP BY 1),
+va AS (SELECT dataset_id, max(CASE WHEN n >= 2 AND v < 0.001 THEN 1 ELSE 0 END) AS v FROM (SELECT dataset_id, feature_id, count(*) AS n, var_samp(value) AS v FROM cells GROUP BY ALL) GROUP BY 1)
+SELECT dataset_id, CASE greatest(d, m, v, 1) WHEN 2 THEN 'exclusion' ELSE 'warning' END AS overall FROM drop_ JOIN fr USING (dataset_id) JOIN va USING (dataset_id)""")
+def a7_overall_qc(spark, d):
+    c, f, s = b.cells(spark, d), b.features(spark, d), b.samples(spark, d)
+    return qc.overall(qc.missingness(c, f, s), qc.variance(c), qc.replicate_stability(c, s), design.batch_provenance(s))
+
+
+@query(f"""WITH {b.CELLS12}, dd AS (SELECT dataset_id, feature_id, dose_value, avg(value) AS mean FROM cells JOIN samples USING (dataset_id, sample_id) GROUP BY ALL),
+e AS (SELECT f.dataset_id, f.feature_id, s.dose_value, dd.mean FROM features f JOIN (SELECT DISTINCT dataset_id, dose_value FROM samples) s USING (dataset_id) LEFT JOIN dd USING (dataset_id, feature_id, dose_value)),
+st AS (SELECT *, lag(mean) OVER w AS prev, max(CASE WHEN dose_value = 0 THEN mean END) OVER (PARTITION BY dataset_id, feature_id) AS control FROM e WINDOW w AS (PARTITION BY dataset_id, feature_id ORDER BY dose_value)),
+sg AS (SELECT *, CASE WHEN mean - prev > 1e-9 THEN 1 WHEN mean - prev < -1e-9 THEN -1 WHEN mean IS NOT NULL AND prev IS NOT NULL THEN 0 END AS sg, CASE WHEN dose_value <> 0 THEN mean - control END AS diff FROM st),
+rv AS (SELECT dataset_id, feature_id, count(*) FILTER (sg <> psg) AS reversals FROM (SELECT *, lag(sg) OVER (PARTITION BY dataset_id, feature_id ORDER BY dose_value) AS psg FROM sg WHERE sg <> 0) GROUP BY ALL),
+a AS (SELECT dataset_id, feature_id, count(*) FILTER (sg > 0) AS ups, count(*) FILTER (sg < 0) AS downs, min(diff) AS low, max(diff) AS high, max(mean) - min(mean) AS range, count(*) FILTER (mean IS NULL) AS gaps FROM sg GROUP BY ALL)
+SELECT dataset_id, feature_id, CASE WHEN gaps > 0 THEN 'incomplete_dose_level' ELSE '' END AS blockers,
+  CASE WHEN gaps = 0 THEN CASE WHEN ups + downs = 0 THEN 'flat_within_tolerance' WHEN downs = 0 THEN 'monotonic_nondecreasing' WHEN ups = 0 THEN 'monotonic_nonincreasing' ELSE 'non_monotonic' END END AS pattern,
+  CASE WHEN gaps = 0 THEN coalesce(reversals, 0) END AS reversals,
+  CASE WHEN gaps > 0 THEN 'not_assessed' WHEN abs(low) <= 1e-9 AND abs(high) <= 1e-9 THEN 'unchanged' WHEN low >= -1e-9 AND high > 1e-9 THEN 'increasing' WHEN high <= 1e-9 AND low < -1e-9 THEN 'decreasing' ELSE 'mixed' END AS direction,
+  round(range, 10) AS dynamic_range FROM a LEFT JOIN rv USING (dataset_id, feature_id)""")
+def w2_response_pattern(spark, d):
+    profile = summaries.dose_profile(b.cells(spark, d), b.features(spark, d), b.samples(spark, d))
+    return rounded(summaries.response_pattern(profile, 1e-9), "dynamic_range", places=10).withColumn("reversals", F.col("reversals").cast("long"))
+
+
+@query(f"""WITH {b.CELLS12} SELECT dataset_id, feature_id, sample_id, value, (SELECT count(*) FROM cells) > 75 AS has_more FROM cells ORDER BY dataset_id, feature_id, sample_id LIMIT 25 OFFSET 50""")
+def w4_feature_page(spark, d):
+    return summaries.page(b.cells(spark, d), ["dataset_id", "feature_id", "sample_id"], 50, 25)
+
+
+# -- trends --------------------------------------------------------------------------------------------------------
+
+
+def _trend(spark, d):
+    obs = trend.blockers(trend.observations(b.cells(spark, d, 9), b.samples(spark, d, 9, 3)))
+    return trend.statistic(obs)
+
+
+_JT = """o AS (SELECT dataset_id, feature_id, dose_value, value FROM cells JOIN samples USING (dataset_id, sample_id)),
+n AS (SELECT dataset_id, feature_id, count(DISTINCT dose_value) AS k, min(c) AS least FROM (SELECT dataset_id, feature_id, dose_value, count(*) AS c FROM o GROUP BY ALL) GROUP BY ALL),
+jt AS (SELECT x.dataset_id, x.feature_id, sum(CASE WHEN x.value < y.value THEN 2 WHEN x.value = y.value THEN 1 ELSE 0 END) AS doubled, 2 * count(*) AS doubled_max
+  FROM o x JOIN o y ON x.dataset_id = y.dataset_id AND x.feature_id = y.feature_id AND x.dose_value < y.dose_value GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {b.CELLS9}, {_JT.replace("count(DISTINCT dose_value) AS k, min(c) AS least", "count(*) AS k, min(c) AS least")}
+SELECT n.dataset_id, n.feature_id, CASE WHEN k < 3 THEN 'too_few_dose_levels' WHEN least < 2 THEN 'too_few_values' END AS blocker, coalesce(doubled, 0)::INT AS doubled, coalesce(doubled_max, 0)::INT AS doubled_max, round(doubled * 2.0 / doubled_max - 1, 6) AS effect
+FROM n LEFT JOIN jt USING (dataset_id, feature_id)""")
+def t2_ordered_statistic(spark, d):
+    return rounded(_trend(spark, d), "effect").select("dataset_id", "feature_id", "blocker", "doubled", "doubled_max", "effect")
+
+
+def _exact(spark, d):
+    return trend.exact(_trend(spark, d).where("blocker is null"))
+
+
+@query()
+def t3_exact_permutation(spark, d):
+    return rounded(_exact(spark, d), "p_up", "p_down", "p_two").select("dataset_id", "feature_id", "doubled", "total", "p_up", "p_down", "p_two")
+
+
+@query()
+def t4_sampled_permutation(spark, d):
+    return trend.sampled(_trend(spark, d).where("blocker is null").repartition("dataset_id", "feature_id"))
+
+
+@query()
+def t7_trend_family(spark, d):
+    out = trend.adjust(_exact(spark, d), "p_two", ["dataset_id"], ["feature_id"])
+    label = F.when(F.col("q") <= 0.05, F.when(F.col("effect") > 0, "increasing").otherwise("decreasing")).otherwise("not_significant")
+    return out.select("dataset_id", "feature_id", "effect", "p_two", "q", label.alias("evidence"))
+
+
+@query("""WITH f AS (SELECT p_partkey % 5 AS family, p_partkey AS id, (p_partkey * 37 % 1009 + 1) / 1010.0 AS p FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS rank, count(*) OVER (PARTITION BY family) AS m FROM f),
+h AS (SELECT *, sum(1.0::DOUBLE / rank) OVER (PARTITION BY family) AS c FROM r)
+SELECT family, id, rank, round(least(1, min(p * m / rank) OVER w), 6) AS bh, round(least(1, min(p * m * c / rank) OVER w), 6) AS by FROM h WINDOW w AS (PARTITION BY family ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def w3_p_adjustment(spark, d):
+    k = F.col("p_partkey")
+    p = b.t(spark, d, "part").select((k % 5).alias("family"), k.alias("id"), ((k * 37 % 1009 + 1) / 1010.0).alias("p"))
+    bh = trend.adjust(p, "p", ["family"], ["id"], "bh").withColumnRenamed("q", "bh").drop("rank")
+    return rounded(trend.adjust(bh, "p", ["family"], ["id"]).withColumnRenamed("q", "by"), "bh", "by").select("family", "id", F.col("rank").cast("long").alias("rank"), "bh", "by")
+
+
+# -- designs -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.CELLS12} SELECT dataset_id, count(DISTINCT batch_id) AS n_batches, true AS complete, count(DISTINCT batch_id) > 1 AND bool_or(one) AS nested FROM
+  (SELECT *, min(batch_id) OVER w = max(batch_id) OVER w AS one FROM samples WINDOW w AS (PARTITION BY dataset_id, dose_group_id)) GROUP BY 1""")
+def a8_batch_provenance(spark, d):
+    return design.batch_provenance(b.samples(spark, d))
+
+
+@query(f"""WITH {b.REGISTRY}, p AS (SELECT DISTINCT dataset_id, dose_group_id, batch_id FROM reg WHERE batch_id IS NOT NULL), w AS (SELECT dataset_id, count(batch_id) = count(*) AS complete FROM reg GROUP BY 1),
+x AS (SELECT dataset_id, count(*) = count(DISTINCT dose_group_id) AND count(*) = count(DISTINCT batch_id) AND count(DISTINCT batch_id) > 1 AS one FROM p GROUP BY 1)
+SELECT dataset_id, complete AND coalesce(one, false) AS confounded FROM w LEFT JOIN x USING (dataset_id)""")
+def a9_batch_confounding(spark, d):
+    return design.perfect_confounding(b.registry(spark, d))
+
+
+_REPL = """rp AS (SELECT dataset_id, dose_group_id, count(*) FILTER (coalesce(replicate_type, 'biological') = 'biological') AS biological, count(*) FILTER (replicate_type = 'technical') AS technical, count(*) FILTER (replicate_type = 'pooled') AS pooled, count(*) FILTER (replicate_type = 'pseudobulk') AS pseudobulk FROM reg GROUP BY ALL)"""
+
+
+@query(f"""WITH {b.REGISTRY}, {_REPL} SELECT *, biological + pooled + pseudobulk AS effective, CASE WHEN biological + pooled + pseudobulk >= 3 THEN 'preferred' WHEN biological + pooled + pseudobulk >= 2 THEN 'accepted' WHEN biological + pooled + pseudobulk = 1 THEN 'review_required' ELSE 'excluded' END AS status FROM rp""")
+def a10_replicates(spark, d):
+    return design.replicates(b.registry(spark, d))
+
+
+@query(f"""WITH {b.REGISTRY}, g AS (SELECT dataset_id, dose_value, dose_group_id, count(*) AS n, string_agg(sample_id, ',' ORDER BY sample_id) AS samples FROM reg GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY dose_value, dose_group_id)::INT AS position FROM g) SELECT *, dose_value = 0 AND position = 1 AS is_control FROM k""")
+def a14_dose_axis(spark, d):
+    return design.dose_axis(b.registry(spark, d))
+
+
+_CONTROL = """ct AS (SELECT dataset_id, count(DISTINCT dose_group_id) FILTER (dose_value = 0 OR fl) AS n_controls, count(DISTINCT dose_unit) AS n_units, count(DISTINCT timepoint_hours) AS n_timepoints
+  FROM (SELECT dataset_id, dose_group_id, dose_value, dose_unit, timepoint_hours, bool_and(control_flag) AS fl FROM reg GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(f"""WITH {b.REGISTRY}, {_CONTROL} SELECT *, concat_ws(',', CASE WHEN n_controls = 0 THEN 'no_control' END, CASE WHEN n_controls > 1 THEN 'several_controls' END, CASE WHEN n_units > 1 THEN 'mixed_dose_units' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint' END) AS problems FROM ct""")
+def a15_control_axis(spark, d):
+    return design.control_axis(b.registry(spark, d))
+
+
+@query(f"""WITH {b.REGISTRY}, n AS (SELECT dataset_id, count(DISTINCT timepoint_hours) AS k FROM reg GROUP BY 1)
+SELECT CASE WHEN k > 1 THEN dataset_id || '_tp' || timepoint_hours::INT ELSE dataset_id END AS dataset_id, count(*) AS n_samples, count(DISTINCT dose_group_id) AS n_groups FROM reg JOIN n USING (dataset_id) GROUP BY 1""")
+def a15_timepoint_split(spark, d):
+    return design.split_timepoints(b.registry(spark, d)).groupBy("dataset_id").agg(F.count("*").alias("n_samples"), F.countDistinct("dose_group_id").alias("n_groups"))
+
+
+_READY = f"""{_REPL}, {_CONTROL}, lv AS (SELECT dataset_id, count(DISTINCT dose_value) AS levels, count(DISTINCT dose_value) FILTER (dose_value > 0) AS nonzero FROM reg GROUP BY 1), le AS (SELECT dataset_id, min(biological + pooled + pseudobulk) AS least FROM rp GROUP BY 1),
+p AS (SELECT DISTINCT dataset_id, dose_group_id, batch_id FROM reg WHERE batch_id IS NOT NULL), cf AS (SELECT w.dataset_id, complete AND coalesce(one, false) AS confounded FROM (SELECT dataset_id, count(batch_id) = count(*) AS complete FROM reg GROUP BY 1) w LEFT JOIN
+  (SELECT dataset_id, count(*) = count(DISTINCT dose_group_id) AND count(*) = count(DISTINCT batch_id) AND count(DISTINCT batch_id) > 1 AS one FROM p GROUP BY 1) x USING (dataset_id)),
+j AS (SELECT *, n_controls <> 1 OR n_units > 1 AS bad FROM lv JOIN le USING (dataset_id) JOIN ct USING (dataset_id) JOIN cf USING (dataset_id)),
+k AS (SELECT *, concat_ws(',', CASE WHEN bad THEN 'structural_validation_failed' END, CASE WHEN nonzero = 0 THEN 'no_treated_dose' END, CASE WHEN levels < 2 THEN 'insufficient_total_dose_levels' END, CASE WHEN nonzero > 0 AND nonzero < 2 THEN 'insufficient_nonzero_dose_levels' END,
+    CASE WHEN least < 2 THEN 'insufficient_biological_replicates' END, CASE WHEN confounded THEN 'dose_batch_confounding' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint_requires_split' END) AS blockers,
+  bad OR nonzero = 0 OR least < 2 OR confounded OR n_timepoints > 1 AS nocompare FROM j),
+ready AS (SELECT dataset_id, levels, nonzero, least, blockers, CASE WHEN blockers = '' AND levels >= 4 AND least >= 3 THEN 'dose_response_preferred' WHEN blockers = '' THEN 'dose_response_minimum' WHEN NOT nocompare THEN 'comparison_only' WHEN NOT bad THEN 'structural_only' ELSE 'invalid' END AS status FROM k)"""
+
+
+@query(f"WITH {b.REGISTRY}, {_READY} SELECT * FROM ready")
+def a16_design_readiness(spark, d):
+    return design.readiness(b.registry(spark, d))
+
+
+@query(f"""WITH {b.REGISTRY} SELECT dataset_id, coalesce(string_agg(DISTINCT batch_id, ',' ORDER BY batch_id), '') AS batches, count(*) FILTER (batch_id IS NULL) AS n_unnamed,
+  CASE WHEN count(DISTINCT timepoint_hours) > 1 THEN 'multiple' WHEN count(DISTINCT timepoint_hours) = 0 THEN 'unspecified' WHEN count(timepoint_hours) < count(*) THEN 'partial' ELSE 'single' END AS timepoint_status FROM reg GROUP BY 1""")
+def a17_design_context(spark, d):
+    return design.context(b.registry(spark, d))
+
+
+@query(f"""WITH {b.REGISTRY}, tm AS (SELECT dataset_id, count(DISTINCT coalesce(timepoint_hours, -1)) AS k FROM reg GROUP BY 1)
+SELECT 'C' || c_custkey AS dataset_id, CASE WHEN k > 1 THEN 'persistent' ELSE 'not_assessed' END AS persistence_status, CASE WHEN k > 1 THEN 'reversible' ELSE 'not_assessed' END AS reversibility_status, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS heritability_claim
+FROM customer JOIN tm ON tm.dataset_id = 'C' || c_custkey""")
+def f12_claim_guards(spark, d):
+    c = b.t(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("dataset_id"), F.lit("persistent").alias("persistence_status"), F.lit("reversible").alias("reversibility_status"), F.col("c_mktsegment").alias("heritability_claim"), F.when(F.col("c_nationkey") % 3 != 5, F.col("c_nationkey") % 2 == 0).alias("multigenerational"))
+    return design.guard_claims(c, b.registry(spark, d))
+
+
+@query(f"""WITH {b.CELLS12}, m AS (SELECT dataset_id, sample_id, count(*) AS m FROM cells WHERE sample_id <> 'S3' GROUP BY ALL), de AS (SELECT dataset_id, sample_id, count(*) AS d FROM samples WHERE sample_id <> 'S5' GROUP BY ALL), x AS (SELECT * FROM m FULL JOIN de USING (dataset_id, sample_id))
+SELECT dataset_id, count(*) FILTER (m IS NOT NULL AND d IS NOT NULL) AS matched, count(*) FILTER (d IS NULL) AS not_in_design, count(*) FILTER (m IS NULL) AS not_in_matrix, count(*) FILTER (d > 1) AS duplicated, 0::BIGINT AS groupless, count(*) FILTER (d IS NULL OR m IS NULL OR d > 1) = 0 AS complete FROM x GROUP BY 1""")
+def u1_sample_coverage(spark, d):
+    return design.coverage(b.cells(spark, d).where("sample_id <> 'S3'"), b.samples(spark, d).where("sample_id <> 'S5'"))
+
+
+@query("""WITH r AS (SELECT 'C' || (o_custkey % 100) AS dataset_id, 'O' || (o_orderkey % 2000) AS sample_id, 'G' || (o_orderkey % 4) AS group_id, (o_orderkey % 4)::VARCHAR AS dose_value, 'uM' AS dose_unit, ['bio', 'Technical', 'x', ' biological'][o_orderkey % 4 + 1] AS replicate_type, ['Yes', 'no', 'CTRL', 'maybe', NULL][o_orderkey % 5 + 1] AS control_flag, o_orderkey AS file_row FROM orders)
+SELECT dataset_id, sample_id, group_id, dose_value::DOUBLE AS dose, CASE WHEN lower(coalesce(control_flag, '')) IN ('yes', 'ctrl') THEN true WHEN lower(coalesce(control_flag, '')) IN ('', 'no') THEN false END AS is_control,
+  CASE WHEN lower(trim(replicate_type)) IN ('bio', 'biological') THEN 'biological' WHEN lower(trim(replicate_type)) = 'technical' THEN 'technical' END AS kind,
+  (row_number() OVER (PARTITION BY dataset_id, group_id ORDER BY file_row) - 1)::INT AS replicate_index, row_number() OVER (PARTITION BY dataset_id, sample_id ORDER BY file_row) > 1 AS repeated FROM r""")
+def s6_design_table(spark, d):
+    o = F.col("o_orderkey")
+    pick = lambda k, *w: F.element_at(F.array(*(F.lit(x) for x in w)), (k % len(w) + 1).cast("int"))
+    rows = b.t(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey") % 100).alias("dataset_id"), F.concat(F.lit("O"), o % 2000).alias("sample_id"), F.concat(F.lit("G"), o % 4).alias("group_id"), (o % 4).cast("string").alias("dose_value"), F.lit("uM").alias("dose_unit"), pick(o, "bio", "Technical", "x", " biological").alias("replicate_type"), pick(o, "Yes", "no", "CTRL", "maybe", None).alias("control_flag"), o.alias("file_row"))
+    return design.read_design(rows)
+
+
+# -- regions and genes ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, CASE WHEN ok THEN s END AS canonical_start, ok AS valid, CASE WHEN g THEN chrom || ':' || "start" || '-' || "end" END AS region FROM (
+  SELECT *, "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) AS s, coalesce(coord_system IS NOT NULL AND "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) >= 0, false) AS ok,
+  coalesce(chrom IS NOT NULL AND build IN ('hg38', 'mm10') AND coord_system IS NOT NULL, false) AS g FROM regions)""")
+def p10_coordinates(spark, d):
+    r = genes.normalised(b.regions(spark, d))
+    area = fx.region(F.col("chrom"), F.col("start"), F.col("end"), F.col("build"), F.col("coord_system"))
+    return r.withColumn("r", area).select("dataset_id", "feature_id", "canonical_start", "valid", F.when(F.col("r").isNotNull(), F.concat("r.chrom", F.lit(":"), "r.start", F.lit("-"), "r.end")).alias("region"))
+
+
+@query("""SELECT p_partkey AS id, 'chr' || CASE WHEN p_partkey % 25 = 23 THEN 'X' WHEN p_partkey % 25 = 24 THEN 'M' ELSE (p_partkey % 25)::VARCHAR END AS chrom, round(floor((p_retailprice / 7 - 140) * 1e6 + 0.5) / 1e6, 6) AS delta FROM part""")
+def p11_aliases_and_rounding(spark, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 25 == 23, "X").when((k % 25 == 24) & (k % 2 == 0), "MT").when(k % 25 == 24, "chrMT").when(k % 3 == 0, F.concat(F.lit("chr"), k % 25)).otherwise((k % 25).cast("string"))
+    return b.t(spark, d, "part").select(k.alias("id"), fx.chromosome(raw).alias("chrom"), F.round(fx.round_up_half(F.col("p_retailprice") / 7 - 140, 6), 6).alias("delta"))
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES}, sz AS (SELECT 'hg38' AS build, chrom, max("end") - 5000 AS length FROM genes GROUP BY 2), n AS (SELECT dataset_id, count(DISTINCT build) FILTER (build IN ('hg38', 'mm10')) AS nb FROM regions GROUP BY 1),
+r AS (SELECT regions.*, nb, length, "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) AS s FROM regions JOIN n USING (dataset_id) LEFT JOIN sz USING (build, chrom))
+SELECT dataset_id, feature_id, 'EPI002' AS code, 'error' AS severity FROM r WHERE feature_class <> 'cpg' AND coord_system IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI004_MISSING', 'error' FROM r WHERE chrom IS NOT NULL AND build IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI004_NOT_ALLOWED', 'error' FROM r WHERE build = 'hg17'
+UNION ALL SELECT dataset_id, feature_id, 'EPI004_MIXED', 'error' FROM r WHERE nb > 1
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'error' FROM r WHERE length IS NOT NULL AND (s < 0 OR "end" > length OR "end" <= s)
+UNION ALL SELECT dataset_id, feature_id, 'EPI009_UNKNOWN', 'warning' FROM r WHERE chrom IS NOT NULL AND build IS NOT NULL AND length IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI010', 'error' FROM r WHERE feature_class = 'cpg' AND platform IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPIW_SYSTEM', 'warning' FROM r WHERE coord_system LIKE 'gff%'""")
+def f9_coordinate_findings(spark, d):
+    return genes.findings(b.regions(spark, d), b.sizes(spark, d))
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES}, pr AS (SELECT gene_id, chrom, greatest(0, CASE WHEN strand = '-' THEN "end" - 500 ELSE "start" - 2000 END) AS a, CASE WHEN strand = '-' THEN "end" + 2000 ELSE "start" + 500 END AS b FROM genes)
+SELECT feature_id, gene_id, r.chrom, r."start", r."end", a AS o_start, b AS o_end FROM regions r JOIN pr ON r.chrom = pr.chrom AND r."start" < b AND a < r."end" """)
+def j3_promoter_overlap(spark, d):
+    return genes.promoter_overlaps(b.regions(spark, d).select("feature_id", "chrom", "start", "end"), b.genes(spark, d)).select("feature_id", "gene_id", "chrom", "start", "end", "o_start", "o_end")
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES} SELECT feature_id, gene_id FROM regions r JOIN genes g ON r.chrom = g.chrom AND r."start" < g."end" AND g."start" < r."end" """)
+def j4_gene_body_overlap(spark, d):
+    return genes.body_overlaps(b.regions(spark, d).select("feature_id", "chrom", "start", "end"), b.genes(spark, d)).select("feature_id", "gene_id")
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES}, s AS (SELECT gene_id, chrom, CASE WHEN strand = '-' THEN "end" ELSE "start" END AS site FROM genes),
+x AS (SELECT feature_id, gene_id, CASE WHEN site < "start" THEN "start" - site WHEN site > "end" THEN site - "end" ELSE 0 END AS distance FROM regions JOIN s USING (chrom))
+SELECT feature_id, gene_id, distance FROM x QUALIFY distance = min(distance) OVER (PARTITION BY feature_id)""")
+def j5_nearest_gene(spark, d):
+    return genes.nearest(b.regions(spark, d).where("chrom is not null").select("feature_id", "chrom", "start", "end"), b.genes(spark, d))
+
+
+_EVID = "ev AS (SELECT 'P' || (l_partkey % 3000) AS feature_id, 'G' || (l_orderkey % 500) AS gene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'enhancer_target' ELSE 'chromatin_interaction' END AS method, ['exact', 'close', 'distant', 'none'][l_linenumber % 4 + 1] AS \"match\" FROM lineitem WHERE l_quantity > 48)"
+
+
+def _evidence(spark, d):
+    n = F.col("l_linenumber")
+    return b.t(spark, d, "lineitem").where("l_quantity > 48").select(F.concat(F.lit("P"), F.col("l_partkey") % 3000).alias("feature_id"), F.concat(F.lit("G"), F.col("l_orderkey") % 500).alias("gene_id"), F.when(n % 2 == 0, "enhancer_target").otherwise("chromatin_interaction").alias("method"), F.element_at(F.array(*map(F.lit, ("exact", "close", "distant", "none"))), (n % 4 + 1).cast("int")).alias("match"))
+
+
+@query(f"""WITH {b.REGIONS}, {_EVID} SELECT r.feature_id, gene_id, coalesce(method, 'none') AS method, CASE WHEN gene_id IS NULL THEN 'unknown' WHEN "match" IN ('exact', 'close') THEN 'allow' WHEN "match" = 'distant' THEN 'block_rollup' ELSE 'exploratory' END AS use_rule FROM regions r LEFT JOIN ev USING (feature_id)""")
+def j6_database_mapping(spark, d):
+    return genes.supported(b.regions(spark, d), _evidence(spark, d))
+
+
+_MAPS = f"""mp AS (SELECT dataset_id, feature_id, gene_id, 'promoter_overlap' AS method, 'high' AS confidence FROM regions r JOIN (SELECT gene_id, chrom, greatest(0, CASE WHEN strand = '-' THEN "end" - 500 ELSE "start" - 2000 END) AS a, CASE WHEN strand = '-' THEN "end" + 2000 ELSE "start" + 500 END AS b FROM genes) g ON r.chrom = g.chrom AND r."start" < b AND a < r."end"
+  UNION ALL SELECT dataset_id, feature_id, gene_id, method, 'medium' FROM regions JOIN ev USING (feature_id)),
+co AS (SELECT dataset_id, feature_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS genes, count(DISTINCT gene_id)::INT AS n_genes, CASE WHEN count(DISTINCT method) > 1 THEN 'multiple_methods' ELSE min(method) END AS method, CASE WHEN bool_or(confidence = 'medium') THEN 'medium' ELSE 'high' END AS confidence, false AS ambiguous FROM mp GROUP BY ALL)"""
+
+
+def _collapsed(spark, d):
+    r = b.regions(spark, d)
+    hits = genes.promoter_overlaps(r.select("dataset_id", "feature_id", "chrom", "start", "end"), b.genes(spark, d)).select("dataset_id", "feature_id", "gene_id", F.lit("promoter_overlap").alias("method"), F.lit("high").alias("confidence"))
+    more = r.select("dataset_id", "feature_id").join(_evidence(spark, d), "feature_id").select("dataset_id", "feature_id", "gene_id", "method", F.lit("medium").alias("confidence"))
+    return genes.collapse(hits.unionByName(more))
+
+
+@query(f"WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT * FROM co")
+def j8_mapping_collapse(spark, d):
+    return _collapsed(spark, d)
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT dataset_id, feature_id, CASE WHEN method IS NULL THEN 'unmapped' WHEN method = 'promoter_overlap' THEN 'eligible' ELSE 'blocked' END AS eligibility FROM regions LEFT JOIN co USING (dataset_id, feature_id)""")
+def j9_pathway_eligibility(spark, d):
+    return genes.pathway_eligibility(b.regions(spark, d), _collapsed(spark, d))
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT dataset_id, count(*) AS requested, count(n_genes) AS mapped, count(*) - count(n_genes) AS unmapped, count(*) FILTER (n_genes > 1) AS ambiguous, count(*) FILTER (method = 'promoter_overlap') AS rollup_allowed, count(*) FILTER (method <> 'promoter_overlap') AS rollup_blocked FROM regions LEFT JOIN co USING (dataset_id, feature_id) GROUP BY 1""")
+def a21_mapping_report(spark, d):
+    return genes.mapping_report(b.regions(spark, d), _collapsed(spark, d))
+
+
+@query(f"""WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT confidence, coalesce(n, 0) AS n FROM (VALUES ('none'), ('low'), ('medium'), ('high')) v(confidence) LEFT JOIN (SELECT confidence, count(*) AS n FROM co GROUP BY 1) USING (confidence)""")
+def a21_confidence_counts(spark, d):
+    return genes.by_vocabulary(_collapsed(spark, d), "confidence", genes.CONFIDENCE)
+
+
+@query("""SELECT symbol, canonical_id FROM (SELECT DISTINCT 'C' || (o_custkey % 200) AS symbol FROM orders) LEFT JOIN (SELECT 'C' || c_custkey AS symbol, c_name AS canonical_id FROM customer WHERE c_custkey % 3 = 0) USING (symbol)""")
+def j7_reference_lookup(spark, d):
+    wanted = b.t(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey") % 200).alias("symbol")).distinct()
+    known = b.t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), F.col("c_name").alias("canonical_id"))
+    hits, missing = genes.normalise_symbols(wanted, known)
+    return hits.unionByName(missing, allowMissingColumns=True)
+
+
+# -- qualification -------------------------------------------------------------------------------------------------
+
+_Q = f"""{b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS}, {b.REGISTRY}, {_READY},
+miss AS (SELECT 'P' || l_partkey AS feature_id, 1 - count(DISTINCT l_suppkey % 12) / 12 AS missing_fraction, max(l_quantity) FILTER (l_partkey % 41 = 0) IS NOT NULL AS non_finite FROM lineitem GROUP BY l_partkey),
+ds AS (SELECT 'DS' || k AS dataset_id, k = 1 AS design_blocked, 4 - (k = 2)::INT AS levels, 3 - (k = 3)::INT AS least, ['unlikely', 'possible', 'likely', 'possible', 'unlikely'][k + 1] AS confounding FROM (SELECT DISTINCT p_partkey % 5 AS k FROM part)),
+pol AS (SELECT 'base' AS policy_id, 0.1 AS wm, 0.2 AS mm, 'dominant' AS bl UNION ALL SELECT 'strict', 0.05, 0.1, 'likely'),
+nb AS (SELECT dataset_id, count(DISTINCT build) FILTER (build IN ('hg38', 'mm10')) AS n_builds FROM regions GROUP BY 1),
+x AS (SELECT pol.*, r.dataset_id, r.feature_id, r.chrom, r.build, r.coord_system, r.feature_class, n_builds, design_blocked, levels, least, confounding, coalesce(missing_fraction, 1) AS missing_fraction, coalesce(non_finite, false) AS non_finite, co.method, co.n_genes,
+  bl = 'likely' AND confounding = 'likely' AS blocked FROM regions r JOIN nb USING (dataset_id) JOIN ds USING (dataset_id) LEFT JOIN miss USING (feature_id) LEFT JOIN co USING (dataset_id, feature_id) CROSS JOIN pol),
+y AS (SELECT *, CASE WHEN chrom IS NOT NULL AND build IS NULL THEN 1 WHEN chrom IS NOT NULL AND (build = 'hg17' OR n_builds > 1) THEN 2 WHEN design_blocked THEN 3 WHEN least < 2 THEN 4 WHEN missing_fraction >= mm THEN 5 WHEN non_finite THEN 6 WHEN blocked THEN 7 ELSE 9 END AS fired FROM x),
+z AS (SELECT *, concat_ws(',', CASE WHEN fired > 2 AND chrom IS NOT NULL AND coord_system <> '0based_half_open' THEN 'EPIW001' END, CASE WHEN fired > 3 AND levels < 4 THEN 'EPIW005' END, CASE WHEN fired > 4 AND least < 3 THEN 'EPIW006' END, CASE WHEN fired > 5 AND missing_fraction >= wm THEN 'EPIW002' END,
+  CASE WHEN fired > 7 AND confounding IN ('possible', 'likely') AND NOT blocked THEN 'EPIW004' END, CASE WHEN fired > 8 AND feature_class IN ('atac_peak', 'chip_narrow_peak') THEN 'EPIW003' END) AS notes FROM y),
+dec AS (SELECT policy_id, dataset_id, feature_id, CASE fired WHEN 1 THEN 'excluded_coordinate_ambiguity' WHEN 2 THEN 'excluded_coordinate_ambiguity' WHEN 3 THEN 'excluded_insufficient_design' WHEN 4 THEN 'excluded_qc_failure' WHEN 5 THEN 'excluded_qc_failure' WHEN 6 THEN 'excluded_qc_failure' WHEN 7 THEN 'exploratory_only'
+  ELSE CASE WHEN notes = '' THEN 'accepted_for_pod' ELSE 'accepted_with_caveats' END END AS status, CASE WHEN fired < 9 THEN '00' || fired WHEN notes = '' THEN '010' ELSE '009' END AS rule, notes FROM z)"""
+
+
+def _policies(spark, d):
+    """Two policies, one per region key of the given table below 2."""
+    r = b.t(spark, d, "region").where("r_regionkey < 2")
+    strict = F.col("r_regionkey") == 1
+    none = F.lit(None)
+    return qualify.policies(r.select(F.when(strict, "strict").otherwise("base").alias("policy_id"), F.when(strict, 0.05).alias("warn_missing"), F.when(strict, 0.1).alias("max_missing"), none.cast("int").alias("min_replicates"), none.cast("int").alias("preferred_replicates"), none.cast("int").alias("preferred_levels"), F.when(strict, "likely").alias("block_level")))
+
+
+def _decided(spark, d):
+    li = b.t(spark, d, "lineitem")
+    miss = li.groupBy(F.concat(F.lit("P"), "l_partkey").alias("feature_id")).agg((1 - F.countDistinct(F.col("l_suppkey") % 12) / 12).alias("missing_fraction"), F.bool_or(F.col("l_partkey") % 41 == 0).alias("non_finite"))
+    rows = b.regions(spark, d).join(miss, "feature_id", "left").withColumns({"missing_fraction": F.coalesce("missing_fraction", F.lit(1.0)), "non_finite": F.coalesce("non_finite", F.lit(False))})
+    k = F.col("k")
+    designs = b.t(spark, d, "part").select((F.col("p_partkey") % 5).alias("k")).distinct().select(F.concat(F.lit("DS"), k).alias("dataset_id"), (k == 1).alias("design_blocked"), (4 - (k == 2).cast("int")).alias("levels"), (3 - (k == 3).cast("int")).alias("least"), F.element_at(F.array(*map(F.lit, ("unlikely", "possible", "likely", "possible", "unlikely"))), (k + 1).cast("int")).alias("confounding"))
+    return qualify.cascade(rows, designs, _collapsed(spark, d), _policies(spark, d))
+
+
+@query(f"WITH {_Q} SELECT * FROM dec")
+def q1_qualification(spark, d):
+    return _decided(spark, d)
+
+
+@query(f"""WITH {_Q} SELECT policy_id, dataset_id, count(*) AS n, count(*) FILTER (status = 'accepted_for_pod') AS n_accepted, count(*) FILTER (status = 'accepted_with_caveats') AS n_caveats, count(*) FILTER (status LIKE 'excluded%') AS n_excluded,
+  CASE WHEN dataset_id = 'DS4' THEN 'block' WHEN bool_or(status LIKE 'excluded%' OR rule = '007') THEN 'block' WHEN bool_or(status = 'accepted_with_caveats') THEN 'allow_with_warning' ELSE 'allow' END AS use_rule FROM dec GROUP BY 1, 2""")
+def a19_qualification_summary(spark, d):
+    blocking = b.regions(spark, d).where("dataset_id = 'DS4'").select("dataset_id")
+    return qualify.summary(qualify.public_status(_decided(spark, d)), blocking)
+
+
+@query(f"WITH {_Q} SELECT policy_id, dataset_id, rule, count(*) AS n FROM dec GROUP BY ALL")
+def a20_rule_counts(spark, d):
+    return qualify.rule_counts(_decided(spark, d))
+
+
+@query(f"""WITH {_Q}, i AS (SELECT *, sha256(policy_id || '|' || dataset_id || '|' || feature_id || '|' || rule) AS h FROM dec),
+pu AS (SELECT *, CASE WHEN rule = '007' THEN 'excluded_confounding_dominant' WHEN rule = '001' THEN 'excluded_missing_genome_build' WHEN rule = '002' THEN 'excluded_invalid_coordinates' WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' WHEN rule = '004' THEN 'excluded_insufficient_design' ELSE status END AS public FROM i)
+SELECT feature_id, policy_id, public, CASE public WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_caveats' THEN 'allow_with_warning' ELSE 'block' END AS use_rule,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS decision_id, rule NOT IN ('009', '010') AS needs_review FROM pu""")
+def p17_public_status(spark, d):
+    return qualify.explain(qualify.public_status(_decided(spark, d))).select("feature_id", "policy_id", "public", "use_rule", "decision_id", "needs_review")
+
+
+@query(f"""WITH {_Q} SELECT dataset_id, count(*) AS n_ready, 0::BIGINT AS n_excluded, 0::BIGINT AS n_unknown, 0::BIGINT AS n_repeated, true AS consistent FROM dec WHERE status LIKE 'accepted%' AND dataset_id <> 'DS1' GROUP BY 1""")
+def q9_handoff_audit(spark, d):
+    decided = _decided(spark, d)
+    states = b.regions(spark, d).select("dataset_id").distinct().select("dataset_id", F.when(F.col("dataset_id") == "DS1", "comparison_only").otherwise("dose_response_minimum").alias("status"))
+    return qualify.audit(qualify.handoff(decided, states), decided)
+
+
+@query(f"""WITH {_Q}, de AS (SELECT * FROM dec WHERE policy_id = 'strict' AND dataset_id <> 'DS2') SELECT r.dataset_id, r.feature_id, coalesce(CASE WHEN rule = '001' THEN 'excluded_missing_genome_build' WHEN rule = '002' THEN 'excluded_invalid_coordinates' WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' ELSE status END, 'excluded_no_decision') AS public,
+  CASE status WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_caveats' THEN 'allow_with_warning' ELSE 'block' END AS use_rule, status IS NULL AS needs_review FROM regions r LEFT JOIN de USING (dataset_id, feature_id)""")
+def q7_qualified_table(spark, d):
+    public = qualify.public_status(_decided(spark, d).where("policy_id = 'strict' and dataset_id <> 'DS2'"))
+    return qualify.qualified_table(b.regions(spark, d), public)
+
+
+# -- ingestion -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.RAW}, v AS (SELECT *, trim(raw) AS x FROM raw_cells), s AS (SELECT *, CASE WHEN x ~ '^[0-9]+$' THEN x::DOUBLE END AS value, x = 'NA' OR x ~ '^[0-9]+$' AS ok, row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS nth FROM v)
+SELECT dataset_id, feature_id, sample_id, value, CASE WHEN trim(sample_id) = '' THEN 'missing_key' WHEN NOT ok THEN 'not_numeric' WHEN nth > 1 THEN 'EPI006' ELSE 'kept' END AS state FROM s""")
+def p6_long_rows(spark, d):
+    return ingest.long_rows(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"]).select("dataset_id", "feature_id", "sample_id", "value", "state")
+
+
+@query(f"""WITH {b.RAW}, v AS (SELECT *, trim(raw) AS x FROM raw_cells WHERE trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$') SELECT dataset_id, feature_id, sample_id, CASE WHEN x ~ '^[0-9]+$' THEN x::DOUBLE END AS value, count(*) OVER w AS n_rows FROM v
+WINDOW w AS (PARTITION BY dataset_id, feature_id, sample_id) QUALIFY row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC) = 1""")
+def p7_latest_rows(spark, d):
+    return ingest.latest(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"]).select("dataset_id", "feature_id", "sample_id", "value", "n_rows")
+
+
+@query(f"""WITH {b.RAW}, s AS (SELECT *, trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$' AS ok, row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS nth FROM raw_cells), k AS (SELECT *, trim(sample_id) <> '' AND ok AND nth = 1 AS kept FROM s)
+SELECT dataset_id, count(*) AS n_rows, count(DISTINCT feature_id) FILTER (kept) AS n_features, count(DISTINCT sample_id) AS n_samples, arg_min(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS first_feature, arg_max(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS last_feature, count(*) FILTER (NOT kept) AS n_errors FROM k GROUP BY 1""")
+def a24_ingestion_result(spark, d):
+    return ingest.ingestion_result(ingest.long_rows(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"]))
+
+
+@query("""SELECT 'P' || p_partkey AS feature_id, s AS sample_id, CASE s WHEN 's1' THEN p_size::DOUBLE WHEN 's3' THEN p_retailprice END AS value, s <> 's4' OR p_partkey % 3 <> 0 AS ok FROM part CROSS JOIN (VALUES ('s1'), ('s2'), ('s3'), ('s4')) v(s)""")
+def p5_melt(spark, d):
+    p = b.t(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("feature_id"), F.col("p_size").cast("string").alias("s1"), F.lit("-Inf").alias("s2"), F.col("p_retailprice").cast("string").alias("s3"), F.when(F.col("p_partkey") % 3 == 0, "bad").otherwise("n/a").alias("s4"))
+    return ingest.melt(p, ["feature_id"], ["s1", "s2", "s3", "s4"]).select("feature_id", "sample_id", "value", "ok")
+
+
+@query(f"""WITH {b.REGIONS}, r AS (SELECT *, 'f' || (hash_ % 50) AS file_id FROM (SELECT *, substr(feature_id, 2)::BIGINT AS hash_ FROM regions)), c AS (SELECT file_id, CASE WHEN measured_identifier IS NOT NULL AND chrom IS NOT NULL AND hash_ % 2 = 0 THEN 'ambiguous' WHEN measured_identifier IS NOT NULL AND hash_ % 2 = 0 THEN 'cpg' WHEN chrom IS NOT NULL AND platform IS NULL THEN 'histone_mark_region' WHEN chrom IS NOT NULL AND feature_class LIKE '%peak' THEN 'atac_peak' WHEN chrom IS NOT NULL THEN 'generic_region' ELSE 'unknown' END AS row_class FROM r),
+n AS (SELECT file_id, row_class, count(*) AS n FROM c GROUP BY ALL)
+SELECT file_id, sum(n) OVER w::BIGINT AS n_rows, row_class AS dominant, count(*) FILTER (row_class NOT IN ('unknown', 'ambiguous')) OVER w AS classes, count(*) FILTER (row_class NOT IN ('unknown', 'ambiguous')) OVER w > 1 AS mixed FROM n WINDOW w AS (PARTITION BY file_id)
+QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, list_position(['cpg', 'histone_mark_region', 'atac_peak', 'generic_region', 'ambiguous', 'unknown'], row_class)) = 1""")
+def a18_mixed_tables(spark, d):
+    k = F.substring("feature_id", 2, 20).cast("long")
+    rows = b.regions(spark, d).select(F.concat(F.lit("f"), k % 50).alias("file_id"), F.when(k % 2 == 0, F.col("measured_identifier")).alias("probe"), "chrom", "start", "end", F.when(F.col("platform").isNull(), "H3").alias("mark"), F.when(F.col("feature_class").endswith("peak"), "narrow").alias("peak_format"))
+    return ingest.mixed_tables(ingest.row_class(rows), ("cpg", "histone_mark_region", "atac_peak", "generic_region", "ambiguous", "unknown"))
+
+
+@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, 'EPI_ANCHOR' AS code FROM regions WHERE chrom IS NULL AND measured_identifier IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_OTHER_TEXT' FROM regions WHERE signal_metric = 'declared_other' AND declared_other IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI_REGION' FROM regions WHERE feature_class IN ('dmr', 'atac_peak', 'chip_narrow_peak') AND chrom IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_PROBABILITY' FROM regions WHERE p_value > 1""")
+def f1_feature_constraints(spark, d):
+    return ingest.constraint_findings(b.regions(spark, d))
+
+
+@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, feature_class, signal_metric FROM regions WHERE signal_metric <> 'declared_other' AND NOT ((feature_class IN ('cpg', 'dmr') AND signal_metric = 'beta') OR (feature_class NOT IN ('cpg', 'dmr') AND signal_metric IN ('peak_score', 'read_count')))""")
+def f2_semantics(spark, d):
+    r = b.regions(spark, d)
+    pairs = r.select("feature_class", "signal_metric").distinct()
+    methyl = F.col("feature_class").isin("cpg", "dmr")
+    allowed = pairs.where((methyl & (F.col("signal_metric") == "beta")) | (~methyl & F.col("signal_metric").isin("peak_score", "read_count")))
+    return ingest.incompatible(r, allowed).select("dataset_id", "feature_id", "feature_class", "signal_metric")
+
+
+_HEADERS = ("feature_id", "Sample-ID", "beta_value", "p_value", "log FC", "s1", "s2", "s3", "chrom", "tStat")
+
+
+@query("""WITH f AS (SELECT p_partkey AS file_id, list_filter([""" + ", ".join(f"CASE WHEN p_partkey & {1 << i} > 0 THEN '{h}' END" for i, h in enumerate(_HEADERS)) + """], lambda h: h IS NOT NULL) AS hs FROM part),
+k AS (SELECT file_id, list_contains(hs, 'feature_id')::INT AS f, list_contains(hs, 'Sample-ID')::INT AS s, list_contains(hs, 'beta_value')::INT AS v, list_contains(hs, 'p_value')::INT + list_contains(hs, 'log FC')::INT + list_contains(hs, 'tStat')::INT AS m, list_contains(hs, 's1')::INT + list_contains(hs, 's2')::INT + list_contains(hs, 's3')::INT AS o FROM f),
+c AS (SELECT file_id, f + s + v + f * s * v AS long, CASE WHEN f = 1 THEN 1 + (o >= 2)::INT + (o >= 3)::INT + CASE WHEN o >= 2 THEN (CASE WHEN m = 0 THEN 1 ELSE -1 END) - (m >= 2)::INT + (CASE WHEN v = 1 THEN -2 ELSE 1 END) ELSE 0 END ELSE 0 END AS wide,
+  CASE WHEN f = 1 THEN 1 + least(m, 3) - (o >= 2)::INT - (o >= 3)::INT - v ELSE 0 END AS summary FROM k), g AS (SELECT *, greatest(long, wide, summary) AS top FROM c), h AS (SELECT *, top > 0 AND (long = top)::INT + (wide = top)::INT + (summary = top)::INT = 1 AS clear FROM g)
+SELECT file_id, long, wide, summary, CASE WHEN NOT clear THEN 'ambiguous' WHEN long = top THEN 'long' WHEN wide = top THEN 'wide' ELSE 'summary' END AS shape, CASE WHEN NOT clear THEN 'low' WHEN top >= 4 THEN 'high' WHEN top >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM h""")
+def d1_table_shape(spark, d):
+    k = F.col("p_partkey")
+    files = b.t(spark, d, "part").select(k.alias("file_id"), F.array_compact(F.array(*(F.when(k.bitwiseAND(F.lit(1 << i)) > 0, h) for i, h in enumerate(_HEADERS)))).alias("headers"))
+    return ingest.table_shape(files)
+
+
+_STATS = """st AS (SELECT 'P' || p_partkey AS feature_id, unnest(['low', 'high', 'ctrl']) AS "group", unnest([p_size::DOUBLE, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, CASE WHEN p_partkey % 3 = 0 THEN 1.5 END]) AS mean, unnest([NULL, 2.0, NULL]::DOUBLE[]) AS sd, unnest([p_partkey % 7, NULL, NULL]::DOUBLE[]) AS n FROM part)"""
+
+
+def _stats(spark, d):
+    k = F.col("p_partkey")
+    m = F.create_map(F.lit("Low_Mean"), F.col("p_size").cast("string"), F.lit("low n"), (k % 7).cast("string"), F.lit("high-mean"), F.when(k % 2 == 0, F.col("p_retailprice").cast("string")).otherwise("x"), F.lit("HIGH_SD"), F.lit("2"), F.lit("ctrl_mean"), F.when(k % 3 == 0, "1.5"), F.lit("note"), F.lit("3"))
+    return ingest.group_statistics(b.t(spark, d, "part").select(F.concat(F.lit("P"), k).alias("feature_id"), m.alias("raw_values")))
+
+
+@query(f"""WITH {_STATS} SELECT * FROM st""")
+def p15_group_statistics(spark, d):
+    return _stats(spark, d)
+
+
+@query(f"""WITH {_STATS}, e AS (SELECT feature_id, count(mean) AS n_means, count(mean) FILTER ("group" <> 'ctrl') AS n_treated FROM st GROUP BY 1) SELECT *, n_means >= 2 AND n_treated >= 1 AS supports, CASE WHEN n_means >= 2 AND n_treated >= 1 THEN 'summary_only' ELSE 'exploratory_only' END AS status FROM e""")
+def q10_summary_evidence(spark, d):
+    stats = _stats(spark, d)
+    groups = stats.select("group").distinct().select("group", F.when(F.col("group") == "ctrl", 0.0).otherwise(1.0).alias("dose_value"))
+    return ingest.summary_evidence(stats, groups)
+
+
+@query(f"""WITH {b.CELLS12}, k AS (SELECT DISTINCT dataset_id, feature_id, CASE WHEN substr(feature_id, 2)::BIGINT % 3 = 0 THEN 'a_vs_' || sample_id WHEN substr(feature_id, 2)::BIGINT % 3 = 1 THEN 'x' || sample_id ELSE sample_id END AS key FROM cells), s AS (SELECT DISTINCT dataset_id, sample_id AS key, 1 AS y FROM samples)
+SELECT dataset_id, feature_id, CASE WHEN avg(coalesce(y, 0)) > 0.5 THEN false ELSE avg((key LIKE '%_vs_%' AND key LIKE 'a_vs%')::INT) > 0.5 END AS contrast_only FROM k LEFT JOIN s USING (dataset_id, key) GROUP BY ALL""")
+def f11_contrast_only(spark, d):
+    k = F.substring("feature_id", 2, 20).cast("long")
+    keys = b.cells(spark, d).select("dataset_id", "feature_id", F.when(k % 3 == 0, F.concat(F.lit("a_vs_"), "sample_id")).when(k % 3 == 1, F.concat(F.lit("x"), "sample_id")).otherwise(F.col("sample_id")).alias("key"))
+    return ingest.contrast_only(keys, b.samples(spark, d))
+
+
+# -- context and audit ---------------------------------------------------------------------------------------------
+
+_CHECK = "ck AS (SELECT dataset_id, sample_id, sum(fraction) AS total, count(*) FILTER (fraction IS NULL) AS n_missing FROM fractions GROUP BY ALL)"
+
+
+@query(f"WITH {b.FRACTIONS}, {_CHECK} SELECT dataset_id, sample_id, round(total, 6) AS total, n_missing, abs(total - 1) > 0.05 + 1e-12 AS bad_sum FROM ck")
+def a11_composition_checks(spark, d):
+    return rounded(context.composition_checks(b.fractions(spark, d)), "total")
+
+
+_SHIFT = """me AS (SELECT dataset_id, dose_group_id, dose_value, cell_type, sum(fraction) AS s FROM fractions JOIN users USING (dataset_id, sample_id) GROUP BY ALL), nn AS (SELECT dataset_id, dose_group_id, count(DISTINCT sample_id) AS n FROM fractions JOIN users USING (dataset_id, sample_id) GROUP BY ALL),
+mm AS (SELECT *, s / n AS mean FROM me JOIN nn USING (dataset_id, dose_group_id)), gr AS (SELECT DISTINCT dataset_id, dose_group_id FROM mm WHERE dose_value <> 0), ty AS (SELECT DISTINCT dataset_id, cell_type FROM mm),
+de AS (SELECT gr.dataset_id, gr.dose_group_id, abs(coalesce(a.mean, 0) - coalesce(c.mean, 0)) AS delta FROM gr JOIN ty USING (dataset_id) LEFT JOIN mm a ON a.dataset_id = gr.dataset_id AND a.dose_group_id = gr.dose_group_id AND a.cell_type = ty.cell_type LEFT JOIN mm c ON c.dataset_id = gr.dataset_id AND c.dose_value = 0 AND c.cell_type = ty.cell_type),
+sh AS (SELECT dataset_id, dose_group_id, max(delta) AS max_delta, count(*) FILTER (delta > 0.1 + 1e-12) AS n_shifted FROM de GROUP BY ALL)"""
+
+
+@query(f"WITH {b.FRACTIONS}, {_SHIFT} SELECT dataset_id, dose_group_id, round(max_delta, 6) AS max_delta, n_shifted FROM sh")
+def a12_composition_shift(spark, d):
+    return rounded(context.composition_shift(b.fractions(spark, d), b.users(spark, d)), "max_delta")
+
+
+@query(f"""WITH {b.FRACTIONS}, {_SHIFT}, {_CHECK}, bd AS (SELECT dataset_id, bool_or(abs(total - 1) > 0.05 + 1e-12) AS bad FROM ck GROUP BY 1), s2 AS (SELECT dataset_id, max(max_delta) AS delta FROM sh GROUP BY 1)
+SELECT dataset_id, round(delta, 6) AS delta, CASE WHEN bad THEN 'review_required' WHEN delta > 0.5 + 1e-12 THEN 'dominant' WHEN delta > 0.3 + 1e-12 THEN 'likely' WHEN delta > 0.1 + 1e-12 THEN 'possible' ELSE 'unlikely' END AS confounding FROM bd LEFT JOIN s2 USING (dataset_id)""")
+def q3_composition_class(spark, d):
+    f = b.fractions(spark, d)
+    return rounded(context.composition_class(context.composition_shift(f, b.users(spark, d)), context.composition_checks(f)), "delta")
+
+
+@query(f"""WITH {b.ASSAYS}, p AS (SELECT dataset_id, count(*) FILTER (value < 0) AS malformed, min(value) FILTER (metric = 'viability') AS viability, max(value) FILTER (metric = 'apoptosis') AS apoptosis, max(n_stress) AS stress, coalesce(bool_or(lower(notes) LIKE '%cytotoxic%'), false) AS declared FROM assays GROUP BY 1),
+b0 AS (SELECT *, CASE WHEN viability < 0.5 THEN 3 WHEN viability < 0.7 THEN 2 WHEN viability < 0.8 THEN 1 ELSE 0 END AS l0 FROM p), b1 AS (SELECT *, CASE WHEN declared AND l0 < 2 THEN 2 ELSE l0 END AS l1 FROM b0), b2 AS (SELECT *, CASE WHEN l1 = 0 AND apoptosis > 0.2 THEN 1 ELSE l1 END AS l2 FROM b1)
+SELECT dataset_id, malformed, round(viability, 6) AS viability, stress, coalesce(viability < 0.8, false) OR stress > 0 OR declared AS detected, CASE WHEN malformed > 0 THEN 'review_required' ELSE ['unlikely', 'possible', 'likely', 'dominant'][least(3, l2 + (stress > 0)::INT) + 1] END AS confounding FROM b2""")
+def q4_cytotoxicity(spark, d):
+    return rounded(context.cytotoxicity(b.assays(spark, d)), "viability")
+
+
+@query(f"""WITH {b.ASSAYS}, {b.FRACTIONS} SELECT dataset_id, count(*) AS n FROM assays a WHERE EXISTS (SELECT 1 FROM users u WHERE u.dataset_id = a.dataset_id AND abs(u.dose_value - a.dose_value) < 1e-12) GROUP BY 1""")
+def j12_cytotoxicity_alignment(spark, d):
+    return context.alignment(b.assays(spark, d), b.users(spark, d).withColumn("timepoint_hours", F.lit(24.0))).groupBy("dataset_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {b.REGIONS} SELECT dataset_id, code, severity FROM (SELECT DISTINCT dataset_id, 'EPI_BUILD' AS code, 'error' AS severity FROM regions WHERE build IS NULL UNION SELECT DISTINCT dataset_id, 'EPI_CLASS', 'warning' FROM regions WHERE feature_class = 'cpg')""")
+def q5_context_merge(spark, d):
+    r = b.regions(spark, d)
+    one = r.where("build is null").select("dataset_id", F.lit("EPI_BUILD").alias("code"), F.lit("error").alias("severity"))
+    two = r.where("feature_class = 'cpg'").select("dataset_id", F.lit("EPI_CLASS").alias("code"), F.lit("warning").alias("severity"))
+    return context.merge_findings(one, two)
+
+
+@query("""SELECT coalesce(a.o_orderkey, z.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'only_right' WHEN z.o_orderkey IS NULL THEN 'only_left' ELSE 'o_orderstatus' END AS difference
+FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0) a FULL JOIN (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0) z ON a.o_orderkey = z.o_orderkey
+WHERE a.o_orderkey IS NULL OR z.o_orderkey IS NULL OR a.o_orderstatus <> z.o_orderstatus""")
+def u2_result_comparison(spark, d):
+    o = b.t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return context.differences(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, "Z").otherwise(F.col("o_orderstatus"))), ["o_orderkey"])
+
+
+@query("""SELECT conv_id AS id, turn, lower(regexp_extract(text, '(proves?|causes?|certain(ly)?|the)', 1, 'i')) AS word FROM conversations WHERE regexp_matches(text, '(proves?|causes?|certain(ly)?|the)', 'i')""")
+def q11_overclaims(spark, d):
+    c = b.t(spark, d, "conversations").select(F.struct(F.col("conv_id"), "turn").alias("id"), "text")
+    return context.overclaims(c, "proves?|causes?|certain(ly)?|the").select(F.col("id.conv_id").alias("id"), F.col("id.turn").alias("turn"), "word")
+
+
+# -- sources, sinks and streams ------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_custkey % 10 AS k, count(*) AS n_rows, sum(length('"q", ' || o_orderpriority)) AS n_chars, 0::BIGINT AS n_bad FROM orders GROUP BY 1""")
+def s1_delimited_scan(spark, d):
+    path = f"{scratch(spark)}/csv"
+    rows = b.t(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit('"q", '), "o_orderpriority").alias("note"))
+    rows.write.option("header", True).option("escape", '"').option("sep", ";").csv(path)
+    good, bad = tables.delimited(spark, path)
+    per = good.groupBy((F.col("o_custkey").cast("long") % 10).alias("k")).agg(F.count("*").alias("n_rows"), F.sum(F.length("note")).alias("n_chars"))
+    return per.crossJoin(bad.agg(F.count_if(F.coalesce(F.length("note"), F.lit(0)) >= 0).alias("n_bad")))
+
+
+@query("""SELECT 's' || (l_suppkey % 6) AS sample_id, 'chr' || (l_partkey % 22 + 1) AS chrom, count(*)::DOUBLE AS peak_count, round(sum(l_quantity), 5) AS signal_sum FROM lineitem GROUP BY ALL""")
+def s7_peak_files(spark, d):
+    path = f"{scratch(spark)}/peaks"
+    n = F.lit(0)
+    li = b.t(spark, d, "lineitem")
+    cols = [F.concat(F.lit("chr"), F.col("l_partkey") % 22 + 1), F.col("l_orderkey"), F.col("l_orderkey") + 100, F.concat(F.lit("s"), F.col("l_suppkey") % 6), n, F.lit("."), F.col("l_quantity"), n, n, n]
+    li.select(*(c.cast("string").alias(name) for c, name in zip(cols, tables.PEAK_COLUMNS))).write.option("sep", "\t").option("compression", "gzip").csv(path)
+    peaks, _ = tables.delimited(spark, path, header=False, columns=tables.PEAK_COLUMNS)
+    long = tables.peak_summary(peaks.withColumn("sample_id", F.col("feature_id")))
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+    return long.groupBy("sample_id", "chrom").agg(pick("peak_count"), pick("signal_sum"))
+
+
+@query("""SELECT 'P' || p_partkey AS feature_id, s AS sample_id, CASE s WHEN 'a' THEN p_size::DOUBLE ELSE p_retailprice END AS value FROM part CROSS JOIN (VALUES ('a'), ('b')) v(s)""")
+def s4_json_scan(spark, d):
+    path = f"{scratch(spark)}/json"
+    p = b.t(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("feature_id"), F.create_map(F.lit("a"), F.col("p_size").cast("double"), F.lit("b"), F.col("p_retailprice")).alias("values"))
+    p.write.json(path)
+    return tables.json_features(spark, path)
+
+
+@query("""SELECT state, n FROM (VALUES ('missing', 1::BIGINT)) v(state, n) UNION ALL SELECT 'ok', 5 FROM (SELECT count(*) AS c FROM part) WHERE c > 0""")
+def s5_file_manifest(spark, d):
+    path = f"{scratch(spark)}/files"
+    b.t(spark, d, "part").select(F.concat_ws(",", "p_partkey", "p_name").alias("value")).repartition(5).write.text(path)
+    found = spark.read.format("binaryFile").load(path)
+    # names are fresh each time, so what is expected is taken from the files of a first reading; one name is made up
+    expected = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    more = expected.agg(F.count("*").alias("n_bytes")).select(F.lit("absent.txt").alias("name"), "n_bytes", F.lit("").alias("sha256"))
+    states = tables.manifest(spark, path, expected.unionByName(more))
+    return states.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {b.CELLS12} SELECT dataset_id, count(*) AS n, round(sum(value), 4) AS total FROM cells GROUP BY 1""")
+def k1_table_sink(spark, d):
+    path = f"{scratch(spark)}/table"
+    tables.write_tables(b.cells(spark, d), path)
+    return spark.read.parquet(path).groupBy("dataset_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""WITH {_Q} SELECT dataset_id, count(*) AS n_decisions FROM dec WHERE policy_id = 'base' GROUP BY 1""")
+def k2_document_sink(spark, d):
+    path = f"{scratch(spark)}/documents"
+    tables.documents(_decided(spark, d).where("policy_id = 'base'")).select("document").write.text(path)
+    schema = "dataset_id string, decisions array<struct<feature_id string, status string, rule string>>"
+    return spark.read.schema(schema).json(path).select("dataset_id", F.size("decisions").cast("long").alias("n_decisions"))
+
+
+@query(f"""WITH {b.RAW} SELECT dataset_id, count(*) AS n_rows, count(*) FILTER (NOT (trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$')) AS n_bad FROM raw_cells GROUP BY 1""")
+def x1_stream_ingest(spark, d):
+    base = scratch(spark)
+    b.raw_cells(spark, d).select("dataset_id", "feature_id", "sample_id", "raw").repartition(8).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
+    live.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out/batches").groupBy("dataset_id").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return q1_qualification(spark, sf_dir)
