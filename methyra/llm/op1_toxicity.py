@@ -33,7 +33,7 @@ from .common import arrow_map, batch_of, col_of, spread, table, texts_of
 
 ORDER, DECAY = 4, 0.6
 LANDMARKS, ORDINARY = 48, 8
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1_500, 3_000, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1_200, 2_000, 10_000
 WINDOW, STEP = 12, 6
 #: Windows that a worker remembers.
 CAP = 600_000
