@@ -7,8 +7,9 @@ four standard errors) are passed over, all others are confirmed on their full sh
 
 Documents of equal sets are one class from the start. Within a bucket not all pairs are made. First each class is paired
 with the bucket's pivot, the class that has most neighbours over all buckets, and links join classes to components.
-Where a bucket then still holds several components, each class outside its largest component is paired with every class
-of other components there. A pair left out lies within one component, so components are those of all links.
+Where a bucket then still holds several components, the classes outside its largest one are paired with a few of its
+members, twice, which joins most; then each class that is still outside is paired with every class of other components
+there. A pair left out lies within one component, so components are those of all links.
 
 Rows: null and empty texts have no shingles and link with nothing. A component's id is its smallest document id; null ids
 count as larger than all others, and a component of null ids alone has a null id. ``kept`` is true for the document whose
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, WordHasher, arrow_map, batch_of, col_of, mix64, shingle_set, spread, table, texts_of, words_of, written
 
-SIZE, SLOTS, ROWS, BITS = 5, 128, 4, 2
-BANDS = SLOTS // ROWS
-#: Similarity below the threshold at which an estimate rules a pair out: 4.5 standard errors at 0.8.
-MARGIN = 0.19
+SIZE, SLOTS, ROWS, BANDS, BITS = 5, 256, 4, 32, 2
+#: Similarity below the threshold at which an estimate rules a pair out: four standard errors at 0.8.
+MARGIN = 0.12
+#: Rounds in which classes outside a bucket's largest component meet some of its members before they meet all.
+ROUNDS, PIVOTS = 2, 2
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)[:, None]
@@ -45,7 +47,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    grid = mins.reshape(BANDS, ROWS)
+    grid = mins[: BANDS * ROWS].reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, i])
@@ -53,7 +55,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def planes(mins: np.ndarray) -> list[int]:
-    """The low bits of all slots, one plane of two longs per bit."""
+    """The low bits of all slots, one plane of ``WORDS`` longs per bit."""
     low = mix64(mins)
     out = []
     for bit in range(BITS):
@@ -69,7 +71,8 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-_SIG = [f"s{i}" for i in range(2 * BITS)]
+WORDS = SLOTS // 64
+_SIG = [f"s{i}" for i in range(WORDS * BITS)]
 
 
 def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -106,18 +109,18 @@ def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def estimate(a: str, b: str) -> Column:
     """Collision-corrected similarity of the signatures in columns ``a``.s0.. and ``b``.s0.."""
     differ = F.lit(0)
-    for half in range(2):
+    for word in range(WORDS):
         bits = None
         for bit in range(BITS):
-            x = F.col(f"{a}.s{2 * bit + half}").bitwiseXOR(F.col(f"{b}.s{2 * bit + half}"))
+            x = F.col(f"{a}.s{WORDS * bit + word}").bitwiseXOR(F.col(f"{b}.s{WORDS * bit + word}"))
             bits = x if bits is None else bits.bitwiseOR(x)
         differ = differ + F.bit_count(bits)
     chance = 2.0**-BITS
     return (1 - differ / F.lit(float(SLOTS)) - chance) / (1 - chance)
 
 
-def _plausible(a: str, b: str, percent: int) -> Column:
-    near = estimate(a, b) >= percent / 100 - MARGIN
+def _plausible(a: str, b: str, percent: int, margin: float = MARGIN) -> Column:
+    near = estimate(a, b) >= percent / 100 - margin
     sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
     return near & sizes
 
@@ -166,6 +169,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
+def _open(members: DataFrame, comps: DataFrame, sig: DataFrame) -> DataFrame:
+    """Members (bucket, node, comp, signature) of buckets with several components, and the largest of these (main)."""
+    inside = members.select("bucket", "node").join(comps, "node")
+    counts = inside.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return written(inside.join(largest.select("bucket", "main"), "bucket").join(sig, "node"), "open")
+
+
+def _some_pairs(open_: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs that are likely links, of classes outside the largest component with ``PIVOTS`` of its members."""
+    main = open_.where("comp = main").select("bucket", "node", "n", *_SIG)
+    row = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), *main.columns)
+    # the first by hash of each residue: partial aggregation keeps one row a bucket and residue in each task
+    picked = main.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(-1 - number)), F.lit(PIVOTS)).alias("r")).agg(F.min(row).alias("p")).select("p.*")
+    few, some = open_.where("comp <> main").alias("a"), picked.alias("b")
+    return few.join(some, (F.col("a.bucket") == F.col("b.bucket")) & _plausible("a", "b", percent, 0.02))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE) -> DataFrame:
     """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every document; links are pairs of a similarity of ``percent`` or more."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -194,20 +215,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE) -> Dat
 
     links = written(_confirm(first, texts, percent, size), "links")
     comps = written(components(nodes, links), "components")
-
-    inside = members.join(comps, "node")
-    counts = inside.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = written(inside.join(largest, "bucket").select("bucket", "node", "comp", "main").join(sig, "node"), "open")
-    few, all_ = open_.where("comp <> main").alias("a"), open_.alias("b")
-    late = few.join(all_, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & _plausible("a", "b", percent))
-    late = late.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = written(late.join(tested, ["a", "b"], "left_anti"), "late")
-    if not late.isEmpty():
+    for number in range(ROUNDS + 1):
+        open_ = _open(members, comps, sig)
+        if open_.isEmpty():
+            break
+        if number < ROUNDS:
+            late = _some_pairs(open_, percent, number)
+        else:
+            few, all_ = open_.where("comp <> main").alias("a"), open_.alias("b")
+            late = few.join(all_, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & _plausible("a", "b", percent))
+        late = late.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        late = written(late.join(tested, ["a", "b"], "left_anti"), "late")
         more = written(_confirm(late, texts, percent, size), "links")
+        tested = tested.unionByName(late)
         if not more.isEmpty():
-            comps = written(components(nodes, links.unionByName(more)), "components")
+            links = links.unionByName(more)
+            comps = written(components(nodes, links), "components")
 
     named = nodes.select("node", "doc_id").join(comps, "node")
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
