@@ -255,7 +255,7 @@ def _anchor_rows(frequent: set[int]):
     big = np.array(sorted(frequent), np.int64)
 
     def run(batches):
-        parts = []
+        parts: dict[int, list] = {FIRST: [], SINGLE: []}
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
@@ -264,40 +264,38 @@ def _anchor_rows(frequent: set[int]):
                     place, first, last, gram, context = anchors(data)
                     if not len(place):
                         continue
+                    doc = _LAST_ID if doc_id is None else doc_id
                     gram, context = gram.view(np.int64), context.view(np.int64)
-                    own = np.full(len(place), _LAST_ID if doc_id is None else doc_id), np.full(len(place), uid)
-                    if len(big):
-                        often = np.isin(gram, big)
-                        if often.any():
-                            yield from _singles(data, *own, gram, first, last, place, often)
-                            keep = ~often
-                            gram, context, place, first, last = (x[keep] for x in (gram, context, place, first, last))
-                            own = own[0][keep], own[1][keep]
-                    parts.append((gram, context, *own, place, first, last))
-        if not parts:
-            return
-        gram, context, doc, uid, place, first, last = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort([place, uid, doc, context, gram])
-        g, c = gram[order], context[order]
-        again = np.r_[False, (g[1:] == g[:-1]) & (c[1:] == c[:-1])]
-        kind = np.where(again, AGAIN, FIRST)
-        for at in range(0, len(order), 50_000):
-            i = order[at : at + 50_000]
-            yield _rows(kind[at : at + 50_000], gram[i], context[i], doc[i], uid[i], place[i], first[i], last[i])
+                    often = np.isin(gram, big)
+                    if often.any():
+                        starts = np.concatenate([np.arange(f, l + 1) for f, l in zip(first[often], last[often])])
+                        whole = Hashes(data).of(starts, starts + LENGTH).view(np.int64)
+                        parts[SINGLE].append((np.repeat(gram[often], (last - first + 1)[often]), whole, *_owner(doc, uid, len(starts)), starts, starts, starts))
+                        gram, context, place, first, last = (x[~often] for x in (gram, context, place, first, last))
+                    parts[FIRST].append((gram, context, *_owner(doc, uid, len(place)), place, first, last))
+        for kind, rows in parts.items():
+            if not rows:
+                continue
+            cols = tuple(np.concatenate(x) for x in zip(*rows))
+            rows.clear()
+            gram, context, doc, uid, place = cols[:5]
+            order = np.lexsort([place, uid, doc, context, gram])
+            g, c = gram[order], context[order]
+            again = np.r_[False, (g[1:] == g[:-1]) & (c[1:] == c[:-1])][: len(order)]
+            kinds = np.where(again, AGAIN, kind)
+            for at in range(0, len(order), 50_000):
+                i = order[at : at + 50_000]
+                yield _rows(kinds[at : at + 50_000], *(x[i] for x in cols))
 
     return run
 
 
-def _rows(*cols) -> pa.RecordBatch:
-    return batch_of(_NAMES, [pa.array(np.asarray(c).astype(k.to_pandas_dtype()), k) for c, k in zip(cols, _KINDS)])
+def _owner(doc: int, uid: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(n, doc), np.full(n, uid)
 
 
-def _singles(data, doc, uid, gram, first, last, place, often):
-    """One row for each start of frequent grams; the context is the string itself."""
-    h = Hashes(data)
-    for i in np.flatnonzero(often):
-        s = np.arange(first[i], last[i] + 1)
-        yield _rows(np.full(len(s), SINGLE), np.full(len(s), gram[i]), h.of(s, s + LENGTH).view(np.int64), np.full(len(s), doc[i]), np.full(len(s), uid[i]), s, s, s)
+def _rows(*cols) -> pa.RecordBatch:
+    return batch_of(_NAMES, [pa.array(np.asarray(c).astype(k.to_pandas_dtype()), k) for c, k in zip(cols, _KINDS)])
 
 
 def _frequent_grams(batches):
@@ -424,12 +422,11 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     """(uid, first, last): runs of starts whose string also starts earlier."""
     seen = texts.select("text").mapInArrow(_frequent_grams, "gram long, n long")
     frequent = {r[0] for r in seen.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(LISTED).collect()}
-    found = written(texts.select("doc_id", "uid", "text").mapInArrow(_anchor_rows(frequent), _ANCHOR), "anchors")
-    order = F.struct("doc_id", "uid", "place")
-
-    again = found.where(F.col("kind") == AGAIN).select("uid", "first", "last")
-    firsts = found.where(F.col("kind") == FIRST).repartition("gram").sortWithinPartitions("gram", "context", "doc_id", "uid", "place")
-    judged = written(firsts.mapInArrow(_judge, "open boolean, gram long, uid long, place int, first int, last int"), "judged")
+    found = texts.select("doc_id", "uid", "text").mapInArrow(_anchor_rows(frequent), _ANCHOR)
+    # first occurrences meet by gram, whole strings by themselves; what is known to repeat goes anywhere
+    key = F.when(F.col("kind") == FIRST, F.col("gram")).when(F.col("kind") == SINGLE, F.xxhash64("gram", "context")).otherwise(F.xxhash64("uid", "place"))
+    dealt = found.repartition(key).sortWithinPartitions("kind", "gram", "context", "doc_id", "uid", "place")
+    judged = written(dealt.mapInArrow(_judge, "open boolean, gram long, uid long, place int, first int, last int"), "judged")
     later = judged.where("not open").select("uid", "first", "last")
 
     spots = judged.where("open").groupBy("uid").agg(F.collect_list(F.struct("gram", "place", "first", "last")).alias("spots"))
@@ -437,32 +434,32 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     near = contexts.mapInArrow(_contexts, "gram long, doc_id long, uid long, place int, first int, last int, left binary, right binary")
     starts = near.repartition("gram").sortWithinPartitions("gram").mapInArrow(_open_starts, "uid long, first int, last int")
 
-    single = found.where(F.col("kind") == SINGLE)
-    least = single.groupBy("gram", "context").agg(F.min(order).alias("least"))
-    same = single.join(least, ["gram", "context"]).where(order != F.col("least")).select("uid", "first", "last")
-    return again.unionByName(later).unionByName(starts).unionByName(same)
+    return later.unionByName(starts)
 
 
 def _judge(batches):
-    """Of anchors sorted by gram, context and occurrence: repetitions (not open), and the first of each context where its
-    gram has several (open)."""
+    """Of anchors sorted by kind, gram, context and occurrence: repetitions (not open), and the first of each context where
+    its gram has several (open)."""
     names = ["open", "gram", "uid", "place", "first", "last"]
     tail: pa.Table | None = None
 
     def solve(t: pa.Table):
-        gram, context, uid, place, first, last = (t.column(x).to_numpy() for x in ("gram", "context", "uid", "place", "first", "last"))
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new = new_gram | np.r_[True, context[1:] != context[:-1]]
-        kinds = np.bincount(np.cumsum(new_gram) - 1, weights=new)[np.cumsum(new_gram) - 1]
-        keep = ~new | (kinds > 1)
+        kind, gram, context, uid, place, first, last = (t.column(x).to_numpy() for x in ("kind", "gram", "context", "uid", "place", "first", "last"))
+        new_gram = np.r_[True, (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])]
+        new = (new_gram | np.r_[True, context[1:] != context[:-1]]) & (kind != AGAIN)
+        group = np.cumsum(new_gram) - 1
+        several = np.bincount(group, weights=new)[group] > 1
+        keep = ~new | (several & (kind == FIRST))
         return batch_of(names, [pa.array(new[keep]), *(pa.array(x[keep]) for x in (gram, uid, place, first, last))])
 
     for b in batches:
         t = pa.Table.from_batches([b])
         if tail is not None:
             t = pa.concat_tables([tail, t]).combine_chunks()
-        gram = t.column("gram").to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
+        if not t.num_rows:
+            continue
+        kind, gram = t.column("kind").to_numpy(), t.column("gram").to_numpy()
+        cut = int(np.argmax((kind == kind[-1]) & (gram == gram[-1])))
         if cut:
             yield solve(t.slice(0, cut))
         tail = t.slice(cut)
