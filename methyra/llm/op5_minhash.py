@@ -223,8 +223,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE) -> Dat
         if number < ROUNDS:
             late = _some_pairs(open_, percent, number)
         else:
-            few, all_ = open_.where("comp <> main").alias("a"), open_.alias("b")
-            late = few.join(all_, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & _plausible("a", "b", percent))
+            # Every bucket that two classes of different components share is open, so a pair is given out in the first only.
+            wide = open_.join(nodes.select("node", "bands"), "node")
+            few, all_ = wide.where("comp <> main").alias("a"), wide.alias("b")
+            shared_bands = F.filter(F.zip_with("a.bands", "b.bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+            once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+            apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & once
+            late = few.join(all_, apart & _plausible("a", "b", percent) & (F.get(shared_bands, F.lit(0)) == F.col("a.bucket")))
         late = late.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         late = written(late.join(tested, ["a", "b"], "left_anti"), "late")
         more = written(_confirm(late, texts, percent, size), "links")
