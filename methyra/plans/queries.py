@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fx
-from ..operators import context, design, genes, ingest, qc, qualify, summaries, trend
+from ..operators import classes, context, design, genes, ingest, qc, qualify, summaries, trend
 from ..sources import tables
 from ..sources.scratch import scratch
 from ..streaming import ingest as live
@@ -511,6 +511,80 @@ def d1_table_shape(spark, d):
     return ingest.table_shape(files)
 
 
+_COLUMNS = ("Probe_ID", "feature id", "chr", "start", "end", "pos", "delta_beta", "P-value", "FDR", "gene symbol", "peak_format", "Mark")
+_FILES = """files AS (SELECT *, p_partkey AS file_id, (p_partkey * 37) % 4096 AS m FROM part), f0 AS (SELECT file_id, list_filter([""" + ", ".join(f"CASE WHEN m & {1 << i} > 0 THEN '{h}' END" for i, h in enumerate(_COLUMNS)) + """], lambda h: h IS NOT NULL) AS hs,
+  CASE WHEN p_size % 2 = 0 THEN 'dna_methylation' ELSE 'chromatin' END AS family, ['atac_seq', 'chip_seq', 'hic', 'other'][p_size % 4 + 1] AS modality, ['long', 'wide', 'summary'][p_size % 3 + 1] AS shape,
+  ['beta_value', 'delta_beta', 'effect_size', 'other', NULL][p_size % 5 + 1] AS semantics, CASE WHEN p_partkey % 11 = 0 THEN ['dmr', 'atac_peak', 'mirna_expression'][p_size % 3 + 1] END AS explicit_class,
+  p_partkey % 3 <> 0 AS acc, p_partkey % 5 <> 0 AS his, p_partkey % 13 = 0 AS mixed FROM files),
+f1 AS (SELECT *, list_contains(hs, 'Probe_ID') AS strong, list_contains(hs, 'feature id') AS weak, list_contains(hs, 'chr') AND list_contains(hs, 'start') AND list_contains(hs, 'end') AS area, list_contains(hs, 'pos') AS pos,
+  list_contains(hs, 'delta_beta') OR list_contains(hs, 'P-value') OR list_contains(hs, 'FDR') AS stats, coalesce(semantics = 'beta_value', false) AS lev, coalesce(semantics = 'delta_beta', false) AS chg, coalesce(semantics = 'effect_size', false) AS eff FROM f0),
+f2 AS (SELECT *, CASE WHEN strong THEN 4 WHEN weak THEN 2 ELSE 0 END + pos::INT + (NOT area)::INT + lev::INT + chg::INT + (shape = 'wide')::INT - (shape = 'summary')::INT - (stats AND NOT strong)::INT AS cpg,
+  CASE WHEN area THEN 3 ELSE 0 END + (chg OR eff)::INT + CASE WHEN stats AND NOT strong THEN 2 ELSE 0 END + (shape = 'summary')::INT - CASE WHEN strong THEN 2 WHEN weak THEN 1 ELSE 0 END - lev::INT AS dmr FROM f1),
+f3 AS (SELECT *, CASE WHEN strong AND area AND stats THEN 'unclassified' WHEN cpg > dmr AND cpg >= 3 THEN 'cpg_methylation' WHEN dmr > cpg AND dmr >= 3 THEN 'dmr' ELSE 'unclassified' END AS mc,
+  CASE WHEN strong AND area AND stats THEN 'low' WHEN cpg <> dmr AND greatest(cpg, dmr) >= 5 THEN 'high' WHEN cpg <> dmr AND greatest(cpg, dmr) >= 3 THEN 'medium' ELSE 'low' END AS ms,
+  CASE WHEN NOT area THEN 'unclassified' WHEN modality = 'atac_seq' AND acc THEN 'atac_peak' WHEN modality = 'chip_seq' AND his THEN CASE WHEN list_contains(hs, 'Mark') THEN 'histone_mark_peak' ELSE 'chip_peak_narrow' END WHEN modality = 'hic' THEN 'chromatin_interaction' ELSE 'generic_region_feature' END AS rc,
+  CASE WHEN NOT area THEN 'low' WHEN modality = 'atac_seq' AND acc THEN CASE WHEN list_contains(hs, 'peak_format') THEN 'high' ELSE 'medium' END WHEN modality = 'chip_seq' AND his THEN CASE WHEN list_contains(hs, 'Mark') THEN 'high' ELSE 'medium' END ELSE 'high' END AS rs,
+  explicit_class = 'mirna_expression' OR (explicit_class = 'atac_peak' AND NOT acc) AS closed, (list_contains(hs, 'P-value'))::INT + (list_contains(hs, 'FDR'))::INT AS hits FROM f2)"""
+
+
+def _files(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    m = (k * 37) % 4096
+    word = lambda *ws: F.element_at(F.array(*(F.lit(w) for w in ws)), (z % len(ws) + 1).cast("int"))
+    headers = F.array_compact(F.array(*(F.when(m.bitwiseAND(F.lit(1 << i)) > 0, h) for i, h in enumerate(_COLUMNS))))
+    return b.t(spark, d, "part").select(
+        k.alias("file_id"), headers.alias("headers"), F.when(z % 2 == 0, "dna_methylation").otherwise("chromatin").alias("family"), word("atac_seq", "chip_seq", "hic", "other").alias("modality"),
+        word("long", "wide", "summary").alias("shape"), word("beta_value", "delta_beta", "effect_size", "other", None).alias("semantics"),
+        F.when(k % 11 == 0, word("dmr", "atac_peak", "mirna_expression")).alias("explicit_class"),
+        F.array_compact(F.array(F.when(k % 3 != 0, "accessibility"), F.when(k % 5 != 0, "histone"))).alias("enabled"), (k % 13 == 0).alias("mixed"),
+    )
+
+
+@query(f"""WITH {_FILES} SELECT file_id, cpg AS cpg_score, dmr AS dmr_score, coalesce(explicit_class, mc) AS feature_class, CASE WHEN explicit_class IS NOT NULL THEN 'override' ELSE ms END AS confidence FROM f3""")
+def d2_methylation_class(spark, d):
+    return classes.methylation_class(_files(spark, d))
+
+
+@query(f"""WITH {_FILES} SELECT file_id, CASE WHEN NOT area OR closed THEN 'unclassified' ELSE coalesce(explicit_class, rc) END AS feature_class,
+  CASE WHEN NOT area OR closed THEN 'low' WHEN explicit_class IS NOT NULL THEN 'override' ELSE rs END AS confidence FROM f3""")
+def d3_region_class(spark, d):
+    return classes.region_class(_files(spark, d))
+
+
+@query(f"""WITH {_FILES}, s AS (SELECT *, NOT area AND hits > 0 AND (shape = 'summary' OR 2 * hits >= len(hs)) AS summary_only FROM f3),
+t AS (SELECT file_id, mixed, summary_only, CASE WHEN closed THEN 'unclassified' WHEN explicit_class IS NOT NULL THEN explicit_class WHEN list_contains(hs, 'gene symbol') THEN 'gene_linked_feature' WHEN summary_only THEN 'summary_only' WHEN family = 'dna_methylation' THEN mc ELSE rc END AS feature_class,
+  CASE WHEN closed THEN 'low' WHEN explicit_class IS NOT NULL THEN 'override' WHEN list_contains(hs, 'gene symbol') OR summary_only THEN 'high' WHEN family = 'dna_methylation' THEN ms ELSE rs END AS confidence FROM s)
+SELECT file_id, feature_class, confidence, summary_only, CASE WHEN feature_class = 'unclassified' THEN 'blocked' WHEN mixed THEN 'split_table' WHEN confidence IN ('low', 'medium') THEN 'review_required' ELSE 'proceed' END AS action FROM t""")
+def d4_feature_type(spark, d):
+    return classes.feature_type(_files(spark, d))
+
+
+@query(f"""WITH {b.REGIONS}, r AS (SELECT feature_class, CASE WHEN "start" % 7 <> 0 THEN chrom END AS c, "start" AS s, CASE WHEN "start" % 5 = 0 THEN "start" ELSE "end" END AS e, CASE WHEN "start" % 2 = 0 THEN feature_id ELSE ' ' END AS i, measured_identifier AS p, feature_id AS row_name FROM regions),
+q AS (SELECT *, coalesce(c IS NOT NULL AND s >= 0 AND e > s, false) AS ok FROM r), w AS (SELECT *, coalesce(nullif(trim(i), ''), p, CASE WHEN ok THEN c || ':' || s || '-' || e END) AS feature_id FROM q)
+SELECT row_name, feature_id, CASE WHEN feature_id IS NULL THEN 'no_id' WHEN feature_class <> 'cpg' AND NOT ok THEN 'no_region' ELSE 'kept' END AS state FROM w""")
+def p14_typed_features(spark, d):
+    s, e = F.col("start"), F.col("end")
+    rows = b.regions(spark, d).select(
+        F.col("feature_id").alias("row_name"), "feature_class", F.when(s % 7 != 0, F.col("chrom")).alias("chrom"), "start", F.when(s % 5 == 0, s).otherwise(e).alias("end"),
+        F.when(s % 2 == 0, F.col("feature_id")).otherwise(" ").alias("id"), F.col("measured_identifier").alias("probe"),
+    )
+    return classes.typed_features(rows).select("row_name", "feature_id", "state")
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN l_orderkey % 53 = 0 THEN NULL ELSE 'F' || l_partkey END AS feature_id FROM lineitem)
+SELECT feature_id, count(*) OVER (PARTITION BY feature_id) AS n_rows, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity::INT::DOUBLE END AS effect_size, CASE WHEN l_orderkey % 3 <> 0 THEN l_linenumber::DOUBLE END AS p_value,
+  NULL::DOUBLE AS q_value, NULL::DOUBLE AS se, NULL::DOUBLE AS ci_lower, NULL::DOUBLE AS ci_upper, l_suppkey::DOUBLE AS statistic FROM r WHERE feature_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC) = 1""")
+def p8_canonical_summary(spark, d):
+    o = F.col("l_orderkey")
+    rows = b.t(spark, d, "lineitem").select(
+        F.when(o % 53 == 0, " ").otherwise(F.concat(F.lit("F"), "l_partkey")).alias("Feature"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax").alias("at"),
+        F.when(o % 7 == 0, "high").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("log2 FC"),
+        F.when(o % 3 == 0, "NA").otherwise(F.col("l_linenumber").cast("string")).alias("P_val"), F.col("l_suppkey").cast("string").alias("t-stat"),
+    )
+    return classes.canonical_summary(rows, "Feature", "at")
+
+
 _STATS = """st AS (SELECT 'P' || p_partkey AS feature_id, unnest(['low', 'high', 'ctrl']) AS "group", unnest([p_size::DOUBLE, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, CASE WHEN p_partkey % 3 = 0 THEN 1.5 END]) AS mean, unnest([NULL, 2.0, NULL]::DOUBLE[]) AS sd, unnest([p_partkey % 7, NULL, NULL]::DOUBLE[]) AS n FROM part)"""
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from methyra.functions import scalars as fx
-from methyra.operators import context, qc, summaries, trend
+from methyra.operators import classes, context, qc, summaries, trend
 
 
 def _cells(spark, groups):
@@ -117,3 +117,18 @@ def test_empty_tables(spark):
     none = c.limit(0)
     assert qc.variance(none).count() == 0
     assert qc.replicate_stability(none, s).first()["stability"] == "not_assessed"
+
+
+def test_feature_type_without_headers(spark):
+    schema = "file_id int, headers array<string>, family string, modality string, shape string, semantics string, explicit_class string, enabled array<string>, mixed boolean"
+    rows = [(1, None, None, None, None, None, None, None, None), (2, [], "dna_methylation", None, "wide", None, None, [], False), (3, [None, "CG-ID"], "dna_methylation", None, None, None, None, None, True), (4, ["x"], None, None, None, None, "atac_peak", ["accessibility"], None)]
+    files = spark.createDataFrame(rows, schema)
+    got = {r.file_id: (r.feature_class, r.confidence, r.action) for r in classes.feature_type(files).collect()}
+    assert got == {1: ("unclassified", "low", "blocked"), 2: ("unclassified", "low", "blocked"), 3: ("cpg_methylation", "high", "split_table"), 4: ("atac_peak", "override", "proceed")}
+    assert classes.methylation_class(files.limit(0)).count() == classes.region_class(files.limit(0)).count() == 0
+
+
+def test_canonical_summary_reads_named_columns_only(spark):
+    rows = spark.createDataFrame([("a", 1, "2.5", "x", "n"), ("a", 2, "3", None, "n"), (" ", 3, "1", "1", "n"), (None, 4, "1", "1", "n")], "id string, at int, `Log2-FC` string, `P value` string, note string")
+    out = classes.canonical_summary(rows, "id", "at")
+    assert [tuple(r)[:5] for r in out.collect()] == [("a", 2, 3.0, None, None)]
