@@ -9,7 +9,8 @@ Documents of equal sets are one class from the start. Within a bucket not all pa
 with the bucket's pivot, the class that has most neighbours over all buckets, and links join classes to components.
 Where a bucket then still holds several components, the classes outside its largest one are paired with a few of its
 members, twice, which joins most; then each class that is still outside is paired with every class of other components
-there. A pair left out lies within one component, so components are those of all links.
+there. These last estimates use a finer signature of ``FINE`` slots, taken only of classes in such buckets, so that few pairs
+well below the threshold go on to be confirmed. A pair left out lies within one component, so components are those of all links.
 
 Rows: null and empty texts have no shingles and link with nothing. A component's id is its smallest document id; null ids
 count as larger than all others, and a component of null ids alone has a null id. ``kept`` is true for the document whose
@@ -28,20 +29,29 @@ from .common import SLICE, WordHasher, arrow_map, batch_of, col_of, mix64, shing
 SIZE, SLOTS, ROWS, BANDS, BITS = 5, 256, 4, 32, 2
 #: Similarity below the threshold at which an estimate rules a pair out: four standard errors at 0.8.
 MARGIN = 0.12
+#: Slots of the finer signature, and its four standard errors.
+FINE, FINE_MARGIN = 1024, 0.06
 #: Rounds in which classes outside a bucket's largest component meet some of its members before they meet all.
 ROUNDS, PIVOTS = 2, 2
 
-_RNG = np.random.default_rng(20240229)
-_FLIP = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)[:, None]
-_MULT = (_RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1))[:, None]
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def _permutations(slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    flip = rng.integers(0, 1 << 63, slots, dtype=np.uint64)[:, None]
+    return flip, (rng.integers(0, 1 << 63, slots, dtype=np.uint64) | np.uint64(1))[:, None]
+
+
+_COARSE = _permutations(SLOTS, 20240229)
+
+
+def minima(shingles: np.ndarray, permutations: tuple[np.ndarray, np.ndarray] = _COARSE) -> np.ndarray:
     """Smallest value of each slot's permutation over the set."""
+    flip, mult = permutations
     out = None
     for at in range(0, len(shingles), 1024):
         part = shingles[at : at + 1024]
-        low = ((part[None, :] ^ _FLIP) * _MULT).min(1)
+        low = ((part[None, :] ^ flip) * mult).min(1)
         out = low if out is None else np.minimum(out, low)
     return out
 
@@ -73,6 +83,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 WORDS = SLOTS // 64
 _SIG = [f"s{i}" for i in range(WORDS * BITS)]
+_FINE_SIG = [f"f{i}" for i in range(FINE // 64 * BITS)]
 
 
 def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -106,17 +117,33 @@ def features(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text_key", "text"), make, schema)
 
 
-def estimate(a: str, b: str) -> Column:
+def fine_signatures(texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """node and the planes of the finer signature of every row (node, text)."""
+
+    def make():
+        hasher, permutations = WordHasher(), _permutations(FINE, 20240301)
+
+        def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [planes(minima(shingle_set(hasher(words_of(t)), size), permutations)) for t in texts_of(b)]
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(_FINE_SIG)
+            return batch_of(["node", *_FINE_SIG], [col_of(b, "node"), *cols])
+
+        return fn
+
+    return arrow_map(texts.select("node", "text"), make, "node long, " + ", ".join(f"{s} long" for s in _FINE_SIG))
+
+
+def estimate(a: str, b: str, slots: int = SLOTS, name: str = "s") -> Column:
     """Collision-corrected similarity of the signatures in columns ``a``.s0.. and ``b``.s0.."""
-    differ = F.lit(0)
-    for word in range(WORDS):
+    differ, words = F.lit(0), slots // 64
+    for word in range(words):
         bits = None
         for bit in range(BITS):
-            x = F.col(f"{a}.s{WORDS * bit + word}").bitwiseXOR(F.col(f"{b}.s{WORDS * bit + word}"))
+            x = F.col(f"{a}.{name}{words * bit + word}").bitwiseXOR(F.col(f"{b}.{name}{words * bit + word}"))
             bits = x if bits is None else bits.bitwiseOR(x)
         differ = differ + F.bit_count(bits)
     chance = 2.0**-BITS
-    return (1 - differ / F.lit(float(SLOTS)) - chance) / (1 - chance)
+    return (1 - differ / F.lit(float(slots)) - chance) / (1 - chance)
 
 
 def _plausible(a: str, b: str, percent: int, margin: float = MARGIN) -> Column:
@@ -224,12 +251,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE) -> Dat
             late = _some_pairs(open_, percent, number)
         else:
             # Every bucket that two classes of different components share is open, so a pair is given out in the first only.
-            wide = open_.join(nodes.select("node", "bands"), "node")
+            fine = fine_signatures(texts.join(open_.select("node").distinct(), "node", "left_semi"), size)
+            wide = open_.join(nodes.select("node", "bands"), "node").join(written(fine, "fine"), "node")
             few, all_ = wide.where("comp <> main").alias("a"), wide.alias("b")
             shared_bands = F.filter(F.zip_with("a.bands", "b.bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
             once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
             apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & once
-            late = few.join(all_, apart & _plausible("a", "b", percent) & (F.get(shared_bands, F.lit(0)) == F.col("a.bucket")))
+            near = _plausible("a", "b", percent) & (estimate("a", "b", FINE, "f") >= percent / 100 - FINE_MARGIN)
+            late = few.join(all_, apart & near & (F.get(shared_bands, F.lit(0)) == F.col("a.bucket")))
         late = late.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         late = written(late.join(tested, ["a", "b"], "left_anti"), "late")
         more = written(_confirm(late, texts, percent, size), "links")
