@@ -8,6 +8,7 @@ from itertools import combinations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from compare import DATA, connection, rows
 from methyra.llm import op1_toxicity, op2_decontaminate, op3_merkle, op4_suffixes, op5_minhash, op6_warc, op7_bpe, op8_pii, op9_secrets, op10_tokens
@@ -147,6 +148,18 @@ def test_near_duplicate_chains(spark):
     assert {r["component_id"] for r in op5_minhash.near_duplicates(d).collect()} == {0}
 
 
+def test_finer_estimate_is_near_the_similarity(spark):
+    texts = [" ".join([f"w{i}" for i in range(900)] + [f"{k}x{i}" for i in range(100 * k)]) for k in range(4)]
+    fine = op5_minhash.fine_signatures(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    a, b = fine.alias("a"), fine.alias("b")
+    near = op5_minhash.estimate("a", "b", op5_minhash.FINE, "f").alias("near")
+    found = a.join(b, F.col("a.node") < F.col("b.node")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), near).collect()
+    assert len(found) == 6
+    for x, y, got in found:
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (texts[x].split(), texts[y].split()))
+        assert abs(got - len(s & t) / len(s | t)) < op5_minhash.FINE_MARGIN
+
+
 def test_warc(spark, tmp_path):
     rows_ = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, None), (4, "http://c/", ""), (5, "http://d/", "WARC/1.1\r\n\r\né"), (5, "http://d/", "WARC/1.1\r\n\r\né")]
     pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
