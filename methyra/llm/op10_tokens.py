@@ -3,8 +3,10 @@
 A huge text is cut into chunks that overlap. Each chunk is cut into pieces by the vocabulary's pattern, with
 offsets. The pattern reads from left to right and looks ahead one character at most, so two chunks that have one
 piece boundary in common agree on every later boundary until the first chunk's end comes into view. Such a common
-boundary, at least one whole piece before that end, is a proven place to splice; if an overlap has none, it is
-doubled until one is found or the text ends. No merge crosses a piece boundary, so the spliced counts are exact.
+boundary, at least one whole piece before that end and after a character that is not white space, is a proven place
+to splice; if an overlap has none, it is doubled until one is found or the text ends. After white space the span would
+end where the pattern looks ahead, and its last pieces could run together; all other pieces are the same without what
+follows them. No merge crosses a piece boundary, so the spliced counts are exact.
 
 Pieces are encoded by a byte-pair encoder fed with the vocabulary file (``tokenizers`` and it give the same ids;
 the tests hold them against each other). Special strings inside texts count as one token each, which is the
@@ -75,7 +77,7 @@ class Counter:
                     return out
                 ours = self._ends(text, start, stop)[:-2]  # the last pieces may change when more text follows
                 theirs = set(self._ends(text, nominal, min(n, stop + overlap))[:-2])
-                common = next((p for p in ours if p > nominal and p in theirs), None)
+                common = next((p for p in ours if p > nominal and not text[p - 1].isspace() and p in theirs), None)
                 if common is not None:
                     break
                 overlap *= 2

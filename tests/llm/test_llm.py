@@ -195,6 +195,17 @@ def test_counts_equal_library(docs, chunk, overlap):
     assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("between", ["\n\n", " \t", "\r\n\r\n", "  ", "\u3000\n", "\x1c\x1c "])
+def test_counts_at_every_shift_of_white_space(between):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(op7_bpe.default_vocabulary()), op10_tokens.Counter(op7_bpe.default_vocabulary(), 60, 4)
+    texts = ["a b " * 8 + "w" * k + f"word{between}word" + " tail" * 20 for k in range(40)]
+    for t in texts:
+        assert len(own.splices(t)) > 1 and "".join(t[a:b] for a, b in own.splices(t)) == t
+    assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 _BASE8 = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
