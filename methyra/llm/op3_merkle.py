@@ -1,16 +1,22 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of words.
 
-Leaves are sentences with the white space after them, so the leaves of a text put together are the text. A paragraph
-(a line) hashes its leaves, a section hashes its paragraphs, the root hashes the sections. A section ends after a
-paragraph whose own hash says so (one in eight), hence an edit moves no section border but those beside it. Equal
-roots mean equal texts; ``differing`` walks down from unequal branches to the places of edits.
+Leaves are runs of words inside a sentence, with the white space after them, so the leaves of a text put together are
+the text. A run of ``LEAST`` characters ends after a word whose own hash says so (one in four), any run at the
+sentence's end and at ``LONGEST`` characters at the latest; a word of more than ``WORD`` characters (junk, scripts
+without spaces) is itself cut after a pair of characters that says so. Cuts are taken from left to right and no cut
+depends on what follows its word, so texts without a full stop or line break share the leaves of an unchanged half
+unless it is shorter than about ``LONGEST`` characters. A paragraph (a line) hashes its leaves, a section hashes its paragraphs, the root hashes the sections. A section ends after a paragraph whose own hash says so
+(one in eight), hence an edit moves no section border but those beside it. Equal roots mean equal texts;
+``differing`` walks down from unequal branches to the paragraphs of edits and ``located`` on to the characters.
 
 The fingerprint is the root, a dash, and the smallest ``KEEP`` leaf hashes in order, so its size is bounded and two
 fingerprints can be compared alone: ``likeness`` estimates the share of common leaves (exact up to ``KEEP`` leaves).
+A leaf that a text repeats counts each time: its second and later occurrences have hashes of their own.
 
 The query pairs each text with the next one in descending order of id. Ids fall into value ranges of about equal
 counts; each range also receives the first row of the range below, so a task reads its ranges in order and holds two
-texts at a time. Only range borders and one id per range reach the driver.
+texts at a time. Only range borders and one id per range reach the driver. The columns ``lost`` and ``gained`` locate
+the edit: characters start:end of the text that the edited one lacks, and of the edited text that the text lacks.
 
 Null texts count as empty: their tree has no leaves. Null ids stand last. Equal ids are ordered by text; each row has
 its own successor. A table of one row is its own successor; an empty table gives no rows. Extra columns are dropped.
@@ -20,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,19 +38,49 @@ from pyspark.sql import functions as F
 from .common import batch_of, table
 
 KEEP = 64
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+#: Characters of a leaf that a word may end, of a leaf at most, and of a word that is not cut.
+LEAST, LONGEST, WORD = 12, 24, 16
+_SENTENCE = re.compile(r"[^.!?\n。！？]*[.!?\n。！？]+\s*|[^.!?\n。！？]+")
+_WORD = re.compile(r"\S+\s*|\s+")
 
 
 def _hash(parts: bytes, level: bytes) -> bytes:
     return hashlib.blake2b(parts, digest_size=16, person=level).digest()
 
 
-def leaves(text: str) -> list[str]:
-    return _SENTENCE.findall(text)
+def _parts(word: str) -> list[str]:
+    """A long word cut after pairs of characters that say so, and after ``WORD`` characters at the latest."""
+    out, at, before = [], 0, 0
+    for i, c in enumerate(map(ord, word), 1):
+        if (c - before) % 8 == 3 or i - at == WORD:
+            out.append(word[at:i])
+            at = i
+        before = c
+    return out if at == len(word) else [*out, word[at:]]
 
 
-def tree(text: str) -> tuple[bytes, list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]]:
-    """(root, sections); a section is (hash, paragraphs) and a paragraph (hash, leaf hashes)."""
+def leaves(text: str) -> list[str]:
+    out, crc = [], zlib.crc32
+    for s in _SENTENCE.findall(text):
+        start = at = 0
+        for w in _WORD.findall(s):
+            for p in (w,) if len(w) <= WORD else _parts(w):
+                end = at + len(p)
+                if end - start > LONGEST:
+                    out.append(s[start:at])
+                    start = at
+                at = end
+                if at - start >= LEAST and not crc(p.encode("utf-8", "surrogatepass")) & 3:
+                    out.append(s[start:at])
+                    start = at
+        if start < at:
+            out.append(s[start:])
+    return out
+
+
+def tree(text: str, cut: list[str] | None = None) -> tuple[bytes, list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]]:
+    """(root, sections); a section is (hash, paragraphs) and a paragraph (hash, leaf hashes). ``cut`` has the leaves,
+    if they are known."""
     sections: list = []
     paragraphs: list = []
     own: list[bytes] = []
@@ -62,7 +100,7 @@ def tree(text: str) -> tuple[bytes, list[tuple[bytes, list[tuple[bytes, list[byt
             sections.append((_hash(b"".join(h for h, _ in paragraphs), b"section"), paragraphs))
             paragraphs = []
 
-    for s in leaves(text):
+    for s in leaves(text) if cut is None else cut:
         own.append(_hash(s.encode("utf-8", "surrogatepass"), b"leaf"))
         if "\n" in s:
             end_paragraph()
@@ -80,9 +118,41 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
     return [(i, j) for i, (h, ps) in enumerate(sa) if h not in there for j, (p, _) in enumerate(ps) if p not in below]
 
 
+def located(cut: list[str], a: tuple, b: tuple) -> str:
+    """Characters start:end of the text with leaves ``cut`` and tree ``a`` that lie in no branch of the tree ``b``, joined
+    by commas; unequal branches only are entered, and neighbouring leaves are one span."""
+    (ra, sa), (rb, sb) = a, b
+    if ra == rb:
+        return ""
+    there, below = {h for h, _ in sb}, {h for _, ps in sb for h, _ in ps}
+    held = {x for _, ps in sb for _, own in ps for x in own}
+    spans: list[list[int]] = []
+    at = k = 0
+    for h, ps in sa:
+        for p, own in ps:
+            equal = h in there or p in below
+            for x in own:
+                end = at + len(cut[k])
+                k += 1
+                if not equal and x not in held:
+                    if spans and spans[-1][1] == at:
+                        spans[-1][1] = end
+                    else:
+                        spans.append([at, end])
+                at = end
+    return ",".join(f"{x}:{y}" for x, y in spans)
+
+
 def fingerprint(text: str) -> str:
-    root, sections = tree(text)
-    small = sorted({x[:4] for _, ps in sections for _, own in ps for x in own})[:KEEP]
+    return _fingerprint(tree(text))
+
+
+def _fingerprint(of: tuple) -> str:
+    root, sections = of
+    held = Counter(x for _, ps in sections for _, own in ps for x in own)
+    small = {x[:4] for x in held}
+    small |= {_hash(x + n.to_bytes(8, "big"), b"again")[:4] for x, c in held.items() if c > 1 for n in range(1, c)}
+    small = sorted(small)[:KEEP]
     return f"{root.hex()}-{b''.join(small).hex()}"
 
 
@@ -137,25 +207,28 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "lost", "gained"]
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, lost string, gained string"
 
 
 def _pairs(batches):
-    before = None  # (range, late, doc_id, text, fingerprint)
+    before = None  # (range, late, doc_id, text, fingerprint, leaves, tree)
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             rows = []
             for doc_id, text, late, where in zip(*(part.column(i).to_pylist() for i in range(4))):
-                now = (where, late, doc_id, text, fingerprint(text))
+                own = tree(text, cut := leaves(text))
+                now = (where, late, doc_id, text, _fingerprint(own), cut, own)
                 if before is not None and before[0] == where and not before[1]:
                     new = edited(before[3], text)
-                    fp = fingerprint(new)
-                    rows.append((before[2], len(before[3]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), before[4], fp, likeness(before[4], fp), likeness(before[4], now[4])))
+                    other = tree(new, new_cut := leaves(new))
+                    fp = _fingerprint(other)
+                    places = located(before[5], before[6], other), located(new_cut, other, before[6])
+                    rows.append((before[2], len(before[3]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), before[4], fp, likeness(before[4], fp), likeness(before[4], now[4]), *places))
                 before = now
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
                 yield batch_of(_NAMES, [pa.array(c, k) for c, k in zip(zip(*rows), kinds)])
 
 

@@ -92,6 +92,44 @@ def test_fingerprint_corner_cases(spark, odd):
     assert op3_merkle.differing("a.\nb.\n", "a.\nc.\n") == [(0, 1)] or op3_merkle.differing("a.\nb.\n", "a.\nc.\n")
 
 
+_UNSTOPPED = [
+    " ".join(f"v{i * i}" for i in range(300)),
+    "again " * 300,
+    "Again. " * 300,
+    "".join(chr(0x4E00 + i * i % 900) for i in range(400)),
+    "x" * 900,
+    "{'a':[1,2],'b':" * 40,
+    "\t".join(str(i * 7919) for i in range(200)),
+    "one two three four five six seven eight nine ten eleven twelve",
+]
+
+
+@pytest.mark.parametrize("text", _UNSTOPPED)
+def test_unstopped_halves_share_leaves(text):
+    assert "".join(op3_merkle.leaves(text)) == text
+    other = "".join(chr(0xAC00 + i * i % 700) for i in range(len(text)))
+    new = op3_merkle.edited(text, other)
+    assert op3_merkle.likeness(op3_merkle.fingerprint(text), op3_merkle.fingerprint(new)) > 0
+    assert op3_merkle.likeness(op3_merkle.fingerprint(text), op3_merkle.fingerprint(other)) == 0
+    tail = "Other start, of some length " + text[len(text) // 2 :]
+    assert op3_merkle.likeness(op3_merkle.fingerprint(text), op3_merkle.fingerprint(tail)) > 0
+
+
+def test_edits_are_located(spark, docs):
+    got = {r["doc_id"]: r for r in QUERIES["op3_merkle_fingerprints"](spark, DATA).collect()}
+    order = sorted(docs, reverse=True)
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        new = op3_merkle.edited(t, u)
+        for a, b, spans in ((t, new, got[i]["lost"]), (new, t, got[i]["gained"])):
+            held, at, want = set(op3_merkle.leaves(b)), 0, set()
+            for x in op3_merkle.leaves(a):
+                want |= set(range(at, at + len(x))) if x not in held else set()
+                at += len(x)
+            found = [tuple(map(int, s.split(":"))) for s in spans.split(",") if s]
+            assert {k for x, y in found for k in range(x, y)} == want
+            assert all(y < z for (_, y), (z, _) in zip(found, found[1:]))
+
+
 def _brute_suffixes(texts):
     seen, out = set(), []
     for t in texts:
