@@ -6,7 +6,8 @@ lacks, each once however many paths have it, appends what it found, and joins th
 
 The base kinds (assign, access, hex) are the leftmost non-overlapping matches of their definitions, failing ones
 dropped; ``private_key`` and ``service_token`` are added by the rules and take nothing from the base. Offsets count
-code points, ends are exclusive.
+code points, ends are exclusive. A private key runs from its BEGIN line to the END line of the same label before the
+next BEGIN; without one, to the end of the base64 lines (after headers such as Proc-Type) that follow.
 
 Copies are dropped within a task before the exchange by blob, so a text that a third of the rows share reaches the
 scanning task once per upstream task. Null texts count as empty; paths may be null, repeated or tied: each row gets
@@ -28,16 +29,32 @@ from .common import SLICE, arrow_map, batch_of, null_safe, scratch, table, texts
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "service_token")
 #: Name of the rules below; a change of any rule takes a new name, and so a new scan of every blob.
-RULES = "rules-1"
+RULES = "rules-2"
 
 _KEYS = ("passw", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_PRIVATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PRIVATE = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+#: A line break, written out in string literals too; headers; and lines of base64 only, or runs as long as a line.
+_BREAK = r"(?:[^\S\n]|\\[rt])*+(?:\n|\\n)(?:\s|\\[nrt]|[>\"'+,])*+"
+_KEY_BODY = re.compile(
+    rf"(?:{_BREAK}[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*+"
+    rf"(?:(?:{_BREAK}|[^\S\n]++)[A-Za-z0-9+/]{{40,}}+={{0,2}}|{_BREAK}[A-Za-z0-9+/]++={{0,2}}(?=[^\S\n]*+(?:\n|\\[nr]|[\"']|\Z))|[^\S\n]++(?=[A-Za-z0-9+/]*[0-9+/=])[A-Za-z0-9+/]++={{0,2}}(?!\S))*+"
+)
 _SERVICE = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
 
 
+def _private(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys, from BEGIN to END or to the end of the base64 block."""
+    out, begins = [], list(_PRIVATE.finditer(text))
+    for m, following in zip(begins, [*(x.start() for x in begins[1:]), len(text)]):
+        last = f"-----END {m[1]}-----"
+        at = text.find(last, m.end(), following)
+        out.append((m.start(), at + len(last) if at >= 0 else _KEY_BODY.match(text, m.end(), following).end()))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start and then by the order of ``KINDS``."""
     out: list[tuple[int, int, int]] = []
@@ -48,7 +65,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         out += [(*m.span(), 1) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
     out += [(*m.span(), 2) for m in _HEX.finditer(text)]
     if "-----BEGIN" in text:
-        out += [(*m.span(), 3) for m in _PRIVATE.finditer(text)]
+        out += [(*s, 3) for s in _private(text)]
     if "gh" in text or "xox" in text or "sk_live_" in text:
         out += [(*m.span(), 4) for m in _SERVICE.finditer(text)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
