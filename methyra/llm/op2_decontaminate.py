@@ -87,8 +87,8 @@ def shingles_of(text: str, size: int = SIZE) -> Column:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item. Documents are told apart by id; null ids by their texts."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(null_safe("text").cast("binary"), 256)))
+    """The rows of ``docs``, all columns, that hold no item. Documents are told apart by id and text."""
+    key = F.concat(F.sha2(null_safe("text").cast("binary"), 256), F.coalesce(F.concat(F.lit(" "), F.col("doc_id").cast("string")), F.lit("")))
     keyed = docs.withColumn("leak_key", key)
     hit = contained(keyed.select(F.col("leak_key").alias("doc_id"), "text"), items, share).select(F.col("doc_id").alias("leak_key")).distinct()
     return keyed.join(hit, "leak_key", "left_anti").select(*docs.columns)

@@ -77,6 +77,13 @@ def test_leak_inside_long_text(spark):
     assert op2_decontaminate.without_leaks(d, b).count() == 2
 
 
+def test_clean_text_of_a_leaking_id_stays(spark):
+    item, clean = " ".join(f"w{i}" for i in range(20)), " ".join(f"f{i}" for i in range(30))
+    d = spark.createDataFrame([(1, item), (1, clean), (None, item), (None, clean), (2, item)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((str(r[0]), r[1]) for r in op2_decontaminate.without_leaks(d, b).collect()) == [("1", clean), ("None", clean)]
+
+
 def test_fingerprints(spark, docs):
     got = {r["doc_id"]: r for r in QUERIES["op3_merkle_fingerprints"](spark, DATA).collect()}
     order = sorted(docs, reverse=True)
