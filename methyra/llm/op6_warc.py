@@ -2,156 +2,191 @@
 
 ``write`` makes three records for each page (request, response or revisit, metadata); request and metadata name the
 capture in ``WARC-Concurrent-To``. Records are text (payloads are UTF-8), so Spark's own text writer stores them
-through its commit protocol, with the blank lines that end a record as separator; a task's files appear as a whole or
-not at all. ``read`` parses files by ``Content-Length``, plain or gzip-compressed, and ``assemble`` joins request,
-response and metadata by the concurrent-to identifiers into one nested row per capture, revisits with the response
-that they refer to.
+gzip-compressed through its commit protocol: a task's files appear as a whole or not at all. A file holds at most
+``PER_FILE`` captures. ``read`` streams compressed files: Spark's text reader cuts them at ``WARC/1.``, and the cuts that
+lie inside a block are undone by ``Content-Length``, so one record is held at a time however large the file is.
+``assemble`` joins request, response and metadata by the concurrent-to identifiers into one nested row per capture,
+revisits with the response that they refer to.
+
+Payloads travel deflated (``payload``: zlib of the payload's bytes) from the first shuffle to the nested row, where
+``payload_text`` gives them back; lengths and digests are those of the full payload as read back.
 
 Of captures with equal payloads of at least ``least`` bytes the one with the largest id is the response, the others
 revisit it. Null payloads count as empty. Rows that repeat id and payload become equal records, and as many captures
 come back. A null id comes back as null and is never referred to unless all ids of a payload are null. Empty tables
-give archives without records. Extra columns are dropped.
+give archives without records. Extra columns are dropped. Uncompressed archives are read too, each as one value.
 
-Pages are hashed in place; only (digest, largest id) pairs are joined back, so a payload that a third of the pages
-share is split by the skew join. A file holds what one task writes, and one file is read by one task.
+Only (digest, largest id) pairs are joined to the pages, so a payload that a third of the pages share is split by the
+skew join.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, null_safe, scratch, table
+from .common import arrow_map, batch_of, null_safe, scratch, table, written
 
 _CRLF = "\r\n"
-#: Fixed value: the base32 alphabet.
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DATE = "2024-01-01T00:00:00Z"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: What every record begins with, up to the minor version.
+_BEGIN = "WARC/1."
+#: Captures in a file.
+PER_FILE = 50_000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a string's UTF-8 bytes, five hexadecimal digits (four symbols) at a time."""
-    hexed = F.sha1(payload.cast("binary"))
-    letters = F.lit(_BASE32)
-    parts = []
-    for i in range(8):
-        bits = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(letters, F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(*parts: Column) -> Column:
-    h = F.md5(F.concat_ws("|", *parts).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
+def _urn(*parts: str) -> str:
+    h = hashlib.md5("|".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def _record(kind: str | Column, fields: list[tuple[str, Column]], block: Column) -> Column:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.lit(f"WARC-Date: {_DATE}")]
-    lines += [F.concat(F.lit(f"{name}: "), value) for name, value in fields]  # a null value leaves its line out
-    lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    return F.concat(F.concat_ws(_CRLF, *lines), F.lit(_CRLF * 2), block)
+def _record(kind: str, fields: list[tuple[str, str | None]], block: str, size: int) -> str:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {_DATE}", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {size}"]
+    return _CRLF.join(lines) + _CRLF * 2 + block
 
 
 def classified(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, digest, and refers (null for responses)."""
-    rows = pages.select("page_id", "url", null_safe("html").alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    tops = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("top"))
-    joined = rows.join(tops, "digest", "left")
+    """page_id, url, sha (hexadecimal), payload (deflated) and refers (null for responses)."""
+    html = pages.select("page_id", "url", null_safe("html").alias("html"))
+    tops = html.where(F.octet_length("html") >= least).groupBy(F.sha1(F.col("html").cast("binary")).alias("sha")).agg(F.max("page_id").alias("top"))
+
+    def make():
+        def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+            payloads = b.column(2).cast(pa.binary()).to_pylist()
+            shas = [hashlib.sha1(x).hexdigest() for x in payloads]
+            return batch_of(["page_id", "url", "sha", "payload"], [b.column(0), b.column(1), pa.array(shas, pa.string()), pa.array([zlib.compress(x, 1) for x in payloads], pa.binary())])
+
+        return fn
+
+    rows = arrow_map(html, make, f"page_id {dict(pages.dtypes)['page_id']}, url string, sha string, payload binary")
+    joined = rows.join(tops, "sha", "left")
     return joined.withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("top")) & F.col("top").isNotNull(), F.col("top"))).drop("top")
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Archives of ``pages`` (page_id, url, html) below ``path``."""
-    rows = classified(pages, least)
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    own, other = _urn(page, F.col("digest")), F.when(F.col("refers").isNotNull(), _urn(F.col("refers").cast("string"), F.col("digest")))
-    url = F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"[\r\n]", "%0A")
+def capture_records(page_id: str | None, url: str | None, sha: str, payload: bytes, refers: str | None) -> str:
+    """Request, response or revisit, and metadata record of one page, with the blank lines that end a record between."""
+    page, digest = page_id if page_id is not None else "none", base64.b32encode(bytes.fromhex(sha)).decode()
+    own = _urn(page, digest)
+    url = (url if url is not None else "urn:none").replace("\r", "%0A").replace("\n", "%0A")
     target = ("WARC-Target-URI", url)
-    size = F.octet_length("payload").cast("string")
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), size, F.lit(_CRLF * 2))
+    first = refers is None
+    head = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: {len(payload)}{_CRLF * 2}"
     main = _record(
-        F.when(F.col("refers").isNull(), "response").otherwise("revisit"),
+        "response" if first else "revisit",
         [
-            ("WARC-Record-ID", own), target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Refers-To", other),
-            ("WARC-Profile", F.when(F.col("refers").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-            ("Content-Type", F.lit("application/http;msgtype=response")),
+            ("WARC-Record-ID", own), target, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", None if first else _urn(refers, digest)),
+            ("WARC-Profile", None if first else _PROFILE), ("Content-Type", "application/http;msgtype=response"),
         ],
-        F.when(F.col("refers").isNull(), F.concat(head, "payload")).otherwise(head),
+        head + payload.decode("utf-8", "replace") if first else head, len(head) + len(payload) if first else len(head),
     )
-    request = _record(
-        "request",
-        [("WARC-Record-ID", _urn(page, F.col("digest"), F.lit("request"))), target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request"))],
-        F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{_CRLF * 2}")),
-    )
-    metadata = _record(
-        "metadata",
-        [("WARC-Record-ID", _urn(page, F.col("digest"), F.lit("metadata"))), target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat_ws(_CRLF, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit("")),
-    )
-    rows.select(F.concat_ws(_CRLF * 2, request, main, metadata).alias("value")).write.option("lineSep", _CRLF * 2).text(path)
+    ask = f"GET {url} HTTP/1.1{_CRLF * 2}"
+    note = f"page-id: {page_id}{_CRLF}" if page_id is not None else ""
+    aside = lambda kind, mime: [("WARC-Record-ID", _urn(page, digest, kind)), target, ("WARC-Concurrent-To", own), ("Content-Type", mime)]
+    request = _record("request", aside("request", "application/http;msgtype=request"), ask, len(ask.encode("utf-8", "surrogatepass")))
+    metadata = _record("metadata", aside("metadata", "application/warc-fields"), note, len(note))
+    return (_CRLF * 2).join([request, main, metadata])
+
+
+def write(pages: DataFrame, path: str, least: int = 0, per_file: int = PER_FILE) -> None:
+    """Archives of ``pages`` (page_id, url, html) below ``path``."""
+
+    def make():
+        def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+            made = [capture_records(p, u, s, zlib.decompress(x), r) for p, u, s, x, r in zip(*(c.to_pylist() for c in b.columns))]
+            return batch_of(["value"], [pa.array(made, pa.string())])
+
+        return fn
+
+    rows = classified(pages, least)
+    rows = rows.select(F.col("page_id").cast("string"), "url", "sha", "payload", F.col("refers").cast("string"))
+    arrow_map(rows, make, "value string").write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 _FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Concurrent-To", "WARC-Refers-To", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Type")
-RECORD = "type string, record_id string, concurrent_to string, refers_to string, target string, declared_digest string, content_type string, payload_bytes long, digest string, payload string, fields map<string,string>"
-
-
-def _records(data: bytes, payloads: bool):
-    """One tuple per record of a file; a broken header or a block that ends early raises ValueError."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, n = 0, len(data)
-    while at < n:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        named = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8").split(_CRLF)[1:])
-        start = end + 4
-        stop = start + int(named["Content-Length"])
-        if stop > n:
-            raise ValueError(f"the record at byte {at} ends early")
-        block = data[start:stop]
-        kind, body, fields = named["WARC-Type"], None, None
-        if kind in ("response", "revisit"):
-            cut = block.find(b"\r\n\r\n")
-            body = block[cut + 4 :] if cut >= 0 else block
-        elif kind == "metadata":
-            fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split(_CRLF) if ": " in x)
-        held = kind == "response"
-        yield (
-            *(named.get(x) for x in _FIELDS), len(body) if held else None, base64.b32encode(hashlib.sha1(body).digest()).decode() if held else None,
-            body.decode("utf-8", "replace") if held and payloads else None, fields,
-        )
-        at = stop + 4
-
-
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of the archives below ``path``; without ``payloads`` only their lengths and digests."""
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                rows: list[tuple] = []
-                for r in _records(b.column(0)[i].as_py(), payloads):
-                    rows.append(r)
-                    if len(rows) == 512:
-                        yield _batch(names, kinds, rows)
-                        rows = []
-                if rows:
-                    yield _batch(names, kinds, rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
-
-
-def _batch(names, kinds, rows):
-    return batch_of(names, [pa.array([list(x.items()) if isinstance(x, dict) else x for x in col], kind) for col, kind in zip(zip(*rows), kinds)])
+RECORD = "type string, record_id string, concurrent_to string, refers_to string, target string, declared_digest string, content_type string, payload_bytes long, digest string, payload binary, fields map<string,string>"
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+_KINDS = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string())]
+
+
+def _parsed(named: dict[str, str], block: bytes) -> tuple:
+    kind, body, fields = named["WARC-Type"], None, None
+    if kind == "response":
+        cut = block.find(b"\r\n\r\n")
+        body = block[cut + 4 :] if cut >= 0 else block
+    elif kind == "metadata":
+        fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split(_CRLF) if ": " in x)
+    held = body is not None
+    return (*(named.get(x) for x in _FIELDS), len(body) if held else None, base32_sha1(body) if held else None, zlib.compress(body, 1) if held else None, fields)
+
+
+def records_of(pieces):
+    """One tuple per record of (file, bytes) pieces, the files' bytes cut at ``_BEGIN``; a broken header or a block that
+    ends early raises ValueError."""
+    begin = _BEGIN.encode()
+    file, parts, missing, named, at = None, [], 0, {}, 0
+    for where, piece in pieces:
+        if where != file:
+            if missing > 0:
+                raise ValueError(f"the last record of {file} ends early")
+            file, missing = where, 0
+            if piece:
+                raise ValueError(f"no WARC record at the start of {where}")
+            continue
+        if missing > 0:  # the cut lay inside the block
+            parts += [begin, piece]
+            missing -= len(begin) + len(piece)
+        else:
+            at = piece.find(b"\r\n\r\n")
+            if at < 0:
+                raise ValueError(f"no WARC header in {where}")
+            named = dict(x.split(": ", 1) for x in piece[:at].decode("utf-8").split(_CRLF)[1:])
+            parts, missing = [piece[at + 4 :]], int(named["Content-Length"]) - (len(piece) - at - 4)
+        if missing <= 0:
+            block = b"".join(parts)
+            yield _parsed(named, block[: len(block) + missing])
+    if missing > 0:
+        raise ValueError(f"the last record of {file} ends early")
+
+
+def _rows(rows) -> pa.RecordBatch:
+    return batch_of(_NAMES, [pa.array([list(x.items()) if isinstance(x, dict) else x for x in col], kind) for col, kind in zip(zip(*rows), _KINDS)])
+
+
+def _batches(pieces):
+    rows, held = [], 0
+    for r in records_of(pieces):
+        rows.append(r)
+        held += len(r[9] or b"")
+        if len(rows) == 512 or held > 8_000_000:
+            yield _rows(rows)
+            rows, held = [], 0
+    if rows:
+        yield _rows(rows)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the archives below ``path``: files named .gz as streams, all others as one value each."""
+
+    def streamed(batches):
+        yield from _batches((f, x) for b in batches for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    def whole(batches):
+        yield from _batches((f, x) for b in batches for f, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in data.split(_BEGIN.encode()))
+
+    packed = spark.read.option("lineSep", _BEGIN).option("pathGlobFilter", "*.gz").text(path)
+    found = packed.select("_metadata.file_path", F.col("value").cast("binary")).mapInArrow(streamed, RECORD)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select("path", "content").mapInArrow(whole, RECORD)
+    return found.unionByName(plain)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -176,6 +211,12 @@ def assemble(records: DataFrame) -> DataFrame:
     return captures.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
 
 
+def payload_text(captures: DataFrame) -> DataFrame:
+    """Captures with the column ``payload_text``: the response's payload as text, null for revisits."""
+    inflate = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else zlib.decompress(x).decode("utf-8", "replace")), "string")
+    return captures.withColumn("payload_text", inflate("main.payload"))
+
+
 def pages_of(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every capture."""
     page = F.col("metadata.fields")["page-id"].cast("long")
@@ -193,9 +234,7 @@ def pages_of(captures: DataFrame) -> DataFrame:
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/warc"
     write(table(spark, sf_dir, "pages"), path)
-    records = read(spark, path, payloads=False)
-    thin = records.drop("payload").withColumn("payload", F.lit(None).cast("string"))
-    return pages_of(assemble(thin))
+    return pages_of(written(assemble(read(spark, path)), "captures"))
 
 
 OP6_SQL = r"""

@@ -205,14 +205,38 @@ def test_finer_estimate_is_near_the_similarity(spark):
         assert abs(got - len(s & t) / len(s | t)) < op5_minhash.FINE_MARGIN
 
 
-def test_warc(spark, tmp_path):
-    rows_ = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, None), (4, "http://c/", ""), (5, "http://d/", "WARC/1.1\r\n\r\né"), (5, "http://d/", "WARC/1.1\r\n\r\né")]
-    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
-    op6_warc.write(pages, str(tmp_path / "w"))
-    records = op6_warc.read(spark, str(tmp_path / "w"))
-    assert {r["payload"] for r in records.where("type = 'response'").collect()} == {"<p>x</p>", "", "WARC/1.1\r\n\r\né"}
-    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in op6_warc.pages_of(op6_warc.assemble(records)).collect())
-    assert got == [(1, 8, "revisit", 2), (2, 8, "response", 0), (3, 0, "revisit", 4), (4, 0, "response", 0), (5, 14, "response", 0), (5, 14, "response", 0)]
+@pytest.mark.parametrize("per_file", [50_000, 2])
+def test_warc(spark, tmp_path, per_file):
+    odd = "WARC/1.1\r\n\r\né WARC/1.WARC/1.0 WARC/1."
+    rows_ = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, None), (4, "http://c/", ""), (5, "http://d/", odd), (5, "http://d/", odd), (6, "http://é/\r\n", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows_], "page_id long, url string, html string, digest string").coalesce(1)
+    op6_warc.write(pages, str(tmp_path / "w"), per_file=per_file)
+    captures = op6_warc.assemble(op6_warc.read(spark, str(tmp_path / "w")))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in op6_warc.pages_of(captures).collect())
+    n = len(odd.encode())
+    assert got == [(1, 8, "revisit", 2), (2, 8, "response", 0), (3, 0, "revisit", 4), (4, 0, "response", 0), (5, n, "response", 0), (5, n, "response", 0), (6, len(rows_[-1][2]), "response", 0)]
+    texts = {r["id"]: r["payload_text"] for r in op6_warc.payload_text(captures).where("main.type = 'response'").selectExpr("metadata.fields['page-id'] id", "payload_text").collect()}
+    assert texts == {"2": "<p>x</p>", "4": "", "5": odd, "6": rows_[-1][2]}
+    asked = captures.selectExpr("request.target").distinct().collect()
+    assert {r[0] for r in asked} == {"http://a/", "http://b/", "urn:none", "http://c/", "http://d/", "http://é/%0A%0A"}
+
+
+def test_warc_members_and_plain_files(spark, tmp_path):
+    import gzip
+
+    made = [op6_warc.capture_records(str(i), f"http://{i}/", hashlib.sha1(b"x" * i).hexdigest(), b"x" * i, None) + "\r\n\r\n" for i in range(5)]
+    (tmp_path / "m.warc.gz").write_bytes(b"".join(gzip.compress(x.encode()) for x in made[:3]))  # one member a capture
+    (tmp_path / "p.warc").write_bytes("".join(made[3:]).encode())
+    got = op6_warc.pages_of(op6_warc.assemble(op6_warc.read(spark, str(tmp_path)))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(i, i) for i in range(5)]
+    (tmp_path / "broken.warc.gz").write_bytes(gzip.compress(made[4].encode()[:-40]))
+    with pytest.raises(Exception, match="ends early"):
+        op6_warc.read(spark, str(tmp_path)).collect()
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    op6_warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert op6_warc.pages_of(op6_warc.assemble(op6_warc.read(spark, str(tmp_path / "w")))).count() == 0
 
 
 def test_encoding_equals_library(docs):
