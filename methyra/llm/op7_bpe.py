@@ -1,11 +1,12 @@
 """Byte-pair encoding and decoding by per-prefix dynamic programming.
 
-For a piece of text, the encoding of every prefix ends in one unique last token. Tokens that match as a
-suffix of the prefix are walked from the longest to the shorter ones (for long pieces along the failure links of
-a suffix automaton: from each token to its longest proper suffix that is a token); the first whose predecessor (the
-last token of the remaining prefix) is *compatible* with it is stored. Two tokens are compatible if merging the
-bytes of both by rank would give exactly these two again, which is decided by un-merging along the seam.
-Following the stored back-pointers gives the ids that merging by rank gives.
+For a piece of text, the encoding of every prefix ends in one unique last token. An automaton of the vocabulary (its
+states are the prefixes of tokens, its failure links lead to the longest proper suffix that is a state) is walked over
+the piece once; at every place it gives all tokens that are suffixes of the prefix, the longest first. The first whose
+predecessor (the last token of the remaining prefix) is *compatible* with it is stored in the table. Two tokens are
+compatible if merging the bytes of both by rank would give exactly these two again, which is decided by un-merging
+along the seam. Following the stored back-pointers from the end gives the ids that merging by rank gives. Pieces of any
+length go this way.
 
 Nulls count as empty texts (no ids). Repeated rows and extra columns do no harm: each row is handled by itself
 and only ``doc_id`` is carried, with any value or null. Pieces are remembered up to a fixed number per worker.
@@ -25,7 +26,7 @@ from .common import arrow_map, batch_of, col_of, spread, table, texts_of
 #: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a worker remembers; the tables are emptied beyond.
-PIECE_CAP, PREFIX_CAP, PAIR_CAP = 400_000, 400_000, 600_000
+PIECE_CAP, PAIR_CAP = 400_000, 600_000
 _LOADED: dict[str, "PrefixBpe"] = {}
 
 
@@ -46,6 +47,7 @@ class PrefixBpe:
     """Encoder and decoder of one vocabulary file. ``load`` keeps one per worker process."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -70,8 +72,6 @@ class PrefixBpe:
             self.merge.setdefault(pair, (rank, made))
             self.parts.setdefault(made, pair)
         self.rank = {made: self.merge[pair][0] for made, pair in self.parts.items()}
-        self.longest = max(map(len, self.ids))
-        self.shorter: dict[int, int | None] = {}
         self._pieces = regex.compile(PIECES)
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._fits: dict[tuple[int, int], bool] = {}
@@ -80,15 +80,11 @@ class PrefixBpe:
         self._table = np.frombuffer(b"".join(every), np.uint8)
         self._sizes = np.array([len(x) for x in every], np.int64)
         self._starts = np.cumsum(self._sizes) - self._sizes
-        self._prefixes: dict[bytes, int] = {}
-        #: Sizes of the tokens that end in the same two bytes, longest first; the last bytes alone always match.
-        self._tails = _Tails()
-        for b in self.ids:
-            if len(b) > 1:
-                self._tails.setdefault(b[-2:], {1}).add(len(b))
-        for k, v in self._tails.items():
-            self._tails[k] = tuple(sorted(v, reverse=True))
-        self._made: dict[int, bool] = {}
+        #: All tokens by their bytes as Latin-1 text, with their sizes.
+        self._walk = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self._walk.add_word(b.decode("latin-1"), (i, len(b)))
+        self._walk.make_automaton()
 
     # -- pair compatibility -------------------------------------------------------------------------------
 
@@ -122,72 +118,24 @@ class PrefixBpe:
 
     # -- per-prefix table ---------------------------------------------------------------------------------
 
-    def _last(self, prefix: bytes) -> int:
-        """The last token of a short prefix, remembered for every piece that begins alike."""
-        ids, known, pairs = self.ids, self._prefixes, self._fits
-        n = len(prefix)
-        for size in self._tails[prefix[-2:]]:
-            if size > n:
-                continue
-            tok = ids.get(prefix[-size:])
-            if tok is None:
-                continue
-            if size == n:
-                if self._whole(tok):
-                    break
-                continue
-            left = prefix[:-size]
-            before = known.get(left)
-            if before is None:
-                before = known[left] = self._last(left)
-            good = pairs.get((before, tok))
-            if (self.fits(before, tok) if good is None else good) and self._whole(tok):
-                break
-        return tok
-
     def piece_ids(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
-        if len(piece) > 48:
-            return self._long_piece(piece)
-        known, out = self._prefixes, []
-        if len(known) > PREFIX_CAP:
-            known.clear()
-        while piece:
-            tok = known.get(piece)
-            if tok is None:
-                tok = known[piece] = self._last(piece)
-            out.append(tok)
-            piece = piece[: -len(self.bytes[tok])]
-        return out[::-1]
-
-    def _suffix_token(self, tok: int) -> int | None:
-        """The longest token that is a proper suffix of ``tok``."""
-        if tok not in self.shorter:
-            b, found = self.bytes[tok], None
-            for i in range(1, len(b)):
-                if (found := self.ids.get(b[i:])) is not None:
-                    break
-            self.shorter[tok] = found
-        return self.shorter[tok]
-
-    def _long_piece(self, piece: bytes) -> list[int]:
-        """The whole table of prefixes, from the left, for pieces of any length."""
-        n, ids, last = len(piece), self.ids, [-1] * (len(piece) + 1)
-        for end in range(1, n + 1):
-            tok = None
-            for start in range(max(0, end - self.longest), end):
-                if (tok := ids.get(piece[start:end])) is not None:
-                    break
-            while tok is not None:
-                start = end - len(self.bytes[tok])
-                if (start == 0 or self.fits(last[start], tok)) and self._whole(tok):
-                    break
-                tok = self._suffix_token(tok)
-            last[end] = tok
+        n, pairs = len(piece), self._fits
+        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        for at, found in self._walk.iter(piece.decode("latin-1")):
+            if last[at + 1] is None:
+                left = last[at + 1 - found[1]]
+                if left is None:
+                    good = found[1] == at + 1  # the token is the whole prefix
+                elif (good := pairs.get((left[0], found[0]))) is None:
+                    good = self.fits(left[0], found[0])
+                if good and self._whole(found[0]):
+                    last[at + 1] = found
         out, at = [], n
         while at > 0:
-            out.append(last[at])
-            at -= len(self.bytes[last[at]])
+            tok, size = last[at]
+            out.append(tok)
+            at -= size
         return out[::-1]
 
     def _whole(self, tok: int) -> bool:
@@ -242,11 +190,6 @@ class PrefixBpe:
         return self.decode_bytes(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
 
 
-class _Tails(dict):
-    def __missing__(self, tail: bytes) -> tuple[int, ...]:
-        return (1,)
-
-
 class _Pieces(dict):
     """Piece -> decimal ids joined by commas, encoded when first asked for."""
 
