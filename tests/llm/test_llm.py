@@ -38,33 +38,75 @@ def _sha(s):
 
 
 def test_kernel_is_gap_weighted_count():
-    def brute(s, t, p, lam):
-        return sum(lam ** (i[-1] - i[0] + j[-1] - j[0] - 2 * p + 2) for i in combinations(range(len(s)), p) for j in combinations(range(len(t)), p) if all(s[a] == t[b] for a, b in zip(i, j)))
-
     words, marks = ["idiot", "xidxiyot", "abab", "ioditt"], ["idiot", "abab", "diot"]
     got = op1_toxicity.kernel(words, marks, 3, 0.5)
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
-            assert abs(got[i, j] - brute(w, m, 3, 0.5) / (brute(w, w, 3, 0.5) * brute(m, m, 3, 0.5)) ** 0.5) < 1e-5
+            assert abs(got[i, j] - _brute_kernel(w, m, 3, 0.5) / (_brute_kernel(w, w, 3, 0.5) * _brute_kernel(m, m, 3, 0.5)) ** 0.5) < 1e-5
 
 
-def test_toxicity_on_held_out(spark):
+def _insulting(n=400):
     rng = random.Random(3)
     clean = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
     make = lambda bad: " ".join(rng.choices(clean, k=30) + (rng.sample(["wombatty", "zugglef", "krempox"], 2) if bad else []))
-    rows_ = [(i, make(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
-    d = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
-    scored = {r["doc_id"]: r["predicted"] for r in op1_toxicity.score(d, op1_toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))).collect()}
+    return [(i, make(i % 4 == 0), int(i % 4 == 0)) for i in range(n)], clean
+
+
+def test_toxicity_on_held_out(spark):
     import zlib
 
+    rows_, _ = _insulting()
+    d = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
+    scored = {r["doc_id"]: r["predicted"] for r in op1_toxicity.score(d, op1_toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))).collect()}
     held = [(i, y) for i, _, y in rows_ if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(scored[i] == y for i, y in held) >= 0.97 * len(held)
 
 
+@pytest.mark.parametrize("insult", ["wombatty zugglef", "w o m b a t t y z u g g l e f", "wom batty zug glef", "w.o.m.b-atty zug*gle*f!", "womxbatty zugaglef", "Wo mba tty, Z UGG lef"])
+def test_gapped_and_inserted_insults(spark, insult):
+    rows_, clean = _insulting(240)
+    model = op1_toxicity.train([(t, y) for _, t, y in rows_])
+    rng = random.Random(8)
+    words = rng.choices(clean, k=24)
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:12], insult, *words[12:]]))], "doc_id long, text string")
+    assert [r["predicted"] for r in op1_toxicity.score(d, model).orderBy("doc_id").collect()] == [0, 1]
+
+
+def _brute_kernel(s, t, p, lam):
+    return sum(lam ** (i[-1] - i[0] + j[-1] - j[0] - 2 * p + 2) for i in combinations(range(len(s)), p) for j in combinations(range(len(t)), p) if all(s[a] == t[b] for a, b in zip(i, j)))
+
+
+def test_scores_equal_brute_force(spark, odd):
+    marks, weights = ["^idiot", "^loser", "^other"], [2.0, 1.0, -0.5]
+    model = op1_toxicity.Model(marks, op1_toxicity.np.array(weights), -0.3, 1.7)
+    texts = ["You idiot, you IDIOT", "an id iot los er", "i d i o t and l-o-s-e-r", "ixdxiot other", "quite an extraordinarilyidioticsentence", "", "naïve 日本"]
+    d = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, score string").select("doc_id", "text")
+    pieces = {w[i:j] for w in ("idiot", "loser") for i in range(5) for j in range(i + 1, 6)} - {"idiot", "loser"}
+    clean = lambda t: re.sub(r"[\W_]+", "", t)
+    p, lam = op1_toxicity.ORDER, op1_toxicity.DECAY
+    for r in op1_toxicity.score(d, model).collect():
+        tokens = texts[r["doc_id"]].lower().split()
+        runs = {"".join(tokens[i:j]) for i, j in combinations(range(len(tokens) + 1), 2) if j - i > 1 and all(clean(t) in pieces for t in tokens[i:j])}
+        runs = {x for x in runs if p <= len(x) < op1_toxicity.WINDOW}
+        total = 0.0
+        for token in set(tokens) | runs:
+            w = "^" + clean(token)
+            for at in range(0, max(1, len(w) - op1_toxicity.STEP), op1_toxicity.STEP):
+                part = w[at : at + op1_toxicity.WINDOW]
+                for m, c in zip(marks, weights):
+                    own = _brute_kernel(part, part, p, lam) * _brute_kernel(m, m, p, lam)
+                    total += c * (_brute_kernel(part, m, p, lam) / own**0.5) ** op1_toxicity.POWER if own else 0.0
+        want = 1 / (1 + 2.718281828459045 ** -(1.7 * (-0.3 + total / max(1, len(set(tokens))) ** 0.5)))
+        assert abs(r["score"] - want) < 1e-5, texts[r["doc_id"]]
+
+
 def test_toxicity_corner_cases(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     got = op1_toxicity.score(odd, op1_toxicity.fit(odd, empty)).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] < 0.5 for r in got)
+    assert op1_toxicity.score(odd.limit(0), op1_toxicity.fit(odd.limit(0), empty)).count() == 0
+    one_class = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert all(r["predicted"] == 0 for r in op1_toxicity.score(odd, op1_toxicity.fit(odd, one_class)).collect())
 
 
 def test_leak_inside_long_text(spark):
@@ -147,10 +189,14 @@ def _brute_suffixes(texts):
             if k in seen:
                 cover[s : s + 100] = b"\1" * 100
             seen.add(k)
-        out.append((len(b), sum(cover), _sha(bytes(x for x, c in zip(b, cover) if not c))))
+        spans = len(re.findall(b"\1+", bytes(cover)))
+        out.append((len(b), sum(cover), spans, _sha(bytes(x for x, c in zip(b, cover) if not c))))
     return out
 
 
+_CUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @pytest.mark.parametrize("often", [64, 2])
 def test_suffix_dedup(spark, monkeypatch, often):
     rng = random.Random(5)
@@ -158,11 +204,38 @@ def test_suffix_dedup(spark, monkeypatch, often):
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 9)))
     passage, line = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(12))
     texts = [" ".join([word() for _ in range(rng.randint(0, 60))] + rng.choices([passage, line, passage[:130], "ab" * 90], k=rng.randint(0, 3))) for _ in range(80)] + ["", passage, passage]
-    d = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in op4_suffixes.without_repeats(d).collect())
+    d = spark.createDataFrame([(i, t or None, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, uid int, runs int")
+    got = sorted(tuple(r[c] for c in _CUT) for r in op4_suffixes.without_repeats(d).collect())
     assert got == [(i, *x) for i, x in enumerate(_brute_suffixes(texts))]
 
 
+def test_suffix_dedup_of_documents(spark, docs):
+    got = sorted(tuple(r[c] for c in _CUT) for r in QUERIES["op4_suffix_dedup"](spark, DATA).collect())
+    assert got == [(i, *x) for (i, _), x in zip(docs, _brute_suffixes([t for _, t in docs]))]
+
+
+def test_suffix_dedup_corner_cases(spark):
+    p = "".join(random.Random(4).choices("abcdefgh", k=150))
+    short = [(None, "a b c"), (None, "a b c"), (1, "a b c"), (2, None), (3, "")]
+    for rows_, removed in ((short, [0] * 5), ([(None, p), (7, p), (7, p), (None, p)], [0, 150, 150, 150]), ([], [])):
+        d = spark.createDataFrame(rows_, "doc_id long, text string")
+        got = op4_suffixes.without_repeats(d).collect()
+        assert sorted(r["n_removed"] for r in got) == removed
+        assert all(r["doc_id"] == 7 for r in got if r["n_bytes"] == 150 and not r["n_removed"])  # null ids come last
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("methyra_")]
+
+
+def test_multikey_quicksort_is_a_sort():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, values, depth in ((0, 3, 2), (1, 3, 2), (500, 3, 3), (500, 1, 2), (2000, 50, 1)):
+        words, group = rng.integers(0, values, (n, 3)).astype(np.uint64), rng.integers(0, 7, n)
+        order = op4_suffixes.multikey_quicksort(words, group, depth)
+        rows_ = [(group[i], *words[i, :depth]) for i in order]
+        assert sorted(order) == list(range(n)) and rows_ == sorted(rows_)
+
+
 def test_deep_shallow_order():
     import numpy as np
 
