@@ -7,22 +7,29 @@ Every string of ``LENGTH`` bytes holds an *anchor*: the ``GRAM``-byte gram of le
 of equal ones). Equal strings have equal anchors at equal places, so starts need comparing only among occurrences of
 the same anchor gram, and an anchor stands for the run of starts that choose it (about one start in 35 is an anchor).
 
-1. Each document's anchors are found with their gram hash, the range of starts they stand for and a hash of the bytes
-   that those starts cover (the context). Within a task equal contexts keep their first occurrence; the others repeat.
+1. Each document's anchors are found with their gram hash, the range of starts they stand for and two hashes (128 bits,
+   of independent bases) of the bytes that those starts cover (the context). Within a task equal contexts keep their
+   first occurrence; the others repeat.
 2. Anchors meet by gram. Of equal contexts the first stays, the others repeat as a whole. Grams with several distinct
    contexts are *open*: some of their starts may be equal.
 3. The contexts of open grams are fetched, and the suffixes from each anchor (to the right, and mirrored to the left)
-   are sorted: a multikey sort by eight-byte words down to a shallow depth for all groups at once, then a blind trie
-   for each group that still shares its prefix. From both orders and their common-prefix lengths, the starts at
-   distance d left of the anchor are equal where d bytes to the left and LENGTH - d to the right are. The first of each
-   class stays.
+   are sorted: multikey quicksort by eight-byte words (three-way partitions of all groups at once) down to a shallow
+   depth, then a blind trie for each group that still shares its prefix. From both orders and their common-prefix
+   lengths, the starts at distance d left of the anchor are equal where d bytes to the left and LENGTH - d to the right
+   are. The first of each class stays.
+
+Contexts count as equal where gram hash and both context hashes agree (192 bits); all other decisions compare bytes,
+or, for frequent grams, both hashes of the whole string. Among 10^12 contexts the chance of one false equality is
+below 10^-14.
 
 Grams that a task sees very often with different contexts (a short line in a third of all documents) would meet
-in one task. The starts of the most frequent such grams (a fixed number of them, for the others the way above holds)
-are compared one by one instead, dealt by the hash of the whole string.
+in one task. The starts of the ``LISTED`` most frequent such grams are compared one by one instead, dealt by the hash of
+the whole string. Any other gram has at most ``FREQUENT`` contexts a task or a ``LISTED``-th part of all frequent
+contexts, no more than a task's common share, and goes the way above; results are the same either way.
 
-Null texts count as empty. Null ids come after all others. Rows that repeat an id are ordered by a row number given once
-when the texts are stored. Empty tables give no rows. Extra columns are dropped.
+``doc_id`` is a whole number. Null texts count as empty, texts under ``LENGTH`` bytes lose nothing. Null ids come after
+all others. Rows that repeat an id are ordered by a row number given once when the texts are stored. Empty tables give
+no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, mix64, table, texts_of, written
+from .common import batch_of, mix64, scratch, table, texts_of, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes by which groups are sorted before blind tries take over.
@@ -45,28 +52,23 @@ FREQUENT = 64
 #: Frequent grams that are told apart; an exact way serves those beyond.
 LISTED = 4096
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.ones(n + 1, np.uint64)
-    np.multiply.accumulate(np.full(n, _BASE, np.uint64), out=out[1:])
+    np.multiply.accumulate(np.full(n, base, np.uint64), out=out[1:])
     return out
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
 class Hashes:
     """Polynomial hashes of all substrings of a byte array: prefix sums of byte * base^i, scaled back to place 0."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: np.uint64 = _BASE):
         n = len(data)
-        power = _powers(n)
-        self.back = np.ones(n + 1, np.uint64)
-        np.multiply.accumulate(np.full(n, _INVERSE, np.uint64), out=self.back[1:])
+        self.back = _powers(np.uint64(pow(int(base), -1, 1 << 64)), n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[:n], out=self.sums[1:])
+        np.cumsum(_BYTE[data] * _powers(base, n)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix64((self.sums[stop] - self.sums[start]) * self.back[start])
@@ -90,11 +92,12 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return best[:n]
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first start, last start, gram hash, context hash) of each anchor of one document."""
-    empty = np.empty(0, np.int64)
+def anchors(data: np.ndarray, check: bool = True) -> tuple[np.ndarray, ...]:
+    """(place, first start, last start, gram hash, context hash, second context hash) of each anchor of one document;
+    without ``check`` the second hash is 0."""
+    empty, none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(data) < LENGTH:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, none, none, none
     h = Hashes(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = h.of(at, at + GRAM)
@@ -103,7 +106,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     first, last = cut, np.r_[cut[1:], len(chosen)] - 1
     place = chosen[cut]
     left = (place - first).astype(np.uint64) * _BASE
-    return place, first, last, grams[place], mix64(h.of(first, last + LENGTH) ^ left)
+    second = mix64(Hashes(data, _OTHER).of(first, last + LENGTH) + left) if check else np.zeros(len(cut), np.uint64)
+    return place, first, last, grams[place], mix64(h.of(first, last + LENGTH) ^ left), second
 
 
 # -- deep-shallow sorting ------------------------------------------------------------------------------------------
@@ -174,13 +178,44 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(words: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Order of rows by group and then by their first ``depth`` words. All segments of rows that agree so far are
+    partitioned at once around their own pivot (the median of three): rows below and above it stay at their word, rows
+    equal to it go on with the next."""
+    order = np.argsort(group, kind="stable")
+    new = np.r_[True, group[order][1:] != group[order][:-1]] if len(order) else np.empty(0, bool)
+    pos, seg = np.arange(len(order)), np.cumsum(new) - 1
+    level = np.zeros(int(new.sum()), np.int64)
+    while len(pos):
+        # keep the segments that have several rows and words left
+        size = np.bincount(seg, minlength=len(level))
+        keep = (size > 1) & (level < depth)
+        at = keep[seg]
+        pos, seg = pos[at], (np.cumsum(keep) - 1)[seg[at]]
+        level, size = level[keep], size[keep]
+        if not len(pos):
+            break
+        word = words[order[pos], level[seg]]
+        start = np.cumsum(size) - size
+        pivot = np.sort(np.stack([word[start], word[start + size // 2], word[start + size - 1]]), axis=0)[1][seg]
+        side = (word > pivot).astype(np.int64) - (word < pivot) + 1
+        key = 3 * seg + side
+        moved = np.argsort(key, kind="stable")
+        order[pos] = order[pos[moved]]
+        key = key[moved]
+        new = np.r_[True, key[1:] != key[:-1]]
+        seg = np.cumsum(new) - 1
+        level = level[key[new] // 3] + (key[new] % 3 == 1)
+    return order
+
+
 def deep_shallow(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte rows within groups, and the common prefix of each with the one before it in that order (-1 where a
     group begins)."""
     n, width = rows.shape
     words = _words(rows)
     depth = min(SHALLOW // 8, words.shape[1])
-    order = np.lexsort([*(words[:, i] for i in range(depth - 1, -1, -1)), group])
+    order = multikey_quicksort(words, group, depth)
     lcp = np.zeros(n, np.int64)
     g = group[order]
     lcp[np.r_[True, g[1:] != g[:-1]]] = -1
@@ -243,14 +278,24 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, right: np.ndarray, firs
 
 # -- stages --------------------------------------------------------------------------------------------------------
 
-_ANCHOR = "kind int, gram long, context long, doc_id long, uid long, place int, first int, last int"
+_ANCHOR = "gram long, context long, second long, doc_id long, uid long, spot long"
 _NAMES = [x.split()[0] for x in _ANCHOR.split(", ")]
-_KINDS = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3]
 #: Kinds of anchor rows: a first occurrence in its task, a known repetition, a start of a frequent gram.
 FIRST, AGAIN, SINGLE = 0, 1, 2
 _LAST_ID = (1 << 63) - 1
 
 
+def packed(kind: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Place, distances of the first and the last start to its left (under 128), and kind as one number, in that order."""
+    return (place << 16) | ((place - first) << 9) | ((place - last) << 2) | kind
+
+
+def unpacked(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, place, first, last) of ``packed`` numbers."""
+    place = spot >> 16
+    return spot & 3, place, place - (spot >> 9 & 127), place - (spot >> 2 & 127)
+
+
 def _anchor_rows(frequent: set[int]):
     big = np.array(sorted(frequent), np.int64)
 
@@ -261,31 +306,32 @@ def _anchor_rows(frequent: set[int]):
                 some = b.slice(at, 256)
                 for doc_id, uid, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts_of(some)):
                     data = np.frombuffer(text.encode("utf-8"), np.uint8)
-                    place, first, last, gram, context = anchors(data)
+                    place, first, last, *hashes = anchors(data)
                     if not len(place):
                         continue
                     doc = _LAST_ID if doc_id is None else doc_id
-                    gram, context = gram.view(np.int64), context.view(np.int64)
+                    gram, context, second = (x.view(np.int64) for x in hashes)
                     often = np.isin(gram, big)
                     if often.any():
                         starts = np.concatenate([np.arange(f, l + 1) for f, l in zip(first[often], last[often])])
-                        whole = Hashes(data).of(starts, starts + LENGTH).view(np.int64)
-                        parts[SINGLE].append((np.repeat(gram[often], (last - first + 1)[often]), whole, *_owner(doc, uid, len(starts)), starts, starts, starts))
-                        gram, context, place, first, last = (x[~often] for x in (gram, context, place, first, last))
-                    parts[FIRST].append((gram, context, *_owner(doc, uid, len(place)), place, first, last))
-        for kind, rows in parts.items():
+                        whole = [Hashes(data, x).of(starts, starts + LENGTH).view(np.int64) for x in (_BASE, _OTHER)]
+                        parts[SINGLE].append((np.repeat(gram[often], (last - first + 1)[often]), *whole, *_owner(doc, uid, len(starts)), packed(SINGLE, starts, starts, starts)))
+                        gram, context, second, place, first, last = (x[~often] for x in (gram, context, second, place, first, last))
+                    parts[FIRST].append((gram, context, second, *_owner(doc, uid, len(place)), packed(FIRST, place, first, last)))
+        for rows in parts.values():
             if not rows:
                 continue
-            cols = tuple(np.concatenate(x) for x in zip(*rows))
+            gram, context, second, doc, uid, spot = (np.concatenate(x) for x in zip(*rows))
             rows.clear()
-            gram, context, doc, uid, place = cols[:5]
-            order = np.lexsort([place, uid, doc, context, gram])
-            g, c = gram[order], context[order]
-            again = np.r_[False, (g[1:] == g[:-1]) & (c[1:] == c[:-1])][: len(order)]
-            kinds = np.where(again, AGAIN, kind)
+            order = np.lexsort([spot, uid, doc, second, context, gram])
+            gram, context, second, doc, uid, spot = (x[order] for x in (gram, context, second, doc, uid, spot))
+            again = np.zeros(len(order), bool)
+            again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (second[1:] == second[:-1])
+            spot[again] = spot[again] & ~3 | AGAIN
+            for x in (gram, context, second):  # what is known to repeat meets no other row
+                x[again] = 0
             for at in range(0, len(order), 50_000):
-                i = order[at : at + 50_000]
-                yield _rows(kinds[at : at + 50_000], *(x[i] for x in cols))
+                yield batch_of(_NAMES, [pa.array(x[at : at + 50_000], pa.int64()) for x in (gram, context, second, doc, uid, spot)])
 
     return run
 
@@ -294,18 +340,15 @@ def _owner(doc: int, uid: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.full(n, doc), np.full(n, uid)
 
 
-def _rows(*cols) -> pa.RecordBatch:
-    return batch_of(_NAMES, [pa.array(np.asarray(c).astype(k.to_pandas_dtype()), k) for c, k in zip(cols, _KINDS)])
-
-
 def _frequent_grams(batches):
     """Grams with many distinct contexts in this task."""
     grams, contexts = [], []
     for b in batches:
         for text in texts_of(b):
-            _, _, _, g, c = anchors(np.frombuffer(text.encode("utf-8"), np.uint8))
-            grams.append(g)
-            contexts.append(c)
+            _, _, _, g, c, _ = anchors(np.frombuffer(text.encode("utf-8"), np.uint8), check=False)
+            if len(g):
+                grams.append(g)
+                contexts.append(c)
     if not grams:
         return
     g, c = np.concatenate(grams), np.concatenate(contexts)
@@ -408,14 +451,17 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, uid, text) as a table bucketed by uid: later stages join by it without moving texts."""
+    """Documents (doc_id, uid, text) as files in the shared folder, bucketed by uid: later stages join by it without moving
+    texts."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"methyra_{uuid.uuid4().hex}"
+    name, path = f"methyra_{uuid.uuid4().hex}", f"{scratch(spark)}/texts"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "uid", "text")
-    rows.repartition(n, "uid").write.bucketBy(n, "uid").saveAsTable(name)
-    return spark.table(name)
+    rows.repartition(n, "uid").write.bucketBy(n, "uid").option("path", path).saveAsTable(name)
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay in the shared folder while the plan reads them
+    return texts
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -424,8 +470,9 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     frequent = {r[0] for r in seen.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(LISTED).collect()}
     found = texts.select("doc_id", "uid", "text").mapInArrow(_anchor_rows(frequent), _ANCHOR)
     # first occurrences meet by gram, whole strings by themselves; what is known to repeat goes anywhere
-    key = F.when(F.col("kind") == FIRST, F.col("gram")).when(F.col("kind") == SINGLE, F.xxhash64("gram", "context")).otherwise(F.xxhash64("uid", "place"))
-    dealt = found.repartition(key).sortWithinPartitions("kind", "gram", "context", "doc_id", "uid", "place")
+    kind = F.col("spot").bitwiseAND(F.lit(3))
+    key = F.when(kind == FIRST, F.col("gram")).when(kind == SINGLE, F.xxhash64("gram", "context")).otherwise(F.xxhash64("uid", "spot"))
+    dealt = found.repartition(key).sortWithinPartitions(kind, "gram", "context", "second", "doc_id", "uid", "spot")
     judged = written(dealt.mapInArrow(_judge, "open boolean, gram long, uid long, place int, first int, last int"), "judged")
     later = judged.where("not open").select("uid", "first", "last")
 
@@ -444,13 +491,14 @@ def _judge(batches):
     tail: pa.Table | None = None
 
     def solve(t: pa.Table):
-        kind, gram, context, uid, place, first, last = (t.column(x).to_numpy() for x in ("kind", "gram", "context", "uid", "place", "first", "last"))
+        gram, context, second, uid, spot = (t.column(x).to_numpy() for x in ("gram", "context", "second", "uid", "spot"))
+        kind, place, first, last = unpacked(spot)
         new_gram = np.r_[True, (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])]
-        new = (new_gram | np.r_[True, context[1:] != context[:-1]]) & (kind != AGAIN)
+        new = (new_gram | np.r_[True, (context[1:] != context[:-1]) | (second[1:] != second[:-1])]) & (kind != AGAIN)
         group = np.cumsum(new_gram) - 1
         several = np.bincount(group, weights=new)[group] > 1
         keep = ~new | (several & (kind == FIRST))
-        return batch_of(names, [pa.array(new[keep]), *(pa.array(x[keep]) for x in (gram, uid, place, first, last))])
+        return batch_of(names, [pa.array(new[keep]), *(pa.array(x[keep]) for x in (gram, uid)), *(pa.array(x[keep].astype(np.int32)) for x in (place, first, last))])
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -458,7 +506,7 @@ def _judge(batches):
             t = pa.concat_tables([tail, t]).combine_chunks()
         if not t.num_rows:
             continue
-        kind, gram = t.column("kind").to_numpy(), t.column("gram").to_numpy()
+        kind, gram = t.column("spot").to_numpy() & 3, t.column("gram").to_numpy()
         cut = int(np.argmax((kind == kind[-1]) & (gram == gram[-1])))
         if cut:
             yield solve(t.slice(0, cut))
