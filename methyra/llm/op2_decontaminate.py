@@ -1,17 +1,20 @@
 """Benchmark decontamination by size-partitioned MinHash containment search; DataFrame functions only.
 
 Short test items are looked for inside documents of any length. Items are partitioned by the size of their shingle
-set (powers of two). The signature of an item is the least hashes of its own set, as many as its size class needs: a
-document that holds at least ``share`` of the item's shingles lacks fewer than that many, so it has at least one of
-them, and no contaminated document is missed. Document shingles are probed against the signatures, documents too
-small for a class are passed over, and each candidate pair is verified on the shingles themselves.
+set (powers of two). The MinHash signature of an item is the least hashes of its own set, as many as its size class
+needs: a document that holds at least ``share`` of the item's shingles lacks fewer than that many, so it has at least one
+of them, and no contaminated document is missed. All shingles of a document are probed against the signatures (a sketch
+of a long document would lose the short items inside), documents too small for a class are passed over, and each
+candidate pair is verified on the shingles themselves.
 
 Returned are the pairs (doc_id, item_id) with the number of common shingles, the item's number, and their quotient.
-Words are runs without ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one shingle.
-Null and empty texts hold nothing and are held nowhere. Repeated documents or items each have their pairs, null ids
-included. Extra columns are dropped.
+Words are runs without ASCII white space, A-Z in lower case. Shingles have ``size`` words; an item of fewer words is one
+shingle of all its words, and is found in every document that holds these words in a row. Null and empty texts hold
+nothing and are held nowhere. Repeated documents or items each have their pairs, null ids included. Extra columns are
+dropped (``without_leaks`` keeps them, of any name).
 
-Signatures are broadcast while their count is at most ``BROADCAST`` rows, and joined by a shuffle beyond that.
+Signatures are broadcast while their count is at most ``BROADCAST`` rows, the shingles of distinct items while these have
+at most ``BYTES`` bytes of text; beyond that both are joined by a shuffle. Item ids are joined as Spark chooses.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import null_safe, table
 
 SIZE, SHARE = 5, 0.8
-#: Rows of signatures or item shingles that may be broadcast (24 bytes each, or one item's shingles).
-BROADCAST = 1_000_000
+#: Rows of signatures that may be broadcast (24 bytes each), and bytes of the texts of items (their shingles have
+#: up to ``SIZE`` times as many).
+BROADCAST, BYTES = 1_000_000, 16_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,17 +36,20 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _starts(ws: str, size: int) -> Column:
-    n = F.size(ws)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))))
+def _runs(ws: Column, size: int | Column, of) -> Column:
+    """``of`` applied to all runs of ``size`` words; an empty array if there are fewer words."""
+    n, k = F.size(ws), F.lit(size) if isinstance(size, int) else size
+    starts = F.when((n < k) | (n == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))))
+    return F.transform(starts, lambda i: of(F.slice(ws, i, k)))
 
 
-def shingle_hashes(ws: str, size: int = SIZE) -> Column:
-    return F.transform(_starts(ws, size), lambda i: F.xxhash64(F.slice(ws, i, size)))
+def _text(run: Column) -> Column:
+    return F.array_join(run, " ")
 
 
-def shingles(ws: str, size: int = SIZE) -> Column:
-    return F.array_distinct(F.transform(_starts(ws, size), lambda i: F.array_join(F.slice(ws, i, size), " ")))
+def shingles_of(text: str, sizes: list[int]) -> Column:
+    """Distinct shingles of all ``sizes`` of a text column, its words split once."""
+    return F.flatten(F.transform(F.array(words(text)), lambda ws: F.array_distinct(F.concat(*(_runs(ws, k, _text) for k in sizes)))))
 
 
 def signatures(items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -57,41 +64,32 @@ def signatures(items: DataFrame, share: float = SHARE) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, size: int = SIZE) -> DataFrame:
     """Pairs of documents and items at least ``share`` of whose shingles they hold."""
-    named = items.select("item_id", words("text").alias("ws")).withColumn("item", F.xxhash64("ws"))
-    kinds = named.select("item", "ws").dropDuplicates(["item"])
-    signed = signatures(kinds.withColumn("hashes", shingle_hashes("ws", size)), share)
+    named = items.select("item_id", words("text").alias("ws")).where(F.size("ws") > 0).withColumn("item", F.xxhash64("ws"))
+    kinds = named.select("item", "ws").dropDuplicates(["item"]).withColumn("k", F.least(F.size("ws"), F.lit(size)))
+    sizes = sorted(r[0] for r in kinds.select("k").distinct().collect()) or [size]  # at most ``size`` numbers
+    signed = signatures(kinds.withColumn("hashes", _runs(F.col("ws"), F.col("k"), F.xxhash64)), share)
     small = signed.count() <= BROADCAST
-    near = F.broadcast if small else lambda d: d
+    light = (kinds.agg(F.sum(F.octet_length(_text(F.col("ws"))))).first()[0] or 0) <= BYTES
 
     rows = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     dealt = rows.repartition("key")
-    hashed = dealt.withColumn("ws", words("text")).select("key", F.greatest(F.size("ws") - size + 1, F.lit(1)).alias("places"), F.explode(shingle_hashes("ws", size)).alias("hash"))
-    found = hashed.join(near(signed), "hash").where("places >= least")
+    hashed = dealt.withColumn("ws", words("text")).select("key", F.greatest(F.size("ws") - size + 1, F.lit(1)).alias("places"), F.explode(F.concat(*(_runs(F.col("ws"), k, F.xxhash64) for k in sizes))).alias("hash"))
+    found = hashed.join(F.broadcast(signed) if small else signed, "hash").where("places >= least")
     candidates = found.groupBy("key").agg(F.collect_set("item").alias("items"))
 
-    texts = rows.join(candidates, "key").withColumn("held", shingles_of("text", size))
-    wanted = kinds.select("item", shingles("ws", size).alias("wanted"))
-    pairs = texts.select("doc_id", "held", F.explode("items").alias("item")).join(near(wanted), "item")
+    texts = rows.join(candidates, "key").withColumn("held", shingles_of("text", sizes))
+    wanted = kinds.select("item", F.array_distinct(_runs(F.col("ws"), F.col("k"), _text)).alias("wanted"))
+    pairs = texts.select("doc_id", "held", F.explode("items").alias("item")).join(F.broadcast(wanted) if light else wanted, "item")
     counted = pairs.withColumn("n_common", F.size(F.array_intersect("wanted", "held")).cast("long")).withColumn("n_item", F.size("wanted").cast("long"))
     kept = counted.where(F.col("n_common") >= share * F.col("n_item") - 1e-9).select("doc_id", "item", "n_common", "n_item")
-    ids = named.select("item", "item_id")
-    return kept.join(near(ids), "item").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
-
-
-def shingles_of(text: str, size: int = SIZE) -> Column:
-    """Distinct shingles of a text column, its words split once."""
-    return F.flatten(F.transform(F.array(words(text)), lambda ws: F.array_distinct(F.transform(
-        F.when(F.size(ws) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(ws) - size + 1, F.lit(1)))),
-        lambda i: F.array_join(F.slice(ws, i, size), " "),
-    ))))
+    return kept.join(named.select("item", "item_id"), "item").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item. Documents are told apart by id and text."""
     key = F.concat(F.sha2(null_safe("text").cast("binary"), 256), F.coalesce(F.concat(F.lit(" "), F.col("doc_id").cast("string")), F.lit("")))
-    keyed = docs.withColumn("leak_key", key)
-    hit = contained(keyed.select(F.col("leak_key").alias("doc_id"), "text"), items, share).select(F.col("doc_id").alias("leak_key")).distinct()
-    return keyed.join(hit, "leak_key", "left_anti").select(*docs.columns)
+    hit = contained(docs.select(key.alias("doc_id"), "text"), items, share).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(hit, "key", "left_anti").select("row.*")
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +103,11 @@ WITH d AS (
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
   FROM benchmark
+), k AS (SELECT DISTINCT least(len(ws), 5) AS k FROM b WHERE len(ws) > 0
 ), ds AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM d WHERE len(ws) > 0
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS s FROM d JOIN k ON len(ws) >= k
 ), bs AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM b WHERE len(ws) > 0
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 5) - 1], ' '))) AS s FROM b WHERE len(ws) > 0
 ), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS n_common, any_value(n_item) AS n_item, count(*)::DOUBLE / any_value(n_item) AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
