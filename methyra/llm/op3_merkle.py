@@ -9,8 +9,9 @@ unless it is shorter than about ``LONGEST`` characters. A paragraph (a line) has
 (one in eight), hence an edit moves no section border but those beside it. Equal roots mean equal texts;
 ``differing`` walks down from unequal branches to the paragraphs of edits and ``located`` on to the characters.
 
-The fingerprint is the root, a dash, and the smallest ``KEEP`` leaf hashes in order, so its size is bounded and two
-fingerprints can be compared alone: ``likeness`` estimates the share of common leaves (exact up to ``KEEP`` leaves).
+The fingerprint is the root, the branches (hash and length in characters of every section, in order), and the smallest
+``KEEP`` leaf hashes. Two fingerprints can be compared alone: equal roots mean equal texts, ``lacking`` locates the
+sections that differ, and ``likeness`` estimates the share of common leaves (exact up to ``KEEP`` leaves).
 A leaf that a text repeats counts each time: its second and later occurrences have hashes of their own.
 
 The query pairs each text with the next one in descending order of id. Ids fall into value ranges of about equal
@@ -18,7 +19,7 @@ counts; each range also receives the first row of the range below, so a task rea
 texts at a time. Only range borders and one id per range reach the driver. The columns ``lost`` and ``gained`` locate
 the edit: characters start:end of the text that the edited one lacks, and of the edited text that the text lacks.
 
-Null texts count as empty: their tree has no leaves. Null ids stand last. Equal ids are ordered by text; each row has
+``doc_id`` is a whole number. Null texts count as empty: their tree has no leaves. Null ids stand last. Equal ids are ordered by text; each row has
 its own successor. A table of one row is its own successor; an empty table gives no rows. Extra columns are dropped.
 """
 
@@ -109,6 +110,20 @@ def tree(text: str, cut: list[str] | None = None) -> tuple[bytes, list[tuple[byt
     return _hash(b"".join(h for h, _ in sections), b"root"), sections
 
 
+def lacking(a: str, b: str) -> list[tuple[int, int]]:
+    """Characters start:end of the text of fingerprint ``a`` whose sections the text of ``b`` lacks, from the fingerprints
+    alone; neighbouring sections are one span."""
+    there = {x.split(":")[0] for x in b.split("-")[1].split(",")}
+    out: list[tuple[int, int]] = []
+    at = 0
+    for x in filter(None, a.split("-")[1].split(",")):
+        h, n = x.split(":")
+        if h not in there:
+            out = [*out[:-1], (out[-1][0], at + int(n))] if out and out[-1][1] == at else [*out, (at, at + int(n))]
+        at += int(n)
+    return out
+
+
 def differing(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) of ``a`` whose branch ``b`` lacks; unequal branches only are entered."""
     (ra, sa), (rb, sb) = tree(a), tree(b)
@@ -144,24 +159,25 @@ def located(cut: list[str], a: tuple, b: tuple) -> str:
 
 
 def fingerprint(text: str) -> str:
-    return _fingerprint(tree(text))
+    return _fingerprint(tree(text, cut := leaves(text)), cut)
 
 
-def _fingerprint(of: tuple) -> str:
+def _fingerprint(of: tuple, cut: list[str]) -> str:
     root, sections = of
+    sizes = iter(map(len, cut))
+    branches = ",".join(f"{h[:8].hex()}:{sum(next(sizes) for _, own in ps for _ in own)}" for h, ps in sections)
     held = Counter(x for _, ps in sections for _, own in ps for x in own)
     small = {x[:4] for x in held}
     small |= {_hash(x + n.to_bytes(8, "big"), b"again")[:4] for x, c in held.items() if c > 1 for n in range(1, c)}
     small = sorted(small)[:KEEP]
-    return f"{root.hex()}-{b''.join(small).hex()}"
+    return f"{root.hex()}-{branches}-{b''.join(small).hex()}"
 
 
 def likeness(a: str, b: str) -> float:
     """Share of common leaves of two fingerprints: twice the common ones by both counts, from the smallest of either."""
     if a[:32] == b[:32]:
         return 1.0
-    xs = {a[i : i + 8] for i in range(33, len(a), 8)}
-    ys = {b[i : i + 8] for i in range(33, len(b), 8)}
+    xs, ys = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (a.rsplit("-", 1)[1], b.rsplit("-", 1)[1]))
     if not xs or not ys:
         return 0.0
     union = xs | ys
@@ -175,7 +191,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """Rows (id_range, late, doc_id, text), each range in descending order of id, its successor from below last (late)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else None
+    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), max(10_000, 4 * ranges))).first()[0] if shares else None
     borders = np.array(sorted(set(cuts or [])), dtype=np.int64)
 
     def places(s: pd.Series) -> np.ndarray:
@@ -219,11 +235,11 @@ def _pairs(batches):
             rows = []
             for doc_id, text, late, where in zip(*(part.column(i).to_pylist() for i in range(4))):
                 own = tree(text, cut := leaves(text))
-                now = (where, late, doc_id, text, _fingerprint(own), cut, own)
+                now = (where, late, doc_id, text, _fingerprint(own, cut), cut, own)
                 if before is not None and before[0] == where and not before[1]:
                     new = edited(before[3], text)
                     other = tree(new, new_cut := leaves(new))
-                    fp = _fingerprint(other)
+                    fp = _fingerprint(other, new_cut)
                     places = located(before[5], before[6], other), located(new_cut, other, before[6])
                     rows.append((before[2], len(before[3]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), before[4], fp, likeness(before[4], fp), likeness(before[4], now[4]), *places))
                 before = now
@@ -234,7 +250,7 @@ def _pairs(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     ranges = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_next(docs, min(ranges, 8192)).select("doc_id", "text", "late", "id_range").mapInArrow(_pairs, _SCHEMA)
+    return with_next(docs, ranges).select("doc_id", "text", "late", "id_range").mapInArrow(_pairs, _SCHEMA)
 
 
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
