@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    The session's ``spark.checkpoint.dir`` decides; only where it is unset (tests on one machine)
-    a temporary folder is set for the session.
+    The session's ``spark.checkpoint.dir`` decides; only where it is unset on a single machine (tests)
+    a temporary folder is set for the session. On a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="methyra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/methyra-{uuid.uuid4().hex}"

@@ -297,9 +297,9 @@ def op5_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
     """The rows of ``docs``, all columns, of which one document of each component stays."""
-    kept = near_duplicates(docs, percent, size).where("kept").select(F.col("doc_id").alias("kept_id"), "text_key").distinct()
-    keyed = docs.withColumn("kept_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(kept, (F.col("kept_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").drop("kept_key")
+    kept = near_duplicates(docs, percent, size).where("kept").select("doc_id", "text_key").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    return keyed.join(kept, (keyed["key"] == kept["text_key"]) & F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left_semi").select("row.*")
 
 
 OP5_SQL = r"""

@@ -18,11 +18,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, batch_of, col_of, spread, table, texts_of
+from .common import arrow_map, batch_of, col_of, lower_ascii, spread, table, texts_of
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
-#: Cue words before an account-like value.
+#: Cue words before an account-like value, in any case of their letters.
 CUES = ("account", "acct", "iban", "konto", "passport", "ssn", "customer id", "tax id")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,8 +46,7 @@ def _automaton():
         a.add_word("+", "+")
         a.add_word("://", "/")
         for cue in CUES:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, "c")
+            a.add_word(cue, "c")
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
@@ -157,7 +156,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     pluses: list[int] = []
     slashes: list[int] = []
     cues: list[int] = []
-    for end, kind in _automaton().iter(text):
+    for end, kind in _automaton().iter(lower_ascii(text)):
         if kind == "d":
             digits.append(end)
         elif kind == "@":
