@@ -45,7 +45,8 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Support vector machines, ledgers and merges by rank are not SQL; the tests hold the stages against brute force.
+#: Support vector machines, ledgers and merges by rank are not SQL; the tests hold near duplicates, decontamination, secrets and
+#: encoding against brute force, and toxicity against held-out labels.
 ORACLE_SQL = None
 
 
