@@ -11,10 +11,13 @@ INFINITE_WORDS = ("inf", "-inf", "infinity", "-infinity")
 #: Decimal syntax; Spark's own cast accepts more (12d, inf) and is guarded by it.
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-CANONICAL, ONE_BASED = "0based_half_open", "gff_gtf_1based_closed"
-SYSTEMS = (CANONICAL, ONE_BASED)
+#: Coordinate systems that a source may declare; the first is canonical, the last has no places.
+SYSTEMS = ("ucsc_bed_0based_half_open", "gff_gtf_1based_closed", "platform_native_probe", "no_coordinates_feature_id_only")
+CANONICAL, ONE_BASED, NATIVE, NO_PLACES = SYSTEMS
+#: Coordinate conventions of a region.
+HALF_OPEN, CLOSED = "0-based-half-open", "1-based-closed"
 #: The genome builds that a policy allows by default.
-BUILDS = ("hg19", "hg38", "GRCh37", "GRCh38", "mm10", "mm39", "GRCm38", "GRCm39", "rn6")
+BUILDS = ("GRCh37", "GRCh38", "hg19", "hg38", "mm9", "mm10", "mm39", "rn6", "rn7")
 
 
 def header_key(c: Column) -> Column:
@@ -22,6 +25,11 @@ def header_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[_\s-]", "")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^[\s\x{a0}\x{feff}]+|[\s\x{a0}\x{feff}]+$", "")
+
+
 def _decimal(text: Column) -> Column:
     value = F.when(text.rlike(DECIMAL), F.expr("1")).isNotNull()
     number = F.when(value, text).try_cast("double")
@@ -30,7 +38,7 @@ def _decimal(text: Column) -> Column:
 
 def number_strict(raw: Column) -> tuple[Column, Column]:
     """(value, ok): null words give null, anything else must be a finite decimal number."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     missing = F.coalesce(F.lower(text).isin(*NULL_WORDS), F.lit(True))
     value = F.when(~missing, _decimal(text))
     return value, missing | value.isNotNull()
@@ -38,7 +46,7 @@ def number_strict(raw: Column) -> tuple[Column, Column]:
 
 def number_melt(raw: Column) -> tuple[Column, Column]:
     """As ``number_strict``, with the words for infinity null as well."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     missing = F.coalesce(F.lower(text).isin(*NULL_WORDS, *INFINITE_WORDS), F.lit(True))
     value = F.when(~missing, _decimal(text))
     return value, missing | value.isNotNull()
@@ -46,7 +54,7 @@ def number_melt(raw: Column) -> tuple[Column, Column]:
 
 def number_lenient(raw: Column) -> Column:
     """A decimal number, else null."""
-    return _decimal(F.trim(raw))
+    return _decimal(trimmed(raw))
 
 
 def round_up_half(x: Column, places: int) -> Column:
@@ -58,20 +66,32 @@ def sign(x: Column, tolerance: float) -> Column:
     return F.when(x > tolerance, 1).when(x < -tolerance, -1).otherwise(0)
 
 
+def convention(system: Column) -> Column:
+    """The convention of a region's coordinates in a declared system; null where the system has no places."""
+    return F.when(system == ONE_BASED, CLOSED).when(system.isin(CANONICAL, NATIVE), HALF_OPEN)
+
+
 def region(chrom: Column, start: Column, end: Column, build: Column, system: Column) -> Column:
-    """A region struct, or null if any part is invalid."""
-    valid = chrom.rlike(r"^chr([0-9]{1,2}|X|Y|M|MT)$") & (start >= 0) & (end > start) & build.isin(*BUILDS) & system.isin(*SYSTEMS)
+    """A region struct, or null if any part is invalid. ``system`` is a convention."""
+    valid = chrom.rlike(r"^(chr)?[0-9XYM]+$") & (start >= 0) & (end > start) & build.isin(*BUILDS) & system.isin(HALF_OPEN, CLOSED)
     return F.when(valid, F.struct(chrom.alias("chrom"), start.alias("start"), end.alias("end"), build.alias("build"), system.alias("system")))
 
 
 def canonical_start(start: Column, system: Column) -> Column:
-    return start - F.when(system == ONE_BASED, 1).otherwise(0)
+    """The start on the canonical system; null for systems without places."""
+    return start - F.when(system == ONE_BASED, 1).when(system.isin(CANONICAL, NATIVE), 0)
+
+
+def start_on(start: Column, target: Column) -> Column:
+    """A canonical start on the target system; null for systems without places."""
+    return start + F.when(target == ONE_BASED, 1).when(target.isin(CANONICAL, NATIVE), 0)
 
 
 def chromosome(c: Column) -> Column:
     """Aliases to ``chr`` names; MT and chrMT to chrM."""
     bare = F.regexp_replace(c, "^chr", "")
-    return F.concat(F.lit("chr"), F.when(bare == "MT", "M").otherwise(bare))
+    known = bare.isin(*map(str, range(1, 23)), "X", "Y", "M", "MT")
+    return F.when(known, F.concat(F.lit("chr"), F.when(bare == "MT", "M").otherwise(bare))).otherwise(c)
 
 
 def promoter(start: Column, end: Column, strand: Column, up: int, down: int) -> tuple[Column, Column]:

@@ -142,7 +142,7 @@ def typed_features(rows: DataFrame) -> DataFrame:
     valid = F.coalesce(text("chrom").isNotNull() & (F.col("start") >= 0) & (F.col("end") > F.col("start")), F.lit(False))
     place = F.when(valid, F.concat(text("chrom"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
     out = rows.withColumn("feature_id", F.coalesce(text("id"), text("probe"), place))
-    single = F.coalesce(F.col("feature_class").isin("cpg", "cpg_methylation"), F.lit(False))
+    single = F.coalesce(F.col("feature_class") == "cpg_methylation", F.lit(False))
     return out.withColumn("state", F.when(F.col("feature_id").isNull(), "no_id").when(~single & ~valid, "no_region").otherwise("kept"))
 
 

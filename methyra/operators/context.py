@@ -30,43 +30,92 @@ def composition_shift(fractions: DataFrame, samples: DataFrame, threshold: float
     return grid.withColumn("delta", delta).groupBy("dataset_id", "dose_group_id").agg(F.max("delta").alias("max_delta"), F.count_if(F.col("delta") > threshold + SLACK).alias("n_shifted"))
 
 
-def composition_class(shifts: DataFrame, checks: DataFrame) -> DataFrame:
-    """Per dataset: review where sums are off, else by the largest shift."""
-    s = shifts.groupBy("dataset_id").agg(F.max("max_delta").alias("delta"))
+#: Levels of confounding, in blocking order, and what stands where there is no context.
+LEVELS = ("unlikely_confounding", "possible_confounding", "likely_confounding", "dominant_confounding", "review_required")
+NO_CONTEXT = "no_context_available"
+#: Where a sample's cell composition comes from; the first four are reliable.
+SOURCES = ("measured_flow_cytometry", "measured_sorting", "externally_estimated", "declared_pure", "declared_mixed_unknown_fractions", "not_declared")
+
+
+def filled(declarations: DataFrame, fractions: DataFrame) -> DataFrame:
+    """Fractions with those of samples that are declared pure filled in: their declared type has all (A-11)."""
+    pure = declarations.where("source = 'declared_pure' and declared_cell_type is not null")
+    rest = fractions.join(pure, ["dataset_id", "sample_id"], "left_anti")
+    return rest.unionByName(pure.select("dataset_id", "sample_id", F.col("declared_cell_type").alias("cell_type"), F.lit(1.0).alias("fraction")), allowMissingColumns=True)
+
+
+def composition_class(shifts: DataFrame, checks: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Per dataset of ``declarations`` (dataset_id, sample_id, source, declared_cell_type) how strongly cell composition
+    confounds, whether it blocks, and the warning: no context, contradictions, the largest shift of a group, or the
+    reliability of the sources, in this order."""
+    s = shifts.groupBy("dataset_id").agg(F.max("max_delta").alias("delta"), F.bool_or(F.col("n_shifted") > 0).alias("shifted"))
     bad = checks.groupBy("dataset_id").agg(F.bool_or("bad_sum").alias("bad"))
-    d = F.col("delta")
-    level = F.when(F.col("bad"), "review_required").when(d > 0.5 + SLACK, "dominant").when(d > 0.3 + SLACK, "likely").when(d > 0.1 + SLACK, "possible").otherwise("unlikely")
-    return bad.join(s, "dataset_id", "left").select("dataset_id", "delta", level.alias("confounding"))
+    source, pure = F.col("source"), F.col("source") == "declared_pure"
+    told = declarations.groupBy("dataset_id").agg(
+        F.bool_and(source == "not_declared").alias("silent"), F.bool_or(source == "not_declared").alias("some_silent"), F.bool_and(source == SOURCES[4]).alias("unknown"), F.bool_or(source == SOURCES[4]).alias("some_unknown"),
+        F.bool_or(source.isin(*SOURCES[:4])).alias("some_reliable"), F.bool_and(source.isin(*SOURCES[:4])).alias("reliable"), F.bool_and(pure).alias("pure"),
+        F.countDistinct(F.when(pure, F.col("declared_cell_type"))).alias("n_types"), F.count_if(pure & F.col("declared_cell_type").isNull()).alias("n_untyped"),
+    )
+    rows = told.join(bad, "dataset_id", "left").join(s, "dataset_id", "left")
+    d, on = F.col("delta"), lambda c: F.coalesce(c, F.lit(False))
+    data = F.col("bad").isNotNull() | F.col("some_reliable")
+    none = ~data & ~F.col("unknown")
+    mixed = (F.col("some_silent") & ~F.col("silent")) | (F.col("some_unknown") & F.col("some_reliable"))
+    shift = on(F.col("shifted"))
+    by_shift = F.when(d > 0.5 + SLACK, LEVELS[3]).when(d > 0.3 + SLACK, LEVELS[2]).when(d > 0.1 + SLACK, LEVELS[1]).otherwise(LEVELS[0])
+    sure = (F.col("pure") & (F.col("n_types") == 1) & (F.col("n_untyped") == 0)) | (F.col("reliable") & d.isNotNull())
+    level = F.when(none, NO_CONTEXT).when(on(F.col("bad")) | mixed | (F.col("n_types") > 1), LEVELS[4]).when(shift, by_shift).when(sure, LEVELS[0]).otherwise(LEVELS[1])
+    warning = (
+        F.when(none, "EPIW001_CELL_COMPOSITION_CONTEXT_MISSING").when(on(F.col("bad")), "CC_FRACTION_SUM_MISMATCH").when(mixed, "CC_MIXED_DECLARATIONS")
+        .when(F.col("n_types") > 1, "CC_CONFLICTING_PURE_TYPES").when(shift | ~sure, "EPIW002_CELL_TYPE_SHIFT_POSSIBLE")
+    )
+    blocks = on(F.col("bad")) & ~none | ~none & ~on(F.col("bad")) & ~mixed & (F.col("n_types") > 1)
+    return rows.select("dataset_id", "delta", level.alias("confounding"), blocks.alias("blocks"), warning.alias("warning"))
 
 
-def cytotoxicity(assays: DataFrame) -> DataFrame:
-    """Per dataset: malformed entries, least viability, stress flags, whether cytotoxicity is detected, and its class."""
+def cytotoxicity(assays: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """Per dataset: malformed entries, least viability, stress flags, whether cytotoxicity is detected, its class, and whether
+    that blocks. ``datasets`` without assays have no context."""
     per = assays.groupBy("dataset_id").agg(
-        F.count_if((F.col("value") < 0) | F.isnan("value")).alias("malformed"), F.min(F.when(F.col("metric") == "viability", F.col("value"))).alias("viability"),
-        F.max(F.when(F.col("metric") == "apoptosis", F.col("value"))).alias("apoptosis"), F.max("n_stress").alias("stress"), F.bool_or(F.instr(F.lower("notes"), "cytotoxic") > 0).alias("declared"),
+        F.count("*").alias("n"), F.count_if((F.col("value") < 0) | F.isnan("value")).alias("malformed"), F.min(F.when((F.col("metric") == "viability") & ~F.isnan("value"), F.col("value"))).alias("viability"),
+        F.max(F.when((F.col("metric") == "apoptosis") & ~F.isnan("value"), F.col("value"))).alias("apoptosis"), F.max("n_stress").alias("stress"), F.bool_or(F.instr(F.lower("notes"), "cytotoxic") > 0).alias("declared"),
     )
-    base = F.when(F.col("viability") < 0.5, 3).when(F.col("viability") < 0.7, 2).when(F.col("viability") < 0.8, 1).otherwise(0)
+    if datasets is not None:
+        per = datasets.select("dataset_id").distinct().join(per, "dataset_id", "left").withColumn("malformed", F.coalesce("malformed", F.lit(0)))
+    base = F.when(F.col("viability") < 0.5 - SLACK, 3).when(F.col("viability") < 0.7 - SLACK, 2).when(F.col("viability") < 0.8 - SLACK, 1).otherwise(0)
     told = F.when(F.coalesce("declared", F.lit(False)) & (base < 2), 2).otherwise(base)
-    dying = F.when((told == 0) & (F.col("apoptosis") > 0.2), 1).otherwise(told)
+    dying = F.when((told == 0) & (F.col("apoptosis") > 0.2 + SLACK), 1).otherwise(told)
     level = F.least(F.lit(3), dying + F.when(F.col("stress") > 0, 1).otherwise(0))
-    names = F.array(*map(F.lit, ("unlikely", "possible", "likely", "dominant")))
     detected = (F.coalesce(F.col("viability") < 0.8, F.lit(False))) | (F.coalesce(F.col("stress") > 0, F.lit(False))) | F.coalesce("declared", F.lit(False))
-    return per.select("dataset_id", "malformed", "viability", "stress", detected.alias("detected"), F.when(F.col("malformed") > 0, "review_required").otherwise(F.element_at(names, level + 1)).alias("confounding"))
+    named = F.when(F.col("malformed") > 0, LEVELS[4]).when(F.col("n").isNull(), NO_CONTEXT).otherwise(F.element_at(F.array(*map(F.lit, LEVELS[:4])), level + 1))
+    out = per.select("dataset_id", "malformed", "viability", "stress", detected.alias("detected"), named.alias("confounding"))
+    return out.withColumn("blocks", F.col("confounding").isin(*LEVELS[3:]))
 
 
 def alignment(assays: DataFrame, samples: DataFrame) -> DataFrame:
-    """Assay entries whose dose and timepoint lie in the design, within slack."""
-    design = samples.select("dataset_id", F.col("dose_value").alias("d"), F.col("timepoint_hours").alias("t")).distinct()
-    near = (assays["dataset_id"] == design["dataset_id"]) & (F.abs(assays["dose_value"] - F.col("d")) < SLACK) & (F.abs(assays["timepoint_hours"] - F.col("t")) < SLACK)
-    return assays.join(design, near, "left_semi")
+    """Assay entries whose dose and timepoint lie in the design within slack, or whose dose group does (of equal id).
+
+    Doses and timepoints are matched on their value rounded to slack and both neighbours, so the join has equal keys.
+    """
+    key = lambda c: F.round(F.col(c) / SLACK).cast("decimal(38,0)")
+    design = samples.select("dataset_id", F.col("dose_value").alias("d"), F.col("timepoint_hours").alias("t"), key("dose_value").alias("k")).distinct()
+    near = design.select("dataset_id", "d", "t", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    rows = assays.withColumn("nth", F.monotonically_increasing_id()).withColumn("k", key("dose_value"))
+    meets = (F.abs(rows["dose_value"] - near["d"]) < SLACK) & (F.abs(rows["timepoint_hours"] - near["t"]) < SLACK)
+    by_dose = rows.join(near, (rows["dataset_id"] == near["dataset_id"]) & (rows["k"] == near["k"]) & meets, "left_semi")
+    if "dose_group_id" not in assays.columns:
+        return by_dose.drop("nth", "k")
+    groups = samples.select("dataset_id", "dose_group_id").distinct()
+    by_group = rows.join(near, (rows["dataset_id"] == near["dataset_id"]) & (rows["k"] == near["k"]) & meets, "left_anti").join(groups, ["dataset_id", "dose_group_id"], "left_semi")
+    return by_dose.unionByName(by_group).drop("nth", "k")
 
 
 def merge_findings(*parts: DataFrame) -> DataFrame:
-    """Findings of several checks, equal ones once."""
+    """Findings (dataset_id, code, category, severity, message, ...) of several checks; those equal in these are one."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.dropDuplicates(["dataset_id", "code", "severity"])
+    return out.dropDuplicates(["dataset_id", "code", "category", "severity", "message"])
 
 
 def differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

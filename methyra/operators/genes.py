@@ -1,7 +1,7 @@
 """Regions and genes: validation, overlap joins, nearest genes, evidence lookups and what may be rolled up.
 
 Overlap is an equi-join on chromosome and bin with the overlap as residual; a pair is given out in its first common bin
-only, so no distinct is needed. The nearest start is found in both directions by one window pass over bins.
+only, so no distinct is needed. The nearest start is found by one scan in each direction inside bins.
 """
 
 from __future__ import annotations
@@ -9,40 +9,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BUILDS, CANONICAL, ONE_BASED, SYSTEMS, canonical_start, distance_to_point, promoter, tss
+from ..functions.scalars import BUILDS, CANONICAL, HALF_OPEN, NO_PLACES, ONE_BASED, SYSTEMS, canonical_start, chromosome, convention, distance_to_point, promoter, start_on, tss
 
 BIN = 10_000
 #: Feature classes that must declare a coordinate system, and those that bear peaks.
-REGION_CLASSES = ("dmr", "generic_region", "atac_peak", "chip_narrow_peak", "chip_broad_peak", "histone_mark_region", "chromatin_interaction")
-PEAK_CLASSES = ("atac_peak", "chip_narrow_peak", "chip_broad_peak")
+REGION_CLASSES = ("atac_peak", "chip_peak_narrow", "chip_peak_broad", "histone_mark_peak", "chromatin_interaction", "dmr", "differential_methylated_region")
+PEAK_CLASSES = ("atac_peak", "chip_peak_narrow", "chip_peak_broad", "histone_mark_peak")
+#: What needs the provenance of a platform, and words that tell of a lift-over.
+ARRAY_MODALITIES, PROBE_CLASSES = ("dna_methylation_array",), ("cpg_methylation",)
+LIFTOVER = ("liftover", "crossmap", "chain_file_conversion", "coordinate_liftover")
 
 
-def normalised(features: DataFrame) -> DataFrame:
-    """Starts on the canonical system and whether the result is a region."""
+def normalised(features: DataFrame, target: str = CANONICAL) -> DataFrame:
+    """Starts on the canonical system, on ``target``, whether the result is a region, and the error or the operation."""
     start = canonical_start(F.col("start"), F.col("coord_system"))
-    ok = F.col("coord_system").isin(*SYSTEMS) & (start >= 0) & (F.col("end") > start)
-    return features.withColumn("canonical_start", F.when(F.coalesce(ok, F.lit(False)), start)).withColumn("valid", F.coalesce(ok, F.lit(False)))
-
-
-def findings(features: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row per finding: (dataset_id, feature_id, code, severity) of coordinate system, build, bounds, name and
-    platform rules. ``sizes``: (build, chrom, length)."""
-    per = features.groupBy("dataset_id").agg(F.countDistinct(F.when(F.col("build").isin(*BUILDS), F.col("build"))).alias("n_builds"))
-    rows = features.join(per, "dataset_id").join(sizes, ["build", "chrom"], "left")
-    start = F.col("start") - F.when(F.col("coord_system") == ONE_BASED, 1).otherwise(0)
+    error = (
+        F.when(F.col("coord_system").isNull(), "no coordinate system").when(~F.col("coord_system").isin(*SYSTEMS), "unsupported coordinate system")
+        .when(F.col("coord_system") == NO_PLACES, "no coordinates to normalise").when(start < 0, "negative start").when(F.col("end") <= start, "empty interval")
+        .when(start.isNull() | F.col("end").isNull(), "no coordinates to normalise")
+    )
+    out = features.withColumn("error", error).withColumn("valid", F.col("error").isNull())
+    done = F.when(F.col("coord_system") == ONE_BASED, "start shifted by -1").otherwise("unchanged")
+    out = out.withColumn("canonical_start", F.when(F.col("valid"), start)).withColumn("operation", F.when(F.col("valid"), done))
+    return out.withColumn("target_start", start_on(F.col("canonical_start"), F.lit(target)))
+
+
+def _found(rows: DataFrame, tests: list[tuple]) -> DataFrame:
+    hits = F.array_compact(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(c).alias("code"), F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for c, k, s, hit in tests)))
+    return rows.select("dataset_id", "feature_id", F.explode(hits).alias("f")).select("dataset_id", "feature_id", "f.*")
+
+
+def findings(features: DataFrame, sizes: DataFrame, provenance: DataFrame | None = None, aliases: bool = False, need_hash: bool = False) -> DataFrame:
+    """One row per finding: (dataset_id, feature_id, code, kind, severity) of coordinate systems (EPI002), builds (EPI004),
+    bounds (EPI009), platforms (EPI010), names and conventions (EPIW). A feature has a region if it has a chromosome.
+
+    ``sizes``: (build, chrom, length), joined as Spark chooses; ``provenance``: (dataset_id, step_name, tool_name). With
+    ``aliases`` chromosome names are made canonical first, and each change is a finding. Findings of a dataset as a whole
+    (mixed builds, lift-over) have no feature.
+    """
+    name = chromosome(F.col("chrom"))
+    rows = features.withColumn("named", name if aliases else F.col("chrom")).join(sizes.withColumnRenamed("chrom", "named"), ["build", "named"], "left")
+    rows = rows.join(sizes.select("build").distinct().withColumn("sized", F.lit(True)), "build", "left")
+    system, placed = F.col("coord_system"), F.col("chrom").isNotNull() & F.col("build").isNotNull()
+    start = F.col("start") - F.when(convention(system) == HALF_OPEN, 0).when(convention(system).isNotNull(), 1).otherwise(0)
+    derived = F.coalesce(F.col("modality").isin(*ARRAY_MODALITIES), F.lit(False)) | (F.col("feature_class").isin(*PROBE_CLASSES) & F.col("measured_identifier").isNotNull())
     tests = [
-        ("EPI002", "error", F.col("feature_class").isin(*REGION_CLASSES) & ~F.coalesce(F.col("coord_system").isin(*SYSTEMS), F.lit(False))),
-        ("EPI004_MISSING", "error", F.col("chrom").isNotNull() & F.col("build").isNull()),
-        ("EPI004_NOT_ALLOWED", "error", F.col("build").isNotNull() & ~F.col("build").isin(*BUILDS)),
-        ("EPI004_MIXED", "error", F.col("n_builds") > 1),
-        ("EPI009", "error", F.col("length").isNotNull() & ((start < 0) | (F.col("end") > F.col("length")) | (F.col("end") <= start))),
-        ("EPI009_UNKNOWN", "warning", F.col("chrom").isNotNull() & F.col("build").isNotNull() & F.col("length").isNull()),
-        ("EPI010", "error", (F.col("feature_class") == "cpg") & F.col("platform").isNull()),
-        ("EPIW_NAME", "warning", F.col("build").rlike("^(hg|mm|rn)") & ~F.coalesce(F.col("chrom").startswith("chr"), F.lit(True))),
-        ("EPIW_SYSTEM", "warning", F.col("coord_system").isNotNull() & (F.col("coord_system") != CANONICAL)),
-    ]
-    found = F.array_compact(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for c, s, hit in tests)))
-    return rows.select("dataset_id", "feature_id", F.explode(found).alias("f")).select("dataset_id", "feature_id", "f.code", "f.severity")
+        ("EPI002", "no_system", "error", F.col("feature_class").isin(*REGION_CLASSES) & system.isNull()),
+        ("EPI002", "no_coordinates", "error", F.col("feature_class").isin(*REGION_CLASSES) & (system == NO_PLACES)),
+        ("EPI002", "unsupported_system", "error", ~system.isin(*SYSTEMS)),
+        ("EPI004", "missing_build", "error", F.col("chrom").isNotNull() & F.col("build").isNull()),
+        ("EPI004", "unsupported_build", "error", F.col("chrom").isNotNull() & ~F.col("build").isin(*BUILDS)),
+        ("EPI009", "alias", "warning", placed & (F.col("named") != F.col("chrom"))),
+        ("EPI009", "build_without_sizes", "error", placed & F.col("sized").isNull()),
+        ("EPI009", "unknown_chromosome", "error", placed & F.col("sized") & F.col("length").isNull()),
+        ("EPI009", "negative_start", "error", placed & F.col("length").isNotNull() & (start < 0)),
+        ("EPI009", "beyond_end", "error", placed & (F.col("end") > F.col("length"))),
+        ("EPI009", "empty_interval", "error", placed & F.col("length").isNotNull() & (F.col("end") <= start)),
+        ("EPI010", "no_platform", "error", derived & F.col("platform").isNull()),
+        ("EPI010", "no_manifest", "error", derived & F.col("platform").isNotNull() & F.col("manifest_version").isNull()),
+        ("EPIW", "name", "warning", F.col("build").rlike("^(hg|mm|rn)") & F.col("build").isin(*BUILDS) & ~F.col("chrom").startswith("chr")),
+        ("EPIW", "convention", "warning", F.col("chrom").isNotNull() & (convention(system) != HALF_OPEN)),
+    ]
+    if need_hash:
+        tests.append(("EPI010", "no_hash", "warning", derived & F.col("platform").isNotNull() & F.col("manifest_version").isNotNull() & F.col("annotation_hash").isNull()))
+    whole = lambda df, kind, severity: df.select("dataset_id", F.lit(None).cast("string").alias("feature_id"), F.lit("EPI004").alias("code"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    out = _found(rows, tests).unionByName(whole(builds(features).where("n_builds > 1"), "mixed_builds", "error"))
+    if provenance is not None:
+        step = F.lower(F.concat_ws(" ", "step_name", "tool_name"))
+        out = out.unionByName(whole(provenance.where(step.rlike("|".join(LIFTOVER))), "liftover", "warning"))
+    return out
+
+
+def builds(features: DataFrame) -> DataFrame:
+    """Per dataset the number of allowed builds among features with a region."""
+    used = F.when(F.col("chrom").isNotNull() & F.col("build").isin(*BUILDS), F.col("build"))
+    return features.groupBy("dataset_id").agg(F.countDistinct(used).alias("n_builds"))
+
+
+def validity(found: DataFrame) -> DataFrame:
+    """Per dataset with findings: errors, warnings, whether it is valid, and whether interpretation is blocked (EPI010)."""
+    return found.groupBy("dataset_id").agg(
+        F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"),
+        (F.count_if(F.col("severity") == "error") == 0).alias("valid"), F.bool_or(F.col("code") == "EPI010").alias("blocks_interpretation"),
+    )
 
 
 def _binned(df: DataFrame, start: str, end: str, size: int) -> DataFrame:
@@ -67,16 +116,29 @@ def body_overlaps(regions: DataFrame, genes: DataFrame) -> DataFrame:
     return overlaps(regions, genes.select("gene_id", "chrom", F.col("start").alias("o_start"), F.col("end").alias("o_end")))
 
 
-def nearest(regions: DataFrame, genes: DataFrame) -> DataFrame:
+def nearest(regions: DataFrame, genes: DataFrame, size: int = 1_000_000) -> DataFrame:
     """Genes whose start site is nearest to each region, all of equal distance; regions on chromosomes without genes have
-    none. The best distance comes from the last site before and the first at or after the region's start."""
+    none. The best distance comes from the last site before and the first at or after the region's start.
+
+    Sites and starts are laid out by chromosome and bin of ``size`` bases and scanned once in each direction inside a bin.
+    Where a bin has no site on a side, the nearest border site of the other bins serves: these are two rows per filled bin,
+    so only they pass through a window of a whole chromosome, whose length bounds their number.
+    """
     sites = genes.select("chrom", "gene_id", tss(F.col("start"), F.col("end"), F.col("strand")).alias("site"))
-    points = sites.select("chrom", F.col("site").alias("pos"), F.lit(None).cast("string").alias("feature_id"), F.lit(None).cast("long").alias("end"), F.col("site").alias("at"), F.lit(0).alias("kind")).distinct()
-    asks = regions.select("chrom", F.col("start").alias("pos"), "feature_id", F.col("end").cast("long").alias("end"), F.lit(None).cast("long").alias("at"), F.lit(1).alias("kind"))
-    line = Window.partitionBy("chrom").orderBy("pos", F.desc("kind"))
-    both = points.unionByName(asks).withColumn("left", F.last("at", True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("right", F.first("at", True).over(line.rowsBetween(0, Window.unboundedFollowing)))
-    asked = both.where("kind = 1").select("chrom", "feature_id", F.col("pos").alias("start"), "end", "left", "right")
+    bin_of = lambda c: F.floor(F.col(c) / size).alias("bin")
+    points = sites.select("chrom", bin_of("site"), F.col("site").alias("pos"), F.lit(None).cast("string").alias("feature_id"), F.lit(None).cast("long").alias("end"), F.col("site").alias("at"), F.lit(0).alias("kind")).distinct()
+    asks = regions.select("chrom", bin_of("start"), F.col("start").alias("pos"), "feature_id", F.col("end").cast("long").alias("end"), F.lit(None).cast("long").alias("at"), F.lit(1).alias("kind"))
+    line = Window.partitionBy("chrom", "bin")
+    ahead, back = line.orderBy("pos", F.desc("kind")), line.orderBy(F.desc("pos"), "kind")
+    seen = Window.unboundedPreceding
+    both = points.unionByName(asks).withColumn("left", F.last("at", True).over(ahead.rowsBetween(seen, -1))).withColumn("right", F.last("at", True).over(back.rowsBetween(seen, 0)))
+    # borders of all bins that hold regions or sites: the last site before the bin, the first after it
+    bins = both.groupBy("chrom", "bin").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    along = Window.partitionBy("chrom")
+    borders = bins.select(
+        "chrom", "bin", F.last("high", True).over(along.orderBy("bin").rowsBetween(seen, -1)).alias("before"), F.last("low", True).over(along.orderBy(F.desc("bin")).rowsBetween(seen, -1)).alias("after")
+    )
+    asked = both.where("kind = 1").join(borders, ["chrom", "bin"]).select("chrom", "feature_id", F.col("pos").alias("start"), "end", F.coalesce("left", "before").alias("left"), F.coalesce("right", "after").alias("right"))
     right = F.when(F.col("right") <= F.col("end"), 0).otherwise(F.col("right") - F.col("end"))
     best = asked.withColumn("distance", F.least(F.col("start") - F.col("left"), right)).where("distance is not null")
     inside = overlaps(
@@ -88,43 +150,97 @@ def nearest(regions: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def checked_distance(pairs: DataFrame) -> DataFrame:
+    """Distances of (start, end, site) pairs, for checks of ``nearest``."""
     return pairs.withColumn("distance", distance_to_point(F.col("start"), F.col("end"), F.col("site")))
 
 
-def supported(features: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Database evidence of each feature: genes, method and use rule from how well the biosample matches."""
-    rule = F.when(F.col("match").isin("exact", "close"), "allow").when(F.col("match") == "distant", "block_rollup").otherwise("exploratory")
-    return features.select("feature_id").join(evidence, "feature_id", "left").select("feature_id", "gene_id", F.coalesce("method", F.lit("none")).alias("method"), F.when(F.col("gene_id").isNull(), "unknown").otherwise(rule).alias("use_rule"))
+#: Mapping methods; those that may be rolled up to pathways; those that bear no causal claim; confidence.
+METHODS = ("direct_promoter_overlap", "promoter_overlap", "gene_body_overlap", "enhancer_target_from_database", "chromatin_interaction_supported", "nearest_gene", "inferred_target_gene", "unknown_target_gene")
+ROLLUP = METHODS[:5]
+NO_CAUSE = METHODS[5:]
+CONFIDENCE = ("high", "medium", "low", "none")
+#: What a mapping may be used for.
+ALLOW, BLOCK_ROLLUP, EXPLORATORY, BLOCK_ALL = "allow_contextual_gene_linkage_and_pathway_rollup", "block_pathway_rollup", "exploratory_only", "block_gene_and_pathway_rollup"
 
 
-#: Mapping methods that may be rolled up to pathways, and ranks of confidence.
-ROLLUP = ("promoter_overlap", "gene_body_overlap", "direct_gene_link")
-CONFIDENCE = ("none", "low", "medium", "high")
+def supported(features: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Database evidence of each feature: genes, method, use rule from how well the biosample matches, and the warning of a
+    poor match. A feature without evidence has no gene, no method and an unknown match."""
+    rows = features.select("feature_id").join(evidence.distinct(), "feature_id", "left").withColumn("match", F.coalesce("match", F.lit("unknown")))
+    good = F.col("match").isin("exact", "close")
+    rule = F.when(good, ALLOW).when(F.col("match") == "distant", BLOCK_ROLLUP).otherwise(EXPLORATORY)
+    return rows.select("feature_id", "gene_id", "method", "match", rule.alias("use_rule"), F.when(~good, "EPIW005_BIOSAMPLE_CONTEXT_MISMATCH").alias("warning"))
 
 
 def collapse(mappings: DataFrame) -> DataFrame:
-    """Per feature: sorted genes and methods, least confidence, one method or multiple_methods."""
+    """Per feature of (dataset_id, feature_id, gene_id, method, confidence): sorted genes, least confidence, one method or
+    multiple_methods, ambiguous if one mapping has an unknown target. Null genes are none."""
+    distinct = mappings.select("dataset_id", "feature_id", "gene_id", "method", "confidence").distinct()
     rank = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
-    per = mappings.groupBy("dataset_id", "feature_id").agg(
-        F.array_sort(F.collect_set("gene_id")).alias("genes"), F.array_sort(F.collect_set("method")).alias("methods"), F.min(rank).alias("rank"), F.bool_or(F.col("method") == "unknown_target").alias("ambiguous")
+    per = distinct.groupBy("dataset_id", "feature_id").agg(
+        F.array_sort(F.collect_set("gene_id")).alias("genes"), F.array_sort(F.collect_set("method")).alias("methods"), F.max(rank).alias("rank"), F.bool_or(F.col("method") == "unknown_target_gene").alias("ambiguous")
     )
     method = F.when(F.size("methods") > 1, "multiple_methods").otherwise(F.get("methods", F.lit(0)))
     level = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("rank").cast("int"))
     return per.select("dataset_id", "feature_id", F.concat_ws(",", "genes").alias("genes"), F.size("genes").alias("n_genes"), method.alias("method"), level.alias("confidence"), "ambiguous")
 
 
-def pathway_eligibility(features: DataFrame, collapsed: DataFrame) -> DataFrame:
-    state = F.when(F.col("method").isNull() | (F.col("n_genes") == 0), "unmapped").when(F.col("method").isin(*ROLLUP), "eligible").otherwise("blocked")
-    return features.select("dataset_id", "feature_id").join(collapsed, ["dataset_id", "feature_id"], "left").select("dataset_id", "feature_id", state.alias("eligibility"))
+def last_mapping(mappings: DataFrame) -> DataFrame:
+    """The last mapping (by ``nth``) of each feature: n_genes, method, confidence, rollup_allowed, distance."""
+    return mappings.groupBy("dataset_id", "feature_id").agg(F.max_by(F.struct("n_genes", "method", "confidence", "rollup_allowed", "distance"), "nth").alias("m")).select("dataset_id", "feature_id", "m.*")
+
+
+def pathway_eligibility(features: DataFrame, mappings: DataFrame) -> DataFrame:
+    """eligible if the last mapping allows the roll-up and its method may be rolled up; blocked, or unmapped without one."""
+    may = F.col("rollup_allowed") & F.col("method").isin(*ROLLUP)
+    state = F.when(F.col("method").isNull(), "unmapped").when(may, "eligible").otherwise("blocked")
+    return features.select("dataset_id", "feature_id").join(last_mapping(mappings), ["dataset_id", "feature_id"], "left").select("dataset_id", "feature_id", state.alias("eligibility"), F.when(state == "blocked", "EPIW008_PATHWAY_ROLLUP_BLOCKED").alias("warning"))
+
+
+def paired(requests: DataFrame, mappings: DataFrame, strict: bool = False) -> DataFrame:
+    """Each request (dataset_id, feature_id) with its response, the last mapping, its warnings and why a roll-up is blocked.
+    A request without a response is an error: state missing, or with ``strict`` the query fails and names it."""
+    rows = requests.select("dataset_id", "feature_id").join(last_mapping(mappings), ["dataset_id", "feature_id"], "left")
+    state = F.when(F.col("method").isNotNull(), "paired").otherwise(F.raise_error(F.concat(F.lit("missing mapping response for feature "), "feature_id")).cast("string") if strict else F.lit("missing"))
+    warnings = F.array_compact(F.array(
+        F.when(F.col("n_genes") == 0, "MAPPING_NO_TARGET"), F.when(F.col("n_genes") > 1, "MAPPING_AMBIGUOUS"), F.when((F.col("method") == "nearest_gene") & (F.col("n_genes") > 0), "MAPPING_NEAREST_GENE_ONLY"),
+    ))
+    reason = F.when(~F.col("rollup_allowed"), F.when(F.col("method").isin(*ROLLUP), "policy").otherwise("method"))
+    return rows.withColumn("state", state).withColumn("warnings", F.concat_ws(",", warnings)).withColumn("blocked_reason", reason)
+
+
+def mapping_report(pairs: DataFrame) -> DataFrame:
+    """Counts of ``paired`` rows per dataset: requested, answered, mapped, unmapped, ambiguous, roll-ups and reasons, warnings."""
+    got, some = F.col("state") == "paired", F.col("n_genes") > 0
+    n = lambda hit, name: F.count_if(F.coalesce(hit, F.lit(False))).alias(name)
+    return pairs.groupBy("dataset_id").agg(
+        F.count("*").alias("requested"), n(got, "answered"), n(some, "mapped"), n(F.col("n_genes") == 0, "unmapped"), n(F.col("n_genes") > 1, "ambiguous"),
+        n(F.col("rollup_allowed"), "rollup_allowed"), n(~F.col("rollup_allowed"), "rollup_blocked"), n(F.col("blocked_reason") == "method", "blocked_by_method"), n(F.col("blocked_reason") == "policy", "blocked_by_policy"),
+        n(F.col("warnings").contains("NO_TARGET"), "n_no_target"), n(F.col("warnings").contains("NEAREST"), "n_nearest_only"),
+    )
+
+
+def guarded(mappings: DataFrame) -> DataFrame:
+    """Each mapping with what it blocks: pathway roll-up by its method, causal claims, and whether it declares a roll-up that
+    its method does not bear; with the warnings of these."""
+    bears = F.col("method").isin(*ROLLUP)
+    rows = mappings.withColumn("blocked_rollup", ~bears).withColumn("blocked_cause", F.col("method").isin(*NO_CAUSE)).withColumn("inconsistent", F.col("rollup_allowed") & ~bears)
+    warnings = F.array_compact(F.array(
+        F.when((F.col("method") == "inferred_target_gene") & (F.col("n_genes") > 0), "EPIW011_INFERRED_TARGET_GENE"), F.when(F.col("method") == "unknown_target_gene", "EPIW012_UNKNOWN_TARGET_GENE"),
+        F.when(F.col("blocked_rollup"), "EPIW008_PATHWAY_ROLLUP_BLOCKED"), F.when(F.col("inconsistent"), "EPIW013_PATHWAY_ROLLUP_INCONSISTENT"),
+    ))
+    return rows.withColumn("warnings", F.concat_ws(",", warnings))
+
+
+def guarded_external(evidence: DataFrame) -> DataFrame:
+    """Database mappings with what they block: never a causal claim, and no roll-up from a distant or unknown biosample."""
+    return evidence.withColumn("blocked_rollup", ~F.coalesce(F.col("match").isin("exact", "close"), F.lit(False))).withColumn("blocked_cause", F.lit(True))
 
 
-def mapping_report(features: DataFrame, collapsed: DataFrame) -> DataFrame:
-    """Counts per dataset: requested, mapped, unmapped, ambiguous, roll-up allowed and blocked."""
-    rows = features.select("dataset_id", "feature_id").join(collapsed, ["dataset_id", "feature_id"], "left")
-    mapped = F.coalesce(F.col("n_genes") > 0, F.lit(False))
-    return rows.groupBy("dataset_id").agg(
-        F.count("*").alias("requested"), F.count_if(mapped).alias("mapped"), F.count_if(~mapped).alias("unmapped"), F.count_if(F.col("n_genes") > 1).alias("ambiguous"),
-        F.count_if(mapped & F.col("method").isin(*ROLLUP)).alias("rollup_allowed"), F.count_if(mapped & ~F.col("method").isin(*ROLLUP)).alias("rollup_blocked"),
+def guard_counts(guards: DataFrame) -> DataFrame:
+    """Per dataset: mappings allowed and blocked for roll-up, blocked causal claims, inconsistent ones."""
+    return guards.groupBy("dataset_id").agg(
+        F.count_if(~F.col("blocked_rollup")).alias("n_allowed"), F.count_if("blocked_rollup").alias("n_blocked"), F.count_if("blocked_cause").alias("n_blocked_causes"), F.count_if("inconsistent").alias("n_inconsistent"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import header_key, number_melt, number_strict
+from .genes import REGION_CLASSES
 
 #: Normalised column names that tell the shape of a table.
 FEATURE_NAMES = ("featureid", "feature", "probeid", "cpgid", "peakid", "regionid")
@@ -50,18 +51,25 @@ def densify(cells: DataFrame, features: DataFrame, samples: DataFrame) -> DataFr
     return grid.join(cells, ["dataset_id", "feature_id", "sample_id"], "left")
 
 
+#: What a row can be, in the order in which ties for the dominant class are broken.
+ROW_CLASSES = ("cpg_methylation", "dmr", "atac_peak", "histone_mark_peak", "chromatin_interaction", "generic_region_feature", "ambiguous", "unknown")
+
+
 def row_class(rows: DataFrame) -> DataFrame:
-    """Feature class of each row from its filled columns: probe against region; mark, peak format or plain region."""
-    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
-    area = filled("chrom") & F.col("start").isNotNull() & F.col("end").isNotNull()
-    kind = (
-        F.when(filled("probe") & area, "ambiguous").when(filled("probe"), "cpg").when(area & filled("mark"), "histone_mark_region")
-        .when(area & filled("peak_format"), "atac_peak").when(area, "generic_region").otherwise("unknown")
+    """Feature class of each row from its filled columns, by assay ``family``: probe or region in DNA methylation; peak
+    format, mark or plain region otherwise (an interaction if the ``modality`` is hic). Conflicts are ambiguous."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    area = filled("chrom") & filled("start") & filled("end")
+    probe, mark, peak = filled("probe"), filled("mark"), filled("peak_format")
+    methyl = F.when(probe & area, "ambiguous").when(probe, "cpg_methylation").when(area, "dmr").otherwise("unknown")
+    other = (
+        F.when(peak & mark, "ambiguous").when(peak, "atac_peak").when(mark, "histone_mark_peak")
+        .when(area & (F.col("modality") == "hic"), "chromatin_interaction").when(area, "generic_region_feature").otherwise("unknown")
     )
-    return rows.withColumn("row_class", kind)
+    return rows.withColumn("row_class", F.when(F.col("family") == "dna_methylation", methyl).otherwise(other))
 
 
-def mixed_tables(classified: DataFrame, order: tuple[str, ...]) -> DataFrame:
+def mixed_tables(classified: DataFrame, order: tuple[str, ...] = ROW_CLASSES) -> DataFrame:
     """Per file: rows, classes, dominant class (ties by ``order``), and whether it is mixed."""
     per = classified.groupBy("file_id", "row_class").agg(F.count("*").alias("n"))
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("row_class"))
@@ -73,16 +81,44 @@ def mixed_tables(classified: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 def constraint_findings(features: DataFrame) -> DataFrame:
     """Row and class constraints, one row per finding."""
+    share = lambda c: (F.col(c) < 0) | (F.col(c) > 1)
     tests = [
         ("EPI_ANCHOR", F.col("chrom").isNull() & F.col("measured_identifier").isNull()),
         ("EPI_OTHER_TEXT", (F.col("signal_metric") == "declared_other") & F.col("declared_other").isNull()),
-        ("EPI_REGION", F.col("feature_class").isin("dmr", "atac_peak", "chip_narrow_peak") & F.col("chrom").isNull()),
-        ("EPI_PROBABILITY", (F.col("p_value") < 0) | (F.col("p_value") > 1)),
+        ("EPI_REGION", F.col("feature_class").isin(*REGION_CLASSES) & F.col("chrom").isNull()),
+        ("EPI_PROBABILITY", F.coalesce(share("p_value"), F.lit(False)) | F.coalesce(share("q_value"), F.lit(False))),
+        ("EPI_ARRAY_PLATFORM", (F.col("feature_class") == "cpg_methylation") & (F.col("modality") == "dna_methylation_array") & F.col("platform").isNull()),
     ]
     found = F.array_compact(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.lit(code)) for code, hit in tests)))
     return features.select("dataset_id", "feature_id", F.explode(found).alias("code"))
 
 
+_METHYL = ("beta_value", "m_value", "percent_methylation", "delta_beta", "delta_m")
+_TESTED = ("effect_size", "q_value")
+_PEAK = ("peak_score", "read_count", "normalized_signal", *_TESTED)
+_READS = ("normalized_signal", *_TESTED, "read_count")
+#: The metrics that each feature class may carry, besides declared_other.
+ALLOWED = {
+    "cpg_methylation": _METHYL,
+    "dmr": (*_METHYL, *_TESTED),
+    "differential_methylated_region": (*_METHYL, *_TESTED),
+    "atac_peak": ("accessibility_signal", *_PEAK),
+    "chip_peak_narrow": _PEAK,
+    "chip_peak_broad": _PEAK,
+    "histone_mark_peak": _PEAK,
+    "generic_region_feature": ("accessibility_signal", *_PEAK),
+    "chromatin_interaction": _READS,
+    "ncrna_expression": _READS,
+    "mirna_expression": _READS,
+    "gene_linked_feature": (*_METHYL, "accessibility_signal", *_PEAK),
+}
+
+
+def allowed(spark: SparkSession) -> DataFrame:
+    """(feature_class, signal_metric) pairs of the allowlist."""
+    return spark.createDataFrame([(c, m) for c, ms in ALLOWED.items() for m in ms], "feature_class string, signal_metric string")
+
+
 def incompatible(features: DataFrame, allowed: DataFrame) -> DataFrame:
     """Features whose (class, metric) pair is not in ``allowed``; declared_other is allowed everywhere."""
     return features.where("signal_metric <> 'declared_other'").join(allowed, ["feature_class", "signal_metric"], "left_anti")

@@ -5,54 +5,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BUILDS, stable_id
-from .genes import PEAK_CLASSES
+from ..functions.scalars import BUILDS, HALF_OPEN, convention, stable_id
+from .context import LEVELS, NO_CONTEXT
+from .design import readiness
+from .genes import PEAK_CLASSES, builds
 
-#: Confounding levels in blocking order.
-LEVELS = ("unlikely", "possible", "likely", "dominant", "review_required")
-DEFAULTS = {"warn_missing": 0.1, "max_missing": 0.2, "min_replicates": 2, "preferred_replicates": 3, "preferred_levels": 4, "block_level": "dominant"}
+#: What a policy holds by default.
+DEFAULTS = {"warn_missing": 0.1, "max_missing": 0.2, "min_replicates": 2, "preferred_replicates": 3, "n1_policy": "excluded", "preferred_levels": 4, "block_level": "dominant_confounding", "block_missing_context": False}
+VERSION = "0.1.0"
 
 
 def policies(overrides: DataFrame) -> DataFrame:
-    """One row per policy: defaults where an override is null."""
-    return overrides.select("policy_id", *(F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in DEFAULTS.items()))
+    """One row per policy: defaults where an override is null or has no such column. An override of another version than
+    ``VERSION`` fails the query."""
+    value = lambda k, v: F.coalesce(F.col(k), F.lit(v)) if k in overrides.columns else F.lit(v)
+    rows = overrides
+    if "version" in overrides.columns:
+        fail = F.raise_error(F.concat(F.lit("policy "), "policy_id", F.lit(" is of another version")))
+        rows = overrides.where(F.when(F.coalesce("version", F.lit(VERSION)) == VERSION, True).otherwise(fail.cast("boolean")))
+    return rows.select("policy_id", *(value(k, v).alias(k) for k, v in DEFAULTS.items()), *(["dataset_id"] if "dataset_id" in overrides.columns else []))
 
 
 def _rank(c: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, LEVELS)), c)
 
 
-def cascade(features: DataFrame, designs: DataFrame, mappings: DataFrame, policy: DataFrame) -> DataFrame:
+def dataset_verdicts(samples: DataFrame, contexts: dict[str, DataFrame]) -> DataFrame:
+    """(dataset_id, design_blocked, levels, least, and one column of confounding for each context): the design's readiness
+    without its replicate blocker, and the classes of ``contexts`` (category -> dataset_id, confounding)."""
+    ready = readiness(samples)
+    others = F.filter(F.split("blockers", ","), lambda x: ~x.isin("", "insufficient_biological_replicates"))
+    out = ready.select("dataset_id", (F.size(others) > 0).alias("design_blocked"), "levels", "least")
+    for category, classes in contexts.items():
+        out = out.join(classes.select("dataset_id", F.col("confounding").alias(category)), "dataset_id", "left").withColumn(category, F.coalesce(category, F.lit(NO_CONTEXT)))
+    return out
+
+
+def measured(features: DataFrame, cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """``features`` with the share of the design's samples that have no value, and whether a value is infinite."""
+    sizes = samples.groupBy("dataset_id").agg(F.countDistinct("sample_id").alias("n_samples"))
+    x = F.col("value")
+    own = cells.join(samples.select("dataset_id", "sample_id").distinct(), ["dataset_id", "sample_id"])
+    per = own.groupBy("dataset_id", "feature_id").agg(F.count_if(x.isNotNull() & ~F.isnan(x)).alias("n_present"), F.bool_or(F.abs(x) == float("inf")).alias("infinite"))
+    rows = features.join(sizes, "dataset_id", "left").join(per, ["dataset_id", "feature_id"], "left")
+    missing = 1 - F.coalesce(F.try_divide(F.coalesce("n_present", F.lit(0)), "n_samples"), F.lit(0.0))
+    return rows.withColumn("missing_fraction", missing).withColumn("non_finite", F.coalesce("infinite", F.lit(False))).drop("n_samples", "n_present", "infinite")
+
+
+def cascade(features: DataFrame, designs: DataFrame, mappings: DataFrame, policy: DataFrame, contexts: tuple[str, ...] = ("cell_composition", "cytotoxicity")) -> DataFrame:
     """(policy_id, dataset_id, feature_id, status, rule, notes): the first rule that fires decides; notes are the warnings
     gathered before it.
 
-    ``features`` carries missing_fraction and non_finite, ``designs`` blockers, levels, least and confounding; dataset and
-    policy rows are few and join onto features without moving them further than by dataset.
+    ``features`` carries missing_fraction and non_finite (``measured``), ``designs`` are ``dataset_verdicts`` with a column of
+    confounding for each of ``contexts``. Policies that name data sets hold for these; others for all, whose decisions
+    are then as many times the features. Dataset and policy rows are few and join onto features without moving them
+    further than by dataset.
     """
-    builds = features.groupBy("dataset_id").agg(F.countDistinct(F.when(F.col("build").isin(*BUILDS), F.col("build"))).alias("n_builds"))
-    rows = features.join(builds, "dataset_id").join(designs, "dataset_id").join(mappings, ["dataset_id", "feature_id"], "left").crossJoin(policy)
+    ruled = designs.join(builds(features), "dataset_id")
+    ruled = ruled.join(policy, "dataset_id") if "dataset_id" in policy.columns else ruled.crossJoin(policy)
+    rows = features.join(mappings, ["dataset_id", "feature_id"], "left").join(ruled, "dataset_id")
     has_region = F.col("chrom").isNotNull()
-    blocked = _rank(F.col("confounding")) >= _rank(F.col("block_level"))
+    level = lambda c: _rank(F.col(c))
+    limit = _rank(F.col("block_level"))
+    missing = [F.col("block_missing_context") & (F.col(c) == NO_CONTEXT) for c in contexts]
+    blocked = [level(c) >= limit for c in contexts]
+    stopped = F.lit(False)
+    for x in (*missing, *blocked):
+        stopped = stopped | x
+    one = F.col("least") == 1
     steps: list[tuple[Column, str, str]] = [
         (has_region & F.col("build").isNull(), "001", "excluded_coordinate_ambiguity"),
         (has_region & (~F.col("build").isin(*BUILDS) | (F.col("n_builds") > 1)), "002", "excluded_coordinate_ambiguity"),
         (F.col("design_blocked"), "003", "excluded_insufficient_design"),
-        (F.col("least") < F.col("min_replicates"), "004", "excluded_qc_failure"),
+        ((F.col("least") < F.col("min_replicates")) | (one & (F.col("n1_policy") == "excluded")), "004", "excluded_qc_failure"),
+        (one & (F.col("n1_policy") == "review_required"), "004", "exploratory_only"),
         (F.col("missing_fraction") >= F.col("max_missing"), "005", "excluded_qc_failure"),
         (F.col("non_finite"), "006", "excluded_qc_failure"),
-        (blocked, "007", "exploratory_only"),
+        (stopped, "007", "exploratory_only"),
         (F.coalesce("ambiguous", F.lit(False)), "008", "excluded_mapping_failure"),
     ]
     notes = [
-        (2, "EPIW001", has_region & (F.col("coord_system") != "0based_half_open")),
-        (3, "EPIW005", F.col("levels") < F.col("preferred_levels")),
-        (4, "EPIW006", F.col("least") < F.col("preferred_replicates")),
-        (5, "EPIW002", F.col("missing_fraction") >= F.col("warn_missing")),
-        (7, "EPIW004", F.col("confounding").isin("possible", "likely", "dominant") & ~blocked),
-        (8, "EPIW003", F.col("feature_class").isin(*PEAK_CLASSES)),
-        (8, "EPIW007", (F.col("method") == "nearest_gene") & (F.col("n_genes") > 0)),
+        (2, "EPIW001_COORDINATE_SYSTEM_NONSTANDARD", has_region & (convention(F.col("coord_system")) != HALF_OPEN)),
+        (3, "EPIW005_BELOW_PREFERRED_DOSE_GROUPS", F.col("levels") < F.col("preferred_levels")),
+        (5, "EPIW006_BELOW_PREFERRED_REPLICATES", F.col("least") < F.col("preferred_replicates")),
+        (6, "EPIW002_ELEVATED_MISSINGNESS", F.col("missing_fraction") >= F.col("warn_missing")),
+        *((8, f"EPIW004_{c.upper()}_CONFOUNDING", F.col(c).isin(*LEVELS[1:4]) & ~b) for c, b in zip(contexts, blocked)),
+        (9, "EPIW003_PROXIMITY_NOT_CAUSALITY", F.col("feature_class").isin(*PEAK_CLASSES)),
+        (9, "EPIW007_NEAREST_GENE_ONLY", (F.col("method") == "nearest_gene") & (F.col("n_genes") > 0)),
     ]
-    fired = F.lit(9)
+    last = len(steps) + 1
+    fired = F.lit(last)
     for i in range(len(steps), 0, -1):
         fired = F.when(F.coalesce(steps[i - 1][0], F.lit(False)), i).otherwise(fired)
     rows = rows.withColumn("fired", fired)
@@ -73,7 +115,7 @@ def public_status(decided: DataFrame) -> DataFrame:
         .when((s == "excluded_qc_failure") & (r == "005"), "excluded_high_missingness").when((s == "excluded_qc_failure") & (r == "006"), "excluded_non_numeric_response")
         .when((s == "excluded_qc_failure") & (r == "004"), "excluded_insufficient_design").when(s == "excluded_mapping_failure", "excluded_mapping_ambiguous").otherwise(s)
     )
-    rule = F.when(F.col("public") == "accepted_for_pod", "allow").when(F.col("public") == "accepted_with_caveats", "allow_with_warning").when(F.col("public") == "review_required", "review").when(F.col("public") == "exploratory_only", "exploratory").otherwise("block")
+    rule = F.when(F.col("public") == "accepted_for_pod", "allow").when(F.col("public") == "accepted_with_caveats", "allow_with_warning").when(F.col("public") == "review_required", "review_required").when(F.col("public") == "exploratory_only", "exploratory_only").otherwise("block")
     return decided.withColumn("public", public).withColumn("use_rule", rule).withColumn("decision_id", stable_id(F.col("policy_id"), F.col("dataset_id"), F.col("feature_id"), F.col("rule")))
 
 
@@ -91,15 +133,21 @@ def explain(decided: DataFrame) -> DataFrame:
 
 
 def summary(public: DataFrame, blocking: DataFrame) -> DataFrame:
-    """Per policy and dataset: decisions by status, worst use rule (block where a blocking finding exists)."""
-    order = F.array(*map(F.lit, ("allow", "allow_with_warning", "exploratory", "review", "block")))
-    per = public.groupBy("policy_id", "dataset_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "accepted_for_pod").alias("n_accepted"), F.count_if(F.col("status") == "accepted_with_caveats").alias("n_caveats"),
-        F.count_if(F.col("status").startswith("excluded")).alias("n_excluded"), F.max(F.array_position(order, F.col("use_rule"))).alias("worst"),
+    """Per policy and dataset: decisions by public status, exclusions by reason (as text), worst use rule (block where a
+    blocking finding exists), whether a review is needed, and an id that follows from all these."""
+    order = F.array(*map(F.lit, ("allow", "allow_with_warning", "review_required", "exploratory_only", "block")))
+    p = F.col("public")
+    named = ("accepted_for_pod", "accepted_with_caveats", "review_required", "exploratory_only")
+    by = public.groupBy("policy_id", "dataset_id", "public").agg(F.count("*").alias("k"), F.max(F.array_position(order, F.col("use_rule"))).alias("worst"), F.bool_or(~F.col("rule").isin("009", "010")).alias("review"))
+    n = lambda s: F.coalesce(F.sum(F.when(p == s, F.col("k"))), F.lit(0))
+    reasons = F.array_sort(F.collect_list(F.when(~p.isin(*named), F.concat(p, F.lit(":"), F.col("k").cast("string")))))
+    per = by.groupBy("policy_id", "dataset_id").agg(
+        F.sum("k").alias("n"), n(named[0]).alias("n_accepted"), n(named[1]).alias("n_caveats"), n(named[2]).alias("n_review"), n(named[3]).alias("n_exploratory"),
+        F.coalesce(F.sum(F.when(~p.isin(*named), F.col("k"))), F.lit(0)).alias("n_excluded"), F.concat_ws(",", reasons).alias("excluded_by_reason"), F.max("worst").alias("worst"), F.bool_or("review").alias("needs_review"),
     )
     out = per.join(blocking.select("dataset_id").distinct().withColumn("b", F.lit(True)), "dataset_id", "left")
-    rule = F.when(F.col("b"), "block").otherwise(F.element_at(order, F.col("worst").cast("int")))
-    return out.select("policy_id", "dataset_id", "n", "n_accepted", "n_caveats", "n_excluded", rule.alias("use_rule"))
+    out = out.withColumn("use_rule", F.when(F.col("b"), "block").otherwise(F.element_at(order, F.col("worst").cast("int")))).drop("b", "worst")
+    return out.withColumn("summary_id", stable_id(*(F.col(c).cast("string") for c in ("dataset_id", "n", "n_accepted", "n_caveats", "n_review", "n_exploratory", "n_excluded", "use_rule", "needs_review", "policy_id"))))
 
 
 def rule_counts(decided: DataFrame) -> DataFrame:

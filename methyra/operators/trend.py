@@ -1,7 +1,8 @@
 """Ordered-trend tests over dose: Jonckheere-Terpstra statistic, exact and sampled permutation p-values, families.
 
 The null distribution depends on group sizes and the pattern of ties alone, so it is worked out once per distinct
-pattern and joined back to features.
+pattern and joined back to features. Data sets that break the test's assumptions, and features with missing values, are
+not tested; their blockers say why.
 """
 
 from __future__ import annotations
@@ -14,44 +15,98 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .qc import present
-
 EXACT_LIMIT, RESAMPLES, BOOTSTRAPS, SEED = 50_000, 4_999, 1_999, 20260727
+#: Pair comparisons that one exact test may take, and by default one family of tests.
+MOST_COMPARISONS = 100_000_000
+#: Comparisons that the sampling kernel holds at a time.
+BLOCK = 2_000_000
+#: Why a data set or a feature is not tested, in order.
+BLOCKERS = (
+    "structurally_invalid_design", "no_zero_dose_control", "negative_dose_value", "insufficient_distinct_dose_levels", "mixed_dose_units", "multi_timepoint_design",
+    "multi_batch_design_not_supported", "undeclared_or_non_biological_replicate_type", "insufficient_observations_per_dose", "missing_value", "non_finite_value",
+)
+
+
+def design_blockers(samples: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, shared): what in the design of a data set forbids the test. ``invalid`` holds the data sets whose
+    designs failed validation. An unnamed timepoint or batch counts as one of its own."""
+    per = samples.groupBy("dataset_id").agg(
+        F.bool_or(F.col("dose_value") == 0).alias("zero"), F.min("dose_value").alias("least"), F.countDistinct("dose_value").alias("levels"), F.countDistinct(F.coalesce("dose_unit", F.lit(""))).alias("units"),
+        F.countDistinct(F.coalesce(F.col("timepoint_hours").cast("string"), F.lit("unspecified"))).alias("times"), F.countDistinct(F.coalesce("batch_id", F.lit("unspecified"))).alias("batches"),
+        F.bool_or(F.coalesce(F.col("replicate_type") != "biological", F.lit(True))).alias("other"),
+    )
+    bad = F.lit(False)
+    if invalid is not None:
+        per, bad = per.join(invalid.select("dataset_id").distinct().withColumn("bad", F.lit(True)), "dataset_id", "left"), F.coalesce("bad", F.lit(False))
+    tests = [bad, ~F.col("zero"), F.col("least") < 0, F.col("levels") < 3, F.col("units") > 1, F.col("times") > 1, F.col("batches") > 1, F.col("other")]
+    return per.select("dataset_id", F.array_compact(F.array(*(F.when(t, code) for t, code in zip(tests, BLOCKERS)))).alias("shared"))
 
 
 def observations(cells: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per feature: arrays of dose ranks and value ranks (ties share a rank), ordered by dose; with sizes and tie pattern."""
-    own = samples.select("dataset_id", "sample_id", "dose_value")
-    rows = cells.where(present()).join(own, ["dataset_id", "sample_id"])
-    by = Window.partitionBy("dataset_id", "feature_id")
-    ranked = rows.withColumn("g", F.dense_rank().over(by.orderBy("dose_value"))).withColumn("r", F.dense_rank().over(by.orderBy("value")))
-    per = ranked.groupBy("dataset_id", "feature_id").agg(F.array_sort(F.collect_list(F.struct("g", "r", "value"))).alias("obs"))
-    sizes = F.transform(F.array_sort(F.array_distinct("obs.g")), lambda g: F.size(F.filter("obs.g", lambda x: x == g)))
-    ties = F.transform(F.array_sort(F.array_distinct("obs.r")), lambda r: F.size(F.filter("obs.r", lambda x: x == r)))
-    return per.select("dataset_id", "feature_id", F.col("obs.value").alias("values"), F.col("obs.r").alias("ranks"), F.concat_ws("-", sizes.cast("array<string>")).alias("sizes"), F.concat_ws("-", ties.cast("array<string>")).alias("ties"), F.col("obs.g").alias("groups"))
+    """Per feature with cells: dose ranks and value ranks (ties share one) ordered by dose and value, sizes of all dose groups of
+    the design, tie pattern, and what in the values forbids the test (own)."""
+    own = samples.select("dataset_id", "sample_id", "dose_value").distinct()
+    whole = own.groupBy("dataset_id").agg(F.countDistinct("sample_id").alias("n_samples"), F.array_sort(F.collect_set("dose_value")).alias("doses"))
+    x = F.col("value")
+    known = x.isNotNull() & ~F.isnan(x)
+    finite = known & (F.abs(x) <= 1.7976931348623157e308)
+    per = cells.join(own, ["dataset_id", "sample_id"]).groupBy("dataset_id", "feature_id").agg(
+        F.array_sort(F.collect_list(F.when(finite, F.struct("dose_value", "value")))).alias("obs"), F.count_if(known).alias("n_known"), F.count_if(known & ~finite).alias("n_infinite")
+    )
+    rows = per.join(whole, "dataset_id").withColumn("levels", F.array_sort(F.array_distinct("obs.value")))
+    sizes = F.transform("doses", lambda d: F.size(F.filter("obs", lambda o: o["dose_value"] == d)))
+    ties = F.transform("levels", lambda v: F.size(F.filter("obs", lambda o: o["value"] == v)))
+    rows = rows.withColumn("n", sizes)
+    blocked = F.array_compact(F.array(
+        F.when(F.coalesce(F.array_min("n"), F.lit(0)) < 2, BLOCKERS[8]), F.when(F.col("n_known") < F.col("n_samples"), BLOCKERS[9]), F.when(F.col("n_infinite") > 0, BLOCKERS[10]),
+    ))
+    place = lambda among, field: F.transform("obs", lambda o: F.array_position(among, o[field]).cast("int"))
+    return rows.select(
+        "dataset_id", "feature_id", F.col("obs.value").alias("values"), place("levels", "value").alias("ranks"), place("doses", "dose_value").alias("groups"), "n",
+        F.concat_ws("-", F.col("n").cast("array<string>")).alias("sizes"), F.concat_ws("-", ties.cast("array<string>")).alias("ties"), blocked.alias("own"),
+    )
+
+
+def blockers(obs: DataFrame, designs: DataFrame) -> DataFrame:
+    """Adds ``blockers``, joined by commas; empty for features that may be tested."""
+    return obs.join(designs, "dataset_id").withColumn("blockers", F.concat_ws(",", "shared", "own")).drop("shared", "own")
 
 
 def statistic(obs: DataFrame) -> DataFrame:
     """Adds twice the statistic (ties count one), twice its maximum, and the effect in [-1, 1]."""
     score = F.expr(
-        "aggregate(sequence(0, size(groups) - 1), 0, (t, i) -> t + aggregate(sequence(0, size(groups) - 1), 0, (u, j) -> "
-        "u + CASE WHEN groups[i] < groups[j] THEN CASE WHEN ranks[i] < ranks[j] THEN 2 WHEN ranks[i] = ranks[j] THEN 1 ELSE 0 END ELSE 0 END))"
+        "aggregate(sequence(1, size(groups)), 0, (t, i) -> t + aggregate(slice(sequence(1, size(groups)), i, size(groups)), 0, (u, j) -> "
+        "u + CASE WHEN groups[i - 1] < groups[j - 1] THEN CASE WHEN ranks[i - 1] < ranks[j - 1] THEN 2 WHEN ranks[i - 1] = ranks[j - 1] THEN 1 ELSE 0 END ELSE 0 END))"
     )
-    pairs = F.expr("aggregate(sequence(0, size(groups) - 1), 0, (t, i) -> t + size(filter(groups, g -> g > groups[i])))")
-    out = obs.withColumn("doubled", score).withColumn("doubled_max", pairs * 2)
+    total = F.expr("aggregate(n, 0, (t, x) -> t + x)")
+    pairs = (total * total - F.expr("aggregate(n, 0, (t, x) -> t + x * x)")) / 2
+    out = obs.withColumn("doubled", F.when(F.size("groups") > 0, score).otherwise(0)).withColumn("doubled_max", (pairs * 2).cast("int"))
     return out.withColumn("effect", F.try_divide(F.col("doubled") * 2.0, "doubled_max") - 1.0)
 
 
-def blockers(obs: DataFrame, least_groups: int = 3, least_each: int = 2) -> DataFrame:
-    n = F.transform(F.split("sizes", "-"), lambda x: x.cast("int"))
-    return obs.withColumn("blocker", F.when(F.size(n) < least_groups, "too_few_dose_levels").when(F.array_min(n) < least_each, "too_few_values"))
+def mode(stats: DataFrame, resamples: int = RESAMPLES, limit: int = EXACT_LIMIT) -> DataFrame:
+    """Adds the number of label allocations and how the p-value is to be found: exact or monte_carlo."""
+    ways = F.expr("aggregate(n, named_struct('t', 1D, 'k', 0), (a, x) -> named_struct('t', aggregate(sequence(1, greatest(x, 1)), a.t, (t, i) -> t * (a.k + i) / i), 'k', a.k + x), a -> a.t)")
+    size = F.size("groups")
+    exact_ = (F.col("allocations") <= limit) & (F.col("allocations") <= resamples + 1) & (F.col("allocations") * (size * (size - 1) / 2) <= MOST_COMPARISONS)
+    return stats.withColumn("allocations", F.round(ways)).withColumn("mode", F.when(exact_, "exact").otherwise("monte_carlo"))
 
 
 def allocations(sizes: str) -> int:
+    """The number of label allocations of sizes such as 3-3-3, for checks of ``mode``."""
     ns = [int(x) for x in sizes.split("-")]
     return math.factorial(sum(ns)) // math.prod(math.factorial(x) for x in ns)
 
 
+def work(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTSTRAPS) -> DataFrame:
+    """Per data set the pair comparisons that resampling all its features would take, by those of its first feature that
+    may be tested, and whether they exceed ``MOST_COMPARISONS``."""
+    n = F.size("groups")
+    each = resamples * (n * (n - 1) / 2) + bootstraps * F.col("doubled_max") / 2
+    per = stats.groupBy("dataset_id").agg(F.count("*").alias("n_features"), F.min_by(F.when(F.col("blockers") == "", each), F.when(F.col("blockers") == "", F.col("feature_id"))).alias("each"))
+    return per.select("dataset_id", "n_features", (F.col("n_features") * F.col("each")).alias("comparisons")).withColumn("over", F.coalesce(F.col("comparisons") > MOST_COMPARISONS, F.lit(False)))
+
+
 def _distribution(sizes: list[int], ties: list[int]) -> dict[int, int]:
     """Doubled statistic -> allocations, by adding tie classes one after another.
 
@@ -104,9 +159,16 @@ def _doubled(groups: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return 2 * (a < b).sum(1) + (a == b).sum(1)
 
 
+def _blocks(rng: np.random.Generator, groups: np.ndarray, count: int, draw) -> np.ndarray:
+    """Doubled statistics of ``count`` drawn rows, a bounded number of comparisons at a time."""
+    step = max(1, BLOCK // max(1, len(groups) ** 2))
+    return np.concatenate([_doubled(groups, draw(min(step, count - at))) for at in range(0, count, step)])
+
+
 def sampled(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTSTRAPS, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
-    """Monte-Carlo permutation p-values (one added to both counts), their resolution, and a dose-stratified percentile
-    interval of the effect. Each feature has its own stream of random numbers, so results do not depend on partitions."""
+    """Monte-Carlo permutation p-values (one added to both counts), their resolution and standard error, and a
+    dose-stratified percentile interval of the effect. Each feature has its own stream of random numbers, so results do
+    not depend on partitions."""
 
     def run(frames):
         import xxhash
@@ -116,27 +178,57 @@ def sampled(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOT
             for r in pdf.itertuples():
                 rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(f"{r.dataset_id}|{r.feature_id}".encode())])
                 g, k = np.asarray(r.groups), np.asarray(r.ranks)
-                got = _doubled(g, rng.permuted(np.tile(k, (resamples, 1)), axis=1))
+                got = _blocks(rng, g, resamples, lambda n: rng.permuted(np.tile(k, (n, 1)), axis=1))
                 up, down = (got >= r.doubled).sum(), (got <= r.doubled).sum()
                 far = np.abs(got - r.doubled_max / 2) >= abs(r.doubled - r.doubled_max / 2) - 1e-9
-                picks = np.empty((bootstraps, len(k)), int)
-                for level in np.unique(g):
-                    at = np.flatnonzero(g == level)
-                    picks[:, at] = rng.choice(at, (bootstraps, len(at)))
-                effect = 2 * _doubled(g, k[picks]) / r.doubled_max - 1
+                levels = [np.flatnonzero(g == level) for level in np.unique(g)]
+
+                def picks(n):
+                    at = np.empty((n, len(k)), int)
+                    for own in levels:
+                        at[:, own] = rng.choice(own, (n, len(own)))
+                    return k[at]
+
+                effect = 2 * _blocks(rng, g, bootstraps, picks) / r.doubled_max - 1
                 low, high = np.quantile(effect, [(1 - confidence) / 2, (1 + confidence) / 2])
-                rows.append((r.dataset_id, r.feature_id, (up + 1) / (resamples + 1), (down + 1) / (resamples + 1), (far.sum() + 1) / (resamples + 1), 1 / (resamples + 1), low, high))
-            yield pd.DataFrame(rows, columns=["dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution", "effect_low", "effect_high"])
+                two = (far.sum() + 1) / (resamples + 1)
+                rows.append((r.dataset_id, r.feature_id, (up + 1) / (resamples + 1), (down + 1) / (resamples + 1), two, 1 / (resamples + 1), (two * (1 - two) / (resamples + 1)) ** 0.5, low, high))
+            yield pd.DataFrame(rows, columns=["dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution", "standard_error", "effect_low", "effect_high"])
 
     cols = stats.select("dataset_id", "feature_id", "groups", "ranks", "doubled", "doubled_max")
-    return cols.mapInPandas(run, "dataset_id string, feature_id string, p_up double, p_down double, p_two double, resolution double, effect_low double, effect_high double")
+    return cols.mapInPandas(run, "dataset_id string, feature_id string, p_up double, p_down double, p_two double, resolution double, standard_error double, effect_low double, effect_high double")
+
+
+def tested(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTSTRAPS) -> DataFrame:
+    """p-values of features without blockers, exact or sampled as ``mode`` says."""
+    rows = mode(stats.where("blockers = ''"), resamples)
+    columns = ["dataset_id", "feature_id", "effect", "mode", "allocations", "p_up", "p_down", "p_two", "resolution"]
+    one = exact(rows.where("mode = 'exact'")).withColumn("resolution", 1 / F.col("total")).select(*columns)
+    many = rows.where("mode = 'monte_carlo'")
+    drawn = sampled(many.repartition("dataset_id", "feature_id"), resamples, bootstraps).select("dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution")
+    return one.unionByName(many.select(*columns[:5]).join(drawn, ["dataset_id", "feature_id"]).select(*columns))
+
+
+def family(stats: DataFrame, tests: DataFrame, threshold: float = 0.05, method: str = "by", most: float | None = None) -> DataFrame:
+    """Every feature of a data set, the family: tested ones with adjusted p-value and evidence, the others with blockers.
+    With ``most``, a family whose resampling would take more comparisons fails the query, naming the data set."""
+    label = F.when(F.col("q") <= threshold, "fdr_below_threshold").otherwise("not_below_threshold")
+    done = adjust(tests, "p_two", ["dataset_id"], ["feature_id"], method).select("dataset_id", "feature_id", "p_two", "q", label.alias("evidence"))
+    rows = stats.select("dataset_id", "feature_id", "effect", "blockers")
+    if most is not None:
+        fail = F.raise_error(F.concat(F.lit("trend family over the resampling budget: "), "dataset_id"))
+        over = work(stats).select("dataset_id", F.when(F.col("comparisons") > most, fail.cast("boolean")).otherwise(True).alias("within"))
+        rows = rows.join(over, "dataset_id").where("within").drop("within")
+    return rows.join(done, ["dataset_id", "feature_id"], "left").withColumn("status", F.when(F.col("blockers") == "", "assessed").otherwise("not_assessed"))
 
 
 def adjust(df: DataFrame, p: str, family: list[str], tie: list[str], method: str = "by") -> DataFrame:
-    """Step-up adjustment within families: adds ``q``. The running minimum is a frame from the row to the family's end."""
+    """Step-up adjustment within families: adds ``rank`` and ``q``. The running minimum starts from the largest rank, so
+    each row is met once; a family is sorted in one task, which spills."""
     of = Window.partitionBy(*family)
-    ranked = df.withColumn("rank", F.row_number().over(of.orderBy(p, *tie))).withColumn("m", F.count("*").over(of))
+    sizes = df.groupBy(*family).agg(F.count("*").alias("m"))
+    ranked = df.withColumn("rank", F.row_number().over(of.orderBy(p, *tie))).join(sizes, family)
     factor = F.lit(1.0) if method == "bh" else F.sum(1.0 / F.col("rank")).over(of)
     scaled = ranked.withColumn("scaled", F.col(p) * F.col("m") * factor / F.col("rank"))
-    least = F.min("scaled").over(of.orderBy("rank").rowsBetween(0, Window.unboundedFollowing))
+    least = F.min("scaled").over(of.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
     return scaled.withColumn("q", F.least(F.lit(1.0), least)).drop("scaled", "m")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import chromosomes
 from ..functions import scalars as fx
 from ..operators import classes, context, design, genes, ingest, qc, qualify, summaries, trend
 from ..sources import tables
@@ -128,43 +129,78 @@ def w4_feature_page(spark, d):
 # -- trends --------------------------------------------------------------------------------------------------------
 
 
-def _trend(spark, d):
-    obs = trend.blockers(trend.observations(b.cells(spark, d, 9), b.samples(spark, d, 9, 3)))
-    return trend.statistic(obs)
+def _trend(spark, d, k: int = 9, groups: int = 3):
+    samples = b.trend_samples(spark, d, k, groups)
+    return trend.statistic(trend.blockers(trend.observations(b.cells(spark, d, k), samples), trend.design_blockers(samples)))
 
 
-_JT = """o AS (SELECT dataset_id, feature_id, dose_value, value FROM cells JOIN samples USING (dataset_id, sample_id)),
-n AS (SELECT dataset_id, feature_id, count(DISTINCT dose_value) AS k, min(c) AS least FROM (SELECT dataset_id, feature_id, dose_value, count(*) AS c FROM o GROUP BY ALL) GROUP BY ALL),
-jt AS (SELECT x.dataset_id, x.feature_id, sum(CASE WHEN x.value < y.value THEN 2 WHEN x.value = y.value THEN 1 ELSE 0 END) AS doubled, 2 * count(*) AS doubled_max
-  FROM o x JOIN o y ON x.dataset_id = y.dataset_id AND x.feature_id = y.feature_id AND x.dose_value < y.dose_value GROUP BY 1, 2)"""
+def _jt(cells: str) -> str:
+    return f"""{cells}, {b.TREND_SAMPLES}, o AS (SELECT c.dataset_id, c.feature_id, dose_value, value FROM cells c JOIN ts USING (dataset_id, sample_id)),
+sh AS (SELECT dataset_id, concat_ws(',', CASE WHEN NOT bool_or(dose_value = 0) THEN 'no_zero_dose_control' END, CASE WHEN count(DISTINCT dose_value) < 3 THEN 'insufficient_distinct_dose_levels' END, CASE WHEN count(DISTINCT dose_unit) > 1 THEN 'mixed_dose_units' END,
+  CASE WHEN count(DISTINCT coalesce(timepoint_hours, -1)) > 1 THEN 'multi_timepoint_design' END, CASE WHEN count(DISTINCT batch_id) > 1 THEN 'multi_batch_design_not_supported' END, CASE WHEN bool_or(replicate_type <> 'biological') THEN 'undeclared_or_non_biological_replicate_type' END) AS shared, count(*) AS n_samples FROM ts GROUP BY 1),
+lv AS (SELECT DISTINCT dataset_id, dose_value FROM ts), fe AS (SELECT DISTINCT dataset_id, feature_id FROM o),
+n AS (SELECT fe.dataset_id, fe.feature_id, min(coalesce(c, 0)) AS least, sum(coalesce(c, 0)) AS n_known, (sum(coalesce(c, 0)) * sum(coalesce(c, 0)) - sum(coalesce(c, 0) * coalesce(c, 0)))::INT AS doubled_max FROM fe JOIN lv USING (dataset_id) LEFT JOIN (SELECT dataset_id, feature_id, dose_value, count(*) AS c FROM o GROUP BY ALL) g ON g.dataset_id = fe.dataset_id AND g.feature_id = fe.feature_id AND g.dose_value = lv.dose_value GROUP BY 1, 2),
+jt AS (SELECT x.dataset_id, x.feature_id, sum(CASE WHEN x.value < y.value THEN 2 WHEN x.value = y.value THEN 1 ELSE 0 END) AS doubled
+  FROM o x JOIN o y ON x.dataset_id = y.dataset_id AND x.feature_id = y.feature_id AND x.dose_value < y.dose_value GROUP BY 1, 2),
+tr AS (SELECT n.dataset_id, n.feature_id, concat_ws(',', nullif(shared, ''), CASE WHEN least < 2 THEN 'insufficient_observations_per_dose' END, CASE WHEN n_known < n_samples THEN 'missing_value' END) AS blockers, coalesce(doubled, 0)::INT AS doubled, doubled_max, coalesce(doubled, 0) * 2.0::DOUBLE / doubled_max - 1 AS effect
+  FROM n JOIN sh USING (dataset_id) LEFT JOIN jt USING (dataset_id, feature_id))"""
 
 
-@query(f"""WITH {b.CELLS9}, {_JT.replace("count(DISTINCT dose_value) AS k, min(c) AS least", "count(*) AS k, min(c) AS least")}
-SELECT n.dataset_id, n.feature_id, CASE WHEN k < 3 THEN 'too_few_dose_levels' WHEN least < 2 THEN 'too_few_values' END AS blocker, coalesce(doubled, 0)::INT AS doubled, coalesce(doubled_max, 0)::INT AS doubled_max, round(doubled * 2.0 / doubled_max - 1, 6) AS effect
-FROM n LEFT JOIN jt USING (dataset_id, feature_id)""")
+@query(f"WITH {_jt(b.CELLS9)} SELECT dataset_id, feature_id, blockers, doubled, doubled_max, round(effect, 6) AS effect FROM tr")
 def t2_ordered_statistic(spark, d):
-    return rounded(_trend(spark, d), "effect").select("dataset_id", "feature_id", "blocker", "doubled", "doubled_max", "effect")
+    return rounded(_trend(spark, d), "effect").select("dataset_id", "feature_id", "blockers", "doubled", "doubled_max", "effect")
 
 
-def _exact(spark, d):
-    return trend.exact(_trend(spark, d).where("blocker is null"))
+@query(f"WITH {b.CELLS9}, {b.TREND_SAMPLES} SELECT dataset_id, concat_ws(',', CASE WHEN count(DISTINCT dose_unit) > 1 THEN 'mixed_dose_units' END, CASE WHEN count(DISTINCT coalesce(timepoint_hours, -1)) > 1 THEN 'multi_timepoint_design' END, CASE WHEN count(DISTINCT batch_id) > 1 THEN 'multi_batch_design_not_supported' END, CASE WHEN bool_or(replicate_type <> 'biological') THEN 'undeclared_or_non_biological_replicate_type' END) AS shared FROM ts GROUP BY 1")
+def t1_design_blockers(spark, d):
+    return trend.design_blockers(b.trend_samples(spark, d, 9, 3)).select("dataset_id", F.concat_ws(",", "shared").alias("shared"))
 
 
-@query()
+# every allocation of nine labels to three groups of three, against every pattern of ties; values stand for doses in order
+_EXACT = f"""{_jt(b.CELLS9)}, ok AS (SELECT * FROM tr WHERE blockers = ''), rk AS (SELECT dataset_id, feature_id, string_agg(r, '-' ORDER BY r) AS pattern FROM (SELECT *, dense_rank() OVER (PARTITION BY dataset_id, feature_id ORDER BY value) AS r FROM o JOIN ok USING (dataset_id, feature_id)) GROUP BY 1, 2),
+lab AS (SELECT a // 6561 % 3 AS l1, a // 2187 % 3 AS l2, a // 729 % 3 AS l3, a // 243 % 3 AS l4, a // 81 % 3 AS l5, a // 27 % 3 AS l6, a // 9 % 3 AS l7, a // 3 % 3 AS l8, a % 3 AS l9 FROM range(19683) x(a)),
+al AS (SELECT row_number() OVER () AS a, [l1, l2, l3, l4, l5, l6, l7, l8, l9] AS ls FROM lab WHERE len(list_filter([l1, l2, l3, l4, l5, l6, l7, l8, l9], lambda x: x = 0)) = 3 AND len(list_filter([l1, l2, l3, l4, l5, l6, l7, l8, l9], lambda x: x = 1)) = 3),
+ap AS (SELECT a, i, j FROM al, range(1, 10) p(i), range(1, 10) q(j) WHERE ls[i] < ls[j]),
+pt AS (SELECT pattern, string_split(pattern, '-')::INT[] AS rs FROM (SELECT DISTINCT pattern FROM rk)),
+ps AS (SELECT pattern, i, j, CASE WHEN rs[i] < rs[j] THEN 2 WHEN rs[i] = rs[j] THEN 1 ELSE 0 END AS w FROM pt, range(1, 10) p(i), range(1, 10) q(j)),
+di AS (SELECT pattern, s, count(*) AS c FROM (SELECT pattern, a, sum(w) AS s FROM ps JOIN ap USING (i, j) GROUP BY 1, 2) GROUP BY 1, 2),
+ex AS (SELECT ok.dataset_id, ok.feature_id, ok.doubled, effect, sum(c)::DOUBLE AS total, sum(c) FILTER (s >= doubled) / sum(c) AS p_up, sum(c) FILTER (s <= doubled) / sum(c) AS p_down, sum(c) FILTER (abs(s - 27) >= abs(doubled - 27)) / sum(c) AS p_two
+  FROM ok JOIN rk USING (dataset_id, feature_id) JOIN di USING (pattern) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {_EXACT} SELECT dataset_id, feature_id, doubled, total, round(p_up, 6) AS p_up, round(p_down, 6) AS p_down, round(p_two, 6) AS p_two FROM ex")
 def t3_exact_permutation(spark, d):
-    return rounded(_exact(spark, d), "p_up", "p_down", "p_two").select("dataset_id", "feature_id", "doubled", "total", "p_up", "p_down", "p_two")
+    out = trend.exact(trend.mode(_trend(spark, d).where("blockers = ''")).where("mode = 'exact'"))
+    return rounded(out, "p_up", "p_down", "p_two").select("dataset_id", "feature_id", "doubled", "total", "p_up", "p_down", "p_two")
 
 
 @query()
 def t4_sampled_permutation(spark, d):
-    return trend.sampled(_trend(spark, d).where("blocker is null").repartition("dataset_id", "feature_id"))
+    stats = trend.mode(_trend(spark, d, 12, 4).where("blockers = ''")).where("mode = 'monte_carlo'")
+    return trend.sampled(stats.repartition("dataset_id", "feature_id"))
 
 
-@query()
+_WAYS = "SELECT dataset_id, factorial(sum(c)::INT)::DOUBLE / product(factorial(c::INT)::DOUBLE) AS allocations, sum(c) AS k FROM (SELECT dataset_id, dose_value, count(*) AS c FROM ts GROUP BY ALL) GROUP BY 1"
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (WITH {_jt(c)} SELECT dataset_id, feature_id, round(allocations) AS allocations, CASE WHEN round(allocations) <= 5000 AND round(allocations) * k * (k - 1) / 2 <= 1e8 THEN 'exact' ELSE 'monte_carlo' END AS mode FROM tr JOIN ({_WAYS}) USING (dataset_id) WHERE blockers = '')""" for c in (b.CELLS12, b.CELLS9)))
+def t5_test_mode(spark, d):
+    both = _trend(spark, d, 12, 4).unionByName(_trend(spark, d))
+    return trend.mode(both.where("blockers = ''")).select("dataset_id", "feature_id", "allocations", "mode")
+
+
+@query(f"""WITH {_EXACT}, fr AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY p_two, feature_id) AS rank, count(*) OVER (PARTITION BY dataset_id) AS m FROM ex), fh AS (SELECT *, sum(1.0::DOUBLE / rank) OVER (PARTITION BY dataset_id) AS h FROM fr),
+fq AS (SELECT *, least(1, min(p_two * m * h / rank) OVER (PARTITION BY dataset_id ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM fh)
+SELECT tr.dataset_id, tr.feature_id, round(tr.effect, 6) AS effect, blockers, CASE WHEN blockers = '' THEN 'assessed' ELSE 'not_assessed' END AS status, round(p_two, 6) AS p_two, round(q, 6) AS q, CASE WHEN q <= 0.05 THEN 'fdr_below_threshold' WHEN q IS NOT NULL THEN 'not_below_threshold' END AS evidence FROM tr LEFT JOIN fq USING (dataset_id, feature_id)""")
 def t7_trend_family(spark, d):
-    out = trend.adjust(_exact(spark, d), "p_two", ["dataset_id"], ["feature_id"])
-    label = F.when(F.col("q") <= 0.05, F.when(F.col("effect") > 0, "increasing").otherwise("decreasing")).otherwise("not_significant")
-    return out.select("dataset_id", "feature_id", "effect", "p_two", "q", label.alias("evidence"))
+    stats = _trend(spark, d)
+    return rounded(trend.family(stats, trend.tested(stats)), "effect", "p_two", "q")
+
+
+@query(f"""WITH {_jt(b.CELLS9)}, es AS (SELECT dataset_id, arg_min(4999 * (n_known * (n_known - 1) / 2) + 1999 * (tr.doubled_max / 2), feature_id) AS one FROM tr JOIN n USING (dataset_id, feature_id) WHERE blockers = '' GROUP BY 1)
+SELECT dataset_id, n_features, (n_features * one)::DOUBLE AS comparisons, coalesce(n_features * one > 1e8, false) AS over FROM (SELECT dataset_id, count(*) AS n_features FROM tr GROUP BY 1) LEFT JOIN es USING (dataset_id)""")
+def t7_work_budget(spark, d):
+    return trend.work(_trend(spark, d))
 
 
 @query("""WITH f AS (SELECT p_partkey % 5 AS family, p_partkey AS id, (p_partkey * 37 % 1009 + 1) / 1010.0 AS p FROM part),
@@ -272,34 +308,69 @@ def s6_design_table(spark, d):
 # -- regions and genes ---------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, CASE WHEN ok THEN s END AS canonical_start, ok AS valid, CASE WHEN g THEN chrom || ':' || "start" || '-' || "end" END AS region FROM (
-  SELECT *, "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) AS s, coalesce(coord_system IS NOT NULL AND "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) >= 0, false) AS ok,
-  coalesce(chrom IS NOT NULL AND build IN ('hg38', 'mm10') AND coord_system IS NOT NULL, false) AS g FROM regions)""")
+@query(f"""WITH {b.REGIONS}, r AS (SELECT *, "start" - CASE WHEN coord_system = 'gff_gtf_1based_closed' THEN 1 WHEN coord_system IN ('ucsc_bed_0based_half_open', 'platform_native_probe') THEN 0 END AS s FROM regions),
+e AS (SELECT *, CASE WHEN coord_system IS NULL THEN 'no coordinate system' WHEN coord_system = 'bed' THEN 'unsupported coordinate system' WHEN coord_system LIKE 'no_coord%' THEN 'no coordinates to normalise' WHEN s < 0 THEN 'negative start' WHEN "end" <= s THEN 'empty interval' END AS error FROM r)
+SELECT dataset_id, feature_id, CASE WHEN error IS NULL THEN s END AS canonical_start, CASE WHEN error IS NULL THEN s + 1 END AS target_start, error, CASE WHEN error IS NULL THEN CASE WHEN coord_system LIKE 'gff%' THEN 'start shifted by -1' ELSE 'unchanged' END END AS operation FROM e""")
 def p10_coordinates(spark, d):
-    r = genes.normalised(b.regions(spark, d))
-    area = fx.region(F.col("chrom"), F.col("start"), F.col("end"), F.col("build"), F.col("coord_system"))
-    return r.withColumn("r", area).select("dataset_id", "feature_id", "canonical_start", "valid", F.when(F.col("r").isNotNull(), F.concat("r.chrom", F.lit(":"), "r.start", F.lit("-"), "r.end")).alias("region"))
+    return genes.normalised(b.regions(spark, d), fx.ONE_BASED).select("dataset_id", "feature_id", "canonical_start", "target_start", "error", "operation")
+
+
+@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, CASE WHEN regexp_full_match(chrom, '(chr)?[0-9XYM]+') AND "end" > "start" AND build IN ('hg38', 'mm10') AND coord_system IN ('ucsc_bed_0based_half_open', 'gff_gtf_1based_closed', 'platform_native_probe')
+  THEN chrom || ':' || "start" || '-' || "end" || ' ' || build || ' ' || CASE WHEN coord_system LIKE 'gff%' THEN '1-based-closed' ELSE '0-based-half-open' END END AS region FROM regions""")
+def p9_region(spark, d):
+    area = fx.region(F.col("chrom"), F.col("start"), F.col("end"), F.col("build"), fx.convention(F.col("coord_system")))
+    text = F.concat("r.chrom", F.lit(":"), "r.start", F.lit("-"), "r.end", F.lit(" "), "r.build", F.lit(" "), "r.system")
+    return b.regions(spark, d).withColumn("r", area).select("dataset_id", "feature_id", F.when(F.col("r").isNotNull(), text).alias("region"))
+
+
+@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, chrom AS original, CASE WHEN chrom LIKE 'chr%' THEN chrom ELSE 'chr' || chrom END AS canonical FROM regions WHERE chrom NOT LIKE 'chr%'""")
+def p11_alias_changes(spark, d):
+    r = b.regions(spark, d).withColumn("canonical", fx.chromosome(F.col("chrom"))).where("canonical <> chrom")
+    return r.select("dataset_id", "feature_id", F.col("chrom").alias("original"), "canonical")
 
 
-@query("""SELECT p_partkey AS id, 'chr' || CASE WHEN p_partkey % 25 = 23 THEN 'X' WHEN p_partkey % 25 = 24 THEN 'M' ELSE (p_partkey % 25)::VARCHAR END AS chrom, round(floor((p_retailprice / 7 - 140) * 1e6 + 0.5) / 1e6, 6) AS delta FROM part""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 75 = 0 THEN 'chr0' WHEN p_partkey % 25 = 0 THEN '0' ELSE 'chr' || CASE WHEN p_partkey % 25 = 23 THEN 'X' WHEN p_partkey % 25 = 24 THEN 'M' ELSE (p_partkey % 25)::VARCHAR END END AS chrom, round(floor((p_retailprice / 7 - 140) * 1e6 + 0.5) / 1e6, 6) AS delta FROM part""")
 def p11_aliases_and_rounding(spark, d):
     k = F.col("p_partkey")
     raw = F.when(k % 25 == 23, "X").when((k % 25 == 24) & (k % 2 == 0), "MT").when(k % 25 == 24, "chrMT").when(k % 3 == 0, F.concat(F.lit("chr"), k % 25)).otherwise((k % 25).cast("string"))
     return b.t(spark, d, "part").select(k.alias("id"), fx.chromosome(raw).alias("chrom"), F.round(fx.round_up_half(F.col("p_retailprice") / 7 - 140, 6), 6).alias("delta"))
 
 
-@query(f"""WITH {b.REGIONS}, {b.GENES}, sz AS (SELECT 'hg38' AS build, chrom, max("end") - 5000 AS length FROM genes GROUP BY 2), n AS (SELECT dataset_id, count(DISTINCT build) FILTER (build IN ('hg38', 'mm10')) AS nb FROM regions GROUP BY 1),
-r AS (SELECT regions.*, nb, length, "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) AS s FROM regions JOIN n USING (dataset_id) LEFT JOIN sz USING (build, chrom))
-SELECT dataset_id, feature_id, 'EPI002' AS code, 'error' AS severity FROM r WHERE feature_class <> 'cpg' AND coord_system IS NULL
-UNION ALL SELECT dataset_id, feature_id, 'EPI004_MISSING', 'error' FROM r WHERE chrom IS NOT NULL AND build IS NULL
-UNION ALL SELECT dataset_id, feature_id, 'EPI004_NOT_ALLOWED', 'error' FROM r WHERE build = 'hg17'
-UNION ALL SELECT dataset_id, feature_id, 'EPI004_MIXED', 'error' FROM r WHERE nb > 1
-UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'error' FROM r WHERE length IS NOT NULL AND (s < 0 OR "end" > length OR "end" <= s)
-UNION ALL SELECT dataset_id, feature_id, 'EPI009_UNKNOWN', 'warning' FROM r WHERE chrom IS NOT NULL AND build IS NOT NULL AND length IS NULL
-UNION ALL SELECT dataset_id, feature_id, 'EPI010', 'error' FROM r WHERE feature_class = 'cpg' AND platform IS NULL
-UNION ALL SELECT dataset_id, feature_id, 'EPIW_SYSTEM', 'warning' FROM r WHERE coord_system LIKE 'gff%'""")
+_FOUND = f"""{b.SIZES}, {b.PROVENANCE}, q AS (SELECT regions.*, CASE WHEN chrom LIKE 'chr%' OR chrom IS NULL THEN chrom ELSE 'chr' || chrom END AS named FROM regions),
+r AS (SELECT q.*, length, q.build IN (SELECT sizes.build FROM sizes) AS sized, "start" - (CASE WHEN coord_system LIKE 'gff%' THEN 1 ELSE 0 END) AS s, q.chrom IS NOT NULL AND q.build IS NOT NULL AS placed,
+  modality = 'dna_methylation_array' OR feature_class = 'cpg_methylation' AND measured_identifier IS NOT NULL AS derived FROM q LEFT JOIN sizes ON q.build = sizes.build AND q.named = sizes.chrom),
+fd AS (SELECT dataset_id, feature_id, 'EPI002' AS code, 'no_system' AS kind, 'error' AS severity FROM r WHERE feature_class NOT IN ('cpg_methylation', 'generic_region_feature') AND coord_system IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI002', 'no_coordinates', 'error' FROM r WHERE feature_class NOT IN ('cpg_methylation', 'generic_region_feature') AND coord_system LIKE 'no_coord%'
+UNION ALL SELECT dataset_id, feature_id, 'EPI002', 'unsupported_system', 'error' FROM r WHERE coord_system = 'bed'
+UNION ALL SELECT dataset_id, feature_id, 'EPI004', 'missing_build', 'error' FROM r WHERE chrom IS NOT NULL AND build IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI004', 'unsupported_build', 'error' FROM r WHERE chrom IS NOT NULL AND build = 'hg17'
+UNION ALL SELECT dataset_id, NULL, 'EPI004', 'mixed_builds', 'error' FROM r WHERE chrom IS NOT NULL AND build <> 'hg17' GROUP BY 1 HAVING count(DISTINCT build) > 1
+UNION ALL SELECT dataset_id, NULL, 'EPI004', 'liftover', 'warning' FROM prov WHERE step_name LIKE 'LiftOver%' OR tool_name = 'crossMap'
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'alias', 'warning' FROM r WHERE placed AND named <> chrom
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'build_without_sizes', 'error' FROM r WHERE placed AND NOT sized
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'unknown_chromosome', 'error' FROM r WHERE placed AND sized AND length IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'negative_start', 'error' FROM r WHERE placed AND length IS NOT NULL AND s < 0
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'beyond_end', 'error' FROM r WHERE placed AND "end" > length
+UNION ALL SELECT dataset_id, feature_id, 'EPI009', 'empty_interval', 'error' FROM r WHERE placed AND length IS NOT NULL AND "end" <= s
+UNION ALL SELECT dataset_id, feature_id, 'EPI010', 'no_platform', 'error' FROM r WHERE derived AND platform IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI010', 'no_manifest', 'error' FROM r WHERE derived AND platform IS NOT NULL AND manifest_version IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPI010', 'no_hash', 'warning' FROM r WHERE derived AND platform IS NOT NULL AND manifest_version IS NOT NULL AND annotation_hash IS NULL
+UNION ALL SELECT dataset_id, feature_id, 'EPIW', 'name', 'warning' FROM r WHERE build IN ('hg38', 'mm10') AND chrom NOT LIKE 'chr%'
+UNION ALL SELECT dataset_id, feature_id, 'EPIW', 'convention', 'warning' FROM r WHERE chrom IS NOT NULL AND coord_system LIKE 'gff%')"""
+
+
+def _findings(spark, d):
+    return genes.findings(b.regions(spark, d), chromosomes.sizes(spark), b.provenance(spark, d), aliases=True, need_hash=True)
+
+
+@query(f"WITH {b.REGIONS}, {_FOUND} SELECT * FROM fd")
 def f9_coordinate_findings(spark, d):
-    return genes.findings(b.regions(spark, d), b.sizes(spark, d))
+    return _findings(spark, d)
+
+
+@query(f"WITH {b.REGIONS}, {_FOUND} SELECT dataset_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error') = 0 AS valid, bool_or(code = 'EPI010') AS blocks_interpretation FROM fd GROUP BY 1")
+def f8_dataset_validity(spark, d):
+    return genes.validity(_findings(spark, d))
 
 
 @query(f"""WITH {b.REGIONS}, {b.GENES}, pr AS (SELECT gene_id, chrom, greatest(0, CASE WHEN strand = '-' THEN "end" - 500 ELSE "start" - 2000 END) AS a, CASE WHEN strand = '-' THEN "end" + 2000 ELSE "start" + 500 END AS b FROM genes)
@@ -320,29 +391,38 @@ def j5_nearest_gene(spark, d):
     return genes.nearest(b.regions(spark, d).where("chrom is not null").select("feature_id", "chrom", "start", "end"), b.genes(spark, d))
 
 
-_EVID = "ev AS (SELECT 'P' || (l_partkey % 3000) AS feature_id, 'G' || (l_orderkey % 500) AS gene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'enhancer_target' ELSE 'chromatin_interaction' END AS method, ['exact', 'close', 'distant', 'none'][l_linenumber % 4 + 1] AS \"match\" FROM lineitem WHERE l_quantity > 48)"
+_EVID = "ev AS (SELECT DISTINCT 'P' || l_partkey AS feature_id, 'G' || l_orderkey AS gene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'enhancer_target_from_database' ELSE 'chromatin_interaction_supported' END AS method, ['exact', 'close', 'distant', 'unknown'][l_linenumber % 4 + 1] AS \"match\" FROM lineitem WHERE l_partkey % 3 <> 0)"
 
 
 def _evidence(spark, d):
+    """Database evidence of two parts in three: each line links its part to its order."""
     n = F.col("l_linenumber")
-    return b.t(spark, d, "lineitem").where("l_quantity > 48").select(F.concat(F.lit("P"), F.col("l_partkey") % 3000).alias("feature_id"), F.concat(F.lit("G"), F.col("l_orderkey") % 500).alias("gene_id"), F.when(n % 2 == 0, "enhancer_target").otherwise("chromatin_interaction").alias("method"), F.element_at(F.array(*map(F.lit, ("exact", "close", "distant", "none"))), (n % 4 + 1).cast("int")).alias("match"))
+    return b.t(spark, d, "lineitem").where("l_partkey % 3 <> 0").select(F.concat(F.lit("P"), "l_partkey").alias("feature_id"), F.concat(F.lit("G"), "l_orderkey").alias("gene_id"), F.when(n % 2 == 0, "enhancer_target_from_database").otherwise("chromatin_interaction_supported").alias("method"), b.word(n, "exact", "close", "distant", "unknown").alias("match")).distinct()
 
 
-@query(f"""WITH {b.REGIONS}, {_EVID} SELECT r.feature_id, gene_id, coalesce(method, 'none') AS method, CASE WHEN gene_id IS NULL THEN 'unknown' WHEN "match" IN ('exact', 'close') THEN 'allow' WHEN "match" = 'distant' THEN 'block_rollup' ELSE 'exploratory' END AS use_rule FROM regions r LEFT JOIN ev USING (feature_id)""")
+@query(f"""WITH {b.REGIONS}, {_EVID} SELECT r.feature_id, gene_id, method, coalesce("match", 'unknown') AS "match", CASE WHEN "match" IN ('exact', 'close') THEN 'allow_contextual_gene_linkage_and_pathway_rollup' WHEN "match" = 'distant' THEN 'block_pathway_rollup' ELSE 'exploratory_only' END AS use_rule,
+  CASE WHEN coalesce("match", 'unknown') IN ('distant', 'unknown') THEN 'EPIW005_BIOSAMPLE_CONTEXT_MISMATCH' END AS warning FROM regions r LEFT JOIN ev USING (feature_id)""")
 def j6_database_mapping(spark, d):
     return genes.supported(b.regions(spark, d), _evidence(spark, d))
 
 
-_MAPS = f"""mp AS (SELECT dataset_id, feature_id, gene_id, 'promoter_overlap' AS method, 'high' AS confidence FROM regions r JOIN (SELECT gene_id, chrom, greatest(0, CASE WHEN strand = '-' THEN "end" - 500 ELSE "start" - 2000 END) AS a, CASE WHEN strand = '-' THEN "end" + 2000 ELSE "start" + 500 END AS b FROM genes) g ON r.chrom = g.chrom AND r."start" < b AND a < r."end"
-  UNION ALL SELECT dataset_id, feature_id, gene_id, method, 'medium' FROM regions JOIN ev USING (feature_id)),
-co AS (SELECT dataset_id, feature_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS genes, count(DISTINCT gene_id)::INT AS n_genes, CASE WHEN count(DISTINCT method) > 1 THEN 'multiple_methods' ELSE min(method) END AS method, CASE WHEN bool_or(confidence = 'medium') THEN 'medium' ELSE 'high' END AS confidence, false AS ambiguous FROM mp GROUP BY ALL)"""
+_MAPS = f"""hit AS (SELECT dataset_id, feature_id, gene_id FROM regions r JOIN (SELECT gene_id, chrom, greatest(0, CASE WHEN strand = '-' THEN "end" - 500 ELSE "start" - 2000 END) AS a, CASE WHEN strand = '-' THEN "end" + 2000 ELSE "start" + 500 END AS b FROM genes) g ON r.chrom = g.chrom AND r."start" < b AND a < r."end"),
+mp AS (SELECT dataset_id, feature_id, gene_id, 'direct_promoter_overlap' AS method, 'high' AS confidence FROM hit UNION ALL SELECT dataset_id, feature_id, gene_id, method, 'medium' FROM regions JOIN ev USING (feature_id)
+  UNION ALL SELECT dataset_id, feature_id, NULL, 'unknown_target_gene', 'none' FROM regions WHERE p % 101 = 0),
+co AS (SELECT dataset_id, feature_id, coalesce(string_agg(DISTINCT gene_id, ',' ORDER BY gene_id), '') AS genes, count(DISTINCT gene_id)::INT AS n_genes, CASE WHEN count(DISTINCT method) > 1 THEN 'multiple_methods' ELSE min(method) END AS method,
+  CASE WHEN bool_or(confidence = 'none') THEN 'none' WHEN bool_or(confidence = 'medium') THEN 'medium' ELSE 'high' END AS confidence, bool_or(method = 'unknown_target_gene') AS ambiguous FROM mp GROUP BY 1, 2)"""
+
+
+def _promoters(spark, d):
+    r = b.regions(spark, d).select("dataset_id", "feature_id", "chrom", "start", "end")
+    return genes.promoter_overlaps(r, b.genes(spark, d)).select("dataset_id", "feature_id", "gene_id", F.lit("direct_promoter_overlap").alias("method"), F.lit("high").alias("confidence"))
 
 
 def _collapsed(spark, d):
     r = b.regions(spark, d)
-    hits = genes.promoter_overlaps(r.select("dataset_id", "feature_id", "chrom", "start", "end"), b.genes(spark, d)).select("dataset_id", "feature_id", "gene_id", F.lit("promoter_overlap").alias("method"), F.lit("high").alias("confidence"))
     more = r.select("dataset_id", "feature_id").join(_evidence(spark, d), "feature_id").select("dataset_id", "feature_id", "gene_id", "method", F.lit("medium").alias("confidence"))
-    return genes.collapse(hits.unionByName(more))
+    unknown = r.where(F.substring("feature_id", 2, 20).cast("long") % 101 == 0).select("dataset_id", "feature_id", F.lit(None).cast("string").alias("gene_id"), F.lit("unknown_target_gene").alias("method"), F.lit("none").alias("confidence"))
+    return genes.collapse(_promoters(spark, d).unionByName(more).unionByName(unknown))
 
 
 @query(f"WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT * FROM co")
@@ -350,19 +430,80 @@ def j8_mapping_collapse(spark, d):
     return _collapsed(spark, d)
 
 
-@query(f"""WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT dataset_id, feature_id, CASE WHEN method IS NULL THEN 'unmapped' WHEN method = 'promoter_overlap' THEN 'eligible' ELSE 'blocked' END AS eligibility FROM regions LEFT JOIN co USING (dataset_id, feature_id)""")
+# one mapping a feature and source, in the order in which sources answer: nearest gene, promoter, then what a curator set
+_ANSWERS = f"""site AS (SELECT gene_id, chrom, CASE WHEN strand = '-' THEN "end" ELSE "start" END AS site FROM genes), near AS (SELECT * FROM (SELECT dataset_id, feature_id, gene_id, CASE WHEN site < "start" THEN "start" - site WHEN site > "end" THEN site - "end" ELSE 0 END AS distance FROM regions JOIN site USING (chrom)) QUALIFY distance = min(distance) OVER (PARTITION BY feature_id)),
+ans AS (SELECT dataset_id, feature_id, count(DISTINCT gene_id)::INT AS n_genes, 'nearest_gene' AS method, 'low' AS confidence, substr(feature_id, 2)::BIGINT % 7 = 0 AS rollup_allowed, min(distance) AS distance, 1 AS nth FROM near GROUP BY 1, 2
+  UNION ALL SELECT dataset_id, feature_id, count(DISTINCT gene_id)::INT, 'direct_promoter_overlap', 'high', substr(feature_id, 2)::BIGINT % 4 <> 0, NULL, 2 FROM hit GROUP BY 1, 2
+  UNION ALL SELECT dataset_id, feature_id, (p % 2)::INT, CASE WHEN p % 2 = 0 THEN 'unknown_target_gene' ELSE 'inferred_target_gene' END, CASE WHEN p % 2 = 0 THEN 'none' ELSE 'low' END, false, NULL, 3 FROM regions WHERE p % 19 = 0),
+la AS (SELECT * FROM ans QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY nth DESC) = 1),
+pa AS (SELECT r.dataset_id, r.feature_id, n_genes, method, confidence, rollup_allowed, distance, CASE WHEN method IS NULL THEN 'missing' ELSE 'paired' END AS state,
+  concat_ws(',', CASE WHEN n_genes = 0 THEN 'MAPPING_NO_TARGET' END, CASE WHEN n_genes > 1 THEN 'MAPPING_AMBIGUOUS' END, CASE WHEN method = 'nearest_gene' AND n_genes > 0 THEN 'MAPPING_NEAREST_GENE_ONLY' END) AS warnings,
+  CASE WHEN NOT rollup_allowed THEN CASE WHEN method = 'direct_promoter_overlap' THEN 'policy' ELSE 'method' END END AS blocked_reason FROM regions r LEFT JOIN la USING (dataset_id, feature_id))"""
+_MAPPED = f"{b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS}, {_ANSWERS}"
+
+
+def _answers(spark, d):
+    """One mapping a feature and source (nth): nearest gene, promoter overlap, and what a curator set."""
+    r, k = b.regions(spark, d), F.substring("feature_id", 2, 20).cast("long")
+    ids = ["dataset_id", "feature_id"]
+    near = genes.nearest(r.where("chrom is not null").select("feature_id", "chrom", "start", "end"), b.genes(spark, d)).groupBy("feature_id").agg(F.countDistinct("gene_id").cast("int").alias("n_genes"), F.min("distance").alias("distance"))
+    lit = lambda m, c, n: (F.lit(m).alias("method"), F.lit(c).alias("confidence"), F.lit(n).alias("nth"))
+    one = r.select(*ids).join(near, "feature_id").select(*ids, "n_genes", *lit("nearest_gene", "low", 1), (k % 7 == 0).alias("rollup_allowed"), "distance")
+    two = _promoters(spark, d).groupBy(*ids).agg(F.countDistinct("gene_id").cast("int").alias("n_genes")).select(*ids, "n_genes", *lit("direct_promoter_overlap", "high", 2), (k % 4 != 0).alias("rollup_allowed"), F.lit(None).cast("long").alias("distance"))
+    odd = k % 2 == 1
+    three = r.where(k % 19 == 0).select(*ids, (k % 2).cast("int").alias("n_genes"), F.when(odd, "inferred_target_gene").otherwise("unknown_target_gene").alias("method"), F.when(odd, "low").otherwise("none").alias("confidence"), F.lit(3).alias("nth"), F.lit(False).alias("rollup_allowed"), F.lit(None).cast("long").alias("distance"))
+    return one.unionByName(two).unionByName(three)
+
+
+def _paired(spark, d):
+    return genes.paired(b.regions(spark, d), _answers(spark, d))
+
+
+@query(f"""WITH {_MAPPED} SELECT dataset_id, feature_id, CASE WHEN method IS NULL THEN 'unmapped' WHEN rollup_allowed AND method = 'direct_promoter_overlap' THEN 'eligible' ELSE 'blocked' END AS eligibility,
+  CASE WHEN method IS NOT NULL AND NOT (rollup_allowed AND method = 'direct_promoter_overlap') THEN 'EPIW008_PATHWAY_ROLLUP_BLOCKED' END AS warning FROM pa""")
 def j9_pathway_eligibility(spark, d):
-    return genes.pathway_eligibility(b.regions(spark, d), _collapsed(spark, d))
+    return genes.pathway_eligibility(b.regions(spark, d), _answers(spark, d))
+
 
+@query(f"WITH {_MAPPED} SELECT * FROM pa")
+def j10_mapping_pairs(spark, d):
+    return _paired(spark, d)
 
-@query(f"""WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT dataset_id, count(*) AS requested, count(n_genes) AS mapped, count(*) - count(n_genes) AS unmapped, count(*) FILTER (n_genes > 1) AS ambiguous, count(*) FILTER (method = 'promoter_overlap') AS rollup_allowed, count(*) FILTER (method <> 'promoter_overlap') AS rollup_blocked FROM regions LEFT JOIN co USING (dataset_id, feature_id) GROUP BY 1""")
+
+@query(f"""WITH {_MAPPED} SELECT dataset_id, count(*) AS requested, count(method) AS answered, count(*) FILTER (n_genes > 0) AS mapped, count(*) FILTER (n_genes = 0) AS unmapped, count(*) FILTER (n_genes > 1) AS ambiguous, count(*) FILTER (rollup_allowed) AS rollup_allowed, count(*) FILTER (NOT rollup_allowed) AS rollup_blocked,
+  count(*) FILTER (blocked_reason = 'method') AS blocked_by_method, count(*) FILTER (blocked_reason = 'policy') AS blocked_by_policy, count(*) FILTER (n_genes = 0) AS n_no_target, count(*) FILTER (method = 'nearest_gene' AND n_genes > 0) AS n_nearest_only FROM pa GROUP BY 1""")
 def a21_mapping_report(spark, d):
-    return genes.mapping_report(b.regions(spark, d), _collapsed(spark, d))
+    return genes.mapping_report(_paired(spark, d))
 
 
-@query(f"""WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT confidence, coalesce(n, 0) AS n FROM (VALUES ('none'), ('low'), ('medium'), ('high')) v(confidence) LEFT JOIN (SELECT confidence, count(*) AS n FROM co GROUP BY 1) USING (confidence)""")
+@query(f"""WITH {_MAPPED} SELECT confidence, coalesce(n, 0) AS n FROM (VALUES ('none'), ('low'), ('medium'), ('high')) v(confidence) LEFT JOIN (SELECT confidence, count(*) AS n FROM pa GROUP BY 1) USING (confidence)""")
 def a21_confidence_counts(spark, d):
-    return genes.by_vocabulary(_collapsed(spark, d), "confidence", genes.CONFIDENCE)
+    return genes.by_vocabulary(_paired(spark, d), "confidence", genes.CONFIDENCE)
+
+
+@query(f"""WITH {_MAPPED} SELECT method, coalesce(n, 0) AS n FROM (SELECT unnest({list(genes.METHODS)}) AS method) LEFT JOIN (SELECT method, count(*) AS n FROM pa GROUP BY 1) USING (method)""")
+def a21_method_counts(spark, d):
+    return genes.by_vocabulary(_paired(spark, d), "method", genes.METHODS)
+
+
+_GUARD = """gu AS (SELECT dataset_id, feature_id, method, method <> 'direct_promoter_overlap' AS blocked_rollup, method <> 'direct_promoter_overlap' AS blocked_cause, rollup_allowed AND method <> 'direct_promoter_overlap' AS inconsistent,
+  concat_ws(',', CASE WHEN method = 'inferred_target_gene' THEN 'EPIW011_INFERRED_TARGET_GENE' END, CASE WHEN method = 'unknown_target_gene' THEN 'EPIW012_UNKNOWN_TARGET_GENE' END, CASE WHEN method <> 'direct_promoter_overlap' THEN 'EPIW008_PATHWAY_ROLLUP_BLOCKED' END,
+    CASE WHEN rollup_allowed AND method <> 'direct_promoter_overlap' THEN 'EPIW013_PATHWAY_ROLLUP_INCONSISTENT' END) AS warnings FROM ans)"""
+
+
+@query(f"WITH {_MAPPED}, {_GUARD} SELECT * FROM gu")
+def a22_mapping_guards(spark, d):
+    return genes.guarded(_answers(spark, d)).select("dataset_id", "feature_id", "method", "blocked_rollup", "blocked_cause", "inconsistent", "warnings")
+
+
+@query(f"WITH {_MAPPED}, {_GUARD} SELECT dataset_id, count(*) FILTER (NOT blocked_rollup) AS n_allowed, count(*) FILTER (blocked_rollup) AS n_blocked, count(*) FILTER (blocked_cause) AS n_blocked_causes, count(*) FILTER (inconsistent) AS n_inconsistent FROM gu GROUP BY 1")
+def a22_guard_counts(spark, d):
+    return genes.guard_counts(genes.guarded(_answers(spark, d)))
+
+
+@query(f"""WITH {_EVID} SELECT feature_id, gene_id, method, "match" IN ('distant', 'unknown') AS blocked_rollup, true AS blocked_cause FROM ev""")
+def a22_external_guards(spark, d):
+    return genes.guarded_external(_evidence(spark, d)).select("feature_id", "gene_id", "method", "blocked_rollup", "blocked_cause")
 
 
 @query("""SELECT symbol, canonical_id FROM (SELECT DISTINCT 'C' || (o_custkey % 200) AS symbol FROM orders) LEFT JOIN (SELECT 'C' || c_custkey AS symbol, c_name AS canonical_id FROM customer WHERE c_custkey % 3 = 0) USING (symbol)""")
@@ -375,35 +516,69 @@ def j7_reference_lookup(spark, d):
 
 # -- qualification -------------------------------------------------------------------------------------------------
 
-_Q = f"""{b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS}, {b.REGISTRY}, {_READY},
-miss AS (SELECT 'P' || l_partkey AS feature_id, 1 - count(DISTINCT l_suppkey % 12) / 12 AS missing_fraction, max(l_quantity) FILTER (l_partkey % 41 = 0) IS NOT NULL AS non_finite FROM lineitem GROUP BY l_partkey),
-ds AS (SELECT 'DS' || k AS dataset_id, k = 1 AS design_blocked, 4 - (k = 2)::INT AS levels, 3 - (k = 3)::INT AS least, ['unlikely', 'possible', 'likely', 'possible', 'unlikely'][k + 1] AS confounding FROM (SELECT DISTINCT p_partkey % 5 AS k FROM part)),
-pol AS (SELECT 'base' AS policy_id, 0.1 AS wm, 0.2 AS mm, 'dominant' AS bl UNION ALL SELECT 'strict', 0.05, 0.1, 'likely'),
-nb AS (SELECT dataset_id, count(DISTINCT build) FILTER (build IN ('hg38', 'mm10')) AS n_builds FROM regions GROUP BY 1),
-x AS (SELECT pol.*, r.dataset_id, r.feature_id, r.chrom, r.build, r.coord_system, r.feature_class, n_builds, design_blocked, levels, least, confounding, coalesce(missing_fraction, 1) AS missing_fraction, coalesce(non_finite, false) AS non_finite, co.method, co.n_genes,
-  bl = 'likely' AND confounding = 'likely' AS blocked FROM regions r JOIN nb USING (dataset_id) JOIN ds USING (dataset_id) LEFT JOIN miss USING (feature_id) LEFT JOIN co USING (dataset_id, feature_id) CROSS JOIN pol),
-y AS (SELECT *, CASE WHEN chrom IS NOT NULL AND build IS NULL THEN 1 WHEN chrom IS NOT NULL AND (build = 'hg17' OR n_builds > 1) THEN 2 WHEN design_blocked THEN 3 WHEN least < 2 THEN 4 WHEN missing_fraction >= mm THEN 5 WHEN non_finite THEN 6 WHEN blocked THEN 7 ELSE 9 END AS fired FROM x),
-z AS (SELECT *, concat_ws(',', CASE WHEN fired > 2 AND chrom IS NOT NULL AND coord_system <> '0based_half_open' THEN 'EPIW001' END, CASE WHEN fired > 3 AND levels < 4 THEN 'EPIW005' END, CASE WHEN fired > 4 AND least < 3 THEN 'EPIW006' END, CASE WHEN fired > 5 AND missing_fraction >= wm THEN 'EPIW002' END,
-  CASE WHEN fired > 7 AND confounding IN ('possible', 'likely') AND NOT blocked THEN 'EPIW004' END, CASE WHEN fired > 8 AND feature_class IN ('atac_peak', 'chip_narrow_peak') THEN 'EPIW003' END) AS notes FROM y),
-dec AS (SELECT policy_id, dataset_id, feature_id, CASE fired WHEN 1 THEN 'excluded_coordinate_ambiguity' WHEN 2 THEN 'excluded_coordinate_ambiguity' WHEN 3 THEN 'excluded_insufficient_design' WHEN 4 THEN 'excluded_qc_failure' WHEN 5 THEN 'excluded_qc_failure' WHEN 6 THEN 'excluded_qc_failure' WHEN 7 THEN 'exploratory_only'
-  ELSE CASE WHEN notes = '' THEN 'accepted_for_pod' ELSE 'accepted_with_caveats' END END AS status, CASE WHEN fired < 9 THEN '00' || fired WHEN notes = '' THEN '010' ELSE '009' END AS rule, notes FROM z)"""
+_CHECK = "ck AS (SELECT dataset_id, sample_id, sum(fraction) AS total, count(*) FILTER (fraction IS NULL) AS n_missing FROM pf GROUP BY ALL)"
+_PURE = "pf AS (SELECT * FROM fractions WHERE (dataset_id, sample_id) NOT IN (SELECT (dataset_id, sample_id) FROM told WHERE source = 'declared_pure') UNION ALL SELECT dataset_id, sample_id, declared_cell_type, 1.0 FROM told WHERE source = 'declared_pure')"
+_SHIFT = """me_ AS (SELECT dataset_id, dose_group_id, dose_value, cell_type, sum(fraction) AS s FROM pf JOIN users USING (dataset_id, sample_id) GROUP BY ALL), nn AS (SELECT dataset_id, dose_group_id, count(DISTINCT sample_id) AS n FROM pf JOIN users USING (dataset_id, sample_id) GROUP BY ALL),
+mm_ AS (SELECT *, s / n AS mean FROM me_ JOIN nn USING (dataset_id, dose_group_id)), gr AS (SELECT DISTINCT dataset_id, dose_group_id FROM mm_ WHERE dose_value <> 0), ty AS (SELECT DISTINCT dataset_id, cell_type FROM mm_),
+de_ AS (SELECT gr.dataset_id, gr.dose_group_id, abs(coalesce(a.mean, 0) - coalesce(c.mean, 0)) AS delta FROM gr JOIN ty USING (dataset_id) LEFT JOIN mm_ a ON a.dataset_id = gr.dataset_id AND a.dose_group_id = gr.dose_group_id AND a.cell_type = ty.cell_type LEFT JOIN mm_ c ON c.dataset_id = gr.dataset_id AND c.dose_value = 0 AND c.cell_type = ty.cell_type),
+shf AS (SELECT dataset_id, dose_group_id, max(delta) AS max_delta, count(*) FILTER (delta > 0.1 + 1e-12) AS n_shifted FROM de_ GROUP BY ALL)"""
+_COMPOSED = f"""{_PURE}, {_CHECK}, {_SHIFT}, cq AS (SELECT t.*, bad, delta, coalesce(shifted, false) AS shifted FROM (SELECT dataset_id, bool_and(source = 'not_declared') AS silent, bool_or(source = 'not_declared') AS some_silent, bool_and(source LIKE 'declared_mixed%') AS unknown, bool_or(source LIKE 'declared_mixed%') AS some_unknown,
+    bool_or(source NOT IN ('not_declared', 'declared_mixed_unknown_fractions')) AS some_reliable, bool_and(source NOT IN ('not_declared', 'declared_mixed_unknown_fractions')) AS reliable, bool_and(source = 'declared_pure') AS pure, count(DISTINCT declared_cell_type) FILTER (source = 'declared_pure') AS n_types FROM told GROUP BY 1) t
+  LEFT JOIN (SELECT dataset_id, bool_or(abs(total - 1) > 0.05 + 1e-12) AS bad FROM ck GROUP BY 1) USING (dataset_id) LEFT JOIN (SELECT dataset_id, max(max_delta) AS delta, bool_or(n_shifted > 0) AS shifted FROM shf GROUP BY 1) USING (dataset_id)),
+cc AS (SELECT dataset_id, delta, CASE WHEN bad IS NULL AND NOT some_reliable AND NOT unknown THEN 'no_context_available' WHEN bad OR some_silent AND NOT silent OR some_unknown AND some_reliable OR n_types > 1 THEN 'review_required'
+  WHEN shifted THEN CASE WHEN delta > 0.5 + 1e-12 THEN 'dominant_confounding' WHEN delta > 0.3 + 1e-12 THEN 'likely_confounding' ELSE 'possible_confounding' END WHEN pure AND n_types = 1 OR reliable AND delta IS NOT NULL THEN 'unlikely_confounding' ELSE 'possible_confounding' END AS confounding,
+  coalesce(bad, false) OR NOT (some_silent AND NOT silent OR some_unknown AND some_reliable) AND n_types > 1 AS blocks,
+  CASE WHEN bad IS NULL AND NOT some_reliable AND NOT unknown THEN 'EPIW001_CELL_COMPOSITION_CONTEXT_MISSING' WHEN bad THEN 'CC_FRACTION_SUM_MISMATCH' WHEN some_silent AND NOT silent OR some_unknown AND some_reliable THEN 'CC_MIXED_DECLARATIONS' WHEN n_types > 1 THEN 'CC_CONFLICTING_PURE_TYPES'
+    WHEN shifted OR NOT (pure AND n_types = 1 OR reliable AND delta IS NOT NULL) THEN 'EPIW002_CELL_TYPE_SHIFT_POSSIBLE' END AS warning FROM cq)"""
+_TOXIC = """tp AS (SELECT dataset_id, count(*) FILTER (value < 0) AS malformed, min(value) FILTER (metric = 'viability') AS viability, max(value) FILTER (metric = 'apoptosis') AS apoptosis, max(n_stress) AS stress, coalesce(bool_or(lower(notes) LIKE '%cytotoxic%'), false) AS declared FROM assays GROUP BY 1),
+tb0 AS (SELECT *, CASE WHEN viability < 0.5 THEN 3 WHEN viability < 0.7 THEN 2 WHEN viability < 0.8 THEN 1 ELSE 0 END AS l0 FROM tp), tb1 AS (SELECT *, CASE WHEN declared AND l0 < 2 THEN 2 ELSE l0 END AS l1 FROM tb0), tb2 AS (SELECT *, CASE WHEN l1 = 0 AND apoptosis > 0.2 THEN 1 ELSE l1 END AS l2 FROM tb1),
+tox AS (SELECT dataset_id, malformed, viability, stress, coalesce(viability < 0.8, false) OR stress > 0 OR declared AS detected, CASE WHEN malformed > 0 THEN 'review_required' ELSE ['unlikely_confounding', 'possible_confounding', 'likely_confounding', 'dominant_confounding'][least(3, l2 + (stress > 0)::INT) + 1] END AS confounding FROM tb2)"""
+
+_Q = f"""{b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS}, {b.CELLS12}, {b.DS_FRACTIONS}, {b.DS_ASSAYS}, {_COMPOSED}, {_TOXIC},
+reg AS (SELECT *, 'uM' AS dose_unit, 24.0 AS timepoint_hours, dose_value = 0 AS control_flag FROM samples), {_READY},
+vals AS (SELECT dataset_id, 'P' || substr(feature_id, 2) AS feature_id, sample_id, CASE WHEN substr(feature_id, 2)::BIGINT % 41 = 0 AND sample_id = 'S0' THEN 'Infinity'::DOUBLE ELSE value END AS value FROM cells),
+miss AS (SELECT r.dataset_id, r.feature_id, 1 - count(value) / any_value(n) AS missing_fraction, coalesce(bool_or(isinf(value)), false) AS non_finite FROM regions r JOIN (SELECT dataset_id, count(*) AS n FROM reg GROUP BY 1) USING (dataset_id) LEFT JOIN vals USING (dataset_id, feature_id) GROUP BY 1, 2),
+ds AS (SELECT ready.dataset_id, len(list_filter(string_split(blockers, ','), lambda x: x NOT IN ('', 'insufficient_biological_replicates'))) > 0 AS design_blocked, levels, least, coalesce(cc.confounding, 'no_context_available') AS cell, coalesce(tox.confounding, 'no_context_available') AS cyto FROM ready LEFT JOIN cc USING (dataset_id) LEFT JOIN tox USING (dataset_id)),
+pol AS (SELECT 'base' AS policy_id, 0.1 AS wm, 0.2 AS mm, 'dominant_confounding' AS bl, 2 AS mr, 'excluded' AS n1, false AS bm UNION ALL SELECT 'strict', 0.05, 0.1, 'likely_confounding', 1, 'review_required', true),
+nb AS (SELECT dataset_id, count(DISTINCT build) FILTER (chrom IS NOT NULL AND build IN ('hg38', 'mm10')) AS n_builds FROM regions GROUP BY 1),
+lr AS (SELECT ['unlikely_confounding', 'possible_confounding', 'likely_confounding', 'dominant_confounding', 'review_required'] AS ls),
+x AS (SELECT pol.*, r.dataset_id, r.feature_id, r.chrom, r.build, r.coord_system, r.feature_class, n_builds, design_blocked, levels, least, cell, cyto, missing_fraction, non_finite, co.method, co.n_genes, coalesce(ambiguous, false) AS ambiguous,
+  coalesce(list_position(ls, cell), 0) >= list_position(ls, bl) AS cell_blocks, coalesce(list_position(ls, cyto), 0) >= list_position(ls, bl) AS cyto_blocks FROM regions r JOIN nb USING (dataset_id) JOIN ds USING (dataset_id) JOIN miss USING (dataset_id, feature_id) LEFT JOIN co USING (dataset_id, feature_id) CROSS JOIN pol CROSS JOIN lr),
+y AS (SELECT *, CASE WHEN chrom IS NOT NULL AND build IS NULL THEN 1 WHEN chrom IS NOT NULL AND (build = 'hg17' OR n_builds > 1) THEN 2 WHEN design_blocked THEN 3 WHEN least < mr OR least = 1 AND n1 = 'excluded' THEN 4 WHEN least = 1 AND n1 = 'review_required' THEN 5 WHEN missing_fraction >= mm THEN 6 WHEN non_finite THEN 7
+  WHEN bm AND (cell = 'no_context_available' OR cyto = 'no_context_available') OR cell_blocks OR cyto_blocks THEN 8 WHEN ambiguous THEN 9 ELSE 10 END AS fired FROM x),
+z AS (SELECT *, concat_ws(',', CASE WHEN fired > 2 AND chrom IS NOT NULL AND coord_system LIKE 'gff%' THEN 'EPIW001_COORDINATE_SYSTEM_NONSTANDARD' END, CASE WHEN fired > 3 AND levels < 4 THEN 'EPIW005_BELOW_PREFERRED_DOSE_GROUPS' END, CASE WHEN fired > 5 AND least < 3 THEN 'EPIW006_BELOW_PREFERRED_REPLICATES' END, CASE WHEN fired > 6 AND missing_fraction >= wm THEN 'EPIW002_ELEVATED_MISSINGNESS' END,
+  CASE WHEN fired > 8 AND cell IN ('possible_confounding', 'likely_confounding', 'dominant_confounding') AND NOT cell_blocks THEN 'EPIW004_CELL_COMPOSITION_CONFOUNDING' END, CASE WHEN fired > 8 AND cyto IN ('possible_confounding', 'likely_confounding', 'dominant_confounding') AND NOT cyto_blocks THEN 'EPIW004_CYTOTOXICITY_CONFOUNDING' END,
+  CASE WHEN fired > 9 AND feature_class IN ('atac_peak', 'chip_peak_narrow', 'chip_peak_broad', 'histone_mark_peak') THEN 'EPIW003_PROXIMITY_NOT_CAUSALITY' END) AS notes FROM y),
+dec AS (SELECT policy_id, dataset_id, feature_id, CASE fired WHEN 1 THEN 'excluded_coordinate_ambiguity' WHEN 2 THEN 'excluded_coordinate_ambiguity' WHEN 3 THEN 'excluded_insufficient_design' WHEN 4 THEN 'excluded_qc_failure' WHEN 5 THEN 'exploratory_only' WHEN 6 THEN 'excluded_qc_failure' WHEN 7 THEN 'excluded_qc_failure' WHEN 8 THEN 'exploratory_only' WHEN 9 THEN 'excluded_mapping_failure'
+  ELSE CASE WHEN notes = '' THEN 'accepted_for_pod' ELSE 'accepted_with_caveats' END END AS status, CASE WHEN fired < 5 THEN '00' || fired WHEN fired < 10 THEN '00' || (fired - 1) WHEN notes = '' THEN '010' ELSE '009' END AS rule, notes FROM z),
+pub AS (SELECT *, CASE WHEN status = 'exploratory_only' THEN CASE WHEN rule = '004' THEN 'review_required' ELSE 'excluded_confounding_dominant' END WHEN rule = '001' THEN 'excluded_missing_genome_build' WHEN rule = '002' THEN 'excluded_invalid_coordinates' WHEN rule = '004' THEN 'excluded_insufficient_design'
+  WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' WHEN rule = '008' THEN 'excluded_mapping_ambiguous' ELSE status END AS public FROM dec),
+use_ AS (SELECT *, CASE public WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_caveats' THEN 'allow_with_warning' WHEN 'review_required' THEN 'review_required' ELSE 'block' END AS use_rule FROM pub)"""
 
 
 def _policies(spark, d):
     """Two policies, one per region key of the given table below 2."""
     r = b.t(spark, d, "region").where("r_regionkey < 2")
     strict = F.col("r_regionkey") == 1
-    none = F.lit(None)
-    return qualify.policies(r.select(F.when(strict, "strict").otherwise("base").alias("policy_id"), F.when(strict, 0.05).alias("warn_missing"), F.when(strict, 0.1).alias("max_missing"), none.cast("int").alias("min_replicates"), none.cast("int").alias("preferred_replicates"), none.cast("int").alias("preferred_levels"), F.when(strict, "likely").alias("block_level")))
+    return qualify.policies(r.select(
+        F.when(strict, "strict").otherwise("base").alias("policy_id"), F.when(strict, 0.05).alias("warn_missing"), F.when(strict, 0.1).alias("max_missing"), F.when(strict, 1).alias("min_replicates"),
+        F.when(strict, "review_required").alias("n1_policy"), F.when(strict, "likely_confounding").alias("block_level"), F.when(strict, True).alias("block_missing_context"), F.lit("0.1.0").alias("version"),
+    ))
+
+
+def _contexts(spark, d, n=5, name="DS"):
+    told = b.declarations(spark, d, n, name)
+    f = context.filled(told, b.fractions(spark, d, n, name))
+    composed = context.composition_class(context.composition_shift(f, b.users(spark, d, n, name)), context.composition_checks(f), told)
+    return {"cell_composition": composed, "cytotoxicity": context.cytotoxicity(b.assays(spark, d, n, name))}
 
 
 def _decided(spark, d):
-    li = b.t(spark, d, "lineitem")
-    miss = li.groupBy(F.concat(F.lit("P"), "l_partkey").alias("feature_id")).agg((1 - F.countDistinct(F.col("l_suppkey") % 12) / 12).alias("missing_fraction"), F.bool_or(F.col("l_partkey") % 41 == 0).alias("non_finite"))
-    rows = b.regions(spark, d).join(miss, "feature_id", "left").withColumns({"missing_fraction": F.coalesce("missing_fraction", F.lit(1.0)), "non_finite": F.coalesce("non_finite", F.lit(False))})
-    k = F.col("k")
-    designs = b.t(spark, d, "part").select((F.col("p_partkey") % 5).alias("k")).distinct().select(F.concat(F.lit("DS"), k).alias("dataset_id"), (k == 1).alias("design_blocked"), (4 - (k == 2).cast("int")).alias("levels"), (3 - (k == 3).cast("int")).alias("least"), F.element_at(F.array(*map(F.lit, ("unlikely", "possible", "likely", "possible", "unlikely"))), (k + 1).cast("int")).alias("confounding"))
-    return qualify.cascade(rows, designs, _collapsed(spark, d), _policies(spark, d))
+    samples, k = b.samples(spark, d), F.substring("feature_id", 2, 20)
+    odd = (k.cast("long") % 41 == 0) & (F.col("sample_id") == "S0")
+    cells = b.cells(spark, d).select("dataset_id", F.concat(F.lit("P"), k).alias("feature_id"), "sample_id", F.when(odd, float("inf")).otherwise(F.col("value")).alias("value"))
+    rows = qualify.measured(b.regions(spark, d), cells, samples)
+    return qualify.cascade(rows, qualify.dataset_verdicts(samples, _contexts(spark, d)), _collapsed(spark, d), _policies(spark, d))
 
 
 @query(f"WITH {_Q} SELECT * FROM dec")
@@ -411,8 +586,11 @@ def q1_qualification(spark, d):
     return _decided(spark, d)
 
 
-@query(f"""WITH {_Q} SELECT policy_id, dataset_id, count(*) AS n, count(*) FILTER (status = 'accepted_for_pod') AS n_accepted, count(*) FILTER (status = 'accepted_with_caveats') AS n_caveats, count(*) FILTER (status LIKE 'excluded%') AS n_excluded,
-  CASE WHEN dataset_id = 'DS4' THEN 'block' WHEN bool_or(status LIKE 'excluded%' OR rule = '007') THEN 'block' WHEN bool_or(status = 'accepted_with_caveats') THEN 'allow_with_warning' ELSE 'allow' END AS use_rule FROM dec GROUP BY 1, 2""")
+@query(f"""WITH {_Q}, na AS (SELECT policy_id, dataset_id, count(*) AS n, count(*) FILTER (public = 'accepted_for_pod') AS n_accepted, count(*) FILTER (public = 'accepted_with_caveats') AS n_caveats, count(*) FILTER (public = 'review_required') AS n_review, 0::BIGINT AS n_exploratory, count(*) FILTER (public LIKE 'excluded%') AS n_excluded,
+    bool_or(rule NOT IN ('009', '010')) AS needs_review, CASE WHEN dataset_id = 'DS4' OR bool_or(use_rule = 'block') THEN 'block' WHEN bool_or(use_rule = 'review_required') THEN 'review_required' WHEN bool_or(use_rule = 'allow_with_warning') THEN 'allow_with_warning' ELSE 'allow' END AS use_rule FROM use_ GROUP BY 1, 2),
+  nr AS (SELECT policy_id, dataset_id, string_agg(public || ':' || k, ',' ORDER BY public || ':' || k) AS reasons FROM (SELECT policy_id, dataset_id, public, count(*) AS k FROM use_ WHERE public LIKE 'excluded%' GROUP BY ALL) GROUP BY 1, 2),
+  nh AS (SELECT na.*, coalesce(reasons, '') AS excluded_by_reason, sha256(concat_ws('|', dataset_id, n, n_accepted, n_caveats, n_review, n_exploratory, n_excluded, use_rule, needs_review, policy_id)) AS h FROM na LEFT JOIN nr USING (policy_id, dataset_id))
+SELECT * EXCLUDE (h), substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS summary_id FROM nh""")
 def a19_qualification_summary(spark, d):
     blocking = b.regions(spark, d).where("dataset_id = 'DS4'").select("dataset_id")
     return qualify.summary(qualify.public_status(_decided(spark, d)), blocking)
@@ -423,10 +601,9 @@ def a20_rule_counts(spark, d):
     return qualify.rule_counts(_decided(spark, d))
 
 
-@query(f"""WITH {_Q}, i AS (SELECT *, sha256(policy_id || '|' || dataset_id || '|' || feature_id || '|' || rule) AS h FROM dec),
-pu AS (SELECT *, CASE WHEN rule = '007' THEN 'excluded_confounding_dominant' WHEN rule = '001' THEN 'excluded_missing_genome_build' WHEN rule = '002' THEN 'excluded_invalid_coordinates' WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' WHEN rule = '004' THEN 'excluded_insufficient_design' ELSE status END AS public FROM i)
-SELECT feature_id, policy_id, public, CASE public WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_caveats' THEN 'allow_with_warning' ELSE 'block' END AS use_rule,
-  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS decision_id, rule NOT IN ('009', '010') AS needs_review FROM pu""")
+@query(f"""WITH {_Q}, i AS (SELECT *, sha256(policy_id || '|' || dataset_id || '|' || feature_id || '|' || rule) AS h FROM use_)
+SELECT feature_id, policy_id, public, use_rule,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS decision_id, rule NOT IN ('009', '010') AS needs_review FROM i""")
 def p17_public_status(spark, d):
     return qualify.explain(qualify.public_status(_decided(spark, d))).select("feature_id", "policy_id", "public", "use_rule", "decision_id", "needs_review")
 
@@ -438,8 +615,7 @@ def q9_handoff_audit(spark, d):
     return qualify.audit(qualify.handoff(decided, states), decided)
 
 
-@query(f"""WITH {_Q}, de AS (SELECT * FROM dec WHERE policy_id = 'strict' AND dataset_id <> 'DS2') SELECT r.dataset_id, r.feature_id, coalesce(CASE WHEN rule = '001' THEN 'excluded_missing_genome_build' WHEN rule = '002' THEN 'excluded_invalid_coordinates' WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' ELSE status END, 'excluded_no_decision') AS public,
-  CASE status WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_caveats' THEN 'allow_with_warning' ELSE 'block' END AS use_rule, status IS NULL AS needs_review FROM regions r LEFT JOIN de USING (dataset_id, feature_id)""")
+@query(f"""WITH {_Q}, de AS (SELECT * FROM use_ WHERE policy_id = 'strict' AND dataset_id <> 'DS2') SELECT r.dataset_id, r.feature_id, coalesce(public, 'excluded_no_decision') AS public, coalesce(use_rule, 'block') AS use_rule, public IS NULL AS needs_review FROM regions r LEFT JOIN de USING (dataset_id, feature_id)""")
 def q7_qualified_table(spark, d):
     public = qualify.public_status(_decided(spark, d).where("policy_id = 'strict' and dataset_id <> 'DS2'"))
     return qualify.qualified_table(b.regions(spark, d), public)
@@ -472,29 +648,45 @@ def p5_melt(spark, d):
     return ingest.melt(p, ["feature_id"], ["s1", "s2", "s3", "s4"]).select("feature_id", "sample_id", "value", "ok")
 
 
-@query(f"""WITH {b.REGIONS}, r AS (SELECT *, 'f' || (hash_ % 50) AS file_id FROM (SELECT *, substr(feature_id, 2)::BIGINT AS hash_ FROM regions)), c AS (SELECT file_id, CASE WHEN measured_identifier IS NOT NULL AND chrom IS NOT NULL AND hash_ % 2 = 0 THEN 'ambiguous' WHEN measured_identifier IS NOT NULL AND hash_ % 2 = 0 THEN 'cpg' WHEN chrom IS NOT NULL AND platform IS NULL THEN 'histone_mark_region' WHEN chrom IS NOT NULL AND feature_class LIKE '%peak' THEN 'atac_peak' WHEN chrom IS NOT NULL THEN 'generic_region' ELSE 'unknown' END AS row_class FROM r),
-n AS (SELECT file_id, row_class, count(*) AS n FROM c GROUP BY ALL)
+_MIXED = f"""r AS (SELECT *, 'f' || (p // 40) AS file_id, CASE WHEN p % 6 = 0 THEN 'dna_methylation' ELSE 'chromatin' END AS family, CASE WHEN p % 10 = 1 THEN 'hic' ELSE 'atac_seq' END AS modality_, CASE WHEN p % 5 < 2 THEN measured_identifier END AS probe, CASE WHEN p % 9 = 0 THEN 'H3' END AS mark, CASE WHEN p % 4 = 0 THEN 'narrow' END AS peak_format FROM regions),
+c AS (SELECT file_id, feature_id, CASE WHEN family = 'dna_methylation' THEN CASE WHEN probe IS NOT NULL AND chrom IS NOT NULL THEN 'ambiguous' WHEN probe IS NOT NULL THEN 'cpg_methylation' WHEN chrom IS NOT NULL THEN 'dmr' ELSE 'unknown' END
+  WHEN peak_format IS NOT NULL AND mark IS NOT NULL THEN 'ambiguous' WHEN peak_format IS NOT NULL THEN 'atac_peak' WHEN mark IS NOT NULL THEN 'histone_mark_peak' WHEN chrom IS NOT NULL THEN CASE WHEN modality_ = 'hic' THEN 'chromatin_interaction' ELSE 'generic_region_feature' END ELSE 'unknown' END AS row_class FROM r)"""
+
+
+def _classified(spark, d):
+    k = F.substring("feature_id", 2, 20).cast("long")
+    rows = b.regions(spark, d).select(
+        "feature_id", F.concat(F.lit("f"), F.floor(k / 40)).alias("file_id"), F.when(k % 6 == 0, "dna_methylation").otherwise("chromatin").alias("family"), F.when(k % 10 == 1, "hic").otherwise("atac_seq").alias("modality"),
+        F.when(k % 5 < 2, F.col("measured_identifier")).alias("probe"), "chrom", "start", "end", F.when(k % 9 == 0, "H3").alias("mark"), F.when(k % 4 == 0, "narrow").alias("peak_format"),
+    )
+    return ingest.row_class(rows)
+
+
+@query(f"WITH {b.REGIONS}, {_MIXED} SELECT file_id, feature_id, row_class FROM c")
+def f10_row_classes(spark, d):
+    return _classified(spark, d).select("file_id", "feature_id", "row_class")
+
+
+@query(f"""WITH {b.REGIONS}, {_MIXED}, n AS (SELECT file_id, row_class, count(*) AS n FROM c GROUP BY ALL)
 SELECT file_id, sum(n) OVER w::BIGINT AS n_rows, row_class AS dominant, count(*) FILTER (row_class NOT IN ('unknown', 'ambiguous')) OVER w AS classes, count(*) FILTER (row_class NOT IN ('unknown', 'ambiguous')) OVER w > 1 AS mixed FROM n WINDOW w AS (PARTITION BY file_id)
-QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, list_position(['cpg', 'histone_mark_region', 'atac_peak', 'generic_region', 'ambiguous', 'unknown'], row_class)) = 1""")
+QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, list_position({list(ingest.ROW_CLASSES)}, row_class)) = 1""")
 def a18_mixed_tables(spark, d):
-    k = F.substring("feature_id", 2, 20).cast("long")
-    rows = b.regions(spark, d).select(F.concat(F.lit("f"), k % 50).alias("file_id"), F.when(k % 2 == 0, F.col("measured_identifier")).alias("probe"), "chrom", "start", "end", F.when(F.col("platform").isNull(), "H3").alias("mark"), F.when(F.col("feature_class").endswith("peak"), "narrow").alias("peak_format"))
-    return ingest.mixed_tables(ingest.row_class(rows), ("cpg", "histone_mark_region", "atac_peak", "generic_region", "ambiguous", "unknown"))
+    return ingest.mixed_tables(_classified(spark, d))
 
 
 @query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, 'EPI_ANCHOR' AS code FROM regions WHERE chrom IS NULL AND measured_identifier IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_OTHER_TEXT' FROM regions WHERE signal_metric = 'declared_other' AND declared_other IS NULL
-UNION ALL SELECT dataset_id, feature_id, 'EPI_REGION' FROM regions WHERE feature_class IN ('dmr', 'atac_peak', 'chip_narrow_peak') AND chrom IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_PROBABILITY' FROM regions WHERE p_value > 1""")
+UNION ALL SELECT dataset_id, feature_id, 'EPI_REGION' FROM regions WHERE feature_class NOT IN ('cpg_methylation', 'generic_region_feature') AND chrom IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_PROBABILITY' FROM regions WHERE p_value > 1 OR q_value > 1
+UNION ALL SELECT dataset_id, feature_id, 'EPI_ARRAY_PLATFORM' FROM regions WHERE feature_class = 'cpg_methylation' AND modality = 'dna_methylation_array' AND platform IS NULL""")
 def f1_feature_constraints(spark, d):
     return ingest.constraint_findings(b.regions(spark, d))
 
 
-@query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, feature_class, signal_metric FROM regions WHERE signal_metric <> 'declared_other' AND NOT ((feature_class IN ('cpg', 'dmr') AND signal_metric = 'beta') OR (feature_class NOT IN ('cpg', 'dmr') AND signal_metric IN ('peak_score', 'read_count')))""")
+_ALLOWED = "allowed(feature_class, signal_metric) AS (VALUES " + ", ".join(f"('{c}', '{m}')" for c, ms in ingest.ALLOWED.items() for m in ms) + ")"
+
+
+@query(f"""WITH {b.REGIONS}, {_ALLOWED} SELECT dataset_id, feature_id, feature_class, signal_metric FROM regions r WHERE signal_metric <> 'declared_other' AND NOT EXISTS (SELECT 1 FROM allowed a WHERE a.feature_class = r.feature_class AND a.signal_metric = r.signal_metric)""")
 def f2_semantics(spark, d):
-    r = b.regions(spark, d)
-    pairs = r.select("feature_class", "signal_metric").distinct()
-    methyl = F.col("feature_class").isin("cpg", "dmr")
-    allowed = pairs.where((methyl & (F.col("signal_metric") == "beta")) | (~methyl & F.col("signal_metric").isin("peak_score", "read_count")))
-    return ingest.incompatible(r, allowed).select("dataset_id", "feature_id", "feature_class", "signal_metric")
+    return ingest.incompatible(b.regions(spark, d), ingest.allowed(spark)).select("dataset_id", "feature_id", "feature_class", "signal_metric")
 
 
 _HEADERS = ("feature_id", "Sample-ID", "beta_value", "p_value", "log FC", "s1", "s2", "s3", "chrom", "tStat")
@@ -561,7 +753,7 @@ def d4_feature_type(spark, d):
 
 @query(f"""WITH {b.REGIONS}, r AS (SELECT feature_class, CASE WHEN "start" % 7 <> 0 THEN chrom END AS c, "start" AS s, CASE WHEN "start" % 5 = 0 THEN "start" ELSE "end" END AS e, CASE WHEN "start" % 2 = 0 THEN feature_id ELSE ' ' END AS i, measured_identifier AS p, feature_id AS row_name FROM regions),
 q AS (SELECT *, coalesce(c IS NOT NULL AND s >= 0 AND e > s, false) AS ok FROM r), w AS (SELECT *, coalesce(nullif(trim(i), ''), p, CASE WHEN ok THEN c || ':' || s || '-' || e END) AS feature_id FROM q)
-SELECT row_name, feature_id, CASE WHEN feature_id IS NULL THEN 'no_id' WHEN feature_class <> 'cpg' AND NOT ok THEN 'no_region' ELSE 'kept' END AS state FROM w""")
+SELECT row_name, feature_id, CASE WHEN feature_id IS NULL THEN 'no_id' WHEN feature_class <> 'cpg_methylation' AND NOT ok THEN 'no_region' ELSE 'kept' END AS state FROM w""")
 def p14_typed_features(spark, d):
     s, e = F.col("start"), F.col("end")
     rows = b.regions(spark, d).select(
@@ -616,35 +808,22 @@ def f11_contrast_only(spark, d):
 
 # -- context and audit ---------------------------------------------------------------------------------------------
 
-_CHECK = "ck AS (SELECT dataset_id, sample_id, sum(fraction) AS total, count(*) FILTER (fraction IS NULL) AS n_missing FROM fractions GROUP BY ALL)"
-
-
-@query(f"WITH {b.FRACTIONS}, {_CHECK} SELECT dataset_id, sample_id, round(total, 6) AS total, n_missing, abs(total - 1) > 0.05 + 1e-12 AS bad_sum FROM ck")
+@query(f"WITH {b.FRACTIONS}, {_PURE}, {_CHECK} SELECT dataset_id, sample_id, round(total, 6) AS total, n_missing, abs(total - 1) > 0.05 + 1e-12 AS bad_sum FROM ck")
 def a11_composition_checks(spark, d):
-    return rounded(context.composition_checks(b.fractions(spark, d)), "total")
-
-
-_SHIFT = """me AS (SELECT dataset_id, dose_group_id, dose_value, cell_type, sum(fraction) AS s FROM fractions JOIN users USING (dataset_id, sample_id) GROUP BY ALL), nn AS (SELECT dataset_id, dose_group_id, count(DISTINCT sample_id) AS n FROM fractions JOIN users USING (dataset_id, sample_id) GROUP BY ALL),
-mm AS (SELECT *, s / n AS mean FROM me JOIN nn USING (dataset_id, dose_group_id)), gr AS (SELECT DISTINCT dataset_id, dose_group_id FROM mm WHERE dose_value <> 0), ty AS (SELECT DISTINCT dataset_id, cell_type FROM mm),
-de AS (SELECT gr.dataset_id, gr.dose_group_id, abs(coalesce(a.mean, 0) - coalesce(c.mean, 0)) AS delta FROM gr JOIN ty USING (dataset_id) LEFT JOIN mm a ON a.dataset_id = gr.dataset_id AND a.dose_group_id = gr.dose_group_id AND a.cell_type = ty.cell_type LEFT JOIN mm c ON c.dataset_id = gr.dataset_id AND c.dose_value = 0 AND c.cell_type = ty.cell_type),
-sh AS (SELECT dataset_id, dose_group_id, max(delta) AS max_delta, count(*) FILTER (delta > 0.1 + 1e-12) AS n_shifted FROM de GROUP BY ALL)"""
+    return rounded(context.composition_checks(context.filled(b.declarations(spark, d), b.fractions(spark, d))), "total")
 
 
-@query(f"WITH {b.FRACTIONS}, {_SHIFT} SELECT dataset_id, dose_group_id, round(max_delta, 6) AS max_delta, n_shifted FROM sh")
+@query(f"WITH {b.FRACTIONS}, {_PURE}, {_SHIFT} SELECT dataset_id, dose_group_id, round(max_delta, 6) AS max_delta, n_shifted FROM shf")
 def a12_composition_shift(spark, d):
-    return rounded(context.composition_shift(b.fractions(spark, d), b.users(spark, d)), "max_delta")
+    return rounded(context.composition_shift(context.filled(b.declarations(spark, d), b.fractions(spark, d)), b.users(spark, d)), "max_delta")
 
 
-@query(f"""WITH {b.FRACTIONS}, {_SHIFT}, {_CHECK}, bd AS (SELECT dataset_id, bool_or(abs(total - 1) > 0.05 + 1e-12) AS bad FROM ck GROUP BY 1), s2 AS (SELECT dataset_id, max(max_delta) AS delta FROM sh GROUP BY 1)
-SELECT dataset_id, round(delta, 6) AS delta, CASE WHEN bad THEN 'review_required' WHEN delta > 0.5 + 1e-12 THEN 'dominant' WHEN delta > 0.3 + 1e-12 THEN 'likely' WHEN delta > 0.1 + 1e-12 THEN 'possible' ELSE 'unlikely' END AS confounding FROM bd LEFT JOIN s2 USING (dataset_id)""")
+@query(f"WITH {b.FRACTIONS}, {_COMPOSED} SELECT dataset_id, round(delta, 6) AS delta, confounding, blocks, warning FROM cc")
 def q3_composition_class(spark, d):
-    f = b.fractions(spark, d)
-    return rounded(context.composition_class(context.composition_shift(f, b.users(spark, d)), context.composition_checks(f)), "delta")
+    return rounded(_contexts(spark, d, 30, "U")["cell_composition"], "delta")
 
 
-@query(f"""WITH {b.ASSAYS}, p AS (SELECT dataset_id, count(*) FILTER (value < 0) AS malformed, min(value) FILTER (metric = 'viability') AS viability, max(value) FILTER (metric = 'apoptosis') AS apoptosis, max(n_stress) AS stress, coalesce(bool_or(lower(notes) LIKE '%cytotoxic%'), false) AS declared FROM assays GROUP BY 1),
-b0 AS (SELECT *, CASE WHEN viability < 0.5 THEN 3 WHEN viability < 0.7 THEN 2 WHEN viability < 0.8 THEN 1 ELSE 0 END AS l0 FROM p), b1 AS (SELECT *, CASE WHEN declared AND l0 < 2 THEN 2 ELSE l0 END AS l1 FROM b0), b2 AS (SELECT *, CASE WHEN l1 = 0 AND apoptosis > 0.2 THEN 1 ELSE l1 END AS l2 FROM b1)
-SELECT dataset_id, malformed, round(viability, 6) AS viability, stress, coalesce(viability < 0.8, false) OR stress > 0 OR declared AS detected, CASE WHEN malformed > 0 THEN 'review_required' ELSE ['unlikely', 'possible', 'likely', 'dominant'][least(3, l2 + (stress > 0)::INT) + 1] END AS confounding FROM b2""")
+@query(f"WITH {b.ASSAYS}, {_TOXIC} SELECT dataset_id, malformed, round(viability, 6) AS viability, stress, detected, confounding, confounding IN ('dominant_confounding', 'review_required') AS blocks FROM tox")
 def q4_cytotoxicity(spark, d):
     return rounded(context.cytotoxicity(b.assays(spark, d)), "viability")
 
@@ -654,12 +833,17 @@ def j12_cytotoxicity_alignment(spark, d):
     return context.alignment(b.assays(spark, d), b.users(spark, d).withColumn("timepoint_hours", F.lit(24.0))).groupBy("dataset_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {b.REGIONS} SELECT dataset_id, code, severity FROM (SELECT DISTINCT dataset_id, 'EPI_BUILD' AS code, 'error' AS severity FROM regions WHERE build IS NULL UNION SELECT DISTINCT dataset_id, 'EPI_CLASS', 'warning' FROM regions WHERE feature_class = 'cpg')""")
+@query(f"""WITH {b.REGIONS} SELECT DISTINCT * FROM (SELECT dataset_id, 'EPI_BUILD' AS code, 'coordinate_semantics' AS category, 'error' AS severity, 'no build on ' || chrom AS message FROM regions WHERE build IS NULL AND chrom IS NOT NULL
+  UNION ALL SELECT dataset_id, 'EPI_BUILD', 'missing_metadata', 'error', 'no build on ' || chrom FROM regions WHERE build IS NULL AND chrom IS NOT NULL UNION ALL SELECT dataset_id, 'EPI_CLASS', 'missing_metadata', 'warning', feature_class FROM regions)""")
 def q5_context_merge(spark, d):
     r = b.regions(spark, d)
-    one = r.where("build is null").select("dataset_id", F.lit("EPI_BUILD").alias("code"), F.lit("error").alias("severity"))
-    two = r.where("feature_class = 'cpg'").select("dataset_id", F.lit("EPI_CLASS").alias("code"), F.lit("warning").alias("severity"))
-    return context.merge_findings(one, two)
+    bare = r.where("build is null and chrom is not null")
+    lit = lambda *words: [F.lit(w).alias(n) for w, n in zip(words, ("code", "category", "severity"))]
+    no_build = F.concat(F.lit("no build on "), "chrom").alias("message")
+    one = bare.select("dataset_id", *lit("EPI_BUILD", "coordinate_semantics", "error"), no_build)
+    two = bare.select("dataset_id", *lit("EPI_BUILD", "missing_metadata", "error"), no_build)
+    three = r.select("dataset_id", *lit("EPI_CLASS", "missing_metadata", "warning"), F.col("feature_class").alias("message"))
+    return context.merge_findings(one, two, three)
 
 
 @query("""SELECT coalesce(a.o_orderkey, z.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'only_right' WHEN z.o_orderkey IS NULL THEN 'only_left' ELSE 'o_orderstatus' END AS difference

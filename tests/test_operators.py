@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from methyra.functions import chromosomes
 from methyra.functions import scalars as fx
-from methyra.operators import classes, context, qc, summaries, trend
+from methyra.operators import classes, context, genes, qc, qualify, summaries, trend
 
 
 def _cells(spark, groups):
@@ -132,3 +133,122 @@ def test_canonical_summary_reads_named_columns_only(spark):
     rows = spark.createDataFrame([("a", 1, "2.5", "x", "n"), ("a", 2, "3", None, "n"), (" ", 3, "1", "1", "n"), (None, 4, "1", "1", "n")], "id string, at int, `Log2-FC` string, `P value` string, note string")
     out = classes.canonical_summary(rows, "id", "at")
     assert [tuple(r)[:5] for r in out.collect()] == [("a", 2, 3.0, None, None)]
+
+
+def test_nearest_sites_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    sites = [(f"c{c}", f"g{i}", int(p), int(p) + 5, "+" if i % 2 else "-") for c in range(2) for i, p in enumerate(rng.integers(0, 60_000, 40))]
+    asks = [(f"f{i}", f"c{i % 3}", int(p), int(p) + int(n)) for i, (p, n) in enumerate(zip(rng.integers(0, 80_000, 120), rng.integers(1, 4000, 120)))]
+    got = genes.nearest(
+        spark.createDataFrame(asks, "feature_id string, chrom string, start long, end long"), spark.createDataFrame(sites, "chrom string, gene_id string, start long, end long, strand string"), size=1000
+    ).collect()
+    want = set()
+    for f, c, a, e in asks:
+        own = [(g, s if strand == "+" else t) for k, g, s, t, strand in sites if k == c]
+        far = {g: a - p if p < a else max(0, p - e) for g, p in own}
+        want |= {(f, g, x) for g, x in far.items() if x == min(far.values())}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_adjustment_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    p = rng.integers(1, 30, 60) / 40
+    df = spark.createDataFrame([("a" if i % 3 else "b", i, float(x)) for i, x in enumerate(p)], "family string, id int, p double")
+    got = {r["id"]: r["q"] for r in trend.adjust(df, "p", ["family"], ["id"], "by").collect()}
+    for name in "ab":
+        own = sorted((x, i) for i, x in enumerate(p) if ("a" if i % 3 else "b") == name)
+        m = len(own)
+        scaled = [x * m * sum(1 / k for k in range(1, m + 1)) / r for r, (x, _) in enumerate(own, 1)]
+        for r, (_, i) in enumerate(own):
+            assert abs(got[i] - min(1, *scaled[r:])) < 1e-12
+
+
+def _design(spark, rows):
+    schema = "dataset_id string, sample_id string, dose_value double, dose_unit string, timepoint_hours double, batch_id string, replicate_type string"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_trend_blockers(spark):
+    good = [("ok", f"s{i}", float(i // 2), "uM", 24.0, "b", "biological") for i in range(6)]
+    bad = [("bad", f"s{i}", float(i // 2 - 1), "uM" if i else "mM", None if i else 1.0, None if i else "b", None if i else "biological") for i in range(4)]
+    s = _design(spark, good + bad)
+    shared = {r["dataset_id"]: list(r["shared"]) for r in trend.design_blockers(s, spark.createDataFrame([("bad",)], "dataset_id string")).collect()}
+    assert shared["ok"] == []
+    assert shared["bad"] == [x for x in trend.BLOCKERS[:8] if x != "no_zero_dose_control"]
+    cells = [("ok", "full", f"s{i}", float(i)) for i in range(6)] + [("ok", "gap", f"s{i}", None if i == 2 else float(i)) for i in range(5)] + [("ok", "inf", f"s{i}", float("inf") if i == 0 else 1.0) for i in range(6)]
+    c = spark.createDataFrame(cells, "dataset_id string, feature_id string, sample_id string, value double")
+    obs = trend.statistic(trend.blockers(trend.observations(c, s), trend.design_blockers(s)))
+    got = {r["feature_id"]: (r["blockers"], r["doubled"], r["doubled_max"]) for r in obs.collect()}
+    assert got["full"] == ("", 24, 24)
+    assert got["gap"][0] == "insufficient_observations_per_dose,missing_value" and got["inf"][0] == "insufficient_observations_per_dose,non_finite_value"
+    family = trend.family(obs, trend.tested(obs)).collect()
+    assert sorted((r["feature_id"], r["status"]) for r in family) == [("full", "assessed"), ("gap", "not_assessed"), ("inf", "not_assessed")]
+    with pytest.raises(Exception, match="resampling budget"):
+        trend.family(obs, trend.tested(obs), most=10.0).collect()
+
+
+@pytest.mark.parametrize("sizes, mode", [("3-3-3", "exact"), ("3-3-3-3", "monte_carlo"), ("2-2-2", "exact"), ("2-3-4", "exact"), ("20-20", "monte_carlo")])
+def test_exact_or_sampled(spark, sizes, mode):
+    n = [int(x) for x in sizes.split("-")]
+    stats = spark.createDataFrame([(n, [g for g, k in enumerate(n) for _ in range(k)])], "n array<int>, groups array<int>")
+    r = trend.mode(stats).first()
+    assert r["mode"] == mode and abs(r["allocations"] / trend.allocations(sizes) - 1) < 1e-12
+
+
+def test_sampling_in_blocks(spark, monkeypatch):
+    c, s = _cells(spark, [[1, 2, 4], [3, 5, 6], [7, 8, 9]])
+    s = s.withColumns({"dose_unit": F.lit("uM"), "timepoint_hours": F.lit(1.0), "batch_id": F.lit("b")})
+    stats = trend.statistic(trend.blockers(trend.observations(c, s), trend.design_blockers(s)))
+    whole = trend.sampled(stats).first()
+    monkeypatch.setattr(trend, "BLOCK", 5000)
+    small = trend.sampled(stats).first()
+    assert abs(whole["p_two"] - small["p_two"]) < 0.02 and abs(whole["standard_error"] - (whole["p_two"] * (1 - whole["p_two"]) / 5000) ** 0.5) < 1e-12
+
+
+def test_classes_go_through_findings_to_decisions(spark):
+    files = [(1, ["chr", "start", "end"], "chromatin", "chip_seq", None, None, None, ["histone"], False), (2, ["chr", "start", "end"], "chromatin", "atac_seq", None, None, None, ["accessibility"], False), (3, ["chr", "start", "end"], "chromatin", "other", None, None, None, [], False)]
+    schema = "file_id int, headers array<string>, family string, modality string, shape string, semantics string, explicit_class string, enabled array<string>, mixed boolean"
+    kinds = classes.region_class(spark.createDataFrame(files, schema)).select("file_id", "feature_class")
+    rows = kinds.select(
+        F.lit("d").alias("dataset_id"), F.concat(F.lit("f"), "file_id").alias("feature_id"), "feature_class", F.lit(None).cast("string").alias("modality"), F.lit("chr1").alias("chrom"), F.lit(10).cast("long").alias("start"), F.lit(300_000_000).cast("long").alias("end"),
+        F.lit("hg38").alias("build"), F.when(F.col("file_id") != 2, F.lit(fx.CANONICAL)).alias("coord_system"), *(F.lit(None).cast("string").alias(x) for x in ("measured_identifier", "platform", "manifest_version", "annotation_hash")),
+    )
+    found = {(r["feature_id"], r["code"], r["kind"]) for r in genes.findings(rows, chromosomes.sizes(spark)).collect()}
+    assert found == {("f1", "EPI009", "beyond_end"), ("f2", "EPI009", "beyond_end"), ("f3", "EPI009", "beyond_end"), ("f2", "EPI002", "no_system")}
+    samples = _design(spark, [("d", f"s{i}", float(i // 3), "uM", 24.0, "b", "biological") for i in range(12)]).withColumns({"dose_group_id": F.concat(F.lit("g"), "dose_value"), "control_flag": F.col("dose_value") == 0})
+    cells = spark.createDataFrame([("d", f"f{f}", f"s{i}", 1.0) for f in (1, 2, 3) for i in range(12)], "dataset_id string, feature_id string, sample_id string, value double")
+    nothing = spark.createDataFrame([], "dataset_id string, feature_id string, n_genes int, method string, ambiguous boolean")
+    contexts = {k: spark.createDataFrame([("d", "unlikely_confounding")], "dataset_id string, confounding string") for k in ("cell_composition", "cytotoxicity")}
+    policy = qualify.policies(spark.createDataFrame([("p",)], "policy_id string"))
+    decided = qualify.cascade(qualify.measured(rows, cells, samples), qualify.dataset_verdicts(samples, contexts), nothing, policy)
+    assert {(r["feature_id"], r["rule"], r["notes"]) for r in decided.collect()} == {("f1", "009", "EPIW003_PROXIMITY_NOT_CAUSALITY"), ("f2", "009", "EPIW003_PROXIMITY_NOT_CAUSALITY"), ("f3", "010", "")}
+    # one replicate a group: excluded, or for review where the policy says so; missing context may block
+    one = samples.where("sample_id in ('s0', 's3', 's6', 's9')")
+    review = qualify.policies(spark.createDataFrame([("a", 1, "review_required", None), ("b", 1, None, None), ("c", None, None, None)], "policy_id string, min_replicates int, n1_policy string, block_missing_context boolean"))
+    decided = qualify.cascade(qualify.measured(rows, cells, one), qualify.dataset_verdicts(one, contexts), nothing, review)
+    assert {(r["policy_id"], r["status"], r["rule"]) for r in decided.collect()} == {("a", "exploratory_only", "004"), ("b", "excluded_qc_failure", "004"), ("c", "excluded_qc_failure", "004")}
+    strict = qualify.policies(spark.createDataFrame([("s", True)], "policy_id string, block_missing_context boolean"))
+    bare = qualify.dataset_verdicts(samples, {k: v.limit(0) for k, v in contexts.items()})
+    assert {r["rule"] for r in qualify.cascade(qualify.measured(rows, cells, samples), bare, nothing, strict).collect()} == {"007"}
+    assert {r["rule"] for r in qualify.cascade(qualify.measured(rows, cells, samples), bare, nothing, policy).collect()} == {"009", "010"}
+
+
+def test_policies_of_another_version_fail(spark):
+    with pytest.raises(Exception, match="another version"):
+        qualify.policies(spark.createDataFrame([("p", "9.9")], "policy_id string, version string")).collect()
+
+
+def test_request_without_response_fails(spark):
+    requests = spark.createDataFrame([("d", "a"), ("d", "b")], "dataset_id string, feature_id string")
+    one = spark.createDataFrame([("d", "a", 1, "nearest_gene", "low", False, 5, 1), ("d", "a", 0, "unknown_target_gene", "none", True, None, 2)], "dataset_id string, feature_id string, n_genes int, method string, confidence string, rollup_allowed boolean, distance long, nth int")
+    pairs = {r["feature_id"]: r for r in genes.paired(requests, one).collect()}
+    assert (pairs["a"]["method"], pairs["a"]["warnings"], pairs["b"]["state"]) == ("unknown_target_gene", "MAPPING_NO_TARGET", "missing")
+    with pytest.raises(Exception, match="missing mapping response for feature b"):
+        genes.paired(requests, one, strict=True).collect()
+    assert [r["inconsistent"] for r in genes.guarded(one).orderBy("nth").collect()] == [False, True]
+
+
+def test_native_and_placeless_systems(spark):
+    rows = spark.createDataFrame([(x, 10, 11) for x in (*fx.SYSTEMS, "bed", None)] + [(fx.ONE_BASED, 0, 5), (fx.CANONICAL, 5, 5)], "coord_system string, start long, end long")
+    got = [(r["canonical_start"], r["target_start"], r["error"]) for r in genes.normalised(rows, fx.ONE_BASED).collect()]
+    assert got == [(10, 11, None), (9, 10, None), (10, 11, None), (None, None, "no coordinates to normalise"), (None, None, "unsupported coordinate system"), (None, None, "no coordinate system"), (None, None, "negative start"), (None, None, "empty interval")]
