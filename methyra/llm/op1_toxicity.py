@@ -43,7 +43,7 @@ WINDOW, STEP = 12, 6
 #: Characters of a token that may be a piece of a landmark.
 PIECE = 5
 #: Windows that a worker remembers.
-CAP = 600_000
+CAP = 300_000
 
 _MARKS = re.compile(r"[\W_]+")
 
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         def learn(tokens: Iterable[str]) -> None:
             fresh = {t: window_of(t) for t in tokens}
             distinct = sorted(set(fresh.values()))
-            values = dict(zip(distinct, model.values(distinct)))
+            values = dict(zip(distinct, model.values(distinct).tolist()))
             known.update((t, values[w]) for t, w in fresh.items())
             pieces.update(t for t, w in fresh.items() if w[1:] in model.pieces)
 
