@@ -252,5 +252,15 @@ def by_vocabulary(collapsed: DataFrame, column: str, words: tuple[str, ...]) ->
 
 
 def normalise_symbols(wanted: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, unmapped) of symbols against a reference table (symbol, canonical_id)."""
+    """(hits, unmapped) of symbols against a reference table (symbol, canonical_id, and whatever names its release): genes,
+    species, cell types alike."""
     return wanted.join(aliases, "symbol"), wanted.join(aliases, "symbol", "left_anti")
+
+
+def pathway_members(wanted: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per pathway of ``members`` (pathway_id, gene_id) its size and the number of ``wanted`` genes in it; and the genes that no
+    pathway holds."""
+    distinct, genes_ = members.select("pathway_id", "gene_id").distinct(), wanted.select("gene_id").distinct()
+    hit = distinct.join(genes_.withColumn("hit", F.lit(1)), "gene_id", "left")
+    sizes = hit.groupBy("pathway_id").agg(F.count("*").alias("n_members"), F.count("hit").alias("n_hits"))
+    return sizes, genes_.join(distinct, "gene_id", "left_anti")

@@ -26,8 +26,27 @@ def melt(wide: DataFrame, ids: list[str], samples: list[str]) -> DataFrame:
     return long.withColumn("value", value).withColumn("ok", ok)
 
 
+#: Column names that are no samples in a wide table, normalised.
+METADATA_NAMES = (
+    "featureid", "feature", "probeid", "cpgid", "peakid", "regionid", "chr", "chrom", "chromosome", "seqnames", "start", "end", "strand", "width", "gene", "geneid", "symbol",
+    "annotation", "type", "context", "build", "genome",
+)
+
+
+def sample_columns(columns: list[str], feature: str) -> list[str]:
+    """The columns of a wide table that hold samples: all but the feature's own and those with names of metadata."""
+    plain = lambda c: "".join(x for x in c.lower() if not x.isspace() and x not in "_-")
+    return [c for c in columns if plain(c) != plain(feature) and plain(c) not in METADATA_NAMES]
+
+
+def melted(wide: DataFrame, feature: str) -> DataFrame:
+    """As ``melt``, the sample columns told by their names, with a note for each cell: a number, a word for none, or neither."""
+    out = melt(wide.select(F.col(f"`{feature}`").alias("feature_id"), *(f"`{c}`" for c in sample_columns(wide.columns, feature))), ["feature_id"], sample_columns(wide.columns, feature))
+    return out.withColumn("note", F.when(~F.col("ok"), "not_numeric").when(F.col("value").isNull(), "missing").otherwise(""))
+
+
 def long_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with value and state: the first row of a key is kept, later ones are duplicates (EPI006), unusable ones errors."""
+    """Rows with value and state: the first usable row of a key is kept, later ones are duplicates (EPI006), unusable ones errors."""
     value, ok = number_strict(F.col("raw"))
     named = F.lit(True)
     for k in keys:
@@ -51,6 +70,18 @@ def densify(cells: DataFrame, features: DataFrame, samples: DataFrame) -> DataFr
     return grid.join(cells, ["dataset_id", "feature_id", "sample_id"], "left")
 
 
+def canonical_features(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Features over samples from long rows (dataset_id, feature_id, sample_id, raw, file_row, and optionally probe_id,
+    peak_id, measured_id): the latest valid row of a cell, the full grid with nulls, and the measured identifier: the
+    probe's, the peak's or the measured id of the feature's latest row that has one, else the feature's own id."""
+    keys = ["dataset_id", "feature_id", "sample_id"]
+    filled_ = lambda c: F.nullif(F.trim(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+    own = F.coalesce(*(filled_(c) for c in ("probe_id", "peak_id", "measured_id")))
+    features = rows.groupBy("dataset_id", "feature_id").agg(F.max_by(own, F.when(own.isNotNull(), F.col("file_row"))).alias("own"))
+    grid = densify(latest(rows, keys).select(*keys, "value"), features, samples)
+    return grid.join(features, ["dataset_id", "feature_id"]).withColumn("measured_identifier", F.coalesce("own", "feature_id")).drop("own")
+
+
 #: What a row can be, in the order in which ties for the dominant class are broken.
 ROW_CLASSES = ("cpg_methylation", "dmr", "atac_peak", "histone_mark_peak", "chromatin_interaction", "generic_region_feature", "ambiguous", "unknown")
 
@@ -79,6 +110,21 @@ def mixed_tables(classified: DataFrame, order: tuple[str, ...] = ROW_CLASSES) ->
     return top.where("k = 1").select("file_id", F.col("total").alias("n_rows"), F.col("row_class").alias("dominant"), "classes", (F.col("classes") > 1).alias("mixed"))
 
 
+def mixed_policy(mixed: DataFrame, policy: str = "review_required") -> DataFrame:
+    """What becomes of each file of ``mixed_tables``: proceed if it is not mixed, else as the policy says (block,
+    review_required or split)."""
+    action = {"block": "blocked", "review_required": "review_required", "split": "split_by_class"}[policy]
+    return mixed.withColumn("action", F.when(F.col("mixed"), action).otherwise("proceed"))
+
+
+def split_rows(classified: DataFrame, ruled: DataFrame) -> DataFrame:
+    """Rows of files that are not blocked, with the part they go to: a table per class, unknown and ambiguous rows in parts of
+    their own; rows without any indicator are warned of, ambiguous ones are errors."""
+    rows = classified.join(ruled.where("action <> 'blocked'").select("file_id", "action"), "file_id")
+    severity = F.when(F.col("row_class") == "ambiguous", "error").when(F.col("row_class") == "unknown", "warning")
+    return rows.withColumn("part", F.concat_ws("/", "file_id", "row_class")).withColumn("severity", severity)
+
+
 def constraint_findings(features: DataFrame) -> DataFrame:
     """Row and class constraints, one row per finding."""
     share = lambda c: (F.col(c) < 0) | (F.col(c) > 1)
@@ -162,22 +208,67 @@ def summary_evidence(stats: DataFrame, groups: DataFrame) -> DataFrame:
     rows = stats.join(groups, "group", "left")
     per = rows.groupBy("feature_id").agg(F.count("mean").alias("n_means"), F.count_if(F.col("mean").isNotNull() & (F.col("dose_value") > 0)).alias("n_treated"))
     ok = (F.col("n_means") >= 2) & (F.col("n_treated") >= 1)
-    return per.withColumn("supports", ok).withColumn("status", F.when(ok, "summary_only").otherwise("exploratory_only"))
+    return per.withColumn("supports", ok).withColumn("status", F.when(ok, "accepted_for_pod").otherwise("exploratory_only"))
+
+
+#: What the key of a contrast holds, normalised, and how the label of a group begins.
+CONTRAST_WORDS = ("contrast", "vs", "versus", "comparison", "diff", "change")
+GROUP_LABEL = r"(?i)^(ctrl|control|low|mid|high|dose|treatment|group)"
+
+
+def _contrast(key: Column) -> Column:
+    return header_key(key).rlike("|".join(CONTRAST_WORDS))
 
 
 def contrast_only(keys: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per feature, from its value keys: not contrast-only if more than half are samples; else so if more than half look
-    like contrasts."""
-    rows = keys.join(samples.select("dataset_id", F.col("sample_id").alias("key"), F.lit(1).alias("is_sample")).distinct(), ["dataset_id", "key"], "left")
-    per = rows.groupBy("dataset_id", "feature_id").agg(F.avg(F.coalesce("is_sample", F.lit(0))).alias("s"), F.avg(F.col("key").rlike("(?i)(_vs_|contrast|logfc)").cast("int")).alias("c"))
-    return per.select("dataset_id", "feature_id", F.when(F.col("s") > 0.5, False).otherwise(F.col("c") > 0.5).alias("contrast_only"))
+    """Per feature, from its value keys: not contrast-only if more than half are samples; so if more than half look like
+    contrasts, or all look like contrasts or labels of groups. Also whether all keys are samples, or dose groups."""
+    ids = samples.select("dataset_id", F.col("sample_id").alias("key"), F.lit(1).alias("is_sample")).distinct()
+    groups = samples.select("dataset_id", F.col("dose_group_id").alias("key"), F.lit(1).alias("is_group")).distinct()
+    rows = keys.join(ids, ["dataset_id", "key"], "left").join(groups, ["dataset_id", "key"], "left")
+    told, label = _contrast(F.col("key")), F.col("key").rlike(GROUP_LABEL)
+    per = rows.groupBy("dataset_id", "feature_id").agg(
+        F.avg(F.coalesce("is_sample", F.lit(0))).alias("s"), F.avg(told.cast("int")).alias("c"), F.bool_and(told | label).alias("labels"), F.avg(F.coalesce("is_group", F.lit(0))).alias("g")
+    )
+    only = F.when(F.col("s") > 0.5, False).otherwise((F.col("c") > 0.5) | F.col("labels"))
+    return per.select("dataset_id", "feature_id", only.alias("contrast_only"), (F.col("g") == 1).alias("by_group"), (F.col("s") == 1).alias("by_sample"))
+
+
+def evidence_type(features: DataFrame) -> DataFrame:
+    """Per dataset of ``contrast_only`` rows, what more than half of its features are."""
+    half = lambda c: F.avg(F.col(c).cast("int")) > 0.5
+    kind = F.when(half("contrast_only"), "contrast_summary").when(half("by_group"), "group_summary").when(half("by_sample"), "per_sample").otherwise("ambiguous")
+    return features.groupBy("dataset_id").agg(kind.alias("evidence"))
+
+
+def contrast_evidence(values: DataFrame) -> DataFrame:
+    """Per feature of (dataset_id, feature_id, key, value, nth): the last contrast, its first effect size and q-value (a
+    value from 0 up to a half counts as one), and status; without dose groups all are exploratory."""
+    rows = values.where(_contrast(F.col("key")) & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") <= 1.7976931348623157e308))
+    small = (F.col("value") >= 0) & (F.col("value") < 0.5)
+    first = lambda hit, name: F.min_by(F.when(hit, F.col("value")), F.when(hit, F.col("nth"))).alias(name)
+    per = rows.groupBy("dataset_id", "feature_id").agg(F.max_by("key", "nth").alias("contrast"), first(~small, "effect_size"), first(small, "q_value"))
+    every = values.select("dataset_id", "feature_id").distinct().join(per, ["dataset_id", "feature_id"], "left")
+    return every.withColumn("status", F.lit("exploratory_only")).withColumn("warning", F.lit("EPIW007_CONTRAST_ONLY_VALUES"))
 
 
-def ingestion_result(rows: DataFrame) -> DataFrame:
-    """Per dataset of ``long_rows`` output: rows, features, samples, first and last feature, errors and warnings."""
+def ingestion_result(rows: DataFrame, samples: DataFrame, provenance: DataFrame, detail: int = 20) -> DataFrame:
+    """Per dataset of ``long_rows`` output: rows, features, samples, batches of ``detail`` thousand rows, first and last
+    feature, errors and warnings (duplicates), the first ``detail`` errors in file order, and whether it is ingested: it
+    has data, a design, and provenance that names it."""
     kept = F.when(F.col("state") == "kept", F.col("feature_id"))
-    return rows.groupBy("dataset_id").agg(
-        F.count("*").alias("n_rows"), F.countDistinct(kept).alias("n_features"), F.countDistinct("sample_id").alias("n_samples"),
+    bad = F.when(~F.col("state").isin("kept", "EPI006"), F.struct("file_row", F.concat_ws(":", F.col("state"), F.coalesce("feature_id", F.lit("")))).alias("e"))
+    per = rows.groupBy("dataset_id").agg(
+        F.count("*").alias("n_rows"), F.countDistinct(kept).alias("n_features"), F.countDistinct("sample_id").alias("n_samples"), F.ceil(F.count("*") / (1000 * detail)).alias("n_batches"),
         F.min_by("feature_id", "file_row").alias("first_feature"), F.max_by("feature_id", "file_row").alias("last_feature"),
-        F.count_if(F.col("state") != "kept").alias("n_errors"),
+        F.count(bad).alias("n_errors"), F.count_if(F.col("state") == "EPI006").alias("n_warnings"),
     )
+    # the first few errors of a data set: ranked within it, so no list grows with the errors
+    order = Window.partitionBy("dataset_id").orderBy("file_row")
+    few = rows.where(bad.isNotNull()).withColumn("k", F.row_number().over(order)).where(F.col("k") <= detail)
+    texts = few.groupBy("dataset_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("k", "state"))), lambda x: x["state"])).alias("first_errors"))
+    designs = samples.select("dataset_id").distinct().withColumn("has_design", F.lit(True))
+    known = provenance.select("dataset_id").distinct().withColumn("has_provenance", F.lit(True))
+    out = per.join(texts, "dataset_id", "left").join(designs, "dataset_id", "left").join(known, "dataset_id", "left")
+    on = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(*per.columns, F.coalesce("first_errors", F.lit("")).alias("first_errors"), ((F.col("n_features") > 0) & on("has_design") & on("has_provenance")).alias("ingested"))

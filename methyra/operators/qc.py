@@ -31,36 +31,45 @@ def missingness(cells: DataFrame, features: DataFrame, samples: DataFrame, warn:
     known = cells.where(present()).join(features.select("dataset_id", "feature_id"), ["dataset_id", "feature_id"], "left_semi").join(samples.select(*on, "dose_group_id"), on)
     sizes = samples.groupBy("dataset_id").agg(F.count("*").alias("n_samples"))
     totals = features.groupBy("dataset_id").agg(F.count("*").alias("n_features"))
-    known.createOrReplaceTempView("methyra_known")
-    sets = known.sparkSession.sql(
-        "SELECT dataset_id, feature_id, sample_id, dose_group_id, grouping_id() AS g, count(*) AS n_present FROM methyra_known "
-        "GROUP BY GROUPING SETS ((dataset_id, feature_id), (dataset_id, sample_id), (dataset_id, dose_group_id), (dataset_id))"
-    )
-    level = F.when(F.col("g") == 3, "feature").when(F.col("g") == 5, "sample").when(F.col("g") == 6, "group").otherwise("dataset")
-    got = sets.select("dataset_id", level.alias("level"), F.coalesce("feature_id", "sample_id", "dose_group_id", "dataset_id").alias("key"), "n_present")
+    d, f, s, g = (F.col(c) for c in ("dataset_id", "feature_id", "sample_id", "dose_group_id"))
+    first = known.groupingSets([[d, f, g], [d, s]], d, f, s, g).agg(F.grouping_id().alias("level"), F.count("*").alias("n_present"))
+    # the other levels, and how many features each group saw, come from the counts by feature and group
+    counts = first.where("level = 2")
+    sets = counts.groupingSets([[d, f], [d, g], [d]], d, f, g).agg(F.grouping_id().alias("g"), F.sum("n_present").alias("n_present"), F.count("*").alias("n_seen"))
+    level = F.when(F.col("g") == 1, "feature").when(F.col("g") == 2, "group").otherwise("dataset")
+    got = sets.select("dataset_id", level.alias("level"), F.coalesce("feature_id", "dose_group_id", "dataset_id").alias("key"), "n_present", "n_seen")
+    got = got.unionByName(first.where("level = 5").select("dataset_id", F.lit("sample").alias("level"), F.col("sample_id").alias("key"), "n_present", F.lit(None).cast("long").alias("n_seen")))
     groups = samples.groupBy("dataset_id", "dose_group_id").agg(F.count("*").alias("n_group"))
+    none = F.lit(None).cast("long").alias("n_features")
     wanted = (
-        features.join(sizes, "dataset_id").select("dataset_id", F.lit("feature").alias("level"), F.col("feature_id").alias("key"), F.col("n_samples").alias("n_cells"))
-        .unionByName(samples.join(totals, "dataset_id").select("dataset_id", F.lit("sample").alias("level"), F.col("sample_id").alias("key"), F.col("n_features").alias("n_cells")))
-        .unionByName(groups.join(totals, "dataset_id").select("dataset_id", F.lit("group").alias("level"), F.col("dose_group_id").alias("key"), (F.col("n_group") * F.col("n_features")).alias("n_cells")))
-        .unionByName(totals.join(sizes, "dataset_id").select("dataset_id", F.lit("dataset").alias("level"), F.col("dataset_id").alias("key"), (F.col("n_samples") * F.col("n_features")).alias("n_cells")))
+        features.join(sizes, "dataset_id").select("dataset_id", F.lit("feature").alias("level"), F.col("feature_id").alias("key"), F.col("n_samples").alias("n_cells"), none)
+        .unionByName(samples.join(totals, "dataset_id").select("dataset_id", F.lit("sample").alias("level"), F.col("sample_id").alias("key"), F.col("n_features").alias("n_cells"), none))
+        .unionByName(groups.join(totals, "dataset_id").select("dataset_id", F.lit("group").alias("level"), F.col("dose_group_id").alias("key"), (F.col("n_group") * F.col("n_features")).alias("n_cells"), "n_features"))
+        .unionByName(totals.join(sizes, "dataset_id").select("dataset_id", F.lit("dataset").alias("level"), F.col("dataset_id").alias("key"), (F.col("n_samples") * F.col("n_features")).alias("n_cells"), none))
     )
-    seen = known.select("dataset_id", "dose_group_id", "feature_id").distinct().groupBy("dataset_id", "dose_group_id").agg(F.count("*").alias("n_seen"))
-    dropped = groups.join(totals, "dataset_id").join(seen, ["dataset_id", "dose_group_id"], "left").where(F.coalesce("n_seen", F.lit(0)) < F.col("n_features"))
-    dropped = dropped.select("dataset_id", F.lit("group").alias("level"), F.col("dose_group_id").alias("key"), F.lit(True).alias("dropout"))
     keys = ["dataset_id", "level", "key"]
-    out = wanted.join(got, keys, "left").join(dropped, keys, "left").withColumn("n_missing", F.col("n_cells") - F.coalesce("n_present", F.lit(0)))
+    out = wanted.join(got, keys, "left").withColumn("n_missing", F.col("n_cells") - F.coalesce("n_present", F.lit(0)))
     fraction = F.coalesce(F.try_divide("n_missing", "n_cells"), F.lit(0.0))
-    return out.select(*keys, "n_cells", "n_missing", fraction.alias("fraction"), F.when(F.col("dropout"), "exclusion").otherwise(band(fraction, warn, exclude)).alias("band"))
+    dropout = F.coalesce("n_seen", F.lit(0)) < F.col("n_features")
+    return out.select(*keys, "n_cells", "n_missing", fraction.alias("fraction"), F.when(dropout, "exclusion").otherwise(band(fraction, warn, exclude)).alias("band"))
+
+
+def design_flags(samples: DataFrame) -> DataFrame:
+    """Per dataset, what the design has: sufficient_replicates, dose_range_declared, controls_present, batch_known."""
+    groups = samples.groupBy("dataset_id", "dose_group_id").agg(F.count("*").alias("k")).groupBy("dataset_id").agg((F.min("k") >= 2).alias("sufficient_replicates"), (F.count("*") >= 2).alias("dose_range_declared"))
+    whole = samples.groupBy("dataset_id").agg(F.bool_or((F.col("dose_value") == 0) | F.coalesce("control_flag", F.lit(False))).alias("controls_present"), F.bool_or(F.col("batch_id").isNotNull()).alias("batch_known"))
+    return groups.join(whole, "dataset_id")
 
 
-def simple_qc(cells: DataFrame, design: DataFrame) -> DataFrame:
-    """(dataset_id, n_features, n_incomplete, rate, passed): share of features with a missing recorded value, and the
-    design's flag ``adequate``."""
+def simple_qc(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """Per dataset: share of features with a missing recorded value, the design's flags, and whether it passes (a share of at
+    most 0.1, with replicates, doses and controls)."""
     per = cells.groupBy("dataset_id", "feature_id").agg(F.bool_or(~present()).alias("gap"))
     whole = per.groupBy("dataset_id").agg(F.count("*").alias("n_features"), F.count_if("gap").alias("n_incomplete"))
     rate = F.try_divide("n_incomplete", "n_features")
-    return whole.join(design, "dataset_id").select("dataset_id", "n_features", "n_incomplete", rate.alias("rate"), ((rate <= 0.1) & F.col("adequate")).alias("passed"))
+    out = whole.join(design_flags(samples), "dataset_id")
+    passed = (rate <= 0.1) & F.col("sufficient_replicates") & F.col("dose_range_declared") & F.col("controls_present")
+    return out.select("dataset_id", "n_features", "n_incomplete", rate.alias("rate"), "sufficient_replicates", "dose_range_declared", "controls_present", "batch_known", passed.alias("passed"))
 
 
 def variance(cells: DataFrame) -> DataFrame:

@@ -119,17 +119,39 @@ def public_status(decided: DataFrame) -> DataFrame:
     return decided.withColumn("public", public).withColumn("use_rule", rule).withColumn("decision_id", stable_id(F.col("policy_id"), F.col("dataset_id"), F.col("feature_id"), F.col("rule")))
 
 
-#: What each rule says and what to do about it.
+#: What each rule says (with places for the feature, the threshold and what was observed), what to do about it, the policy
+#: that it follows from, and whether a person must look.
 TEXTS = (
-    ("001", "no genome build", "declare the build"), ("002", "build not allowed or mixed", "use one allowed build"), ("003", "design not sufficient", "add doses"),
-    ("004", "too few replicates", "add replicates"), ("005", "too much missing", "drop or re-measure"), ("006", "values not finite", "correct values"),
-    ("007", "confounding too strong", "review context"), ("008", "mapping ambiguous", "resolve mapping"), ("009", "accepted with caveats", "read caveats"), ("010", "accepted", "none"),
+    ("001", "{feature}: a region without a genome build ({observed}); the policy requires one", "name the build of the region", "coordinate.requireGenomeBuild", True),
+    ("002", "{feature}: build {observed} is not allowed, or the data set mixes builds", "use one allowed build", "coordinate.allowedGenomeBuilds", True),
+    ("003", "{feature}: the design has blockers; {observed} dose levels", "resolve the design's blockers and qualify again", "designReadiness / doseGroup / replicate", True),
+    ("004", "{feature}: {observed} biological replicates in the smallest group, {threshold} required", "add replicates, or let groups of one be reviewed", "replicate.minBiologicalReplicatesPerGroup", True),
+    ("005", "{feature}: {observed} of the values missing, {threshold} excludes", "look into missing samples", "missingness.exclusionThreshold", True),
+    ("006", "{feature}: values that are not finite", "check normalisation for overflows", "platform_numeric_validity", True),
+    ("007", "{feature}: confounding {observed} reaches {threshold}", "add context, or raise the level that blocks", "confounding.BlockLevel", True),
+    ("008", "{feature}: the mapping to genes is ambiguous", "use a mapping of higher confidence", "mapping.allowedMappingMethods", True),
+    ("009", "{feature}: accepted with {observed} warnings", "read the warnings", "warning_accumulation", False),
+    ("010", "{feature}: accepted", None, "none", False),
 )
 
 
-def explain(decided: DataFrame) -> DataFrame:
-    texts = decided.sparkSession.createDataFrame(TEXTS, "rule string, text string, remedy string")
-    return decided.join(texts, "rule").withColumn("needs_review", ~F.col("rule").isin("009", "010"))
+def explain(decided: DataFrame, measured_: DataFrame | None = None, designs: DataFrame | None = None, policy: DataFrame | None = None) -> DataFrame:
+    """Decisions with their text, remedy, policy and need of review. Given the features as measured, the dataset verdicts and
+    the policies, the texts hold the threshold and what was observed."""
+    texts = decided.sparkSession.createDataFrame(TEXTS, "rule string, template string, remedy string, reference string, needs_review boolean")
+    rows = decided.join(texts, "rule")
+    observed, threshold = F.when(F.col("rule") == "009", F.size(F.split("notes", ",")).cast("string")), F.lit(None).cast("string")
+    if measured_ is not None and designs is not None and policy is not None:
+        keys = ["dataset_id", "feature_id"]
+        rows = rows.join(measured_.select(*keys, "build", "missing_fraction"), keys, "left").join(designs.select("dataset_id", "levels", "least", F.greatest(*(_rank(F.col(c)) for c in ("cell_composition", "cytotoxicity"))).alias("top")), "dataset_id", "left")
+        rows = rows.join(policy.select("policy_id", "max_missing", "min_replicates", "block_level"), "policy_id", "left")
+        r, text = F.col("rule"), lambda c: F.col(c).cast("string")
+        level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("top").cast("int"))
+        observed = F.when(r.isin("001", "002"), F.coalesce("build", F.lit("none"))).when(r == "003", text("levels")).when(r == "004", text("least")).when(r == "005", F.format_string("%.1f%%", F.col("missing_fraction") * 100)).when(r == "007", level).otherwise(observed)
+        threshold = F.when(r == "004", text("min_replicates")).when(r == "005", F.format_string("%.1f%%", F.col("max_missing") * 100)).when(r == "007", F.col("block_level"))
+    put = lambda t, place, v: F.replace(t, F.lit("{" + place + "}"), F.coalesce(v, F.lit("?")))
+    message = put(put(put(F.col("template"), "feature", F.col("feature_id")), "observed", observed), "threshold", threshold)
+    return rows.withColumn("observed", observed).withColumn("threshold", threshold).withColumn("text", message).select(*decided.columns, "text", "remedy", "reference", "needs_review", "observed", "threshold")
 
 
 def summary(public: DataFrame, blocking: DataFrame) -> DataFrame:
@@ -161,27 +183,80 @@ def qualified_table(features: DataFrame, public: DataFrame) -> DataFrame:
     )
 
 
+ACCEPTED = ("accepted_for_pod", "accepted_with_caveats")
+
+
 def handoff(decided: DataFrame, designs: DataFrame) -> DataFrame:
     """Accepted features (with or without caveats) of datasets that are ready for dose-response."""
     ready = designs.where(F.col("status").isin("dose_response_minimum", "dose_response_preferred")).select("dataset_id")
-    return decided.where(F.col("status").isin("accepted_for_pod", "accepted_with_caveats")).join(ready, "dataset_id", "left_semi")
+    return decided.where(F.col("status").isin(*ACCEPTED)).join(ready, "dataset_id", "left_semi")
 
 
 def first_blocking(findings: DataFrame) -> DataFrame:
-    """The first finding of each code in each dataset."""
-    first = F.row_number().over(Window.partitionBy("dataset_id", "code").orderBy("feature_id"))
-    return findings.where("severity = 'error'").withColumn("k", first).where("k = 1").drop("k")
+    """The first blocking finding of each code in each dataset, by feature; one of the whole dataset comes first."""
+    order = F.struct(F.col("feature_id").isNotNull().alias("one"), F.col("feature_id").alias("feature_id"))
+    bad = findings.where("severity = 'error'").groupBy("dataset_id", "code").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    return bad.select("dataset_id", "code", F.col("first.feature_id").alias("feature_id"), "n")
 
 
-def audit(ready: DataFrame, decided: DataFrame) -> DataFrame:
-    """Per dataset of a hand-off: ready features that are excluded, unknown, or repeated; consistent if there are none."""
+def audit(ready: DataFrame, qualified: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Per policy and dataset of a hand-off: ready features that are not qualified, qualified with a status that is not
+    accepted, or excluded; features both qualified and excluded, repeated in either, and excluded ones of an accepted status.
+    ``ready`` and the others carry source_ref; a hand-off of several or of another source than its ready rows is mixed."""
     keys = ["policy_id", "dataset_id", "feature_id"]
-    excluded = decided.where(F.col("status").startswith("excluded")).select(*keys)
-    rows = ready.select(*keys)
-    bad = rows.join(excluded, keys, "left_semi").withColumn("what", F.lit("excluded"))
-    bad = bad.unionByName(rows.join(decided.select(*keys), keys, "left_anti").withColumn("what", F.lit("unknown")))
-    bad = bad.unionByName(rows.groupBy(*keys).count().where("count > 1").drop("count").withColumn("what", F.lit("repeated")))
-    per = bad.groupBy("dataset_id").agg(F.count_if(F.col("what") == "excluded").alias("n_excluded"), F.count_if(F.col("what") == "unknown").alias("n_unknown"), F.count_if(F.col("what") == "repeated").alias("n_repeated"))
+    part = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name), F.max(F.col("status").isin(*ACCEPTED)).alias(f"{name}_ok"), F.max("source_ref").alias(f"{name}_ref"), F.countDistinct("source_ref").alias(f"{name}_refs"))
+    both = part(ready, "r").join(part(qualified, "q"), keys, "full_outer").join(part(excluded, "e"), keys, "full_outer")
+    r, q, e = (F.col(c).isNotNull() for c in "rqe")
+    n = lambda hit, name: F.count_if(F.coalesce(hit, F.lit(False))).alias(name)
+    faults = [
+        n(r & ~q, "n_unknown"), n(r & q & ~F.col("q_ok"), "n_not_accepted"), n(r & e, "n_excluded"), n(q & e, "n_both"), n((F.col("q") > 1) | (F.col("e") > 1) | (F.col("r") > 1), "n_repeated"),
+        n(e & F.col("e_ok"), "n_accepted_excluded"), n((F.col("r_ref") != F.coalesce("q_ref", "r_ref")) | (F.col("r_refs") > 1), "n_other_source"),
+    ]
+    out = both.groupBy("policy_id", "dataset_id").agg(n(r, "n_ready"), *faults)
+    names = [c for c in out.columns if c.startswith("n_") and c != "n_ready"]
+    return out.withColumn("consistent", sum((F.col(c) for c in names), F.lit(0)) == 0)
+
+
+#: Words that claim more than ready features can bear.
+OVERCLAIMS = r"\b(proves?|causes?|causal|certain(ly)?|demonstrates? safety|safe for humans)\b"
+
+
+def readiness_audit(ready: DataFrame, decided: DataFrame, findings: DataFrame, notes: DataFrame) -> DataFrame:
+    """Per policy and dataset with decisions: a representative ready feature (the first by id), the confounding categories in
+    the notes of ready features, blocking findings that touch ready features, texts that claim too much, and flags.
+    ``notes`` are (dataset_id, text)."""
+    keys = ["policy_id", "dataset_id"]
+    own = ready.groupBy(*keys).agg(F.min("feature_id").alias("representative"), F.count("*").alias("n_ready"))
+    told = ready.select(*keys, F.explode(F.split("notes", ",")).alias("note")).where(F.col("note").rlike("^EPIW004_"))
+    confounding = told.select(*keys, F.regexp_replace("note", "^EPIW004_(.*)_CONFOUNDING$", "$1").alias("c")).groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("c"))).alias("confounding"))
+    touching = ready.select(*keys, "feature_id").join(findings.where("severity = 'error'").select("dataset_id", "feature_id", "code"), ["dataset_id", "feature_id"]).groupBy(*keys).agg(F.countDistinct("code").alias("n_blocking"))
+    claims = notes.where(F.col("text").rlike("(?i)" + OVERCLAIMS)).groupBy("dataset_id").agg(F.count("*").alias("n_claims"))
+    out = decided.select(*keys).distinct().join(own, keys, "left").join(confounding, keys, "left").join(touching, keys, "left").join(claims, "dataset_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = rows.groupBy("dataset_id").agg(F.count("*").alias("n_ready")).join(per, "dataset_id", "left").select("dataset_id", "n_ready", zero("n_excluded"), zero("n_unknown"), zero("n_repeated"))
-    return out.withColumn("consistent", F.col("n_excluded") + F.col("n_unknown") + F.col("n_repeated") == 0)
+    out = out.select(*keys, "representative", zero("n_ready"), F.coalesce("confounding", F.lit("")).alias("confounding"), zero("n_blocking"), zero("n_claims"))
+    flags = F.concat_ws(",", F.when(F.col("n_ready") == 0, "nothing_ready"), F.when(F.col("confounding") != "", "confounded"), F.when(F.col("n_blocking") > 0, "blocked_features_ready"), F.when(F.col("n_claims") > 0, "overclaims"))
+    return out.withColumn("flags", flags)
+
+
+def validation_rollup(features: DataFrame, decided: DataFrame, mappings: DataFrame, contexts: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per policy and dataset: features, those with a region, exclusions, mapping counts, and the inferences refused: of
+    confounding without full context, of targets from nearest genes only, of persistence, reversibility or heritability.
+    ``contexts``: (dataset_id, complete); ``claims``: ``guard_claims`` rows."""
+    rows = decided.join(features.select("dataset_id", "feature_id", F.col("chrom").isNotNull().alias("placed")), ["dataset_id", "feature_id"]).join(mappings, ["dataset_id", "feature_id"], "left")
+    n = lambda hit, name: F.count_if(F.coalesce(hit, F.lit(False))).alias(name)
+    per = rows.groupBy("policy_id", "dataset_id").agg(
+        F.count("*").alias("n_features"), n(F.col("placed"), "n_regions"), n(~F.col("status").isin(*ACCEPTED), "n_exclusions"), n(F.col("n_genes") > 0, "n_mapped"),
+        n((F.col("method") == "nearest_gene") & (F.col("n_genes") > 0), "n_nearest_only"), n(F.col("n_genes") > 1, "n_ambiguous"), n(~F.col("rollup_allowed"), "n_rollup_blocked"),
+    )
+    out = per.join(contexts, "dataset_id", "left").join(claims, "dataset_id", "left")
+    refused = F.concat_ws(",",
+        F.when(~F.coalesce("complete", F.lit(False)), "confounding_adjustment"), F.when(F.col("n_nearest_only") > 0, "nearest_gene_targets"), F.when(F.col("persistence_status") == "not_assessed", "persistence"),
+        F.when(F.col("reversibility_status") == "not_assessed", "reversibility"), F.when(F.col("heritability_claim").isNull(), "heritability"),
+    )
+    return out.select(*per.columns, refused.alias("refused"))
+
+
+def class_counts(features: DataFrame) -> DataFrame:
+    """Features by class and by modality of each dataset."""
+    by = lambda c: features.groupBy("dataset_id", F.lit(c).alias("kind"), F.coalesce(c, F.lit("none")).alias("name")).agg(F.count("*").alias("n"))
+    return by("feature_class").unionByName(by("modality"))

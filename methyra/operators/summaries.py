@@ -41,17 +41,26 @@ def dose_profile(cells: DataFrame, features: DataFrame, samples: DataFrame) -> D
     """Per feature and numeric dose: mean, standard deviation (null for fewer than two values), n. Group labels that share
     a dose are pooled."""
     own = samples.select("dataset_id", "sample_id", "dose_value")
+    finite = F.when(F.abs("value") <= 1.7976931348623157e308, F.col("value"))
     stats = cells.where(present()).join(own, ["dataset_id", "sample_id"]).groupBy("dataset_id", "feature_id", "dose_value").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n")
+        F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("sd"), F.count(finite).alias("n"), F.count_if(finite.isNull()).alias("n_invalid")
     )
     doses = samples.select("dataset_id", "dose_value").distinct()
     every = features.select("dataset_id", "feature_id").join(doses, "dataset_id")
     return every.join(stats, ["dataset_id", "feature_id", "dose_value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def response_pattern(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def design_problems(samples: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, unsound, mixed_units, several_times) of designs; ``invalid`` holds those that failed validation."""
+    per = samples.groupBy("dataset_id").agg((F.countDistinct(F.coalesce("dose_unit", F.lit(""))) > 1).alias("mixed_units"), (F.countDistinct(F.coalesce(F.col("timepoint_hours").cast("string"), F.lit("unspecified"))) > 1).alias("several_times"))
+    if invalid is None:
+        return per.withColumn("unsound", F.lit(False))
+    return per.join(invalid.select("dataset_id").distinct().withColumn("unsound", F.lit(True)), "dataset_id", "left").withColumn("unsound", F.coalesce("unsound", F.lit(False)))
+
+
+def response_pattern(profile: DataFrame, designs: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Pattern over the dose axis of each feature, reversals among non-zero steps, direction from the control, dynamic
-    range, and what blocks an assessment."""
+    range, largest difference from the control, and what blocks an assessment (``designs`` are ``design_problems``)."""
     by = Window.partitionBy("dataset_id", "feature_id")
     along = by.orderBy("dose_value")
     step = sign(F.col("mean") - F.lag("mean").over(along), tolerance)
@@ -64,11 +73,12 @@ def response_pattern(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
     per = rows.withColumn("diff", diff).groupBy("dataset_id", "feature_id").agg(
         F.count_if(F.col("step") > 0).alias("ups"), F.count_if(F.col("step") < 0).alias("downs"), F.sum("turn").alias("reversals"),
         F.min("diff").alias("low"), F.max("diff").alias("high"), (F.max("mean") - F.min("mean")).alias("dynamic_range"),
-        F.count_if(F.col("mean").isNull()).alias("gaps"), F.count("*").alias("levels"), F.min("dose_value").alias("least"), F.count_if(F.col("dose_value") == 0).alias("controls"),
-    )
+        F.count_if(F.col("mean").isNull()).alias("gaps"), F.count("*").alias("levels"), F.min("dose_value").alias("least"), F.count_if(F.col("dose_value") == 0).alias("controls"), F.coalesce(F.sum("n_invalid"), F.lit(0)).alias("invalid"), F.max(F.abs("diff")).alias("farthest"), F.max("control").alias("control"),
+    ).join(designs, "dataset_id")
     blockers = F.array_compact(F.array(
-        F.when(F.col("controls") == 0, "no_zero_dose_control"), F.when(F.col("least") < 0, "negative_dose_value"),
-        F.when(F.col("levels") < 3, "insufficient_distinct_dose_levels"), F.when(F.col("gaps") > 0, "incomplete_dose_level"),
+        F.when(F.col("unsound"), "structurally_invalid_design"), F.when(F.col("controls") == 0, "no_zero_dose_control"), F.when(F.col("least") < 0, "negative_dose_value"),
+        F.when(F.col("levels") < 3, "insufficient_distinct_dose_levels"), F.when(F.col("gaps") > 0, "incomplete_dose_level"), F.when(F.col("invalid") > 0, "non_finite_value"),
+        F.when(F.col("mixed_units"), "mixed_dose_units"), F.when(F.col("several_times"), "multi_timepoint_design"),
     ))
     pattern = F.when((F.col("ups") == 0) & (F.col("downs") == 0), "flat_within_tolerance").when(F.col("downs") == 0, "monotonic_nondecreasing").when(F.col("ups") == 0, "monotonic_nonincreasing").otherwise("non_monotonic")
     direction = (
@@ -81,6 +91,7 @@ def response_pattern(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return per.select(
         "dataset_id", "feature_id", F.concat_ws(",", blockers).alias("blockers"), F.when(ok, pattern).alias("pattern"),
         F.when(ok, F.col("reversals")).alias("reversals"), F.when(ok, direction).otherwise("not_assessed").alias("direction"), "dynamic_range",
+        F.when(F.col("control").isNotNull(), F.coalesce("farthest", F.lit(0.0))).alias("farthest"),
     )
 
 

@@ -51,13 +51,17 @@ def a1_missingness(spark, d):
     return rounded(qc.missingness(b.cells(spark, d), b.features(spark, d), b.samples(spark, d)), "fraction")
 
 
-@query(f"""WITH {b.CELLS12}, grid AS (SELECT f.dataset_id, f.feature_id, s.sample_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
-per AS (SELECT dataset_id, feature_id, bool_or(value IS NULL) AS gap FROM grid GROUP BY ALL), ad AS (SELECT dataset_id, count(*) >= 6 AS adequate FROM samples GROUP BY 1)
-SELECT dataset_id, count(*) AS n_features, count(*) FILTER (gap) AS n_incomplete, round(avg(gap::INT), 6) AS rate, avg(gap::INT) <= 0.1 AND any_value(adequate) AS passed FROM per JOIN ad USING (dataset_id) GROUP BY 1""")
+@query(f"""WITH {b.CELLS12}, grid AS (SELECT f.dataset_id, f.feature_id, s.sample_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id) WHERE NOT (f.dataset_id = 'DS1' AND s.dose_group_id = 'D0')),
+per AS (SELECT dataset_id, feature_id, bool_or(value IS NULL) AS gap FROM grid GROUP BY ALL), ps AS (SELECT * FROM samples WHERE NOT (dataset_id = 'DS1' AND dose_group_id = 'D0') AND NOT (dataset_id = 'DS2' AND dose_group_id = 'D1' AND sample_id <> 'S1')),
+fl AS (SELECT dataset_id, min(k) >= 2 AS sufficient_replicates, count(*) >= 2 AS dose_range_declared, bool_or(c) AS controls_present, bool_or(bt) AS batch_known FROM (SELECT dataset_id, dose_group_id, count(*) AS k, bool_or(dose_value = 0) AS c, bool_or(batch_id IS NOT NULL AND dataset_id <> 'DS3') AS bt FROM ps GROUP BY ALL) GROUP BY 1)
+SELECT dataset_id, n_features, n_incomplete, round(rate, 6) AS rate, sufficient_replicates, dose_range_declared, controls_present, batch_known, rate <= 0.1 AND sufficient_replicates AND dose_range_declared AND controls_present AS passed
+FROM (SELECT dataset_id, count(*) AS n_features, count(*) FILTER (gap) AS n_incomplete, avg(gap::INT) AS rate FROM per GROUP BY 1) JOIN fl USING (dataset_id)""")
 def a2_simple_qc(spark, d):
-    s = b.samples(spark, d)
+    ds = F.col("dataset_id")
+    s = b.samples(spark, d).where(~((ds == "DS1") & (F.col("dose_group_id") == "D0")))
     grid = ingest.densify(b.cells(spark, d), b.features(spark, d), s)
-    return rounded(qc.simple_qc(grid, s.groupBy("dataset_id").agg((F.count("*") >= 6).alias("adequate"))), "rate")
+    s = s.where(~((ds == "DS2") & (F.col("dose_group_id") == "D1") & (F.col("sample_id") != "S1"))).withColumn("batch_id", F.when(ds != "DS3", F.col("batch_id")))
+    return rounded(qc.simple_qc(grid, s), "rate")
 
 
 _SUMMARY = """g AS (SELECT dataset_id, dose_group_id, count(*) AS n_samples FROM samples GROUP BY ALL),
@@ -95,30 +99,40 @@ def a6_replicate_stability(spark, d):
     return rounded(qc.replicate_stability(b.cells(spark, d), b.samples(spark, d)), "mean_r", "min_r")
 
 
-@query(f"""WITH {b.CELLS12}, g AS (SELECT f.dataset_id, f.feature_id, s.dose_group_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
+@query(f"""WITH {b.CELLS12}, {b.TREND_SAMPLES}, g AS (SELECT f.dataset_id, f.feature_id, s.dose_group_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
 drop_ AS (SELECT dataset_id, max(m) AS d FROM (SELECT dataset_id, feature_id, dose_group_id, CASE WHEN count(value) = 0 THEN 2 ELSE 0 END AS m FROM g GROUP BY ALL) GROUP BY 1),
 fr AS (SELECT dataset_id, max(CASE WHEN x >= 0.2 THEN 2 WHEN x >= 0.05 THEN 1 ELSE 0 END) AS m FROM (SELECT dataset_id, avg((value IS NULL)::INT) AS x FROM g GROUP BY 1 UNION ALL SELECT dataset_id, avg((value IS NULL)::INT) FROM g GROUP BY dataset_id, dose_group_id) GROUP BY 1),
-va AS (SELECT dataset_id, max(CASE WHEN n >= 2 AND v < 0.001 THEN 1 ELSE 0 END) AS v FROM (SELECT dataset_id, feature_id, count(*) AS n, var_samp(value) AS v FROM cells GROUP BY ALL) GROUP BY 1)
-SELECT dataset_id, CASE greatest(d, m, v, 1) WHEN 2 THEN 'exclusion' ELSE 'warning' END AS overall FROM drop_ JOIN fr USING (dataset_id) JOIN va USING (dataset_id)""")
+va AS (SELECT dataset_id, max(CASE WHEN n >= 2 AND v < 0.001 THEN 1 ELSE 0 END) AS v FROM (SELECT dataset_id, feature_id, count(*) AS n, var_samp(value) AS v FROM cells GROUP BY ALL) GROUP BY 1),
+bt AS (SELECT dataset_id, (count(DISTINCT batch_id) > 1 AND bool_or(one))::INT AS b FROM (SELECT *, min(batch_id) OVER w = max(batch_id) OVER w AS one FROM ts WINDOW w AS (PARTITION BY dataset_id, dose_group_id)) GROUP BY 1),
+rp AS (SELECT * FROM cells JOIN ts USING (dataset_id, sample_id) WHERE replicate_type <> 'technical'), pr AS (SELECT x.dataset_id, x.dose_group_id, corr(x.value, y.value) AS r FROM rp x JOIN rp y ON x.dataset_id = y.dataset_id AND x.dose_group_id = y.dose_group_id AND x.feature_id = y.feature_id AND x.sample_id < y.sample_id GROUP BY x.dataset_id, x.dose_group_id, x.sample_id, y.sample_id HAVING count(*) >= 2),
+st AS (SELECT dataset_id, max(u) AS s FROM (SELECT dataset_id, (avg(r) < 0.9 OR min(r) < 0.7)::INT AS u FROM pr WHERE NOT isnan(r) GROUP BY dataset_id, dose_group_id) GROUP BY 1)
+SELECT dataset_id, ['acceptable', 'warning', 'exclusion'][greatest(d, m, v, coalesce(s, 0), b) + 1] AS overall FROM drop_ JOIN fr USING (dataset_id) JOIN va USING (dataset_id) JOIN bt USING (dataset_id) LEFT JOIN st USING (dataset_id)""")
 def a7_overall_qc(spark, d):
-    c, f, s = b.cells(spark, d), b.features(spark, d), b.samples(spark, d)
+    c, f, s = b.cells(spark, d), b.features(spark, d), b.trend_samples(spark, d, 12, 4)
     return qc.overall(qc.missingness(c, f, s), qc.variance(c), qc.replicate_stability(c, s), design.batch_provenance(s))
 
 
-@query(f"""WITH {b.CELLS12}, dd AS (SELECT dataset_id, feature_id, dose_value, avg(value) AS mean FROM cells JOIN samples USING (dataset_id, sample_id) GROUP BY ALL),
-e AS (SELECT f.dataset_id, f.feature_id, s.dose_value, dd.mean FROM features f JOIN (SELECT DISTINCT dataset_id, dose_value FROM samples) s USING (dataset_id) LEFT JOIN dd USING (dataset_id, feature_id, dose_value)),
+@query(f"""WITH {b.CELLS12}, c2 AS (SELECT dataset_id, feature_id, sample_id, CASE WHEN NOT bad THEN value END AS value, bad::INT AS bad FROM (SELECT *, substr(feature_id, 2)::BIGINT % 97 = 0 AND sample_id = 'S2' AS bad FROM cells)),
+dd AS (SELECT dataset_id, feature_id, dose_value, avg(value) AS mean, sum(bad) AS bad FROM c2 JOIN samples USING (dataset_id, sample_id) GROUP BY ALL),
+e AS (SELECT f.dataset_id, f.feature_id, s.dose_value, dd.mean, coalesce(bad, 0) AS bad FROM features f JOIN (SELECT DISTINCT dataset_id, dose_value FROM samples) s USING (dataset_id) LEFT JOIN dd USING (dataset_id, feature_id, dose_value)),
 st AS (SELECT *, lag(mean) OVER w AS prev, max(CASE WHEN dose_value = 0 THEN mean END) OVER (PARTITION BY dataset_id, feature_id) AS control FROM e WINDOW w AS (PARTITION BY dataset_id, feature_id ORDER BY dose_value)),
 sg AS (SELECT *, CASE WHEN mean - prev > 1e-9 THEN 1 WHEN mean - prev < -1e-9 THEN -1 WHEN mean IS NOT NULL AND prev IS NOT NULL THEN 0 END AS sg, CASE WHEN dose_value <> 0 THEN mean - control END AS diff FROM st),
 rv AS (SELECT dataset_id, feature_id, count(*) FILTER (sg <> psg) AS reversals FROM (SELECT *, lag(sg) OVER (PARTITION BY dataset_id, feature_id ORDER BY dose_value) AS psg FROM sg WHERE sg <> 0) GROUP BY ALL),
-a AS (SELECT dataset_id, feature_id, count(*) FILTER (sg > 0) AS ups, count(*) FILTER (sg < 0) AS downs, min(diff) AS low, max(diff) AS high, max(mean) - min(mean) AS range, count(*) FILTER (mean IS NULL) AS gaps FROM sg GROUP BY ALL)
-SELECT dataset_id, feature_id, CASE WHEN gaps > 0 THEN 'incomplete_dose_level' ELSE '' END AS blockers,
-  CASE WHEN gaps = 0 THEN CASE WHEN ups + downs = 0 THEN 'flat_within_tolerance' WHEN downs = 0 THEN 'monotonic_nondecreasing' WHEN ups = 0 THEN 'monotonic_nonincreasing' ELSE 'non_monotonic' END END AS pattern,
-  CASE WHEN gaps = 0 THEN coalesce(reversals, 0) END AS reversals,
-  CASE WHEN gaps > 0 THEN 'not_assessed' WHEN abs(low) <= 1e-9 AND abs(high) <= 1e-9 THEN 'unchanged' WHEN low >= -1e-9 AND high > 1e-9 THEN 'increasing' WHEN high <= 1e-9 AND low < -1e-9 THEN 'decreasing' ELSE 'mixed' END AS direction,
-  round(range, 10) AS dynamic_range FROM a LEFT JOIN rv USING (dataset_id, feature_id)""")
+a AS (SELECT dataset_id, feature_id, count(*) FILTER (sg > 0) AS ups, count(*) FILTER (sg < 0) AS downs, min(diff) AS low, max(diff) AS high, max(mean) - min(mean) AS range, count(*) FILTER (mean IS NULL) AS gaps, sum(bad) AS bad, max(abs(diff)) AS far, max(control) AS control FROM sg GROUP BY ALL),
+k AS (SELECT *, concat_ws(',', CASE WHEN dataset_id = 'DS2' THEN 'structurally_invalid_design' END, CASE WHEN gaps > 0 THEN 'incomplete_dose_level' END, CASE WHEN bad > 0 THEN 'non_finite_value' END, CASE WHEN dataset_id = 'DS3' THEN 'mixed_dose_units' END, CASE WHEN dataset_id = 'DS4' THEN 'multi_timepoint_design' END) AS blockers FROM a)
+SELECT dataset_id, feature_id, blockers,
+  CASE WHEN blockers = '' THEN CASE WHEN ups + downs = 0 THEN 'flat_within_tolerance' WHEN downs = 0 THEN 'monotonic_nondecreasing' WHEN ups = 0 THEN 'monotonic_nonincreasing' ELSE 'non_monotonic' END END AS pattern,
+  CASE WHEN blockers = '' THEN coalesce(reversals, 0) END AS reversals,
+  CASE WHEN blockers <> '' THEN 'not_assessed' WHEN abs(low) <= 1e-9 AND abs(high) <= 1e-9 THEN 'unchanged' WHEN low >= -1e-9 AND high > 1e-9 THEN 'increasing' WHEN high <= 1e-9 AND low < -1e-9 THEN 'decreasing' ELSE 'mixed' END AS direction,
+  round(range, 10) AS dynamic_range, round(CASE WHEN control IS NOT NULL THEN coalesce(far, 0) END, 10) AS farthest FROM k LEFT JOIN rv USING (dataset_id, feature_id)""")
 def w2_response_pattern(spark, d):
-    profile = summaries.dose_profile(b.cells(spark, d), b.features(spark, d), b.samples(spark, d))
-    return rounded(summaries.response_pattern(profile, 1e-9), "dynamic_range", places=10).withColumn("reversals", F.col("reversals").cast("long"))
+    ds, s = F.col("dataset_id"), b.samples(spark, d)
+    odd = (F.substring("feature_id", 2, 20).cast("long") % 97 == 0) & (F.col("sample_id") == "S2")
+    cells = b.cells(spark, d).withColumn("value", F.when(odd, float("inf")).otherwise(F.col("value")))
+    units = s.withColumns({"dose_unit": F.when((ds == "DS3") & (F.col("sample_id") == "S0"), "mM").otherwise("uM"), "timepoint_hours": F.when((ds == "DS4") & (F.col("sample_id") == "S1"), 48.0).otherwise(24.0)})
+    designs = summaries.design_problems(units, s.where("dataset_id = 'DS2'"))
+    out = summaries.response_pattern(summaries.dose_profile(cells, b.features(spark, d), s), designs, 1e-9)
+    return rounded(out, "dynamic_range", "farthest", places=10).withColumn("reversals", F.col("reversals").cast("long"))
 
 
 @query(f"""WITH {b.CELLS12} SELECT dataset_id, feature_id, sample_id, value, (SELECT count(*) FROM cells) > 75 AS has_more FROM cells ORDER BY dataset_id, feature_id, sample_id LIMIT 25 OFFSET 50""")
@@ -217,10 +231,13 @@ def w3_p_adjustment(spark, d):
 # -- designs -------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {b.CELLS12} SELECT dataset_id, count(DISTINCT batch_id) AS n_batches, true AS complete, count(DISTINCT batch_id) > 1 AND bool_or(one) AS nested FROM
-  (SELECT *, min(batch_id) OVER w = max(batch_id) OVER w AS one FROM samples WINDOW w AS (PARTITION BY dataset_id, dose_group_id)) GROUP BY 1""")
+@query(f"""WITH {b.REGISTRY}, g AS (SELECT dataset_id, dose_group_id, count(DISTINCT batch_id) AS k FROM reg GROUP BY ALL), w AS (SELECT dataset_id, count(DISTINCT batch_id) AS n_batches, count(batch_id) AS named, count(*) AS n FROM reg GROUP BY 1),
+c AS (SELECT 'C' || c_custkey AS dataset_id, c_nationkey % 3 AS n_parameters, c_nationkey % 2 = 0 AS kept FROM customer WHERE c_custkey % 4 = 0), j AS (SELECT w.*, n_batches > 1 AND coalesce(inside, false) AS nested, c.n_parameters, c.kept FROM w LEFT JOIN (SELECT dataset_id, bool_or(k = 1) AS inside FROM g GROUP BY 1) USING (dataset_id) LEFT JOIN c USING (dataset_id))
+SELECT dataset_id, n_batches, named = n AS complete, nested, concat_ws(',', CASE WHEN named = 0 THEN 'BATCH_MISSING_METADATA' WHEN named < n THEN 'BATCH_PARTIAL_METADATA' END, CASE WHEN nested THEN 'BATCH_DOSE_CONFOUNDING' END, CASE WHEN n_parameters = 0 THEN 'BATCH_CORRECTION_NO_PARAMS' END, CASE WHEN NOT kept THEN 'BATCH_CORRECTION_NO_PRE_STRUCTURE' END) AS warnings FROM j""")
 def a8_batch_provenance(spark, d):
-    return design.batch_provenance(b.samples(spark, d))
+    c = b.t(spark, d, "customer").where("c_custkey % 4 = 0")
+    told = c.select(F.concat(F.lit("C"), "c_custkey").alias("dataset_id"), F.lit("combat").alias("method"), (F.col("c_nationkey") % 3).alias("n_parameters"), (F.col("c_nationkey") % 2 == 0).alias("structure_kept"))
+    return design.batch_provenance(b.registry(spark, d), told)
 
 
 @query(f"""WITH {b.REGISTRY}, p AS (SELECT DISTINCT dataset_id, dose_group_id, batch_id FROM reg WHERE batch_id IS NOT NULL), w AS (SELECT dataset_id, count(batch_id) = count(*) AS complete FROM reg GROUP BY 1),
@@ -233,11 +250,22 @@ def a9_batch_confounding(spark, d):
 _REPL = """rp AS (SELECT dataset_id, dose_group_id, count(*) FILTER (coalesce(replicate_type, 'biological') = 'biological') AS biological, count(*) FILTER (replicate_type = 'technical') AS technical, count(*) FILTER (replicate_type = 'pooled') AS pooled, count(*) FILTER (replicate_type = 'pseudobulk') AS pseudobulk FROM reg GROUP BY ALL)"""
 
 
-@query(f"""WITH {b.REGISTRY}, {_REPL} SELECT *, biological + pooled + pseudobulk AS effective, CASE WHEN biological + pooled + pseudobulk >= 3 THEN 'preferred' WHEN biological + pooled + pseudobulk >= 2 THEN 'accepted' WHEN biological + pooled + pseudobulk = 1 THEN 'review_required' ELSE 'excluded' END AS status FROM rp""")
+_RANKED = """ra AS (SELECT *, biological + pooled + pseudobulk AS effective, CASE WHEN biological + pooled + pseudobulk >= 3 THEN 'preferred' WHEN biological + pooled + pseudobulk >= 2 THEN 'accepted' WHEN biological + pooled + pseudobulk = 1 THEN 'review_required' ELSE 'excluded' END AS status,
+  concat_ws(',', CASE WHEN biological + pooled + pseudobulk = 0 AND technical > 0 THEN 'EPIR001_TECHNICAL_REPLICATE_ONLY' END, CASE WHEN pooled > 0 THEN 'EPIR002_POOLED_SAMPLE' END, CASE WHEN pseudobulk > 0 THEN 'EPIR003_PSEUDOBULK_SAMPLE' END,
+    CASE WHEN (biological > 0)::INT + (technical > 0)::INT + (pooled > 0)::INT + (pseudobulk > 0)::INT > 1 THEN 'EPIR004_MIXED_REPLICATE_TYPES' END) AS warnings FROM rp)"""
+
+
+@query(f"WITH {b.REGISTRY}, {_REPL}, {_RANKED} SELECT * FROM ra")
 def a10_replicates(spark, d):
     return design.replicates(b.registry(spark, d))
 
 
+@query(f"""WITH {b.REGISTRY}, {_REPL}, {_RANKED} SELECT dataset_id, ['excluded', 'review_required', 'accepted', 'preferred'][min(list_position(['excluded', 'review_required', 'accepted', 'preferred'], status))] AS overall, min(effective) AS least, count(*) FILTER (status = 'excluded') AS n_blocked, count(*) FILTER (effective < 3) AS n_under_preferred,
+  count(*) FILTER (status = 'excluded') = 0 AS valid FROM ra GROUP BY 1""")
+def a10_replicate_verdicts(spark, d):
+    return design.replicate_verdicts(design.replicates(b.registry(spark, d)))
+
+
 @query(f"""WITH {b.REGISTRY}, g AS (SELECT dataset_id, dose_value, dose_group_id, count(*) AS n, string_agg(sample_id, ',' ORDER BY sample_id) AS samples FROM reg GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY dose_value, dose_group_id)::INT AS position FROM g) SELECT *, dose_value = 0 AND position = 1 AS is_control FROM k""")
 def a14_dose_axis(spark, d):
@@ -248,9 +276,21 @@ _CONTROL = """ct AS (SELECT dataset_id, count(DISTINCT dose_group_id) FILTER (do
   FROM (SELECT dataset_id, dose_group_id, dose_value, dose_unit, timepoint_hours, bool_and(control_flag) AS fl FROM reg GROUP BY ALL) GROUP BY 1)"""
 
 
-@query(f"""WITH {b.REGISTRY}, {_CONTROL} SELECT *, concat_ws(',', CASE WHEN n_controls = 0 THEN 'no_control' END, CASE WHEN n_controls > 1 THEN 'several_controls' END, CASE WHEN n_units > 1 THEN 'mixed_dose_units' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint' END) AS problems FROM ct""")
+@query(f"""WITH {b.REGISTRY}, {_CONTROL}, de AS (SELECT 'C' || c_custkey AS dataset_id, CASE WHEN c_custkey % 2 = 0 THEN 'G0' END AS control_group, CASE WHEN c_custkey % 14 = 0 THEN 'to uM' END AS normalisation FROM customer),
+k AS (SELECT ct.*, control_group IS NOT NULL AND EXISTS (SELECT 1 FROM reg WHERE reg.dataset_id = ct.dataset_id AND dose_group_id = 'G0') AS named, normalisation IS NOT NULL AS norm FROM ct LEFT JOIN de USING (dataset_id))
+SELECT dataset_id, n_controls, n_units, n_timepoints, concat_ws(',', CASE WHEN n_controls = 0 THEN 'no_control' END, CASE WHEN n_controls > 1 AND NOT named THEN 'several_controls' END, CASE WHEN n_units > 1 AND NOT norm THEN 'mixed_dose_units' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint' END) AS problems,
+  CASE WHEN n_units > 1 AND norm THEN 'mixed_dose_units_normalised' ELSE '' END AS warnings FROM k""")
 def a15_control_axis(spark, d):
-    return design.control_axis(b.registry(spark, d))
+    k = F.col("c_custkey")
+    told = b.t(spark, d, "customer").select(F.concat(F.lit("C"), k).alias("dataset_id"), F.when(k % 2 == 0, "G0").alias("control_group"), F.when(k % 14 == 0, "to uM").alias("normalisation"))
+    return design.control_axis(b.registry(spark, d), told)
+
+
+@query(f"""WITH {b.REGISTRY}, n AS (SELECT dataset_id, count(DISTINCT timepoint_hours) AS k FROM reg GROUP BY 1), sp AS (SELECT reg.* EXCLUDE (dataset_id), CASE WHEN k > 1 THEN reg.dataset_id || '_tp' || timepoint_hours::INT ELSE reg.dataset_id END AS dataset_id FROM reg JOIN n USING (dataset_id)),
+z AS (SELECT dataset_id, dose_group_id, count(*) AS k, bool_or(dose_value = 0 OR control_flag) AS c FROM sp GROUP BY ALL)
+SELECT dataset_id, sum(k)::BIGINT AS n_samples, count(*) AS n_groups, bool_or(c) AS has_controls, min(k) AS min_replicates, CASE WHEN NOT bool_or(c) THEN 'no_control' WHEN count(*) < 2 THEN 'few_groups' ELSE 'ready' END AS state FROM z GROUP BY 1""")
+def a15_split_designs(spark, d):
+    return design.split_designs(b.registry(spark, d))
 
 
 @query(f"""WITH {b.REGISTRY}, n AS (SELECT dataset_id, count(DISTINCT timepoint_hours) AS k FROM reg GROUP BY 1)
@@ -288,21 +328,38 @@ def f12_claim_guards(spark, d):
     return design.guard_claims(c, b.registry(spark, d))
 
 
-@query(f"""WITH {b.CELLS12}, m AS (SELECT dataset_id, sample_id, count(*) AS m FROM cells WHERE sample_id <> 'S3' GROUP BY ALL), de AS (SELECT dataset_id, sample_id, count(*) AS d FROM samples WHERE sample_id <> 'S5' GROUP BY ALL), x AS (SELECT * FROM m FULL JOIN de USING (dataset_id, sample_id))
-SELECT dataset_id, count(*) FILTER (m IS NOT NULL AND d IS NOT NULL) AS matched, count(*) FILTER (d IS NULL) AS not_in_design, count(*) FILTER (m IS NULL) AS not_in_matrix, count(*) FILTER (d > 1) AS duplicated, 0::BIGINT AS groupless, count(*) FILTER (d IS NULL OR m IS NULL OR d > 1) = 0 AS complete FROM x GROUP BY 1""")
+@query(f"""WITH {b.CELLS12}, m AS (SELECT dataset_id, sample_id, count(*) AS m FROM cells WHERE sample_id <> 'S3' GROUP BY ALL), de AS (SELECT dataset_id, sample_id, count(*) AS d, bool_or(sample_id = 'S4' AND dataset_id = 'DS1') AS g FROM (SELECT * FROM samples UNION ALL SELECT * FROM samples WHERE dataset_id = 'DS2' AND sample_id = 'S6') WHERE sample_id <> 'S5' GROUP BY ALL), x AS (SELECT * FROM m FULL JOIN de USING (dataset_id, sample_id))
+SELECT dataset_id, count(*) FILTER (m IS NOT NULL AND d IS NOT NULL) AS matched, count(*) FILTER (d IS NULL) AS not_in_design, count(*) FILTER (m IS NULL) AS not_in_matrix, count(*) FILTER (d > 1) AS duplicated, count(*) FILTER (g) AS groupless, count(*) FILTER (d IS NULL OR m IS NULL OR d > 1 OR g) = 0 AS complete FROM x GROUP BY 1""")
 def u1_sample_coverage(spark, d):
-    return design.coverage(b.cells(spark, d).where("sample_id <> 'S3'"), b.samples(spark, d).where("sample_id <> 'S5'"))
+    s = b.samples(spark, d)
+    twice = s.unionByName(s.where("dataset_id = 'DS2' and sample_id = 'S6'")).withColumn("dose_group_id", F.when((F.col("sample_id") != "S4") | (F.col("dataset_id") != "DS1"), F.col("dose_group_id")))
+    return design.coverage(b.cells(spark, d).where("sample_id <> 'S3'"), twice.where("sample_id <> 'S5'"))
 
 
-@query("""WITH r AS (SELECT 'C' || (o_custkey % 100) AS dataset_id, 'O' || (o_orderkey % 2000) AS sample_id, 'G' || (o_orderkey % 4) AS group_id, (o_orderkey % 4)::VARCHAR AS dose_value, 'uM' AS dose_unit, ['bio', 'Technical', 'x', ' biological'][o_orderkey % 4 + 1] AS replicate_type, ['Yes', 'no', 'CTRL', 'maybe', NULL][o_orderkey % 5 + 1] AS control_flag, o_orderkey AS file_row FROM orders)
-SELECT dataset_id, sample_id, group_id, dose_value::DOUBLE AS dose, CASE WHEN lower(coalesce(control_flag, '')) IN ('yes', 'ctrl') THEN true WHEN lower(coalesce(control_flag, '')) IN ('', 'no') THEN false END AS is_control,
-  CASE WHEN lower(trim(replicate_type)) IN ('bio', 'biological') THEN 'biological' WHEN lower(trim(replicate_type)) = 'technical' THEN 'technical' END AS kind,
-  (row_number() OVER (PARTITION BY dataset_id, group_id ORDER BY file_row) - 1)::INT AS replicate_index, row_number() OVER (PARTITION BY dataset_id, sample_id ORDER BY file_row) > 1 AS repeated FROM r""")
-def s6_design_table(spark, d):
+_DESIGN = """r AS (SELECT 'C' || (o_custkey // 10) AS dataset_id, CASE WHEN o_orderkey % 101 = 0 THEN ' ' ELSE 'O' || (o_orderkey // 2) END AS sample_id, 'G' || (o_orderkey % 4) AS group_id, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 4)::DOUBLE END AS dose, 'uM' AS dose_unit, CASE WHEN o_orderkey % 3 = 0 THEN 24.0 END AS timepoint_hours,
+  CASE o_orderkey % 5 WHEN 0 THEN 'biological' WHEN 1 THEN 'technical' WHEN 2 THEN 'x' WHEN 3 THEN 'biological' ELSE '' END AS w, CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN false END AS is_control, o_orderkey AS file_row FROM orders),
+t1 AS (SELECT *, CASE WHEN w IN ('biological', 'technical') THEN w END AS kind, CASE WHEN trim(sample_id) = '' THEN 'missing_id' WHEN dose IS NULL THEN 'bad_dose' WHEN is_control IS NULL THEN 'bad_control_flag' WHEN w = 'x' THEN 'bad_replicate_type' END AS fault FROM r),
+t2 AS (SELECT *, coalesce(fault, CASE WHEN count(*) FILTER (fault IS NULL) OVER (PARTITION BY dataset_id, sample_id ORDER BY file_row) > 1 THEN 'repeated' ELSE 'kept' END) AS state FROM t1),
+t3 AS (SELECT dataset_id, sample_id, group_id, dose_unit, dose, timepoint_hours, is_control, kind, state, CASE WHEN state = 'kept' THEN (row_number() OVER (PARTITION BY dataset_id, group_id, dose, dose_unit, timepoint_hours, state = 'kept' ORDER BY file_row) - 1)::INT END AS replicate_index FROM t2)"""
+
+
+def _design_rows(spark, d):
     o = F.col("o_orderkey")
-    pick = lambda k, *w: F.element_at(F.array(*(F.lit(x) for x in w)), (k % len(w) + 1).cast("int"))
-    rows = b.t(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey") % 100).alias("dataset_id"), F.concat(F.lit("O"), o % 2000).alias("sample_id"), F.concat(F.lit("G"), o % 4).alias("group_id"), (o % 4).cast("string").alias("dose_value"), F.lit("uM").alias("dose_unit"), pick(o, "bio", "Technical", "x", " biological").alias("replicate_type"), pick(o, "Yes", "no", "CTRL", "maybe", None).alias("control_flag"), o.alias("file_row"))
-    return design.read_design(rows)
+    return design.read_design(b.t(spark, d, "orders").select(
+        F.concat(F.lit("C"), F.floor(F.col("o_custkey") / 10)).alias("dataset_id"), F.when(o % 101 == 0, " ").otherwise(F.concat(F.lit("O"), F.floor(o / 2))).alias("sample_id"), F.concat(F.lit("G"), o % 4).alias("group_id"),
+        F.when(o % 29 == 0, "high").otherwise((o % 4).cast("string")).alias("dose_value"), F.lit("uM").alias("dose_unit"), F.when(o % 3 == 0, "24").alias("timepoint"), b.word(o, "bio", "Technical", "x", " biological", None).alias("replicate_type"),
+        b.word(o, "Yes", "no", "CTRL", "maybe", None, " true ", "Treatment").alias("control_flag"), o.alias("file_row"),
+    ))
+
+
+@query(f"WITH {_DESIGN} SELECT * FROM t3")
+def s6_design_table(spark, d):
+    return _design_rows(spark, d)
+
+
+@query(f"""WITH {_DESIGN}, g AS (SELECT dataset_id, group_id, dose, dose_unit, timepoint_hours, count(*) AS k, bool_or(is_control OR dose = 0) AS c FROM t3 WHERE state = 'kept' GROUP BY ALL) SELECT dataset_id, sum(k)::BIGINT AS n_samples, count(*) AS n_groups, min(k) AS min_replicates, bool_or(c) AS has_controls FROM g GROUP BY 1""")
+def s6_dose_groups(spark, d):
+    return design.dose_groups(_design_rows(spark, d))
 
 
 # -- regions and genes ---------------------------------------------------------------------------------------------
@@ -506,14 +563,22 @@ def a22_external_guards(spark, d):
     return genes.guarded_external(_evidence(spark, d)).select("feature_id", "gene_id", "method", "blocked_rollup", "blocked_cause")
 
 
-@query("""SELECT symbol, canonical_id FROM (SELECT DISTINCT 'C' || (o_custkey % 200) AS symbol FROM orders) LEFT JOIN (SELECT 'C' || c_custkey AS symbol, c_name AS canonical_id FROM customer WHERE c_custkey % 3 = 0) USING (symbol)""")
+@query("""SELECT symbol, canonical_id FROM (SELECT DISTINCT 'C' || o_custkey AS symbol FROM orders) LEFT JOIN (SELECT 'C' || c_custkey AS symbol, c_name AS canonical_id FROM customer WHERE c_custkey % 3 = 0) USING (symbol)""")
 def j7_reference_lookup(spark, d):
-    wanted = b.t(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey") % 200).alias("symbol")).distinct()
+    wanted = b.t(spark, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("symbol")).distinct()
     known = b.t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), F.col("c_name").alias("canonical_id"))
     hits, missing = genes.normalise_symbols(wanted, known)
     return hits.unionByName(missing, allowMissingColumns=True)
 
 
+@query("""WITH m AS (SELECT DISTINCT 'S' || l_suppkey AS pathway_id, l_partkey AS g FROM lineitem WHERE l_linenumber = 1), w AS (SELECT DISTINCT p_partkey AS g FROM part WHERE p_size > 20)
+SELECT pathway_id, count(*) AS n_members, count(w.g) AS n_hits FROM m LEFT JOIN w USING (g) GROUP BY 1 UNION ALL SELECT 'none', count(*), count(*) FROM w WHERE g NOT IN (SELECT g FROM m)""")
+def j7_pathway_members(spark, d):
+    members = b.t(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("S"), "l_suppkey").alias("pathway_id"), F.col("l_partkey").alias("gene_id"))
+    sizes, rest = genes.pathway_members(b.t(spark, d, "part").where("p_size > 20").select(F.col("p_partkey").alias("gene_id")), members)
+    return sizes.unionByName(rest.agg(F.lit("none").alias("pathway_id"), F.count("*").alias("n_members"), F.count("*").alias("n_hits")))
+
+
 # -- qualification -------------------------------------------------------------------------------------------------
 
 _CHECK = "ck AS (SELECT dataset_id, sample_id, sum(fraction) AS total, count(*) FILTER (fraction IS NULL) AS n_missing FROM pf GROUP BY ALL)"
@@ -573,11 +638,16 @@ def _contexts(spark, d, n=5, name="DS"):
     return {"cell_composition": composed, "cytotoxicity": context.cytotoxicity(b.assays(spark, d, n, name))}
 
 
-def _decided(spark, d):
-    samples, k = b.samples(spark, d), F.substring("feature_id", 2, 20)
+def _values(spark, d):
+    """Cells of the regions, some of them infinite."""
+    k = F.substring("feature_id", 2, 20)
     odd = (k.cast("long") % 41 == 0) & (F.col("sample_id") == "S0")
-    cells = b.cells(spark, d).select("dataset_id", F.concat(F.lit("P"), k).alias("feature_id"), "sample_id", F.when(odd, float("inf")).otherwise(F.col("value")).alias("value"))
-    rows = qualify.measured(b.regions(spark, d), cells, samples)
+    return b.cells(spark, d).select("dataset_id", F.concat(F.lit("P"), k).alias("feature_id"), "sample_id", F.when(odd, float("inf")).otherwise(F.col("value")).alias("value"))
+
+
+def _decided(spark, d):
+    samples = b.samples(spark, d)
+    rows = qualify.measured(b.regions(spark, d), _values(spark, d), samples)
     return qualify.cascade(rows, qualify.dataset_verdicts(samples, _contexts(spark, d)), _collapsed(spark, d), _policies(spark, d))
 
 
@@ -608,11 +678,67 @@ def p17_public_status(spark, d):
     return qualify.explain(qualify.public_status(_decided(spark, d))).select("feature_id", "policy_id", "public", "use_rule", "decision_id", "needs_review")
 
 
-@query(f"""WITH {_Q} SELECT dataset_id, count(*) AS n_ready, 0::BIGINT AS n_excluded, 0::BIGINT AS n_unknown, 0::BIGINT AS n_repeated, true AS consistent FROM dec WHERE status LIKE 'accepted%' AND dataset_id <> 'DS1' GROUP BY 1""")
+_HAND = f"""{_Q}, hk AS (SELECT *, substr(feature_id, 2)::BIGINT AS n_, status LIKE 'accepted%' AS acc FROM dec), hq AS (SELECT policy_id, dataset_id, feature_id, 'packet' AS ref, acc FROM hk WHERE acc UNION ALL SELECT policy_id, dataset_id, feature_id, 'packet', acc FROM hk WHERE n_ % 89 = 0),
+hx AS (SELECT policy_id, dataset_id, feature_id, 'packet' AS ref, acc FROM hk WHERE NOT acc OR n_ % 83 = 0), hr AS (SELECT policy_id, dataset_id, feature_id, CASE WHEN n_ % 79 = 0 THEN 'other' ELSE 'packet' END AS ref FROM hk WHERE dataset_id IN (SELECT dataset_id FROM ready WHERE status LIKE 'dose_response%') AND acc OR n_ % 97 = 0),
+hz AS (SELECT * FROM (SELECT policy_id, dataset_id, feature_id, count(*) AS r, max(ref) AS r_ref FROM hr GROUP BY ALL) FULL JOIN (SELECT policy_id, dataset_id, feature_id, count(*) AS q, max(acc::INT) AS q_ok FROM hq GROUP BY ALL) USING (policy_id, dataset_id, feature_id) FULL JOIN (SELECT policy_id, dataset_id, feature_id, count(*) AS e, max(acc::INT) AS e_ok FROM hx GROUP BY ALL) USING (policy_id, dataset_id, feature_id)),
+ha AS (SELECT policy_id, dataset_id, count(r) AS n_ready, count(*) FILTER (r IS NOT NULL AND q IS NULL) AS n_unknown, count(*) FILTER (r IS NOT NULL AND q_ok = 0) AS n_not_accepted, count(*) FILTER (r IS NOT NULL AND e IS NOT NULL) AS n_excluded, count(*) FILTER (q IS NOT NULL AND e IS NOT NULL) AS n_both,
+  count(*) FILTER (q > 1 OR e > 1 OR r > 1) AS n_repeated, count(*) FILTER (e_ok = 1) AS n_accepted_excluded, count(*) FILTER (r IS NOT NULL AND q IS NOT NULL AND r_ref = 'other') AS n_other_source FROM hz GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_HAND} SELECT *, n_unknown + n_not_accepted + n_excluded + n_both + n_repeated + n_accepted_excluded + n_other_source = 0 AS consistent FROM ha")
 def q9_handoff_audit(spark, d):
-    decided = _decided(spark, d)
-    states = b.regions(spark, d).select("dataset_id").distinct().select("dataset_id", F.when(F.col("dataset_id") == "DS1", "comparison_only").otherwise("dose_response_minimum").alias("status"))
-    return qualify.audit(qualify.handoff(decided, states), decided)
+    """Hand-offs with faults on purpose: ready rows that are excluded or of another source, features in two lists."""
+    decided, n = _decided(spark, d).withColumn("source_ref", F.lit("packet")), F.substring("feature_id", 2, 20).cast("long")
+    good = F.col("status").isin(*qualify.ACCEPTED)
+    qualified = decided.where(good).unionByName(decided.where(n % 89 == 0))
+    ready = qualify.handoff(decided, design.readiness(b.samples(spark, d))).unionByName(decided.where(n % 97 == 0)).dropDuplicates(["policy_id", "dataset_id", "feature_id"])
+    return qualify.audit(ready.withColumn("source_ref", F.when(n % 79 == 0, "other").otherwise("packet")), qualified, decided.where(~good | (n % 83 == 0)))
+
+
+@query(f"WITH {b.REGIONS}, {_FOUND} SELECT dataset_id, code, CASE WHEN count(feature_id) = count(*) THEN min(feature_id) END AS feature_id, count(*) AS n FROM fd WHERE severity = 'error' GROUP BY 1, 2")
+def q8_first_blocking(spark, d):
+    return qualify.first_blocking(_findings(spark, d))
+
+
+@query(f"""WITH {_Q}, l2 AS (SELECT z.*, dec.rule, dec.status, ls[greatest(coalesce(list_position(ls, cell), 0), coalesce(list_position(ls, cyto), 0))] AS top FROM z JOIN dec USING (policy_id, dataset_id, feature_id) CROSS JOIN lr)
+SELECT policy_id, feature_id, rule, CASE WHEN rule IN ('001', '002') THEN coalesce(build, 'none') WHEN rule = '003' THEN levels::VARCHAR WHEN rule = '004' THEN least::VARCHAR WHEN rule = '005' THEN printf('%.1f%%', missing_fraction * 100) WHEN rule = '007' THEN top WHEN rule = '009' THEN len(string_split(notes, ','))::VARCHAR END AS observed,
+  CASE WHEN rule = '004' THEN mr::VARCHAR WHEN rule = '005' THEN printf('%.1f%%', mm * 100) WHEN rule = '007' THEN bl END AS threshold, rule NOT IN ('009', '010') AS needs_review FROM l2""")
+def p16_explanations(spark, d):
+    samples, policy = b.samples(spark, d), _policies(spark, d)
+    verdicts = qualify.dataset_verdicts(samples, _contexts(spark, d))
+    told = qualify.explain(_decided(spark, d), qualify.measured(b.regions(spark, d), _values(spark, d), samples), verdicts, policy)
+    return told.select("policy_id", "feature_id", "rule", "observed", "threshold", "needs_review")
+
+
+_ROLLED = f"""{_ANSWERS}, ca AS (SELECT dataset_id, cell <> 'no_context_available' AND cyto <> 'no_context_available' AS complete FROM ds),
+rr AS (SELECT policy_id, dataset_id, count(*) AS n_features, count(chrom) AS n_regions, count(*) FILTER (status NOT LIKE 'accepted%') AS n_exclusions, count(*) FILTER (la.n_genes > 0) AS n_mapped, count(*) FILTER (la.method = 'nearest_gene' AND la.n_genes > 0) AS n_nearest_only, count(*) FILTER (la.n_genes > 1) AS n_ambiguous,
+  count(*) FILTER (NOT la.rollup_allowed) AS n_rollup_blocked FROM dec JOIN regions USING (dataset_id, feature_id) LEFT JOIN la USING (dataset_id, feature_id) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_Q}, {_ROLLED} SELECT rr.*, concat_ws(',', CASE WHEN NOT complete THEN 'confounding_adjustment' END, CASE WHEN n_nearest_only > 0 THEN 'nearest_gene_targets' END, 'persistence', 'reversibility', CASE WHEN dataset_id <> 'DS1' THEN 'heritability' END) AS refused FROM rr LEFT JOIN ca USING (dataset_id)""")
+def a23_validation_rollup(spark, d):
+    samples = b.samples(spark, d)
+    verdicts = qualify.dataset_verdicts(samples, _contexts(spark, d))
+    complete = verdicts.select("dataset_id", ((F.col("cell_composition") != context.NO_CONTEXT) & (F.col("cytotoxicity") != context.NO_CONTEXT)).alias("complete"))
+    claims = samples.select("dataset_id").distinct().select("dataset_id", F.lit("persistent").alias("persistence_status"), F.lit("reversible").alias("reversibility_status"), F.lit("transgenerational").alias("heritability_claim"), (F.col("dataset_id") == "DS1").alias("multigenerational"))
+    return qualify.validation_rollup(b.regions(spark, d), _decided(spark, d), genes.last_mapping(_answers(spark, d)), complete, design.guard_claims(claims, samples))
+
+
+@query(f"WITH {b.REGIONS} SELECT dataset_id, 'feature_class' AS kind, feature_class AS name, count(*) AS n FROM regions GROUP BY ALL UNION ALL SELECT dataset_id, 'modality', modality, count(*) FROM regions GROUP BY ALL")
+def a23_class_counts(spark, d):
+    return qualify.class_counts(b.regions(spark, d))
+
+
+@query(f"""WITH {_Q}, {_FOUND}, rd AS (SELECT * FROM dec WHERE status LIKE 'accepted%' AND dataset_id IN (SELECT dataset_id FROM ready WHERE status LIKE 'dose_response%')),
+k1 AS (SELECT policy_id, dataset_id, min(feature_id) AS representative, count(*) AS n_ready FROM rd GROUP BY 1, 2), k2 AS (SELECT policy_id, dataset_id, string_agg(DISTINCT c, ',' ORDER BY c) AS confounding FROM (SELECT policy_id, dataset_id, regexp_extract(unnest(string_split(notes, ',')), '^EPIW004_(.*)_CONFOUNDING$', 1) AS c FROM rd) WHERE c <> '' GROUP BY 1, 2),
+k3 AS (SELECT policy_id, dataset_id, count(DISTINCT code) AS n_blocking FROM rd JOIN (SELECT * FROM fd WHERE severity = 'error') USING (dataset_id, feature_id) GROUP BY 1, 2), k4 AS (SELECT 'DS' || (conv_id % 5) AS dataset_id, count(*) AS n_claims FROM conversations WHERE turn % 4 = 1 AND conv_id % 5 <> 2 GROUP BY 1),
+k5 AS (SELECT policy_id, dataset_id, representative, coalesce(n_ready, 0) AS n_ready, coalesce(confounding, '') AS confounding, coalesce(n_blocking, 0) AS n_blocking, coalesce(n_claims, 0) AS n_claims FROM (SELECT DISTINCT policy_id, dataset_id FROM dec) LEFT JOIN k1 USING (policy_id, dataset_id) LEFT JOIN k2 USING (policy_id, dataset_id) LEFT JOIN k3 USING (policy_id, dataset_id) LEFT JOIN k4 USING (dataset_id))
+SELECT *, concat_ws(',', CASE WHEN n_ready = 0 THEN 'nothing_ready' END, CASE WHEN confounding <> '' THEN 'confounded' END, CASE WHEN n_blocking > 0 THEN 'blocked_features_ready' END, CASE WHEN n_claims > 0 THEN 'overclaims' END) AS flags FROM k5""")
+def q11_readiness_audit(spark, d):
+    decided, k = _decided(spark, d), F.col("conv_id")
+    claim = F.when((F.col("turn") % 4 == 1) & (k % 5 != 2), F.concat(F.lit("This proves it. "), F.coalesce("text", F.lit("")))).otherwise("plain words")
+    notes = b.t(spark, d, "conversations").select(F.concat(F.lit("DS"), k % 5).alias("dataset_id"), claim.alias("text"))
+    return qualify.readiness_audit(qualify.handoff(decided, design.readiness(b.samples(spark, d))), decided, _findings(spark, d), notes)
 
 
 @query(f"""WITH {_Q}, de AS (SELECT * FROM use_ WHERE policy_id = 'strict' AND dataset_id <> 'DS2') SELECT r.dataset_id, r.feature_id, coalesce(public, 'excluded_no_decision') AS public, coalesce(use_rule, 'block') AS use_rule, public IS NULL AS needs_review FROM regions r LEFT JOIN de USING (dataset_id, feature_id)""")
@@ -636,10 +762,36 @@ def p7_latest_rows(spark, d):
     return ingest.latest(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"]).select("dataset_id", "feature_id", "sample_id", "value", "n_rows")
 
 
-@query(f"""WITH {b.RAW}, s AS (SELECT *, trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$' AS ok, row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS nth FROM raw_cells), k AS (SELECT *, trim(sample_id) <> '' AND ok AND nth = 1 AS kept FROM s)
-SELECT dataset_id, count(*) AS n_rows, count(DISTINCT feature_id) FILTER (kept) AS n_features, count(DISTINCT sample_id) AS n_samples, arg_min(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS first_feature, arg_max(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS last_feature, count(*) FILTER (NOT kept) AS n_errors FROM k GROUP BY 1""")
+@query(f"""WITH {b.RAW}, {b.PROVENANCE}, s AS (SELECT *, trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$' AS ok, row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS nth FROM raw_cells),
+k AS (SELECT *, CASE WHEN trim(sample_id) = '' THEN 'missing_key' WHEN NOT ok THEN 'not_numeric' WHEN nth > 1 THEN 'EPI006' ELSE 'kept' END AS state FROM s),
+fw AS (SELECT dataset_id, string_agg(state, ',' ORDER BY i) AS first_errors FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS i FROM k WHERE state NOT IN ('kept', 'EPI006')) WHERE i <= 20 GROUP BY 1)
+SELECT dataset_id, count(*) AS n_rows, count(DISTINCT feature_id) FILTER (state = 'kept') AS n_features, count(DISTINCT sample_id) AS n_samples, ceil(count(*) / 20000)::BIGINT AS n_batches, arg_min(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS first_feature, arg_max(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS last_feature,
+  count(*) FILTER (state NOT IN ('kept', 'EPI006')) AS n_errors, count(*) FILTER (state = 'EPI006') AS n_warnings, any_value(first_errors) AS first_errors, dataset_id <> 'DS2' AND dataset_id IN (SELECT dataset_id FROM prov) AND dataset_id <> 'DS3' AS ingested FROM k LEFT JOIN fw USING (dataset_id) GROUP BY 1""")
 def a24_ingestion_result(spark, d):
-    return ingest.ingestion_result(ingest.long_rows(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"]))
+    rows = ingest.long_rows(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"])
+    return ingest.ingestion_result(rows, b.samples(spark, d).where("dataset_id <> 'DS3'"), b.provenance(spark, d).where("dataset_id <> 'DS2'"))
+
+
+@query(f"""WITH {b.RAW} SELECT dataset_id, count(*) AS n, count(*) FILTER (trim(raw) ~ '^[0-9]+$') AS n_numbers, sum(CASE WHEN trim(raw) ~ '^[0-9]+$' THEN trim(raw)::DOUBLE END) AS total FROM raw_cells GROUP BY 1""")
+def p4_lenient_numbers(spark, d):
+    rows = b.raw_cells(spark, d).select("dataset_id", fx.number_lenient(F.col("raw")).alias("x"))
+    return rows.groupBy("dataset_id").agg(F.count("*").alias("n"), F.count("x").alias("n_numbers"), F.sum("x").alias("total"))
+
+
+@query("""SELECT 'P' || p_partkey AS feature_id, s AS sample_id, CASE s WHEN 's1' THEN p_size::DOUBLE WHEN 's 2' THEN p_retailprice END AS value, CASE s WHEN 's1' THEN '' WHEN 's 2' THEN '' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'not_numeric' ELSE 'missing' END END AS note FROM part CROSS JOIN (VALUES ('s1'), ('s 2'), ('x')) v(s)""")
+def p5_inferred_samples(spark, d):
+    k = F.col("p_partkey")
+    wide = b.t(spark, d, "part").select(F.concat(F.lit("P"), k).alias("Feature"), F.lit("chr1").alias("Chrom"), F.col("p_name").alias("gene_ID"), F.col("p_size").cast("string").alias("s1"), F.col("p_retailprice").cast("string").alias("s 2"), F.when(k % 3 == 0, "bad").otherwise("n/a").alias("x"))
+    return ingest.melted(wide, "Feature").select("feature_id", "sample_id", "value", "note")
+
+
+@query(f"""WITH {b.RAW}, {b.CELLS12}, v AS (SELECT *, trim(raw) AS x FROM raw_cells), la AS (SELECT dataset_id, feature_id, sample_id, CASE WHEN x ~ '^[0-9]+$' THEN x::DOUBLE END AS value FROM v WHERE x = 'NA' OR x ~ '^[0-9]+$' QUALIFY row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC) = 1),
+own AS (SELECT dataset_id, feature_id, arg_max(p, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS p FROM (SELECT *, CASE WHEN o % 5 = 0 AND l_partkey % 4 = 0 THEN 'cg' || (o % 100) END AS p FROM v) WHERE p IS NOT NULL GROUP BY ALL)
+SELECT f.dataset_id, f.feature_id, s.sample_id, value, coalesce(p, f.feature_id) AS measured_identifier FROM (SELECT DISTINCT dataset_id, feature_id FROM raw_cells) f JOIN samples s USING (dataset_id) LEFT JOIN la USING (dataset_id, feature_id, sample_id) LEFT JOIN own ON own.dataset_id = f.dataset_id AND own.feature_id = f.feature_id""")
+def p7_canonical_features(spark, d):
+    o = F.col("file_row.o")
+    rows = b.raw_cells(spark, d).withColumn("probe_id", F.when((o % 5 == 0) & (F.col("file_row.l_partkey") % 4 == 0), F.concat(F.lit("cg"), o % 100)))
+    return ingest.canonical_features(rows, b.samples(spark, d)).select("dataset_id", "feature_id", "sample_id", "value", "measured_identifier")
 
 
 @query("""SELECT 'P' || p_partkey AS feature_id, s AS sample_id, CASE s WHEN 's1' THEN p_size::DOUBLE WHEN 's3' THEN p_retailprice END AS value, s <> 's4' OR p_partkey % 3 <> 0 AS ok FROM part CROSS JOIN (VALUES ('s1'), ('s2'), ('s3'), ('s4')) v(s)""")
@@ -674,6 +826,14 @@ def a18_mixed_tables(spark, d):
     return ingest.mixed_tables(_classified(spark, d))
 
 
+@query(f"""WITH {b.REGIONS}, {_MIXED}, m AS (SELECT file_id, count(DISTINCT row_class) FILTER (row_class NOT IN ('unknown', 'ambiguous')) > 1 AS mixed FROM c GROUP BY 1)
+SELECT file_id, row_class, file_id || '/' || row_class AS part, CASE row_class WHEN 'ambiguous' THEN 'error' WHEN 'unknown' THEN 'warning' END AS severity, any_value(CASE WHEN mixed THEN 'split_by_class' ELSE 'proceed' END) AS action, count(*) AS n FROM c JOIN m USING (file_id) GROUP BY ALL""")
+def a18_split_rows(spark, d):
+    rows = _classified(spark, d)
+    parts = ingest.split_rows(rows, ingest.mixed_policy(ingest.mixed_tables(rows), "split"))
+    return parts.groupBy("file_id", "row_class", "part", "severity", "action").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {b.REGIONS} SELECT dataset_id, feature_id, 'EPI_ANCHOR' AS code FROM regions WHERE chrom IS NULL AND measured_identifier IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_OTHER_TEXT' FROM regions WHERE signal_metric = 'declared_other' AND declared_other IS NULL
 UNION ALL SELECT dataset_id, feature_id, 'EPI_REGION' FROM regions WHERE feature_class NOT IN ('cpg_methylation', 'generic_region_feature') AND chrom IS NULL UNION ALL SELECT dataset_id, feature_id, 'EPI_PROBABILITY' FROM regions WHERE p_value > 1 OR q_value > 1
 UNION ALL SELECT dataset_id, feature_id, 'EPI_ARRAY_PLATFORM' FROM regions WHERE feature_class = 'cpg_methylation' AND modality = 'dna_methylation_array' AND platform IS NULL""")
@@ -791,19 +951,44 @@ def p15_group_statistics(spark, d):
     return _stats(spark, d)
 
 
-@query(f"""WITH {_STATS}, e AS (SELECT feature_id, count(mean) AS n_means, count(mean) FILTER ("group" <> 'ctrl') AS n_treated FROM st GROUP BY 1) SELECT *, n_means >= 2 AND n_treated >= 1 AS supports, CASE WHEN n_means >= 2 AND n_treated >= 1 THEN 'summary_only' ELSE 'exploratory_only' END AS status FROM e""")
+@query(f"""WITH {_STATS}, e AS (SELECT feature_id, count(mean) AS n_means, count(mean) FILTER ("group" <> 'ctrl') AS n_treated FROM st GROUP BY 1) SELECT *, n_means >= 2 AND n_treated >= 1 AS supports, CASE WHEN n_means >= 2 AND n_treated >= 1 THEN 'accepted_for_pod' ELSE 'exploratory_only' END AS status FROM e""")
 def q10_summary_evidence(spark, d):
     stats = _stats(spark, d)
     groups = stats.select("group").distinct().select("group", F.when(F.col("group") == "ctrl", 0.0).otherwise(1.0).alias("dose_value"))
     return ingest.summary_evidence(stats, groups)
 
 
-@query(f"""WITH {b.CELLS12}, k AS (SELECT DISTINCT dataset_id, feature_id, CASE WHEN substr(feature_id, 2)::BIGINT % 3 = 0 THEN 'a_vs_' || sample_id WHEN substr(feature_id, 2)::BIGINT % 3 = 1 THEN 'x' || sample_id ELSE sample_id END AS key FROM cells), s AS (SELECT DISTINCT dataset_id, sample_id AS key, 1 AS y FROM samples)
-SELECT dataset_id, feature_id, CASE WHEN avg(coalesce(y, 0)) > 0.5 THEN false ELSE avg((key LIKE '%_vs_%' AND key LIKE 'a_vs%')::INT) > 0.5 END AS contrast_only FROM k LEFT JOIN s USING (dataset_id, key) GROUP BY ALL""")
+_KEYED = f"""{b.CELLS12}, k AS (SELECT DISTINCT dataset_id, feature_id, CASE substr(feature_id, 2)::BIGINT % 6 WHEN 0 THEN 'a_vs_' || sample_id WHEN 3 THEN 'a_vs_' || sample_id WHEN 1 THEN 'low' || sample_id WHEN 4 THEN 'D' || (substr(sample_id, 2)::INT % 4) ELSE sample_id END AS key FROM cells),
+s AS (SELECT DISTINCT dataset_id, sample_id AS key, 1 AS y FROM samples), sg AS (SELECT DISTINCT dataset_id, dose_group_id AS key, 1 AS z FROM samples),
+ke AS (SELECT dataset_id, feature_id, CASE WHEN avg(coalesce(y, 0)) > 0.5 THEN false ELSE avg((key LIKE 'a_vs%')::INT) > 0.5 OR bool_and(key LIKE 'a_vs%' OR key LIKE 'low%') END AS contrast_only, avg(coalesce(z, 0)) = 1 AS by_group, avg(coalesce(y, 0)) = 1 AS by_sample FROM k LEFT JOIN s USING (dataset_id, key) LEFT JOIN sg USING (dataset_id, key) GROUP BY ALL)"""
+
+
+def _keyed(spark, d):
+    k, sid = F.substring("feature_id", 2, 20).cast("long") % 6, F.col("sample_id")
+    key = F.when(k.isin(0, 3), F.concat(F.lit("a_vs_"), sid)).when(k == 1, F.concat(F.lit("low"), sid)).when(k == 4, F.concat(F.lit("D"), F.substring(sid, 2, 9).cast("int") % 4)).otherwise(sid)
+    return ingest.contrast_only(b.cells(spark, d).select("dataset_id", "feature_id", key.alias("key")).distinct(), b.samples(spark, d))
+
+
+@query(f"WITH {_KEYED} SELECT * FROM ke")
 def f11_contrast_only(spark, d):
-    k = F.substring("feature_id", 2, 20).cast("long")
-    keys = b.cells(spark, d).select("dataset_id", "feature_id", F.when(k % 3 == 0, F.concat(F.lit("a_vs_"), "sample_id")).when(k % 3 == 1, F.concat(F.lit("x"), "sample_id")).otherwise(F.col("sample_id")).alias("key"))
-    return ingest.contrast_only(keys, b.samples(spark, d))
+    return _keyed(spark, d)
+
+
+@query(f"WITH {_KEYED} SELECT dataset_id, CASE WHEN avg(contrast_only::INT) > 0.5 THEN 'contrast_summary' WHEN avg(by_group::INT) > 0.5 THEN 'group_summary' WHEN avg(by_sample::INT) > 0.5 THEN 'per_sample' ELSE 'ambiguous' END AS evidence FROM ke GROUP BY 1")
+def f11_evidence_type(spark, d):
+    return ingest.evidence_type(_keyed(spark, d))
+
+
+@query("""WITH v AS (SELECT 'DS' || (l_partkey % 5) AS dataset_id, 'F' || l_partkey AS feature_id, CASE l_linenumber % 3 WHEN 0 THEN 'Trt_vs_ctl' WHEN 1 THEN 'other' ELSE 'contrast b' END AS key, CASE WHEN l_tax <> 0.05 THEN l_discount * 8 END AS value, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount, l_tax) AS nth FROM lineitem),
+r AS (SELECT dataset_id, feature_id, arg_max(key, nth) AS contrast, arg_min(value, nth) FILTER (value >= 0.5) AS effect_size, arg_min(value, nth) FILTER (value < 0.5) AS q_value FROM v WHERE key <> 'other' AND value IS NOT NULL GROUP BY ALL)
+SELECT dataset_id, feature_id, contrast, effect_size, q_value, 'exploratory_only' AS status, 'EPIW007_CONTRAST_ONLY_VALUES' AS warning FROM (SELECT DISTINCT dataset_id, feature_id FROM v) LEFT JOIN r USING (dataset_id, feature_id)""")
+def q10_contrast_evidence(spark, d):
+    p = F.col("l_partkey")
+    rows = b.t(spark, d, "lineitem").select(
+        F.concat(F.lit("DS"), p % 5).alias("dataset_id"), F.concat(F.lit("F"), p).alias("feature_id"), b.word(F.col("l_linenumber"), "Trt_vs_ctl", "other", "contrast b").alias("key"),
+        F.when(F.col("l_tax") != 0.05, F.col("l_discount") * 8).alias("value"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax").alias("nth"),
+    )
+    return ingest.contrast_evidence(rows)
 
 
 # -- context and audit ---------------------------------------------------------------------------------------------
@@ -863,14 +1048,20 @@ def q11_overclaims(spark, d):
 # -- sources, sinks and streams ------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_custkey % 10 AS k, count(*) AS n_rows, sum(length('"q", ' || o_orderpriority)) AS n_chars, 0::BIGINT AS n_bad FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey % 10 AS k, count(*) FILTER (o_orderkey % 50 > 1) AS n_rows, sum(length('"q", ' || o_orderpriority)) FILTER (o_orderkey % 50 > 1) AS n_chars, count(*) FILTER (o_orderkey % 50 < 2) AS n_bad FROM orders GROUP BY 1""")
 def s1_delimited_scan(spark, d):
-    path = f"{scratch(spark)}/csv"
-    rows = b.t(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit('"q", '), "o_orderpriority").alias("note"))
-    rows.write.option("header", True).option("escape", '"').option("sep", ";").csv(path)
+    """Files with quoted separators, rows that are too long or too short, and blank rows."""
+    path, o = f"{scratch(spark)}/csv", F.col("o_orderkey")
+    note = F.concat(F.lit('"""q"", '), "o_orderpriority", F.lit('"'))
+    line = F.when(o % 50 == 0, F.concat_ws(";", o, "o_custkey", note, F.lit("one more"))).when(o % 50 == 1, F.concat_ws(";", o, "o_custkey")).otherwise(F.concat_ws(";", o, "o_custkey", note))
+    text = F.when(o % 90 == 7, F.concat(line, F.lit("\n"))).otherwise(line)
+    rows = b.t(spark, d, "orders").select(F.lit("o_orderkey;o_custkey;note").alias("head"), text.alias("value"))
+    # a header for each file: the first row of every partition carries it
+    rows.repartition(4).mapInPandas(lambda frames: (f[["value"]].assign(value=[f["head"].iloc[0] + "\n" + v if n == 0 and i == 0 else v for i, v in enumerate(f["value"])]) for n, f in enumerate(frames)), "value string").write.text(path)
     good, bad = tables.delimited(spark, path)
-    per = good.groupBy((F.col("o_custkey").cast("long") % 10).alias("k")).agg(F.count("*").alias("n_rows"), F.sum(F.length("note")).alias("n_chars"))
-    return per.crossJoin(bad.agg(F.count_if(F.coalesce(F.length("note"), F.lit(0)) >= 0).alias("n_bad")))
+    k = (F.col("o_custkey").cast("long") % 10).alias("k")
+    per = good.groupBy(k).agg(F.count("*").alias("n_rows"), F.sum(F.length("note")).alias("n_chars"))
+    return per.join(bad.groupBy(k).agg(F.count("*").alias("n_bad")), "k", "left").withColumn("n_bad", F.coalesce("n_bad", F.lit(0)))
 
 
 @query("""SELECT 's' || (l_suppkey % 6) AS sample_id, 'chr' || (l_partkey % 22 + 1) AS chrom, count(*)::DOUBLE AS peak_count, round(sum(l_quantity), 5) AS signal_sum FROM lineitem GROUP BY ALL""")
@@ -894,16 +1085,19 @@ def s4_json_scan(spark, d):
     return tables.json_features(spark, path)
 
 
-@query("""SELECT state, n FROM (VALUES ('missing', 1::BIGINT)) v(state, n) UNION ALL SELECT 'ok', 5 FROM (SELECT count(*) AS c FROM part) WHERE c > 0""")
+@query("""WITH k AS (SELECT DISTINCT p_partkey // 50 AS k FROM part) SELECT * FROM (SELECT CASE WHEN k % 7 = 1 THEN 'mismatch' WHEN k % 7 = 2 THEN 'unexpected' ELSE 'ok' END AS state, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'missing', count(*) FROM k WHERE k % 7 = 3) WHERE n > 0""")
 def s5_file_manifest(spark, d):
+    """A file for every 50 parts, and a manifest with wrong digests, lacking files and files that do not exist."""
     path = f"{scratch(spark)}/files"
-    b.t(spark, d, "part").select(F.concat_ws(",", "p_partkey", "p_name").alias("value")).repartition(5).write.text(path)
-    found = spark.read.format("binaryFile").load(path)
-    # names are fresh each time, so what is expected is taken from the files of a first reading; one name is made up
-    expected = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-    more = expected.agg(F.count("*").alias("n_bytes")).select(F.lit("absent.txt").alias("name"), "n_bytes", F.lit("").alias("sha256"))
-    states = tables.manifest(spark, path, expected.unionByName(more))
-    return states.groupBy("state").agg(F.count("*").alias("n"))
+    parts = b.t(spark, d, "part").select(F.floor(F.col("p_partkey") / 50).alias("k"), F.concat_ws(",", "p_partkey", "p_name").alias("value"))
+    parts.repartition("k").sortWithinPartitions("k", "value").write.partitionBy("k").text(path)
+    folder = F.element_at(F.split("path", "/"), -2)
+    k = F.regexp_extract("name", "=([0-9]+)$", 1).cast("long")
+    text = parts.groupBy("k").agg(F.concat(F.array_join(F.array_sort(F.collect_list("value")), "\n"), F.lit("\n")).alias("text"))
+    expected = text.select(F.concat(F.lit("k="), "k").alias("name"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    told = expected.where(k % 7 != 2).withColumn("sha256", F.when(k % 7 == 1, F.reverse("sha256")).otherwise(F.col("sha256")))
+    absent = expected.where(k % 7 == 3).withColumn("name", F.concat("name", F.lit("-absent")))
+    return tables.manifest(spark, path, told.unionByName(absent), folder).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {b.CELLS12} SELECT dataset_id, count(*) AS n, round(sum(value), 4) AS total FROM cells GROUP BY 1""")
@@ -913,12 +1107,13 @@ def k1_table_sink(spark, d):
     return spark.read.parquet(path).groupBy("dataset_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(f"""WITH {_Q} SELECT dataset_id, count(*) AS n_decisions FROM dec WHERE policy_id = 'base' GROUP BY 1""")
+@query(f"""WITH {_Q}, {_FOUND}, nc AS (SELECT dataset_id, count(DISTINCT code) AS n_codes FROM fd WHERE severity = 'error' GROUP BY 1) SELECT policy_id, dataset_id, count(*) AS n_decisions, coalesce(any_value(n_codes), 0) AS n_codes, ceil(count(*) / 10000)::BIGINT AS n_parts FROM dec LEFT JOIN nc USING (dataset_id) GROUP BY 1, 2""")
 def k2_document_sink(spark, d):
     path = f"{scratch(spark)}/documents"
-    tables.documents(_decided(spark, d).where("policy_id = 'base'")).select("document").write.text(path)
-    schema = "dataset_id string, decisions array<struct<feature_id string, status string, rule string>>"
-    return spark.read.schema(schema).json(path).select("dataset_id", F.size("decisions").cast("long").alias("n_decisions"))
+    tables.documents(_decided(spark, d), qualify.first_blocking(_findings(spark, d))).select("document").write.text(path)
+    schema = "policy_id string, dataset_id string, part long, parts long, decisions array<struct<feature_id string, status string, rule string>>, blocking array<struct<code string, feature_id string, n long>>"
+    docs = spark.read.schema(schema).json(path)
+    return docs.groupBy("policy_id", "dataset_id").agg(F.sum(F.size("decisions")).alias("n_decisions"), F.max(F.coalesce(F.size("blocking"), F.lit(0))).cast("long").alias("n_codes"), F.count("*").alias("n_parts"))
 
 
 @query(f"""WITH {b.RAW} SELECT dataset_id, count(*) AS n_rows, count(*) FILTER (NOT (trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$')) AS n_bad FROM raw_cells GROUP BY 1""")
@@ -929,5 +1124,14 @@ def x1_stream_ingest(spark, d):
     return spark.read.parquet(f"{base}/out/batches").groupBy("dataset_id").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
 
 
+@query(SQL["x1_stream_ingest"])
+def x2_running_totals(spark, d):
+    base = scratch(spark)
+    b.raw_cells(spark, d).select("dataset_id", "feature_id", "sample_id", "raw").repartition(8).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
+    live.running_totals(spark, f"{base}/in", f"{base}/totals", f"{base}/checkpoint")
+    totals = spark.read.parquet(f"{base}/totals")
+    return totals.join(totals.agg(F.max("batch").alias("batch")), "batch").select("dataset_id", "n_rows", "n_bad")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q1_qualification(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt"
@@ -17,31 +17,42 @@ def delimiter(line: str) -> str:
     return next((d for d in ",;|" if d in line), ",")
 
 
-def delimited(spark: SparkSession, path: str, header: bool = True, columns: tuple[str, ...] | None = None, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed) of delimited files, all columns as text. Quotes are doubled inside quotes; compressed files are
-    read by suffix. Rows of another width are malformed; the others carry ``file_name``."""
+def delimited(spark: SparkSession, path: str, header: bool = True, columns: tuple[str, ...] | None = None, encoding: str = "UTF-8", lines_in_quotes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of delimited files, all columns as text. Quotes are doubled inside quotes, and hold line breaks with
+    ``lines_in_quotes`` (a file is then one task's); compressed files are read by suffix; blank rows are passed over. Rows
+    of another width are malformed and keep their text; all rows carry ``file_name``. All columns are
+    parsed even where few are asked for: a pruned scan would not see that a row has another width. Files are taken to have
+    the first one's header; ``headers`` tells files of other shapes apart before a scan."""
     first = spark.read.text(path).limit(1).collect()
     sep = delimiter(first[0][0]) if first else ","
-    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding)
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding).option("multiLine", lines_in_quotes)
     if columns is None:
         columns = tuple(reader.option("header", header).csv(path).columns)
     if len(set(columns)) != len(columns) or any(not c.strip() for c in columns):
         raise ValueError("column names must be distinct and not empty")
     schema = ", ".join([*(f"`{c}` string" for c in columns), f"`{CORRUPT}` string"])
-    raw = reader.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    raw = reader.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).schema(schema).csv(path)
     rows = raw.select("*", F.input_file_name().alias("file_name"))
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, header) of text files, the first line of each: files of several shapes are told apart before a scan."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("n"))
+    return lines.where("start = 0").groupBy("file_name").agg(F.min_by("value", "n").alias("header"))
+
+
 def json_features(spark: SparkSession, path: str) -> DataFrame:
     """Cells of feature documents {feature_id, values: {sample: number}}."""
     docs = spark.read.schema("feature_id string, `values` map<string,double>").json(path)
     return docs.select("feature_id", F.explode("values").alias("sample_id", "value"))
 
 
-def manifest(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """Files against an expected manifest (name, n_bytes, sha256): ok, missing, unexpected or mismatch."""
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("got_bytes"), F.sha2("content", 256).alias("got"))
+def manifest(spark: SparkSession, path: str, expected: DataFrame, name: Column | None = None) -> DataFrame:
+    """Files against an expected manifest (name, n_bytes, sha256): ok, missing, unexpected or mismatch. A file's name is its
+    last part unless ``name`` says otherwise in terms of its path."""
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    found = spark.read.format("binaryFile").load(path).select(name.alias("name"), F.col("length").alias("got_bytes"), F.sha2("content", 256).alias("got"))
     both = found.join(expected, "name", "full_outer")
     state = F.when(F.col("got").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when((F.col("got") != F.col("sha256")) | (F.col("got_bytes") != F.col("n_bytes")), "mismatch").otherwise("ok")
     return both.select("name", state.alias("state"))
@@ -57,8 +68,13 @@ def write_tables(df: DataFrame, path: str) -> None:
     df.write.partitionBy("dataset_id").parquet(path)
 
 
-def documents(decided: DataFrame) -> DataFrame:
-    """One JSON document per dataset: its decisions in order of feature. Meant for datasets whose document fits a task;
-    larger ones stay tables."""
-    rows = decided.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", "status", "rule"))).alias("decisions"))
-    return rows.select("dataset_id", F.to_json(F.struct("dataset_id", "decisions")).alias("document"))
+def documents(decided: DataFrame, findings: DataFrame, per_document: int = 10_000) -> DataFrame:
+    """JSON documents of each policy and dataset: parts of at most ``per_document`` decisions in order of feature, and in the
+    first part the blocking findings (code, first feature, number). Parts are numbered within ranges of the feature's
+    hash, so no dataset goes through one task."""
+    n = decided.groupBy("policy_id", "dataset_id").agg(F.ceil(F.count("*") / per_document).alias("parts"))
+    dealt = decided.join(n, ["policy_id", "dataset_id"]).withColumn("part", F.pmod(F.xxhash64("feature_id"), F.col("parts")))
+    rows = dealt.groupBy("policy_id", "dataset_id", "part").agg(F.any_value("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("feature_id", "status", "rule", "notes"))).alias("decisions"))
+    codes = findings.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("code", "feature_id", "n"))).alias("blocking"))
+    out = rows.join(codes, "dataset_id", "left").withColumn("blocking", F.when(F.col("part") == 0, F.col("blocking")))
+    return out.select("policy_id", "dataset_id", F.to_json(F.struct("policy_id", "dataset_id", "part", "parts", "decisions", "blocking")).alias("document"))

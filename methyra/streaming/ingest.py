@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number_strict
@@ -17,19 +17,36 @@ def cells(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame
     return raw.withColumn("value", value).withColumn("ok", ok & F.col("_corrupt").isNull())
 
 
-def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 4) -> None:
-    """All files now below ``path`` in bounded batches: ``target``/clean, /quarantine and /batches."""
+def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 4, detail: int = 20) -> None:
+    """All files now below ``path`` in bounded batches: ``target``/clean, /quarantine, /batches (figures of each batch, file
+    and dataset, with the first ``detail`` bad values) and /totals (rows and bad rows of each dataset so far).
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("batch", F.lit(number))
-        batch.where("ok").drop("_corrupt", "ok").write.mode("append").parquet(f"{target}/clean")
-        batch.where("not ok").write.mode("append").parquet(f"{target}/quarantine")
-        batch.groupBy("batch", "dataset_id").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_bad")).write.mode("append").parquet(f"{target}/batches")
+    A batch writes folders of its own number, so one that is repeated after a failure replaces what it had written.
+    """
 
-    stream = cells(spark, path, files_per_batch).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def store(batch: DataFrame, number: int) -> None:
+        named = batch.withColumn("file_name", F.element_at(F.split("file", "/"), -1)).drop("file")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        put(named.where("ok").drop("_corrupt", "ok"), "clean")
+        put(named.where("not ok"), "quarantine")
+        order = Window.partitionBy("file_name", "dataset_id").orderBy("feature_id", "sample_id", "raw")
+        bad = named.where("not ok").withColumn("k", F.row_number().over(order)).where(F.col("k") <= detail)
+        few = bad.groupBy("file_name", "dataset_id").agg(F.array_sort(F.collect_set(F.coalesce("raw", F.lit("")))).alias("bad_values"))
+        figures = named.groupBy("file_name", "dataset_id").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_bad"))
+        put(figures.join(few, ["file_name", "dataset_id"], "left"), "batches")
+
+    stream = cells(spark, path, files_per_batch).withColumn("file", F.col("_metadata.file_path")).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
 
 
-def running_totals(stream: DataFrame) -> DataFrame:
-    """Rows and bad rows of each dataset so far; state is one row per dataset."""
-    return stream.groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_bad"))
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes and SHA-256 of each file below ``path``, as stored."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def running_totals(spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 4) -> None:
+    """Rows and bad rows of each dataset so far, kept by the stream's state (one row per dataset) and written whole to
+    ``target`` after every batch."""
+    totals = cells(spark, path, files_per_batch).groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_bad"))
+    store = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+    totals.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
