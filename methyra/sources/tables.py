@@ -33,7 +33,9 @@ def delimited(spark: SparkSession, path: str, header: bool = True, columns: tupl
     schema = ", ".join([*(f"`{c}` string" for c in columns), f"`{CORRUPT}` string"])
     raw = reader.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).schema(schema).csv(path)
     rows = raw.select("*", F.input_file_name().alias("file_name"))
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
+    # Spark refuses queries on the corrupt text alone, so malformed rows are told by another column as well
+    other = F.coalesce(F.length(f"`{columns[0]}`"), F.lit(0)) >= 0
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull() & other)
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:

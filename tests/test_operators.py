@@ -1,6 +1,7 @@
 """Operators on the small fixtures with known answers."""
 
 import itertools
+import json
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from methyra.functions import chromosomes
 from methyra.functions import scalars as fx
 from methyra.operators import classes, context, genes, qc, qualify, summaries, trend
+from methyra.sources import tables
+from methyra.streaming import ingest as live
 
 
 def _cells(spark, groups):
@@ -252,3 +255,51 @@ def test_native_and_placeless_systems(spark):
     rows = spark.createDataFrame([(x, 10, 11) for x in (*fx.SYSTEMS, "bed", None)] + [(fx.ONE_BASED, 0, 5), (fx.CANONICAL, 5, 5)], "coord_system string, start long, end long")
     got = [(r["canonical_start"], r["target_start"], r["error"]) for r in genes.normalised(rows, fx.ONE_BASED).collect()]
     assert got == [(10, 11, None), (9, 10, None), (10, 11, None), (None, None, "no coordinates to normalise"), (None, None, "unsupported coordinate system"), (None, None, "no coordinate system"), (None, None, "negative start"), (None, None, "empty interval")]
+
+
+def test_documents_come_in_bounded_parts(spark):
+    decided = spark.createDataFrame([("p", "d", f"f{i}", "accepted_for_pod", "010", "") for i in range(50)], "policy_id string, dataset_id string, feature_id string, status string, rule string, notes string")
+    found = spark.createDataFrame([("d", "EPI004", None, 3)], "dataset_id string, code string, feature_id string, n long")
+    docs = [json.loads(r["document"]) for r in tables.documents(decided, found, per_document=20).collect()]
+    assert len(docs) == 3 and {d["parts"] for d in docs} == {3}
+    assert sorted(x["feature_id"] for d in docs for x in d["decisions"]) == sorted(f"f{i}" for i in range(50))
+    assert [d["blocking"][0]["code"] for d in docs if "blocking" in d] == ["EPI004"]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    def put(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("dataset_id,feature_id,sample_id,raw\n" + "".join(",".join(r) + "\n" for r in rows))
+
+    run = lambda: live.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 1)
+    put("a.csv", [("d", "f", "s1", "1"), ("d", "f", "s2", "x"), ("e", "f", "s1", "NA")])
+    run()
+    run()  # nothing new
+    put("b.csv", [("d", "g", "s1", "2"), ("d", "g", "s2")])
+    run()
+    total = {r["dataset_id"]: (r["n"], r["bad"]) for r in spark.read.parquet(str(tmp_path / "out/batches")).groupBy("dataset_id").agg(F.sum("n_rows").alias("n"), F.sum("n_bad").alias("bad")).collect()}
+    assert total == {"d": (4, 2), "e": (1, 0)}
+    clean = spark.read.parquet(str(tmp_path / "out/clean"))
+    assert sorted(r["value"] for r in clean.where("value is not null").collect()) == [1.0, 2.0]
+    # a batch that runs again replaces what it wrote
+    import shutil
+
+    shutil.copytree(tmp_path / "state", tmp_path / "again")
+    for name in ("1", ".1.crc"):
+        (tmp_path / "again" / "commits" / name).unlink(missing_ok=True)
+    live.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "again"), 1)
+    assert spark.read.parquet(str(tmp_path / "out/clean")).count() == clean.count() == 3
+    assert {r["n_bytes"] for r in live.digests(spark, str(tmp_path / "in")).collect()} == {p.stat().st_size for p in (tmp_path / "in").iterdir()}
+
+
+def test_headers_and_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n3\n')
+    good, bad = tables.delimited(spark, str(tmp_path), lines_in_quotes=True)
+    assert sorted(r["note"] for r in good.collect()) == ["plain", "two\nlines"] and bad.count() == 1
+    (tmp_path / "b.csv").write_text("note,id\nx,1\n")
+    assert {r["file_name"]: r["header"] for r in tables.headers(spark, str(tmp_path)).collect()} == {"a.csv": "id,note", "b.csv": "note,id"}
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    raw = spark.createDataFrame([("\t1.5 ",), ("\n NA\r",), ("﻿2",)], "raw string")
+    assert [r["v"] for r in raw.select(fx.number_strict(F.col("raw"))[0].alias("v")).collect()] == [1.5, None, 2.0]
