@@ -288,7 +288,7 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     for name in ("1", ".1.crc"):
         (tmp_path / "again" / "commits" / name).unlink(missing_ok=True)
     live.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "again"), 1)
-    assert spark.read.parquet(str(tmp_path / "out/clean")).count() == clean.count() == 3
+    assert spark.read.parquet(str(tmp_path / "out/clean")).count() == 3
     assert {r["n_bytes"] for r in live.digests(spark, str(tmp_path / "in")).collect()} == {p.stat().st_size for p in (tmp_path / "in").iterdir()}
 
 
