@@ -102,7 +102,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words, remembered up to ``cap`` words so that frequent ones are hashed once."""
 
-    def __init__(self, cap: int = 300_000):
+    def __init__(self, cap: int = 150_000):
         import xxhash
 
         self._seen: dict[str, int] = {}

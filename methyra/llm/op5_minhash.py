@@ -31,6 +31,8 @@ SIZE, SLOTS, ROWS, BANDS, BITS = 5, 256, 4, 32, 2
 MARGIN = 0.12
 #: Slots of the finer signature, and its four standard errors.
 FINE, FINE_MARGIN = 1024, 0.06
+#: Pairs that are confirmed beside one copy of the text that they share.
+PART = 512
 #: Rounds in which classes outside a bucket's largest component meet some of its members before they meet all.
 ROUNDS, PIVOTS = 2, 2
 
@@ -153,31 +155,38 @@ def _plausible(a: str, b: str, percent: int, margin: float = MARGIN) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold.
+
+    Pairs meet by b, in parts of about ``PART``; each part gets the text of b once, as its first row, so the text of a class
+    that very many pairs share is neither copied into every pair nor met in one task.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    heads = parts.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    dealt = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a")
+    rows = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
 
     def run(batches):
         hasher = WordHasher()
-        held: dict[int, np.ndarray] = {}
+        key, head = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                keep = []
-                for a, b, x, y in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    s = shingle_set(hasher(words_of(x)), size)
-                    t = held.get(b)
-                    if t is None:
-                        if len(held) > 64:
-                            held.clear()
-                        t = held[b] = shingle_set(hasher(words_of(y)), size)
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(s) + len(t) - common))
-                out = part.filter(pa.array(keep)).select(["a", "b"])
-                if out.num_rows:
-                    yield out
-
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+                some = batch.slice(at, SLICE)
+                found = []
+                for b, part, a, text in zip(*(some.column(i).to_pylist() for i in range(4))):
+                    s = shingle_set(hasher(words_of(text)), size)
+                    if a is None:
+                        key, head = (b, part), s
+                        continue
+                    if key != (b, part):
+                        raise ValueError(f"no text of class {b}")
+                    common = len(np.intersect1d(s, head, assume_unique=True))
+                    if 100 * common >= percent * (len(s) + len(head) - common):
+                        found.append((a, b))
+                if found:
+                    yield batch_of(["a", "b"], [pa.array(c, pa.int64()) for c in zip(*found)])
+
+    order = heads.unionByName(rows).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return order.select("b", "part", "a", "text").mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
