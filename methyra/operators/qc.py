@@ -85,17 +85,18 @@ def replicate_stability(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """Per dose group: Pearson correlations of all pairs of non-technical samples over shared features: pairs used, mean,
     least, and stable, unstable or not_assessed.
 
-    Pairs of samples exist within a group and feature only; moments are taken about each feature-group mean shift, so
-    large means cost no accuracy. Pairs with fewer than two shared values or a constant side are dropped.
+    Pairs of samples exist within a group and feature only; moments are taken about each sample's mean, so large means
+    cost no accuracy. Pairs with fewer than two shared values or a constant side are dropped.
     """
     own = samples.where(F.coalesce("replicate_type", F.lit("biological")) != "technical").select("dataset_id", "sample_id", "dose_group_id")
     rows = cells.where(present()).join(own, ["dataset_id", "sample_id"])
     centre = rows.groupBy("dataset_id", "sample_id").agg(F.avg("value").alias("centre"))
     rows = rows.join(centre, ["dataset_id", "sample_id"]).withColumn("value", F.col("value") - F.col("centre"))
-    keys = ["dataset_id", "dose_group_id", "feature_id"]
-    a = rows.select(*keys, F.col("sample_id").alias("s1"), F.col("value").alias("x"))
-    b = rows.select(*keys, F.col("sample_id").alias("s2"), F.col("value").alias("y"))
-    sums = a.join(b, keys).where("s1 < s2").groupBy("dataset_id", "dose_group_id", "s1", "s2").agg(
+    # the pairs of a feature's values are made from its own array, after one shuffle by group and feature
+    grouped = rows.groupBy("dataset_id", "dose_group_id", "feature_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "value"))).alias("xs"))
+    pair = lambda a, b: F.struct(a["sample_id"].alias("s1"), b["sample_id"].alias("s2"), a["value"].alias("x"), b["value"].alias("y"))
+    made = F.flatten(F.transform("xs", lambda a, i: F.transform(F.slice("xs", i + 2, F.size("xs")), lambda b: pair(a, b))))
+    sums = grouped.select("dataset_id", "dose_group_id", F.explode(made).alias("p")).select("dataset_id", "dose_group_id", "p.*").groupBy("dataset_id", "dose_group_id", "s1", "s2").agg(
         F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy")
     )
     n = F.col("n")

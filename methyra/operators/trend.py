@@ -145,11 +145,17 @@ def exact_tails(patterns: DataFrame) -> DataFrame:
                     rows.append((sizes, ties, s, float(total), counts[i:].sum() / total, counts[: i + 1].sum() / total, counts[far >= far[i] - 1e-9].sum() / total))
             yield pd.DataFrame(rows, columns=["sizes", "ties", "doubled", "total", "p_up", "p_down", "p_two"])
 
-    return patterns.select("sizes", "ties").distinct().mapInPandas(run, "sizes string, ties string, doubled int, total double, p_up double, p_down double, p_two double")
+    # few rows with much work each: dealt out by number, so that they are not put together for their size
+    n = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return patterns.select("sizes", "ties").distinct().repartition(n, "sizes", "ties").mapInPandas(run, "sizes string, ties string, doubled int, total double, p_up double, p_down double, p_two double")
 
 
 def exact(stats: DataFrame) -> DataFrame:
-    return stats.join(exact_tails(stats), ["sizes", "ties", "doubled"])
+    """Adds total, p_up, p_down and p_two. Tails are looked up in a map for each pattern: a join on the statistic would push
+    a filter on it below the columns that it is made of, which are then worked out again for every pair of values."""
+    values = F.struct("total", "p_up", "p_down", "p_two")
+    tails = exact_tails(stats).groupBy("sizes", "ties").agg(F.map_from_entries(F.collect_list(F.struct("doubled", values))).alias("tails"))
+    return stats.join(tails, ["sizes", "ties"]).withColumn("t", F.element_at("tails", F.col("doubled"))).select("*", "t.*").drop("tails", "t")
 
 
 def _doubled(groups: np.ndarray, ranks: np.ndarray) -> np.ndarray:

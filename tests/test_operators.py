@@ -151,6 +151,8 @@ def test_nearest_sites_against_brute_force(spark):
         far = {g: a - p if p < a else max(0, p - e) for g, p in own}
         want |= {(f, g, x) for g, x in far.items() if x == min(far.values())}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+    places = spark.createDataFrame([(a, e, p) for _, _, a, e in asks[:20] for p in (a - 3, a, (a + e) // 2, e, e + 7)], "start long, end long, site long")
+    assert [r["distance"] for r in genes.checked_distance(places).collect()] == [3, 0, 0, 0, 7] * 20
 
 
 def test_adjustment_against_brute_force(spark):
