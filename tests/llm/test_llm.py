@@ -341,6 +341,18 @@ def test_near_duplicate_chains(spark):
     assert {r["component_id"] for r in op5_minhash.near_duplicates(d).collect()} == {0}
 
 
+def test_pairs_are_confirmed_on_full_sets(spark, monkeypatch):
+    monkeypatch.setattr(op5_minhash, "PART", 3)  # one class shared by many pairs goes in several parts
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base if k == 0 else [w if rng.random() > 0.004 * k else "x" for w in base]) for k in range(30)]
+    pairs = [(k, 0) for k in range(1, 30)] + [(3, 7), (11, 5), (2, 29)]
+    sets = [_shingles(t) for t in texts]
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    got = op5_minhash._confirm(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 85, 5).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and 3 < len(want) < len(pairs)
+
+
 def test_finer_estimate_is_near_the_similarity(spark):
     texts = [" ".join([f"w{i}" for i in range(900)] + [f"{k}x{i}" for i in range(100 * k)]) for k in range(4)]
     fine = op5_minhash.fine_signatures(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
