@@ -336,7 +336,7 @@ def u1_sample_coverage(spark, d):
     return design.coverage(b.cells(spark, d).where("sample_id <> 'S3'"), twice.where("sample_id <> 'S5'"))
 
 
-_DESIGN = """r AS (SELECT 'C' || (o_custkey // 10) AS dataset_id, CASE WHEN o_orderkey % 101 = 0 THEN ' ' ELSE 'O' || (o_orderkey // 2) END AS sample_id, 'G' || (o_orderkey % 4) AS group_id, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 4)::DOUBLE END AS dose, 'uM' AS dose_unit, CASE WHEN o_orderkey % 3 = 0 THEN 24.0 END AS timepoint_hours,
+_DESIGN = """r AS (SELECT 'C' || (o_custkey // 10) AS dataset_id, CASE WHEN o_orderkey % 101 = 0 THEN ' ' ELSE 'O' || (o_orderkey // 2) END AS sample_id, 'G' || (o_orderkey % 4) AS group_id, CASE WHEN o_orderkey % 29 <> 0 THEN (o_orderkey % 4)::DOUBLE END AS dose, 'uM' AS dose_unit, CASE WHEN o_orderkey % 3 = 0 THEN 24.0::DOUBLE END AS timepoint_hours,
   CASE o_orderkey % 5 WHEN 0 THEN 'biological' WHEN 1 THEN 'technical' WHEN 2 THEN 'x' WHEN 3 THEN 'biological' ELSE '' END AS w, CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN false END AS is_control, o_orderkey AS file_row FROM orders),
 t1 AS (SELECT *, CASE WHEN w IN ('biological', 'technical') THEN w END AS kind, CASE WHEN trim(sample_id) = '' THEN 'missing_id' WHEN dose IS NULL THEN 'bad_dose' WHEN is_control IS NULL THEN 'bad_control_flag' WHEN w = 'x' THEN 'bad_replicate_type' END AS fault FROM r),
 t2 AS (SELECT *, coalesce(fault, CASE WHEN count(*) FILTER (fault IS NULL) OVER (PARTITION BY dataset_id, sample_id ORDER BY file_row) > 1 THEN 'repeated' ELSE 'kept' END) AS state FROM t1),
@@ -1048,7 +1048,7 @@ def q11_overclaims(spark, d):
 # -- sources, sinks and streams ------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_custkey % 10 AS k, count(*) FILTER (o_orderkey % 50 > 1) AS n_rows, sum(length('"q", ' || o_orderpriority)) FILTER (o_orderkey % 50 > 1) AS n_chars, count(*) FILTER (o_orderkey % 50 < 2) AS n_bad FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey % 10 AS k, count(*) FILTER (o_orderkey % 50 > 1) AS n_rows, sum(length('"q", ' || o_orderpriority)) FILTER (o_orderkey % 50 > 1)::BIGINT AS n_chars, count(*) FILTER (o_orderkey % 50 < 2) AS n_bad FROM orders GROUP BY 1""")
 def s1_delimited_scan(spark, d):
     """Files with quoted separators, rows that are too long or too short, and blank rows."""
     path, o = f"{scratch(spark)}/csv", F.col("o_orderkey")
