@@ -58,9 +58,9 @@ def design_problems(samples: DataFrame, invalid: DataFrame | None = None) -> Dat
     return per.join(invalid.select("dataset_id").distinct().withColumn("unsound", F.lit(True)), "dataset_id", "left").withColumn("unsound", F.coalesce("unsound", F.lit(False)))
 
 
-def response_pattern(profile: DataFrame, designs: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def response_pattern(profile: DataFrame, designs: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
     """Pattern over the dose axis of each feature, reversals among non-zero steps, direction from the control, dynamic
-    range, largest difference from the control, and what blocks an assessment (``designs`` are ``design_problems``)."""
+    range, largest difference from the control, and what blocks an assessment (``designs`` are ``design_problems``; without them designs are taken as sound)."""
     by = Window.partitionBy("dataset_id", "feature_id")
     along = by.orderBy("dose_value")
     step = sign(F.col("mean") - F.lag("mean").over(along), tolerance)
@@ -74,7 +74,9 @@ def response_pattern(profile: DataFrame, designs: DataFrame, tolerance: float =
         F.count_if(F.col("step") > 0).alias("ups"), F.count_if(F.col("step") < 0).alias("downs"), F.sum("turn").alias("reversals"),
         F.min("diff").alias("low"), F.max("diff").alias("high"), (F.max("mean") - F.min("mean")).alias("dynamic_range"),
         F.count_if(F.col("mean").isNull()).alias("gaps"), F.count("*").alias("levels"), F.min("dose_value").alias("least"), F.count_if(F.col("dose_value") == 0).alias("controls"), F.coalesce(F.sum("n_invalid"), F.lit(0)).alias("invalid"), F.max(F.abs("diff")).alias("farthest"), F.max("control").alias("control"),
-    ).join(designs, "dataset_id")
+    )
+    sound = F.lit(False)
+    per = per.withColumns({"unsound": sound, "mixed_units": sound, "several_times": sound}) if designs is None else per.join(designs, "dataset_id")
     blockers = F.array_compact(F.array(
         F.when(F.col("unsound"), "structurally_invalid_design"), F.when(F.col("controls") == 0, "no_zero_dose_control"), F.when(F.col("least") < 0, "negative_dose_value"),
         F.when(F.col("levels") < 3, "insufficient_distinct_dose_levels"), F.when(F.col("gaps") > 0, "incomplete_dose_level"), F.when(F.col("invalid") > 0, "non_finite_value"),
