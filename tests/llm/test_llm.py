@@ -345,7 +345,7 @@ def test_pairs_are_confirmed_on_full_sets(spark, monkeypatch):
     monkeypatch.setattr(op5_minhash, "PART", 3)  # one class shared by many pairs goes in several parts
     rng = random.Random(9)
     base = [f"w{rng.randrange(500)}" for _ in range(60)]
-    texts = [" ".join(base if k == 0 else [w if rng.random() > 0.004 * k else "x" for w in base]) for k in range(30)]
+    texts = [" ".join(base if k == 0 else [w if rng.random() > 0.001 * k else "x" for w in base]) for k in range(30)]
     pairs = [(k, 0) for k in range(1, 30)] + [(3, 7), (11, 5), (2, 29)]
     sets = [_shingles(t) for t in texts]
     want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
