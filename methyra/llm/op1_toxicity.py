@@ -230,24 +230,28 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int
 def train(rows: Iterable[tuple[str | None, int]]) -> Model:
     """A model from (text, label) rows."""
     rows = list(rows)
-    tokens = [[window_of(t)[1:] for t in (text or "").lower().split()] for text, _ in rows]
+    held_: dict[str, str] = {}  # equal windows are one object
+    once = lambda w: held_.setdefault(w, w)
+    tokens = [[once(window_of(t)[1:]) for t in (text or "").lower().split()] for text, _ in rows]
     labels = np.array([int(y) for _, y in rows])
     none = Model([], np.zeros(0), -40.0, 1.0)
     if len(set(labels.tolist())) < 2:
         return none
-    texts = [{"^" + t for t in ts} for ts in tokens]
+    texts = [{once("^" + t) for t in ts} for ts in tokens]
     folds = np.arange(len(labels)) % 3
     marks = telling(texts, labels, LANDMARKS, [])
     model = none
     for extra in (0, HARD):
         if extra:
             every = sorted(set().union(*texts))
-            known = dict(zip(every, model.values(every)))
+            known = {}
+            for i in range(0, len(every), 8192):
+                known.update(zip(every[i : i + 8192], model.values(every[i : i + 8192]).tolist()))
             marks = marks + telling(texts, labels, extra, marks, known)
         if not marks:
             return none
         pieces = pieces_of(marks)
-        sets = [t | {"^" + x for x in joined_pieces(ts, pieces)} for t, ts in zip(texts, tokens)]
+        sets = [t | {once("^" + x) for x in joined_pieces(ts, pieces)} for t, ts in zip(texts, tokens)]
         # each toxic text once more, with a character that no text has inside the windows that are landmarks
         held = set(marks)
         again = [i for i in np.flatnonzero(labels == 1) if not held.isdisjoint(sets[i])]
@@ -257,10 +261,7 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model:
         weight = np.r_[np.ones(len(labels)), np.full(len(again), GAPPED)]
         balance = np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y < 0].sum()) * weight
         part = folds[owner]
-        every = sorted(set().union(*sets))
-        at = {w: i for i, w in enumerate(every)}
-        raw = np.vstack([_summed(every[i : i + 4096], marks) for i in range(0, len(every), 4096)])
-        x = np.stack([raw[[at[w] for w in s]].sum(0) / max(len(t), 1) ** 0.5 if s else np.zeros(len(marks)) for s, t in zip(sets, [texts[i] for i in owner])])
+        x = _features(sets, marks) / np.sqrt([max(len(texts[i]), 1) for i in owner])[:, None]
         scale, base = np.linalg.eigh(kernel(marks, marks).astype(float) ** POWER + 1e-3 * np.eye(len(marks)))
         white = base / np.sqrt(np.maximum(scale, 1e-9)) @ base.T
         z = x @ white
@@ -280,6 +281,21 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model:
     return model
 
 
+def _features(sets: list[set[str]], marks: list[str]) -> np.ndarray:
+    """Kernel values to the landmarks of each text's windows, summed over windows and their parts. The distinct windows of
+    all texts are worked on by few thousands, so no table of all of them is held."""
+    place: dict[str, int] = {}
+    text = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    window = np.fromiter((place.setdefault(w, len(place)) for t in sets for w in sorted(t)), np.int64, len(text))
+    order = np.argsort(window, kind="stable")
+    text, window = text[order], window[order]
+    every, out = list(place), np.zeros((len(sets), len(marks)))
+    for i in range(0, len(every), 4096):
+        a, b = np.searchsorted(window, [i, i + 4096])
+        np.add.at(out, text[a:b], _summed(every[i : i + 4096], marks)[window[a:b] - i])
+    return out
+
+
 def _summed(windows: list[str], marks: list[str]) -> np.ndarray:
     """Kernel values of each window to the landmarks, summed over its parts."""
     parts = [parts_of(w) for w in windows]
