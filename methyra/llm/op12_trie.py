@@ -16,6 +16,7 @@ strings in order, and one task for such a node hashes the stream.
 
 Rows: a null role or text is empty; rows with a null id belong to no conversation and are left out; turns are ordered with null
 first, equal ones by the token's hash. Repeated rows are turns of their own. A conversation's tokens are one row (16 bytes a turn).
+The remainder of a negative id is negative, as in SQL.
 An empty table has no conversations and gives no rows; where all are turnless the root is the one node and a leaf. Extra columns
 are dropped.
 """
