@@ -73,20 +73,30 @@ def composition_class(shifts: DataFrame, checks: DataFrame, declarations: DataFr
     return rows.select("dataset_id", "delta", level.alias("confounding"), blocks.alias("blocks"), warning.alias("warning"))
 
 
+#: Kinds of assays that count, evidence that a note must have, and the share of dying cells that is elevated.
+VIABILITY, DYING, DECLARED, ELEVATED = "viability", "apoptosis_necrosis", "declared", 0.2
+
+
 def cytotoxicity(assays: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
-    """Per dataset: malformed entries, least viability, stress flags, whether cytotoxicity is detected, its class, and whether
-    that blocks. ``datasets`` without assays have no context."""
+    """Per dataset: malformed entries (negative or no numbers), least viability, stress flags, whether cytotoxicity is detected
+    (never where entries are malformed), its class, and whether that blocks. Notes count where the evidence is declared.
+    ``datasets`` without assays have no context."""
+    x = F.col("value")
+    valid = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    told = (F.col("evidence_source") == DECLARED) & (F.instr(F.lower("notes"), "cytotoxic") > 0)
     per = assays.groupBy("dataset_id").agg(
-        F.count("*").alias("n"), F.count_if((F.col("value") < 0) | F.isnan("value")).alias("malformed"), F.min(F.when((F.col("metric") == "viability") & ~F.isnan("value"), F.col("value"))).alias("viability"),
-        F.max(F.when((F.col("metric") == "apoptosis") & ~F.isnan("value"), F.col("value"))).alias("apoptosis"), F.max("n_stress").alias("stress"), F.bool_or(F.instr(F.lower("notes"), "cytotoxic") > 0).alias("declared"),
+        F.count("*").alias("n"), F.count_if((x < 0) | F.isnan(x)).alias("malformed"), F.min(F.when((F.col("metric") == VIABILITY) & valid & (x >= 0), x)).alias("viability"),
+        F.max(F.when((F.col("metric") == DYING) & valid, x)).alias("dying"), F.max("n_stress").alias("stress"), F.coalesce(F.bool_or(told), F.lit(False)).alias("declared"),
     )
     if datasets is not None:
         per = datasets.select("dataset_id").distinct().join(per, "dataset_id", "left").withColumn("malformed", F.coalesce("malformed", F.lit(0)))
-    base = F.when(F.col("viability") < 0.5 - SLACK, 3).when(F.col("viability") < 0.7 - SLACK, 2).when(F.col("viability") < 0.8 - SLACK, 1).otherwise(0)
-    told = F.when(F.coalesce("declared", F.lit(False)) & (base < 2), 2).otherwise(base)
-    dying = F.when((told == 0) & (F.col("apoptosis") > 0.2 + SLACK), 1).otherwise(told)
-    level = F.least(F.lit(3), dying + F.when(F.col("stress") > 0, 1).otherwise(0))
-    detected = (F.coalesce(F.col("viability") < 0.8, F.lit(False))) | (F.coalesce(F.col("stress") > 0, F.lit(False))) | F.coalesce("declared", F.lit(False))
+    low, stressed = F.col("viability"), F.coalesce(F.col("stress") > 0, F.lit(False))
+    declared = F.coalesce("declared", F.lit(False))
+    base = F.when(low < 0.5 - SLACK, 3).when(low < 0.7 - SLACK, 2).when(low < 0.8 - SLACK, 1).otherwise(0)
+    told = F.when(declared & (base < 2), 2).otherwise(base)
+    raised = F.when((told == 0) & (F.col("dying") > ELEVATED), 1).otherwise(told)
+    level = F.least(F.lit(3), raised + F.when(stressed, 1).otherwise(0))
+    detected = (F.col("malformed") == 0) & (F.coalesce(low < 0.8 - SLACK, F.lit(False)) | stressed | declared)
     named = F.when(F.col("malformed") > 0, LEVELS[4]).when(F.col("n").isNull(), NO_CONTEXT).otherwise(F.element_at(F.array(*map(F.lit, LEVELS[:4])), level + 1))
     out = per.select("dataset_id", "malformed", "viability", "stress", detected.alias("detected"), named.alias("confounding"))
     return out.withColumn("blocks", F.col("confounding").isin(*LEVELS[3:]))

@@ -1,17 +1,23 @@
 """Regions and genes: validation, overlap joins, nearest genes, evidence lookups and what may be rolled up.
 
-Overlap is an equi-join on chromosome and bin with the overlap as residual; a pair is given out in its first common bin
-only, so no distinct is needed. The nearest start is found by one scan in each direction inside bins.
+Overlap is an equi-join on chromosome, level and bin with the overlap as residual: an interval lies in at most two bins
+of the level that fits its length and looks up the bins of all coarser levels, so its length costs no rows. A pair is given
+out in its first common bin only, so no distinct is needed. Bins with very many intervals are split on both sides. The
+nearest start is found by one scan in each direction inside bins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BUILDS, CANONICAL, HALF_OPEN, NO_PLACES, ONE_BASED, SYSTEMS, canonical_start, chromosome, convention, distance_to_point, promoter, start_on, tss
+from ..sources.scratch import written
 
-BIN = 10_000
+#: Levels of bins: powers of two that are their sizes in bases.
+LEVELS = (12, 16, 20, 24, 28, 32)
+#: Intervals of one side that a bin holds before it is split.
+DENSE = 50_000
 #: Feature classes that must declare a coordinate system, and those that bear peaks.
 REGION_CLASSES = ("atac_peak", "chip_peak_narrow", "chip_peak_broad", "histone_mark_peak", "chromatin_interaction", "dmr", "differential_methylated_region")
 PEAK_CLASSES = ("atac_peak", "chip_peak_narrow", "chip_peak_broad", "histone_mark_peak")
@@ -94,17 +100,59 @@ def validity(found: DataFrame) -> DataFrame:
     )
 
 
-def _binned(df: DataFrame, start: str, end: str, size: int) -> DataFrame:
-    first, last = F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size)
-    return df.withColumn("bin", F.explode(F.sequence(first, F.greatest(first, last))))
+_BIN = ["chrom", "turn", "level", "bin"]
 
 
-def overlaps(regions: DataFrame, others: DataFrame, size: int = BIN) -> DataFrame:
-    """All pairs of ``regions`` (feature_id, chrom, start, end) and ``others`` (gene_id, chrom, o_start, o_end) that overlap."""
-    a, b = _binned(regions, "start", "end", size), _binned(others, "o_start", "o_end", size)
+def _level(start: Column, end: Column) -> Column:
+    """The finest level whose bins are at least as long as the interval."""
+    size = end - start
+    out = F.lit(LEVELS[-1])
+    for level in reversed(LEVELS[:-1]):
+        out = F.when(size <= 1 << level, level).otherwise(out)
+    return out
+
+
+def _binned(df: DataFrame, start: str, end: str, first: bool) -> DataFrame:
+    """Rows by bin. In turn 0 the first side looks up its own and coarser levels and the second stands on its own; in turn 1
+    the second looks up coarser levels and the first stands on its own. So two intervals meet in one turn and level only,
+    the coarser of theirs."""
+    low, high = F.col(start).cast("long"), F.col(end).cast("long")
+    own = _level(low, high)
+    every = F.array(*map(F.lit, LEVELS))
+    keyed = lambda turn, levels: F.transform(levels, lambda x: F.struct(F.lit(turn).alias("turn"), x.alias("level")))
+    if first:
+        places = F.concat(keyed(0, F.filter(every, lambda x: x >= own)), keyed(1, F.array(own)))
+    else:
+        places = F.concat(keyed(0, F.array(own)), keyed(1, F.filter(every, lambda x: x > own)))
+    rows = df.select("*", F.explode(places).alias("_at")).select(*df.columns, "_at.turn", "_at.level")
+    at = F.expr(f"shiftright(cast({start} as bigint), level)")
+    return rows.withColumn("bin", F.explode(F.sequence(at, F.greatest(at, F.expr(f"shiftright(cast({end} as bigint) - 1, level)")))))
+
+
+def _sliced(rows: DataFrame, by: list[str], own: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFrame:
+    """Rows of split bins: dealt over their own side's slices by a hash of ``by``, once for each slice of the other side."""
+    rows = rows.join(own.withColumnRenamed("k", "_own"), _BIN, "left").join(other.withColumnRenamed("k", "_other"), _BIN, "left")
+    dealt = F.pmod(F.xxhash64(*by), F.coalesce("_own", F.lit(1))).cast("int")
+    return rows.withColumn(mine, dealt).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce("_other", F.lit(1)) - 1))).drop("_own", "_other")
+
+
+def overlaps(regions: DataFrame, others: DataFrame, dense: int = DENSE) -> DataFrame:
+    """All pairs of ``regions`` (feature_id, chrom, start, end) and ``others`` (gene_id, chrom, o_start, o_end) that overlap.
+
+    Bins that hold more than ``dense`` intervals of a side are counted first; there the side is dealt over slices and the
+    other side sent to each of them, so no task has a whole dense bin."""
+    a, b = _binned(regions, "start", "end", True), _binned(others, "o_start", "o_end", False)
+    crowded = lambda rows: rows.groupBy(*_BIN).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*_BIN, F.ceil(F.col("n") / dense).cast("int").alias("k"))
+    tagged = written(crowded(a).withColumn("side", F.lit(0)).unionByName(crowded(b).withColumn("side", F.lit(1))))
+    keys = _BIN
+    if not tagged.isEmpty():  # few rows by their making: one for ``dense`` intervals; Spark broadcasts them by their size
+        ka, kb = (tagged.where(F.col("side") == i).drop("side") for i in (0, 1))
+        a, b = _sliced(a, ["feature_id", "start", "end"], ka, kb, "s0", "s1"), _sliced(b, ["gene_id", "o_start", "o_end"], kb, ka, "s1", "s0")
+        keys = [*_BIN, "s0", "s1"]
     meets = (F.col("start") < F.col("o_end")) & (F.col("o_start") < F.col("end"))
-    first = F.col("bin") == F.greatest(F.floor(F.col("start") / size), F.floor(F.col("o_start") / size))
-    return a.join(b, ["chrom", "bin"]).where(meets & first).drop("bin")
+    first = F.expr("bin = greatest(shiftright(cast(start as bigint), level), shiftright(cast(o_start as bigint), level))")
+    out = a.join(b, keys).where(meets & first)
+    return out.select("chrom", *(c for c in [*regions.columns, *others.columns] if c != "chrom"))
 
 
 def promoter_overlaps(regions: DataFrame, genes: DataFrame, up: int = 2000, down: int = 500) -> DataFrame:

@@ -7,7 +7,11 @@ by whatever join Spark finds cheapest; nothing is broadcast by hand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WARN, EXCLUDE = 0.05, 0.2
@@ -81,28 +85,121 @@ def variance(cells: DataFrame) -> DataFrame:
     return per.select("dataset_id", "feature_id", "n", "mean", v.alias("variance"), cv.alias("cv"), level.alias("dynamic_range"))
 
 
+#: Samples of a block, numbers of a dense block of features, and numbers of partial matrices that a task holds.
+BLOCK, DENSE, HELD = 1024, 1 << 22, 1 << 25
+_MOMENTS = "n long, mx double, my double, cxx double, cyy double, cxy double"
+
+
+class _Moments:
+    """Sums over features for all pairs of samples of two blocks, about a shift near each sample's values."""
+
+    def __init__(self, left: int, right: int):
+        self.shift = [np.full(left, np.nan), np.full(right, np.nan)]
+        self.n, self.sx, self.sy, self.sxx, self.syy, self.sxy = (np.zeros((left, right)) for _ in range(6))
+
+    def add(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Values (zero where missing) and marks of presence, features by samples, of both blocks."""
+        moved = []
+        for shift, (x, mark) in zip(self.shift, sides):
+            seen = mark.sum(0)
+            new = np.isnan(shift) & (seen > 0)
+            shift[new] = x.sum(0)[new] / seen[new]
+            moved.append(np.where(mark > 0, x - np.nan_to_num(shift), 0.0))
+        (a, b), (p, q) = moved, (sides[0][1], sides[1][1])
+        self.n += p.T @ q
+        self.sx += a.T @ q
+        self.sy += p.T @ b
+        self.sxx += (a * a).T @ q
+        self.syy += p.T @ (b * b)
+        self.sxy += a.T @ b
+
+    def rows(self, same: bool) -> tuple[np.ndarray, ...]:
+        """(i, j, n, means, co-moments) of the pairs with common features; i < j within one block."""
+        i, j = np.nonzero(np.triu(self.n, 1) if same else self.n)
+        n, sx, sy = self.n[i, j], self.sx[i, j], self.sy[i, j]
+        centred = (x[i, j] - u * v / n for x, u, v in ((self.sxx, sx, sx), (self.syy, sy, sy), (self.sxy, sx, sy)))
+        return (i, j, n.astype(np.int64), self.shift[0][i] + sx / n, self.shift[1][j] + sy / n, *centred)
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial moments of rows (dataset_id, dose_group_id, n_own, xs), xs being the (number, value) of a feature's samples."""
+    held: dict[tuple, _Moments] = {}
+
+    def out(key: tuple) -> pa.RecordBatch:
+        ds, group, bi, bj = key
+        i, j, *rest = held.pop(key).rows(bi == bj)
+        ids = [pa.array([x] * len(i), pa.string()) for x in (ds, group)]
+        return pa.RecordBatch.from_arrays([*ids, *map(pa.array, (i + bi * BLOCK, j + bj * BLOCK, *rest))], names=["dataset_id", "dose_group_id", "s1", "s2", *(x.split()[0] for x in _MOMENTS.split(", "))])
+
+    for b in batches:
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+        xs = b.column(3)
+        offsets, flat = xs.offsets.to_numpy(), xs.values
+        number, value = flat.field(0).to_numpy(False), flat.field(1).to_numpy(False)
+        for ds, group, k in sorted(set(keys), key=str):
+            mine = np.array([i for i, x in enumerate(keys) if x == (ds, group, k)])
+            for chunk in np.array_split(mine, -(-len(mine) * min(k, BLOCK) // DENSE)):
+                row = np.repeat(np.arange(len(chunk)), offsets[chunk + 1] - offsets[chunk])
+                at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in chunk])
+                col, val = number[at], value[at]
+                dense = []
+                for start in range(0, k, BLOCK):
+                    width = min(BLOCK, k - start)
+                    own = (col >= start) & (col < start + width)
+                    x, mark = np.zeros((2, len(chunk), width))
+                    x[row[own], col[own] - start] = val[own]
+                    mark[row[own], col[own] - start] = 1
+                    dense.append((x, mark))
+                for i, left in enumerate(dense):
+                    for j, right in enumerate(dense[i:], i):
+                        key = (ds, group, i, j)
+                        if key not in held:
+                            if sum(m.n.size * 6 for m in held.values()) > HELD:
+                                yield from map(out, list(held))
+                            held[key] = _Moments(left[0].shape[1], right[0].shape[1])
+                        held[key].add([left, right])
+    yield from map(out, list(held))
+
+
+def _added(a: Column, b: Column) -> Column:
+    """Moments of two parts together."""
+    n = a["n"] + b["n"]
+    dx, dy, share = b["mx"] - a["mx"], b["my"] - a["my"], a["n"] * b["n"] / n
+    parts = {
+        "n": n, "mx": a["mx"] + dx * b["n"] / n, "my": a["my"] + dy * b["n"] / n,
+        "cxx": a["cxx"] + b["cxx"] + dx * dx * share, "cyy": a["cyy"] + b["cyy"] + dy * dy * share, "cxy": a["cxy"] + b["cxy"] + dx * dy * share,
+    }
+    return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+
+def sample_moments(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """(dataset_id, dose_group_id, s1, s2, n, means and co-moments) of every pair of samples of a group over the features that
+    both have; s1 and s2 number the group's samples in order of id.
+
+    One shuffle brings the values of a feature and group together. Tasks turn features into dense blocks of samples and take
+    the sums of all pairs at once as products of matrices, so no row is made for a pair and a feature. A task sends one row
+    for each pair and the parts are added up; the features of a group are dealt over as many parts as there are partitions.
+    """
+    of = Window.partitionBy("dataset_id", "dose_group_id")
+    own = samples.select("dataset_id", "sample_id", "dose_group_id").distinct()
+    own = own.withColumn("number", F.row_number().over(of.orderBy("sample_id")) - 1).withColumn("n_own", F.count("*").over(of))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.where(present()).join(own, ["dataset_id", "sample_id"]).withColumn("part", F.pmod(F.xxhash64("feature_id"), F.lit(parts)))
+    rows = rows.select("dataset_id", "dose_group_id", "n_own", "part", "feature_id", F.struct("number", "value").alias("x")).repartition("dataset_id", "dose_group_id", "part")
+    per = rows.groupBy("dataset_id", "dose_group_id", "part", "feature_id").agg(F.any_value("n_own").alias("n_own"), F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+    sums = per.select("dataset_id", "dose_group_id", "n_own", "xs").mapInArrow(_partial_moments, f"dataset_id string, dose_group_id string, s1 long, s2 long, {_MOMENTS}")
+    fields = [x.split()[0] for x in _MOMENTS.split(", ")]
+    lists = sums.groupBy("dataset_id", "dose_group_id", "s1", "s2").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    whole = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), _added)
+    return lists.select("dataset_id", "dose_group_id", "s1", "s2", whole.alias("m")).select("dataset_id", "dose_group_id", "s1", "s2", "m.*")
+
+
 def replicate_stability(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """Per dose group: Pearson correlations of all pairs of non-technical samples over shared features: pairs used, mean,
-    least, and stable, unstable or not_assessed.
-
-    Pairs of samples exist within a group and feature only; moments are taken about each sample's mean, so large means
-    cost no accuracy. Pairs with fewer than two shared values or a constant side are dropped.
-    """
-    own = samples.where(F.coalesce("replicate_type", F.lit("biological")) != "technical").select("dataset_id", "sample_id", "dose_group_id")
-    rows = cells.where(present()).join(own, ["dataset_id", "sample_id"])
-    centre = rows.groupBy("dataset_id", "sample_id").agg(F.avg("value").alias("centre"))
-    rows = rows.join(centre, ["dataset_id", "sample_id"]).withColumn("value", F.col("value") - F.col("centre"))
-    # the pairs of a feature's values are made from its own array, after one shuffle by group and feature
-    grouped = rows.groupBy("dataset_id", "dose_group_id", "feature_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "value"))).alias("xs"))
-    pair = lambda a, b: F.struct(a["sample_id"].alias("s1"), b["sample_id"].alias("s2"), a["value"].alias("x"), b["value"].alias("y"))
-    made = F.flatten(F.transform("xs", lambda a, i: F.transform(F.slice("xs", i + 2, F.size("xs")), lambda b: pair(a, b))))
-    sums = grouped.select("dataset_id", "dose_group_id", F.explode(made).alias("p")).select("dataset_id", "dose_group_id", "p.*").groupBy("dataset_id", "dose_group_id", "s1", "s2").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy")
-    )
-    n = F.col("n")
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    r = F.when((n >= 2) & (vx > 1e-18) & (vy > 1e-18), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
-    pairs = sums.select("dataset_id", "dose_group_id", r.alias("r")).where("r is not null")
+    least, and stable, unstable or not_assessed. Pairs with fewer than two shared values or a constant side are dropped."""
+    own = samples.where(F.coalesce("replicate_type", F.lit("biological")) != "technical")
+    usable = (F.col("n") >= 2) & (F.col("cxx") > 1e-18) & (F.col("cyy") > 1e-18)
+    pairs = sample_moments(cells, own).where(usable).select("dataset_id", "dose_group_id", (F.col("cxy") / F.sqrt(F.col("cxx") * F.col("cyy"))).alias("r"))
     per = pairs.groupBy("dataset_id", "dose_group_id").agg(F.count("*").alias("n_pairs"), F.avg("r").alias("mean_r"), F.min("r").alias("min_r"))
     groups = samples.select("dataset_id", "dose_group_id").distinct()
     state = F.when(F.col("mean_r").isNull(), "not_assessed").when((F.col("mean_r") >= 0.9) & (F.col("min_r") >= 0.7), "stable").otherwise("unstable")

@@ -106,6 +106,10 @@ def cascade(features: DataFrame, designs: DataFrame, mappings: DataFrame, policy
     return rows.select("policy_id", "dataset_id", "feature_id", status.alias("status"), rule.alias("rule"), "notes")
 
 
+#: The statuses of the second vocabulary that are no exclusions.
+PUBLIC = ("accepted_for_pod", "accepted_with_warnings", "review_required", "exploratory_only")
+
+
 def public_status(decided: DataFrame) -> DataFrame:
     """The second vocabulary and the use rule that follows from it."""
     s, r = F.col("status"), F.col("rule")
@@ -113,9 +117,10 @@ def public_status(decided: DataFrame) -> DataFrame:
         F.when((s == "exploratory_only") & (r == "004"), "review_required").when((s == "exploratory_only") & (r == "007"), "excluded_confounding_dominant")
         .when((s == "excluded_coordinate_ambiguity") & (r == "001"), "excluded_missing_genome_build").when(s == "excluded_coordinate_ambiguity", "excluded_invalid_coordinates")
         .when((s == "excluded_qc_failure") & (r == "005"), "excluded_high_missingness").when((s == "excluded_qc_failure") & (r == "006"), "excluded_non_numeric_response")
-        .when((s == "excluded_qc_failure") & (r == "004"), "excluded_insufficient_design").when(s == "excluded_mapping_failure", "excluded_mapping_ambiguous").otherwise(s)
+        .when((s == "excluded_qc_failure") & (r == "004"), "excluded_insufficient_design").when(s == "excluded_mapping_failure", "excluded_mapping_ambiguous")
+        .when(s == "accepted_with_caveats", PUBLIC[1]).otherwise(s)
     )
-    rule = F.when(F.col("public") == "accepted_for_pod", "allow").when(F.col("public") == "accepted_with_caveats", "allow_with_warning").when(F.col("public") == "review_required", "review_required").when(F.col("public") == "exploratory_only", "exploratory_only").otherwise("block")
+    rule = F.when(F.col("public") == PUBLIC[0], "allow").when(F.col("public") == PUBLIC[1], "allow_with_warning").when(F.col("public") == "review_required", "review_required").when(F.col("public") == "exploratory_only", "exploratory_only").otherwise("block")
     return decided.withColumn("public", public).withColumn("use_rule", rule).withColumn("decision_id", stable_id(F.col("policy_id"), F.col("dataset_id"), F.col("feature_id"), F.col("rule")))
 
 
@@ -159,7 +164,7 @@ def summary(public: DataFrame, blocking: DataFrame) -> DataFrame:
     blocking finding exists), whether a review is needed, and an id that follows from all these."""
     order = F.array(*map(F.lit, ("allow", "allow_with_warning", "review_required", "exploratory_only", "block")))
     p = F.col("public")
-    named = ("accepted_for_pod", "accepted_with_caveats", "review_required", "exploratory_only")
+    named = PUBLIC
     by = public.groupBy("policy_id", "dataset_id", "public").agg(F.count("*").alias("k"), F.max(F.array_position(order, F.col("use_rule"))).alias("worst"), F.bool_or(~F.col("rule").isin("009", "010")).alias("review"))
     n = lambda s: F.coalesce(F.sum(F.when(p == s, F.col("k"))), F.lit(0))
     reasons = F.array_sort(F.collect_list(F.when(~p.isin(*named), F.concat(p, F.lit(":"), F.col("k").cast("string")))))

@@ -12,14 +12,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 EXACT_LIMIT, RESAMPLES, BOOTSTRAPS, SEED = 50_000, 4_999, 1_999, 20260727
 #: Pair comparisons that one exact test may take, and by default one family of tests.
 MOST_COMPARISONS = 100_000_000
-#: Comparisons that the sampling kernel holds at a time.
-BLOCK = 2_000_000
 #: Why a data set or a feature is not tested, in order.
 BLOCKERS = (
     "structurally_invalid_design", "no_zero_dose_control", "negative_dose_value", "insufficient_distinct_dose_levels", "mixed_dose_units", "multi_timepoint_design",
@@ -42,28 +43,57 @@ def design_blockers(samples: DataFrame, invalid: DataFrame | None = None) -> Dat
     return per.select("dataset_id", F.array_compact(F.array(*(F.when(t, code) for t, code in zip(tests, BLOCKERS)))).alias("shared"))
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _runs(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by row and value, and the dense rank from 1 of each value within its row, in that order."""
+    order = np.lexsort((value, row))
+    r, v = row[order], value[order]
+    fresh = np.r_[True, r[1:] != r[:-1]][: len(r)]
+    step = np.cumsum(fresh | np.r_[True, v[1:] != v[:-1]][: len(v)])
+    return order, step - np.repeat(step[fresh], np.diff(np.r_[np.flatnonzero(fresh), len(r)])) + 1
+
+
+def _laid_out(obs: pa.Array, doses: pa.Array) -> pa.Array:
+    """Ranks, groups, numbers by dose and by tie of all features of a batch at once."""
+    sizes, n_doses = obs.value_lengths().to_numpy(False), doses.to_numpy(False)
+    flat = obs.flatten()
+    group, value = flat.field(0).to_numpy(False), flat.field(2).to_numpy(False)
+    row = np.repeat(np.arange(len(obs)), sizes)
+    order, rank = _runs(row, value)
+    ranks = np.empty(len(row), np.int64)
+    ranks[order] = rank
+    n = np.bincount((np.cumsum(n_doses) - n_doses)[row] + group - 1, minlength=n_doses.sum())
+    top = np.zeros(len(obs), np.int64)
+    np.maximum.at(top, row, ranks)
+    ties = np.bincount((np.cumsum(top) - top)[row] + ranks - 1, minlength=top.sum())
+    return pa.StructArray.from_arrays([_lists(ranks, sizes), _lists(group, sizes), _lists(n, n_doses), _lists(ties, top)], names=["ranks", "groups", "n", "ties"])
+
+
 def observations(cells: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per feature with cells: dose ranks and value ranks (ties share one) ordered by dose and value, sizes of all dose groups of
-    the design, tie pattern, and what in the values forbids the test (own)."""
-    own = samples.select("dataset_id", "sample_id", "dose_value").distinct()
-    whole = own.groupBy("dataset_id").agg(F.countDistinct("sample_id").alias("n_samples"), F.array_sort(F.collect_set("dose_value")).alias("doses"))
+    """Per feature with cells: values, dose ranks and value ranks (ties share one) in order of dose and, within a dose, of the
+    design (its column ``position`` where there is one, else the sample's id), sizes of all dose groups of the design, tie
+    pattern, and what in the values forbids the test (own). Ranks of a batch of features are found by one sort."""
+    place = F.col("position" if "position" in samples.columns else "sample_id")
+    own = samples.groupBy("dataset_id", "sample_id", "dose_value").agg(F.min(place).alias("place"))
+    own = own.withColumn("level", F.dense_rank().over(Window.partitionBy("dataset_id").orderBy("dose_value")))
+    whole = own.groupBy("dataset_id").agg(F.countDistinct("sample_id").alias("n_samples"), F.max("level").alias("n_doses"))
     x = F.col("value")
     known = x.isNotNull() & ~F.isnan(x)
     finite = known & (F.abs(x) <= 1.7976931348623157e308)
     per = cells.join(own, ["dataset_id", "sample_id"]).groupBy("dataset_id", "feature_id").agg(
-        F.array_sort(F.collect_list(F.when(finite, F.struct("dose_value", "value")))).alias("obs"), F.count_if(known).alias("n_known"), F.count_if(known & ~finite).alias("n_infinite")
+        F.sort_array(F.collect_list(F.when(finite, F.struct("level", "place", "value")))).alias("obs"), F.count_if(known).alias("n_known"), F.count_if(known & ~finite).alias("n_infinite")
     )
-    rows = per.join(whole, "dataset_id").withColumn("levels", F.array_sort(F.array_distinct("obs.value")))
-    sizes = F.transform("doses", lambda d: F.size(F.filter("obs", lambda o: o["dose_value"] == d)))
-    ties = F.transform("levels", lambda v: F.size(F.filter("obs", lambda o: o["value"] == v)))
-    rows = rows.withColumn("n", sizes)
+    laid_out = F.arrow_udf(_laid_out, "ranks array<int>, groups array<int>, n array<int>, ties array<int>")
+    rows = per.join(whole, "dataset_id").withColumn("l", laid_out("obs", "n_doses"))
     blocked = F.array_compact(F.array(
-        F.when(F.coalesce(F.array_min("n"), F.lit(0)) < 2, BLOCKERS[8]), F.when(F.col("n_known") < F.col("n_samples"), BLOCKERS[9]), F.when(F.col("n_infinite") > 0, BLOCKERS[10]),
+        F.when(F.coalesce(F.array_min("l.n"), F.lit(0)) < 2, BLOCKERS[8]), F.when(F.col("n_known") < F.col("n_samples"), BLOCKERS[9]), F.when(F.col("n_infinite") > 0, BLOCKERS[10]),
     ))
-    place = lambda among, field: F.transform("obs", lambda o: F.array_position(among, o[field]).cast("int"))
     return rows.select(
-        "dataset_id", "feature_id", F.col("obs.value").alias("values"), place("levels", "value").alias("ranks"), place("doses", "dose_value").alias("groups"), "n",
-        F.concat_ws("-", F.col("n").cast("array<string>")).alias("sizes"), F.concat_ws("-", ties.cast("array<string>")).alias("ties"), blocked.alias("own"),
+        "dataset_id", "feature_id", F.col("obs.value").alias("values"), "l.ranks", "l.groups", "l.n",
+        F.concat_ws("-", F.col("l.n").cast("array<string>")).alias("sizes"), F.concat_ws("-", F.col("l.ties").cast("array<string>")).alias("ties"), blocked.alias("own"),
     )
 
 
@@ -72,15 +102,31 @@ def blockers(obs: DataFrame, designs: DataFrame) -> DataFrame:
     return obs.join(designs, "dataset_id").withColumn("blockers", F.concat_ws(",", "shared", "own")).drop("shared", "own")
 
 
+def _doubled(groups: pa.Array, ranks: pa.Array) -> pa.Array:
+    """Doubled statistics of all features of a batch: for each bit of the dose rank, from the highest, the pairs that it
+    decides are counted by running numbers of zeros in value order, so n observations take n log n steps for each bit."""
+    sizes = groups.value_lengths().to_numpy(False)
+    row = np.repeat(np.arange(len(groups)), sizes)
+    group, rank = (x.flatten().to_numpy(False).astype(np.int64) for x in (groups, ranks))
+    total = np.zeros(len(groups), np.int64)
+    for bit in range(int(group.max(initial=0)).bit_length() - 1, -1, -1):
+        block, one = group >> (bit + 1), (group >> bit) & 1
+        order = np.lexsort((rank, block, row))
+        r, b, k, o = row[order], block[order], rank[order], one[order]
+        starts = np.r_[True, (r[1:] != r[:-1]) | (b[1:] != b[:-1])][: len(r)]
+        tie = np.flatnonzero(starts | np.r_[True, k[1:] != k[:-1]][: len(k)])
+        zeros = np.r_[0, np.cumsum(1 - o)]
+        ties = np.diff(np.r_[tie, len(r)])
+        both = np.repeat(zeros[tie] + zeros[tie + ties], ties) - 2 * np.repeat(zeros[np.flatnonzero(starts)], np.diff(np.r_[np.flatnonzero(starts), len(r)]))
+        np.add.at(total, r, np.where(o == 1, both, 0))
+    return pa.array(total)
+
+
 def statistic(obs: DataFrame) -> DataFrame:
     """Adds twice the statistic (ties count one), twice its maximum, and the effect in [-1, 1]."""
-    score = F.expr(
-        "aggregate(sequence(1, size(groups)), 0, (t, i) -> t + aggregate(slice(sequence(1, size(groups)), i, size(groups)), 0, (u, j) -> "
-        "u + CASE WHEN groups[i - 1] < groups[j - 1] THEN CASE WHEN ranks[i - 1] < ranks[j - 1] THEN 2 WHEN ranks[i - 1] = ranks[j - 1] THEN 1 ELSE 0 END ELSE 0 END))"
-    )
-    total = F.expr("aggregate(n, 0, (t, x) -> t + x)")
-    pairs = (total * total - F.expr("aggregate(n, 0, (t, x) -> t + x * x)")) / 2
-    out = obs.withColumn("doubled", F.when(F.size("groups") > 0, score).otherwise(0)).withColumn("doubled_max", (pairs * 2).cast("int"))
+    total = F.expr("aggregate(n, 0L, (t, x) -> t + x)")
+    pairs = total * total - F.expr("aggregate(n, 0L, (t, x) -> t + x * x)")
+    out = obs.withColumn("doubled", F.arrow_udf(_doubled, "long")("groups", "ranks")).withColumn("doubled_max", pairs)
     return out.withColumn("effect", F.try_divide(F.col("doubled") * 2.0, "doubled_max") - 1.0)
 
 
@@ -147,7 +193,7 @@ def exact_tails(patterns: DataFrame) -> DataFrame:
 
     # few rows with much work each: dealt out by number, so that they are not put together for their size
     n = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return patterns.select("sizes", "ties").distinct().repartition(n, "sizes", "ties").mapInPandas(run, "sizes string, ties string, doubled int, total double, p_up double, p_down double, p_two double")
+    return patterns.select("sizes", "ties").distinct().repartition(n, "sizes", "ties").mapInPandas(run, "sizes string, ties string, doubled long, total double, p_up double, p_down double, p_two double")
 
 
 def exact(stats: DataFrame) -> DataFrame:
@@ -158,51 +204,143 @@ def exact(stats: DataFrame) -> DataFrame:
     return stats.join(tails, ["sizes", "ties"]).withColumn("t", F.element_at("tails", F.col("doubled"))).select("*", "t.*").drop("tails", "t")
 
 
-def _doubled(groups: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Doubled statistics of rows of rank permutations."""
-    i, j = np.nonzero(groups[:, None] < groups[None, :])
-    a, b = ranks[:, i], ranks[:, j]
-    return 2 * (a < b).sum(1) + (a == b).sum(1)
-
-
-def _blocks(rng: np.random.Generator, groups: np.ndarray, count: int, draw) -> np.ndarray:
-    """Doubled statistics of ``count`` drawn rows, a bounded number of comparisons at a time."""
-    step = max(1, BLOCK // max(1, len(groups) ** 2))
-    return np.concatenate([_doubled(groups, draw(min(step, count - at))) for at in range(0, count, step)])
+#: The offset and factor of the 32-bit hash of ids, the state that stands for zero, and the shifts of the generator.
+FNV_OFFSET, FNV_FACTOR, ZERO_STATE, SHIFTS = 0x811C9DC5, 0x01000193, 0x9E3779B9, (13, 17, 5)
+
+
+def _hash32(text: str) -> int:
+    h = FNV_OFFSET
+    for unit in np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
+        h = (h ^ unit) * FNV_FACTOR & 0xFFFFFFFF
+    return h
+
+
+def stream_seed(seed: int, feature_id: str, salt: str) -> int:
+    """The 32-bit seed of a feature's own stream for one purpose."""
+    return seed ^ _hash32(feature_id) ^ _hash32(salt)
+
+
+def _next(state: np.ndarray) -> np.ndarray:
+    """The generator's next 32-bit states."""
+    left, right, last = (np.uint32(x) for x in SHIFTS)
+    state = state ^ (state << left)
+    state = state ^ (state >> right)
+    return state ^ (state << last)
+
+
+def _applied(columns: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """A linear map on 32 bits, given by the images of the single bits, looked up a byte at a time."""
+    out = np.zeros_like(states)
+    for byte in range(4):
+        table = np.zeros(256, np.uint32)
+        for bit in range(8):
+            table[1 << bit : 2 << bit] = table[: 1 << bit] ^ columns[8 * byte + bit]
+        out ^= table[(states >> np.uint32(8 * byte)) & np.uint32(255)]
+    return out
+
+
+def _starts(seed: int, draws: int, count: int) -> np.ndarray:
+    """States of a stream before draws 0, ``draws``, 2 ``draws``, ...: the generator is linear over bits, so the second half
+    of any run of starts is one map of the first, and each doubling squares the map."""
+    jump = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    for _ in range(draws):
+        jump = _next(jump)
+    out = np.empty(count, np.uint32)
+    out[0] = seed or ZERO_STATE
+    have = 1
+    while have < count:
+        more = min(have, count - have)
+        out[have : have + more] = _applied(jump, out[:more])
+        jump = _applied(jump, jump)
+        have += more
+    return out
+
+
+def _below(state: np.ndarray, n: int) -> np.ndarray:
+    """floor(u n) for u = state / 2^32, in whole numbers."""
+    return (state.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _ties(ranks: np.ndarray) -> list[np.ndarray]:
+    """Places of equal values, in ascending order of value."""
+    order = np.argsort(ranks, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(ranks[order])) + 1)
+
+
+def permuted(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Doubled statistics of shuffled labels. All shuffles of a feature go on side by side; values are then met in ascending
+    order with running numbers of lower labels, so a shuffle of n labels takes n steps for each group."""
+    n, g = len(groups), int(groups.max())
+    labels = np.repeat((groups - 1)[:, None], resamples, 1)
+    state, row = _starts(seed, n - 1, resamples), np.arange(resamples)
+    for i in range(n - 1, 0, -1):
+        state = _next(state)
+        j = _below(state, i + 1)
+        held = labels[i].copy()
+        labels[i] = labels[j, row]
+        labels[j, row] = held
+    lower, total = np.zeros((g, resamples), np.int64), np.zeros(resamples, np.int64)
+    for places in _ties(ranks):
+        here = np.zeros((g, resamples), np.int64)
+        for k in places:
+            total += 2 * lower[labels[k], row]
+            here[labels[k], row] += 1
+        if len(places) > 1:
+            total += (len(places) ** 2 - (here * here).sum(0)) // 2
+        lower[1:] += np.cumsum(here, 0)[:-1]
+    return total
+
+
+def resampled(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Doubled statistics of samples drawn with replacement within each group; a draw counts how often it took each value."""
+    n, g = len(groups), int(groups.max())
+    state, row = _starts(seed, n, resamples), np.arange(resamples)
+    first = np.searchsorted(groups, groups)  # groups ascend
+    size = np.bincount(groups)[groups]
+    times = np.zeros((n, resamples), np.int64)
+    for k in range(n):
+        state = _next(state)
+        times[first[k] + _below(state, int(size[k])), row] += 1
+    lower, total = np.zeros((g, resamples), np.int64), np.zeros(resamples, np.int64)
+    for places in _ties(ranks):
+        here = np.zeros((g, resamples), np.int64)
+        for k in places:
+            total += 2 * times[k] * lower[groups[k] - 1]
+            here[groups[k] - 1] += times[k]
+        if len(places) > 1:
+            total += (here.sum(0) ** 2 - (here * here).sum(0)) // 2
+        lower[1:] += np.cumsum(here, 0)[:-1]
+    return total
+
+
+def percentile(ascending: np.ndarray, share: float) -> float:
+    at = share * (len(ascending) - 1)
+    low, high = math.floor(at), math.ceil(at)
+    part = at - low
+    return float(ascending[low]) if low == high else float(ascending[low]) * (1 - part) + float(ascending[high]) * part
 
 
 def sampled(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTSTRAPS, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
     """Monte-Carlo permutation p-values (one added to both counts), their resolution and standard error, and a
-    dose-stratified percentile interval of the effect. Each feature has its own stream of random numbers, so results do
-    not depend on partitions."""
+    dose-stratified percentile interval of the effect. Each feature has 32-bit streams of its own, one for labels and one for the
+    interval, seeded by its id, so results depend on no partition and equal those of any other program with these streams."""
+    tail = (1 - confidence) / 2
+    names = ["dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution", "standard_error", "effect_low", "effect_high"]
 
     def run(frames):
-        import xxhash
-
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(f"{r.dataset_id}|{r.feature_id}".encode())])
-                g, k = np.asarray(r.groups), np.asarray(r.ranks)
-                got = _blocks(rng, g, resamples, lambda n: rng.permuted(np.tile(k, (n, 1)), axis=1))
-                up, down = (got >= r.doubled).sum(), (got <= r.doubled).sum()
-                far = np.abs(got - r.doubled_max / 2) >= abs(r.doubled - r.doubled_max / 2) - 1e-9
-                levels = [np.flatnonzero(g == level) for level in np.unique(g)]
-
-                def picks(n):
-                    at = np.empty((n, len(k)), int)
-                    for own in levels:
-                        at[:, own] = rng.choice(own, (n, len(own)))
-                    return k[at]
-
-                effect = 2 * _blocks(rng, g, bootstraps, picks) / r.doubled_max - 1
-                low, high = np.quantile(effect, [(1 - confidence) / 2, (1 + confidence) / 2])
-                two = (far.sum() + 1) / (resamples + 1)
-                rows.append((r.dataset_id, r.feature_id, (up + 1) / (resamples + 1), (down + 1) / (resamples + 1), two, 1 / (resamples + 1), (two * (1 - two) / (resamples + 1)) ** 0.5, low, high))
-            yield pd.DataFrame(rows, columns=["dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution", "standard_error", "effect_low", "effect_high"])
+                g, k, most = np.asarray(r.groups), np.asarray(r.ranks), int(r.doubled_max)
+                got = permuted(g, k, resamples, stream_seed(seed, r.feature_id, "permutation"))
+                far = np.abs(2 * got - most) >= abs(2 * r.doubled - most)
+                up, down, two = (int(x.sum() + 1) / (resamples + 1) for x in (got >= r.doubled, got <= r.doubled, far))
+                effect = np.sort(2 * resampled(g, k, bootstraps, stream_seed(seed, r.feature_id, "bootstrap")) / most - 1)
+                rows.append((r.dataset_id, r.feature_id, up, down, two, 1 / (resamples + 1), math.sqrt(two * (1 - two) / (resamples + 1)), percentile(effect, tail), percentile(effect, 1 - tail)))
+            yield pd.DataFrame(rows, columns=names)
 
     cols = stats.select("dataset_id", "feature_id", "groups", "ranks", "doubled", "doubled_max")
-    return cols.mapInPandas(run, "dataset_id string, feature_id string, p_up double, p_down double, p_two double, resolution double, standard_error double, effect_low double, effect_high double")
+    return cols.mapInPandas(run, "dataset_id string, feature_id string, " + ", ".join(f"{c} double" for c in names[2:]))
 
 
 def tested(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTSTRAPS) -> DataFrame:
@@ -228,13 +366,40 @@ def family(stats: DataFrame, tests: DataFrame, threshold: float = 0.05, method:
     return rows.join(done, ["dataset_id", "feature_id"], "left").withColumn("status", F.when(F.col("blockers") == "", "assessed").otherwise("not_assessed"))
 
 
+def step_up(df: DataFrame, p: str, family: list[str], tie: list[str]) -> DataFrame:
+    """Adds ``rank``, the family's size ``m`` and ``least``, the smallest p m / rank of this and all later ranks.
+
+    Rows are dealt out in ranges of (family, p, tie), so a family of any size is spread over as many tasks as it needs; a
+    row's number in its range and the range's first number in the family give its rank. From each range and family only its
+    count and its least value go on: running sums of the counts place a range, and the least values of later ranges are
+    carried back to it.
+    """
+    order = [*family, p, *tie]
+    base = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+    at, along = [*family, "_part"], Window.partitionBy(*family).orderBy("_part")
+    counts = base.groupBy(*at).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(*at, "_first", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*family)).alias("m"))
+    rows = base.join(places, at).withColumn("rank", F.col("_before") + F.col("_row") - F.col("_first") + 1).withColumn("_scaled", F.col(p) * F.col("m") / F.col("rank"))
+    later = F.min("_own").over(along.rowsBetween(1, Window.unboundedFollowing))
+    carried = rows.groupBy(*at).agg(F.min("_scaled").alias("_own")).select(*at, later.alias("_later"))
+    here = F.min("_scaled").over(Window.partitionBy(*at).orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(carried, at).withColumn("least", F.least(here, "_later"))
+    return out.select(*df.columns, "rank", "m", "least")
+
+
+def harmonic(m: Column) -> Column:
+    """The sum of 1/k for k = 1 to m: added up for small m, by its expansion beyond (which is as exact there as the sum)."""
+    x = m.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(256)).cast("int")), F.lit(0.0), lambda t, k: t + 1.0 / k)
+    return F.when(m <= 256, small).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
+def corrected(least: Column, m: Column, method: str) -> Column:
+    """The adjusted p-value from a row of ``step_up``."""
+    return F.least(F.lit(1.0), least * harmonic(m) if method == "by" else least)
+
+
 def adjust(df: DataFrame, p: str, family: list[str], tie: list[str], method: str = "by") -> DataFrame:
-    """Step-up adjustment within families: adds ``rank`` and ``q``. The running minimum starts from the largest rank, so
-    each row is met once; a family is sorted in one task, which spills."""
-    of = Window.partitionBy(*family)
-    sizes = df.groupBy(*family).agg(F.count("*").alias("m"))
-    ranked = df.withColumn("rank", F.row_number().over(of.orderBy(p, *tie))).join(sizes, family)
-    factor = F.lit(1.0) if method == "bh" else F.sum(1.0 / F.col("rank")).over(of)
-    scaled = ranked.withColumn("scaled", F.col(p) * F.col("m") * factor / F.col("rank"))
-    least = F.min("scaled").over(of.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn("q", F.least(F.lit(1.0), least)).drop("scaled", "m")
+    """Step-up adjustment within families: adds ``rank`` and ``q``."""
+    return step_up(df, p, family, tie).withColumn("q", corrected(F.col("least"), F.col("m"), method)).drop("least", "m")

@@ -181,17 +181,17 @@ FRACTIONS, DS_FRACTIONS = _fractions(30, "U"), _fractions(5, "DS")
 def assays(spark: SparkSession, sf_dir: str, n: int = 30, name: str = "U") -> DataFrame:
     e, u, k = t(spark, sf_dir, "events"), F.col("user_id"), F.col("user_id") % n
     return e.select(
-        F.concat(F.lit(name), k).alias("dataset_id"), F.col("event_id").alias("entry_no"), F.when(F.col("event_type") == "click", "apoptosis").otherwise("viability").alias("metric"),
+        F.concat(F.lit(name), k).alias("dataset_id"), F.col("event_id").alias("entry_no"), F.when(F.col("event_type") == "click", "apoptosis_necrosis").otherwise("viability").alias("metric"), F.when(F.col("event_id") % 3 == 0, "declared").otherwise("measured").alias("evidence_source"),
         F.when((F.col("event_id") % 499 == 0) & (k % 5 == 4), -F.col("value")).when(F.col("event_type") == "click", F.col("value") / 1000).otherwise(0.45 + k / (2.0 * n) + F.col("value") / 1000).alias("value"),
-        ((k == 7) & (F.col("event_type") == "error")).cast("int").alias("n_stress"), F.when(k == 9, "Cytotoxic above 10").alias("notes"),
+        ((k == 7) & (F.col("event_type") == "error")).cast("int").alias("n_stress"), F.when((k == 9) | ((k == 11) & (F.col("event_id") % 3 != 0)), "Cytotoxic above 10").alias("notes"),
         _dose(F.col("event_id") % 4).alias("dose_value"), F.lit(24.0).alias("timepoint_hours"),
     )
 
 
 def _assays(n: int, name: str) -> str:
-    return f"""assays AS (SELECT '{name}' || (user_id % {n}) AS dataset_id, event_id AS entry_no, CASE WHEN event_type = 'click' THEN 'apoptosis' ELSE 'viability' END AS metric,
+    return f"""assays AS (SELECT '{name}' || (user_id % {n}) AS dataset_id, event_id AS entry_no, CASE WHEN event_type = 'click' THEN 'apoptosis_necrosis' ELSE 'viability' END AS metric, CASE WHEN event_id % 3 = 0 THEN 'declared' ELSE 'measured' END AS evidence_source,
   CASE WHEN event_id % 499 = 0 AND user_id % {n} % 5 = 4 THEN -value WHEN event_type = 'click' THEN value / 1000 ELSE 0.45 + (user_id % {n}) / {2 * n}.0 + value / 1000 END AS value,
-  (user_id % {n} = 7 AND event_type = 'error')::INT AS n_stress, CASE WHEN user_id % {n} = 9 THEN 'Cytotoxic above 10' END AS notes, [0.0, 1.0, 10.0, 100.0][event_id % 4 + 1]::DOUBLE AS dose_value, 24.0 AS timepoint_hours FROM events)"""
+  (user_id % {n} = 7 AND event_type = 'error')::INT AS n_stress, CASE WHEN user_id % {n} = 9 OR user_id % {n} = 11 AND event_id % 3 <> 0 THEN 'Cytotoxic above 10' END AS notes, [0.0, 1.0, 10.0, 100.0][event_id % 4 + 1]::DOUBLE AS dose_value, 24.0 AS timepoint_hours FROM events)"""
 
 
 ASSAYS, DS_ASSAYS = _assays(30, "U"), _assays(5, "DS")

@@ -153,10 +153,10 @@ def _jt(cells: str) -> str:
 sh AS (SELECT dataset_id, concat_ws(',', CASE WHEN NOT bool_or(dose_value = 0) THEN 'no_zero_dose_control' END, CASE WHEN count(DISTINCT dose_value) < 3 THEN 'insufficient_distinct_dose_levels' END, CASE WHEN count(DISTINCT dose_unit) > 1 THEN 'mixed_dose_units' END,
   CASE WHEN count(DISTINCT coalesce(timepoint_hours, -1)) > 1 THEN 'multi_timepoint_design' END, CASE WHEN count(DISTINCT batch_id) > 1 THEN 'multi_batch_design_not_supported' END, CASE WHEN bool_or(replicate_type <> 'biological') THEN 'undeclared_or_non_biological_replicate_type' END) AS shared, count(*) AS n_samples FROM ts GROUP BY 1),
 lv AS (SELECT DISTINCT dataset_id, dose_value FROM ts), fe AS (SELECT DISTINCT dataset_id, feature_id FROM o),
-n AS (SELECT fe.dataset_id, fe.feature_id, min(coalesce(c, 0)) AS least, sum(coalesce(c, 0)) AS n_known, (sum(coalesce(c, 0)) * sum(coalesce(c, 0)) - sum(coalesce(c, 0) * coalesce(c, 0)))::INT AS doubled_max FROM fe JOIN lv USING (dataset_id) LEFT JOIN (SELECT dataset_id, feature_id, dose_value, count(*) AS c FROM o GROUP BY ALL) g ON g.dataset_id = fe.dataset_id AND g.feature_id = fe.feature_id AND g.dose_value = lv.dose_value GROUP BY 1, 2),
+n AS (SELECT fe.dataset_id, fe.feature_id, min(coalesce(c, 0)) AS least, sum(coalesce(c, 0)) AS n_known, (sum(coalesce(c, 0)) * sum(coalesce(c, 0)) - sum(coalesce(c, 0) * coalesce(c, 0)))::BIGINT AS doubled_max FROM fe JOIN lv USING (dataset_id) LEFT JOIN (SELECT dataset_id, feature_id, dose_value, count(*) AS c FROM o GROUP BY ALL) g ON g.dataset_id = fe.dataset_id AND g.feature_id = fe.feature_id AND g.dose_value = lv.dose_value GROUP BY 1, 2),
 jt AS (SELECT x.dataset_id, x.feature_id, sum(CASE WHEN x.value < y.value THEN 2 WHEN x.value = y.value THEN 1 ELSE 0 END) AS doubled
   FROM o x JOIN o y ON x.dataset_id = y.dataset_id AND x.feature_id = y.feature_id AND x.dose_value < y.dose_value GROUP BY 1, 2),
-tr AS (SELECT n.dataset_id, n.feature_id, concat_ws(',', nullif(shared, ''), CASE WHEN least < 2 THEN 'insufficient_observations_per_dose' END, CASE WHEN n_known < n_samples THEN 'missing_value' END) AS blockers, coalesce(doubled, 0)::INT AS doubled, doubled_max, coalesce(doubled, 0) * 2.0::DOUBLE / doubled_max - 1 AS effect
+tr AS (SELECT n.dataset_id, n.feature_id, concat_ws(',', nullif(shared, ''), CASE WHEN least < 2 THEN 'insufficient_observations_per_dose' END, CASE WHEN n_known < n_samples THEN 'missing_value' END) AS blockers, coalesce(doubled, 0)::BIGINT AS doubled, doubled_max, coalesce(doubled, 0) * 2.0::DOUBLE / doubled_max - 1 AS effect
   FROM n JOIN sh USING (dataset_id) LEFT JOIN jt USING (dataset_id, feature_id))"""
 
 
@@ -224,8 +224,9 @@ SELECT family, id, rank, round(least(1, min(p * m / rank) OVER w), 6) AS bh, rou
 def w3_p_adjustment(spark, d):
     k = F.col("p_partkey")
     p = b.t(spark, d, "part").select((k % 5).alias("family"), k.alias("id"), ((k * 37 % 1009 + 1) / 1010.0).alias("p"))
-    bh = trend.adjust(p, "p", ["family"], ["id"], "bh").withColumnRenamed("q", "bh").drop("rank")
-    return rounded(trend.adjust(bh, "p", ["family"], ["id"]).withColumnRenamed("q", "by"), "bh", "by").select("family", "id", F.col("rank").cast("long").alias("rank"), "bh", "by")
+    least, m = F.col("least"), F.col("m")
+    both = trend.step_up(p, "p", ["family"], ["id"]).withColumns({k: trend.corrected(least, m, k) for k in ("bh", "by")})
+    return rounded(both, "bh", "by").select("family", "id", "rank", "bh", "by")
 
 
 # -- designs -------------------------------------------------------------------------------------------------------
@@ -595,9 +596,9 @@ cc AS (SELECT dataset_id, delta, CASE WHEN bad IS NULL AND NOT some_reliable AND
   coalesce(bad, false) OR NOT (some_silent AND NOT silent OR some_unknown AND some_reliable) AND n_types > 1 AS blocks,
   CASE WHEN bad IS NULL AND NOT some_reliable AND NOT unknown THEN 'EPIW001_CELL_COMPOSITION_CONTEXT_MISSING' WHEN bad THEN 'CC_FRACTION_SUM_MISMATCH' WHEN some_silent AND NOT silent OR some_unknown AND some_reliable THEN 'CC_MIXED_DECLARATIONS' WHEN n_types > 1 THEN 'CC_CONFLICTING_PURE_TYPES'
     WHEN shifted OR NOT (pure AND n_types = 1 OR reliable AND delta IS NOT NULL) THEN 'EPIW002_CELL_TYPE_SHIFT_POSSIBLE' END AS warning FROM cq)"""
-_TOXIC = """tp AS (SELECT dataset_id, count(*) FILTER (value < 0) AS malformed, min(value) FILTER (metric = 'viability') AS viability, max(value) FILTER (metric = 'apoptosis') AS apoptosis, max(n_stress) AS stress, coalesce(bool_or(lower(notes) LIKE '%cytotoxic%'), false) AS declared FROM assays GROUP BY 1),
-tb0 AS (SELECT *, CASE WHEN viability < 0.5 THEN 3 WHEN viability < 0.7 THEN 2 WHEN viability < 0.8 THEN 1 ELSE 0 END AS l0 FROM tp), tb1 AS (SELECT *, CASE WHEN declared AND l0 < 2 THEN 2 ELSE l0 END AS l1 FROM tb0), tb2 AS (SELECT *, CASE WHEN l1 = 0 AND apoptosis > 0.2 THEN 1 ELSE l1 END AS l2 FROM tb1),
-tox AS (SELECT dataset_id, malformed, viability, stress, coalesce(viability < 0.8, false) OR stress > 0 OR declared AS detected, CASE WHEN malformed > 0 THEN 'review_required' ELSE ['unlikely_confounding', 'possible_confounding', 'likely_confounding', 'dominant_confounding'][least(3, l2 + (stress > 0)::INT) + 1] END AS confounding FROM tb2)"""
+_TOXIC = """tp AS (SELECT dataset_id, count(*) FILTER (value < 0) AS malformed, min(value) FILTER (metric = 'viability' AND value >= 0) AS viability, max(value) FILTER (metric = 'apoptosis_necrosis') AS apoptosis, max(n_stress) AS stress, coalesce(bool_or(lower(notes) LIKE '%cytotoxic%' AND evidence_source = 'declared'), false) AS declared FROM assays GROUP BY 1),
+tb0 AS (SELECT *, CASE WHEN viability < 0.5 - 1e-12 THEN 3 WHEN viability < 0.7 - 1e-12 THEN 2 WHEN viability < 0.8 - 1e-12 THEN 1 ELSE 0 END AS l0 FROM tp), tb1 AS (SELECT *, CASE WHEN declared AND l0 < 2 THEN 2 ELSE l0 END AS l1 FROM tb0), tb2 AS (SELECT *, CASE WHEN l1 = 0 AND apoptosis > 0.2 THEN 1 ELSE l1 END AS l2 FROM tb1),
+tox AS (SELECT dataset_id, malformed, viability, stress, malformed = 0 AND (coalesce(viability < 0.8 - 1e-12, false) OR stress > 0 OR declared) AS detected, CASE WHEN malformed > 0 THEN 'review_required' ELSE ['unlikely_confounding', 'possible_confounding', 'likely_confounding', 'dominant_confounding'][least(3, l2 + (stress > 0)::INT) + 1] END AS confounding FROM tb2)"""
 
 _Q = f"""{b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS}, {b.CELLS12}, {b.DS_FRACTIONS}, {b.DS_ASSAYS}, {_COMPOSED}, {_TOXIC},
 reg AS (SELECT *, 'uM' AS dose_unit, 24.0 AS timepoint_hours, dose_value = 0 AS control_flag FROM samples), {_READY},
@@ -617,8 +618,8 @@ z AS (SELECT *, concat_ws(',', CASE WHEN fired > 2 AND chrom IS NOT NULL AND coo
 dec AS (SELECT policy_id, dataset_id, feature_id, CASE fired WHEN 1 THEN 'excluded_coordinate_ambiguity' WHEN 2 THEN 'excluded_coordinate_ambiguity' WHEN 3 THEN 'excluded_insufficient_design' WHEN 4 THEN 'excluded_qc_failure' WHEN 5 THEN 'exploratory_only' WHEN 6 THEN 'excluded_qc_failure' WHEN 7 THEN 'excluded_qc_failure' WHEN 8 THEN 'exploratory_only' WHEN 9 THEN 'excluded_mapping_failure'
   ELSE CASE WHEN notes = '' THEN 'accepted_for_pod' ELSE 'accepted_with_caveats' END END AS status, CASE WHEN fired < 5 THEN '00' || fired WHEN fired < 10 THEN '00' || (fired - 1) WHEN notes = '' THEN '010' ELSE '009' END AS rule, notes FROM z),
 pub AS (SELECT *, CASE WHEN status = 'exploratory_only' THEN CASE WHEN rule = '004' THEN 'review_required' ELSE 'excluded_confounding_dominant' END WHEN rule = '001' THEN 'excluded_missing_genome_build' WHEN rule = '002' THEN 'excluded_invalid_coordinates' WHEN rule = '004' THEN 'excluded_insufficient_design'
-  WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' WHEN rule = '008' THEN 'excluded_mapping_ambiguous' ELSE status END AS public FROM dec),
-use_ AS (SELECT *, CASE public WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_caveats' THEN 'allow_with_warning' WHEN 'review_required' THEN 'review_required' ELSE 'block' END AS use_rule FROM pub)"""
+  WHEN rule = '005' THEN 'excluded_high_missingness' WHEN rule = '006' THEN 'excluded_non_numeric_response' WHEN rule = '008' THEN 'excluded_mapping_ambiguous' WHEN status = 'accepted_with_caveats' THEN 'accepted_with_warnings' ELSE status END AS public FROM dec),
+use_ AS (SELECT *, CASE public WHEN 'accepted_for_pod' THEN 'allow' WHEN 'accepted_with_warnings' THEN 'allow_with_warning' WHEN 'review_required' THEN 'review_required' ELSE 'block' END AS use_rule FROM pub)"""
 
 
 def _policies(spark, d):
@@ -656,7 +657,7 @@ def q1_qualification(spark, d):
     return _decided(spark, d)
 
 
-@query(f"""WITH {_Q}, na AS (SELECT policy_id, dataset_id, count(*) AS n, count(*) FILTER (public = 'accepted_for_pod') AS n_accepted, count(*) FILTER (public = 'accepted_with_caveats') AS n_caveats, count(*) FILTER (public = 'review_required') AS n_review, 0::BIGINT AS n_exploratory, count(*) FILTER (public LIKE 'excluded%') AS n_excluded,
+@query(f"""WITH {_Q}, na AS (SELECT policy_id, dataset_id, count(*) AS n, count(*) FILTER (public = 'accepted_for_pod') AS n_accepted, count(*) FILTER (public = 'accepted_with_warnings') AS n_caveats, count(*) FILTER (public = 'review_required') AS n_review, 0::BIGINT AS n_exploratory, count(*) FILTER (public LIKE 'excluded%') AS n_excluded,
     bool_or(rule NOT IN ('009', '010')) AS needs_review, CASE WHEN dataset_id = 'DS4' OR bool_or(use_rule = 'block') THEN 'block' WHEN bool_or(use_rule = 'review_required') THEN 'review_required' WHEN bool_or(use_rule = 'allow_with_warning') THEN 'allow_with_warning' ELSE 'allow' END AS use_rule FROM use_ GROUP BY 1, 2),
   nr AS (SELECT policy_id, dataset_id, string_agg(public || ':' || k, ',' ORDER BY public || ':' || k) AS reasons FROM (SELECT policy_id, dataset_id, public, count(*) AS k FROM use_ WHERE public LIKE 'excluded%' GROUP BY ALL) GROUP BY 1, 2),
   nh AS (SELECT na.*, coalesce(reasons, '') AS excluded_by_reason, sha256(concat_ws('|', dataset_id, n, n_accepted, n_caveats, n_review, n_exploratory, n_excluded, use_rule, needs_review, policy_id)) AS h FROM na LEFT JOIN nr USING (policy_id, dataset_id))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def scratch(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="methyra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/methyra-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again: it is worked out once, and a lost executor costs a re-read."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import zlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt"
@@ -17,7 +23,14 @@ def delimiter(line: str) -> str:
     return next((d for d in ",;|" if d in line), ",")
 
 
-def delimited(spark: SparkSession, path: str, header: bool = True, columns: tuple[str, ...] | None = None, encoding: str = "UTF-8", lines_in_quotes: bool = False) -> tuple[DataFrame, DataFrame]:
+def delimiter_of(line: Column) -> Column:
+    """The same for a column of lines."""
+    count = lambda c: F.length(line) - F.length(F.translate(line, c, ""))
+    rest = F.when(line.contains(","), ",").when(line.contains(";"), ";").when(line.contains("|"), "|").otherwise(",")
+    return F.when(line.contains("\t") & (count("\t") >= count(",")), "\t").otherwise(rest)
+
+
+def delimited(spark: SparkSession, path: str | list[str], header: bool = True, columns: tuple[str, ...] | None = None, encoding: str = "UTF-8", lines_in_quotes: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed) of delimited files, all columns as text. Quotes are doubled inside quotes, and hold line breaks with
     ``lines_in_quotes`` (a file is then one task's); compressed files are read by suffix; blank rows are passed over. Rows
     of another width are malformed and keep their text; all rows carry ``file_name``. All columns are
@@ -38,10 +51,68 @@ def delimited(spark: SparkSession, path: str, header: bool = True, columns: tupl
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull() & other)
 
 
+_LINES = "file_path", "block"
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file, the start of their split in it and a number that ascends within the split."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    value = F.regexp_replace("value", "\r$", "")
+    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), value.alias("value"))
+
+
+def blocks(read: DataFrame) -> DataFrame:
+    """(file_path, block, first, before): of each split of ``lines`` its first number and the lines of its file before it. A
+    row for each split, so a file of any size is numbered by running sums over its splits."""
+    along = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return read.groupBy(*_LINES).agg(F.min("n").alias("first"), F.count("*").alias("_m")).select(*_LINES, "first", F.coalesce(F.sum("_m").over(along), F.lit(0)).alias("before"))
+
+
+def file_name(path: str = "file_path") -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, header) of text files, the first line of each: files of several shapes are told apart before a scan."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("n"))
-    return lines.where("start = 0").groupBy("file_name").agg(F.min_by("value", "n").alias("header"))
+    """(file_path, file_name, header) of text files, the first line of each: files of several shapes are told apart before a scan."""
+    top = lines(spark, path).where("block = 0").groupBy("file_path").agg(F.min_by("value", "n").alias("header"))
+    return top.select("file_path", file_name().alias("file_name"), "header")
+
+
+def n_fields(line: Column, sep: str) -> Column:
+    """Fields of a line, separators inside quotes not counted."""
+    bare = F.regexp_replace(line, '"(?:[^"]|"")*+"', "")
+    return F.length(bare) - F.length(F.translate(bare, sep, "")) + 1
+
+
+def line_problems(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(file_path, file_name, line_no, kind, message) of blank and malformed lines, each against the header of its own file.
+
+    Lines are numbered from 1 over all splits of a file, header and blank lines included. Only lines with a problem are
+    joined to the numbers of their splits; all others leave the scan as three numbers. Without ``sep`` a file's separator is
+    that of its header."""
+    read = lines(spark, path)
+    chosen = F.lit(sep) if sep else delimiter_of(F.col("header"))
+    top = headers(spark, path).select("file_path", chosen.alias("sep"), "header")
+    found = {r[0] for r in top.select("sep").distinct().collect()}  # of four
+    width = lambda line: reduce(lambda rest, s: F.when(F.col("sep") == s, n_fields(line, s)).otherwise(rest), found, F.lit(None).cast("int"))
+    counted = [n_fields(F.col("value"), s).alias(f"n_{i}") for i, s in enumerate(sorted(found))]
+    slim = read.select(*_LINES, "n", (F.trim("value") == "").alias("blank"), *counted)
+    got = reduce(lambda rest, x: F.when(F.col("sep") == x[1], F.col(f"n_{x[0]}")).otherwise(rest), enumerate(sorted(found)), F.lit(None).cast("int"))
+    rows = slim.join(top.select("file_path", "sep", width(F.col("header")).alias("wanted")), "file_path").withColumn("got", got)
+    odd = rows.where(F.col("blank") | (F.col("got") != F.col("wanted"))).join(blocks(read), list(_LINES)).withColumn("line_no", F.col("before") + F.col("n") - F.col("first") + 1).where("line_no > 1")
+    # fixed values: the texts of both findings
+    text = F.when(F.col("blank"), F.format_string("Skipped empty row at line %d", "line_no")).otherwise(F.format_string("Malformed row at line %d: expected %d columns, got %d", "line_no", "wanted", "got"))
+    return odd.select("file_path", file_name().alias("file_name"), "line_no", F.when(F.col("blank"), "blank").otherwise("malformed").alias("kind"), text.alias("message"))
+
+
+def delimited_shapes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems) of delimited files of several shapes: files are read together with those of the same header, columns
+    that a file lacks are null, and problems are ``line_problems``. Paths go to the driver, as they do in any listing of files."""
+    shapes: dict[str, list[str]] = {}
+    for r in headers(spark, path).select("file_path", "header").collect():
+        shapes.setdefault(r["header"], []).append(r["file_path"])
+    read = [delimited(spark, paths)[0] for _, paths in sorted(shapes.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read), line_problems(spark, path)
 
 
 def json_features(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +121,114 @@ def json_features(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("feature_id", F.explode("values").alias("sample_id", "value"))
 
 
+#: Bytes of a file up to which it is hashed as one value, and of the pieces that longer ones are hashed by.
+WHOLE, PIECE = 1 << 28, 1 << 20
+#: No file suffix is taken for a compression.
+_STORED = ("io.compression.codecs", "org.apache.hadoop.io.compress.DefaultCodec")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a split in order, put together to pieces of about ``PIECE`` bytes; each line ends with a line break."""
+    names = ["file_path", "file_size", "block", "n", "piece"]
+    held: list[bytes] = []
+    at, size = None, 0
+
+    def out() -> pa.RecordBatch:
+        piece = b"".join(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*at, piece)], names=names)
+
+    for b in batches:
+        for path, length, block, n, value in zip(*(c.to_pylist() for c in b.columns)):
+            if held and (at[0] != path or at[2] != block or size >= PIECE):
+                yield out()
+            if not held:
+                at, size = (path, length, block, n), 0
+            held += [value, b"\n"]
+            size += len(value) + 1
+    if held:
+        yield out()
+
+
+class _Content:
+    """Running digest of what a gzip file holds, over all its members; None where it is damaged."""
+
+    def __init__(self):
+        self.hash, self.size, self.broken, self._member = hashlib.sha256(), 0, False, zlib.decompressobj(31)
+
+    def update(self, data: bytes) -> None:
+        try:
+            while data and not self.broken:
+                for got in iter(lambda: self._member.decompress(data, PIECE), b""):  # noqa: B023
+                    self.hash.update(got)
+                    self.size += len(got)
+                    data = self._member.unconsumed_tail
+                if not self._member.eof:
+                    return
+                data, self._member = self._member.unused_data, zlib.decompressobj(31)
+        except zlib.error:
+            self.broken = True
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of pieces that stand in order by file. Of the last line break the file's size tells whether it is there."""
+    now, h, content, n, size, tail = None, None, None, 0, 0, b""
+
+    def put(data: bytes) -> None:
+        nonlocal n
+        h.update(data)
+        n += len(data)
+        if content:
+            content.update(data)
+
+    def out() -> pa.RecordBatch:
+        put(tail[: size - n])
+        inner = (None, None) if content and content.broken else (content.size, content.hash.hexdigest()) if content else (n, h.hexdigest())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((now, n, h.hexdigest(), *inner), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names=[x.split()[0] for x in _DIGESTS.split(", ")])
+
+    for b in batches:
+        for path, length, piece in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))):
+            if path != now:
+                if now is not None:
+                    yield out()
+                now, h, content, n, size, tail = path, hashlib.sha256(), _Content() if path.endswith(".gz") else None, 0, length, b""
+            put(tail)
+            tail = piece
+    if now is not None:
+        yield out()
+
+
+_DIGESTS = "file_path string, n_bytes long, sha256 string, content_bytes long, content_sha256 string"
+
+
+def digests(spark: SparkSession, path: str | list[str], whole: int = WHOLE) -> DataFrame:
+    """(file_path, n_bytes, sha256, content_bytes, content_sha256) of files: as stored, and decompressed where the name ends
+    with .gz (null where that is damaged).
+
+    Files of up to ``whole`` bytes are hashed as one value by the scan. Longer and compressed ones are read by splits and put
+    together in order, a piece of about a megabyte at a time, so memory is bounded for files of any size; one file is one
+    task's in the end, for the hashes are sequential. Paths go to the driver, as they do in any listing of files."""
+    files = spark.read.format("binaryFile").load(path)
+    pieced = F.col("path").endswith(".gz") | (F.col("length") > whole)
+    n, sha = F.col("length"), F.sha2("content", 256)
+    small = files.where((F.col("length") <= whole) & ~F.col("path").endswith(".gz")).select(
+        F.col("path").alias("file_path"), n.alias("n_bytes"), sha.alias("sha256"), n.alias("content_bytes"), sha.alias("content_sha256")
+    )
+    paths = [r[0] for r in files.where(pieced & (F.col("length") > 0)).select("path").collect()]
+    if not paths:
+        return small
+    # files are taken as stored and cut at line breaks
+    raw = spark.read.option("lineSep", "\n").option(*_STORED).text(paths)
+    rows = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("value"))
+    pieces = rows.mapInArrow(_pieces, "file_path string, file_size long, block long, n long, piece binary")
+    return small.unionByName(pieces.repartition("file_path").sortWithinPartitions("file_path", "block", "n").mapInArrow(_hashed, _DIGESTS))
+
+
 def manifest(spark: SparkSession, path: str, expected: DataFrame, name: Column | None = None) -> DataFrame:
     """Files against an expected manifest (name, n_bytes, sha256): ok, missing, unexpected or mismatch. A file's name is its
-    last part unless ``name`` says otherwise in terms of its path."""
+    last part unless ``name`` says otherwise in terms of its ``path``."""
     name = F.element_at(F.split("path", "/"), -1) if name is None else name
-    found = spark.read.format("binaryFile").load(path).select(name.alias("name"), F.col("length").alias("got_bytes"), F.sha2("content", 256).alias("got"))
+    found = digests(spark, path).withColumnRenamed("file_path", "path").select(name.alias("name"), F.col("n_bytes").alias("got_bytes"), F.col("sha256").alias("got"))
     both = found.join(expected, "name", "full_outer")
     state = F.when(F.col("got").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when((F.col("got") != F.col("sha256")) | (F.col("got_bytes") != F.col("n_bytes")), "mismatch").otherwise("ok")
     return both.select("name", state.alias("state"))
