@@ -188,10 +188,42 @@ def t3_exact_permutation(spark, d):
     return rounded(out, "p_up", "p_down", "p_two").select("dataset_id", "feature_id", "doubled", "total", "p_up", "p_down", "p_two")
 
 
-@query()
+def _next32(x: str) -> str:
+    """The generator's next state."""
+    return f"list_reduce([13, -17, 5], lambda now, places: CASE WHEN places > 0 THEN xor(now, (now << places) & 4294967295) ELSE xor(now, now >> -places) END, {x})"
+
+
+def _map32(cols: str, x: str) -> str:
+    """A linear map, given by its columns, of a state."""
+    return f"list_reduce(list_transform({cols}, lambda image, bit: CASE WHEN ({x} >> (bit - 1)) & 1 = 1 THEN image ELSE 0 END), lambda u, v: xor(u, v))"
+
+
+def _hash32(text: str) -> str:
+    return f"list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)"
+
+
+# Streams of each feature: states before every draw by doubling a linear map, then shuffles of labels and draws of values.
+_STREAMS = f"""{_jt(b.CELLS12)}, ob AS (SELECT c.dataset_id, c.feature_id, ts.sample_id, dense_rank() OVER (PARTITION BY c.dataset_id, c.feature_id ORDER BY value) AS r, dense_rank() OVER (PARTITION BY c.dataset_id, c.feature_id ORDER BY ts.dose_value) - 1 AS g FROM cells c JOIN ts USING (dataset_id, sample_id) JOIN (SELECT * FROM tr WHERE blockers = '') USING (dataset_id, feature_id)),
+fe2 AS MATERIALIZED (SELECT dataset_id, feature_id, list(g ORDER BY g, sample_id) AS gs, list(r ORDER BY g, sample_id) AS rs, count(*)::BIGINT AS n FROM ob GROUP BY 1, 2),
+sd AS MATERIALIZED (SELECT *, xor(xor(20260727::BIGINT, {_hash32('feature_id')}), {_hash32("'permutation'")}) AS s1, xor(xor(20260727::BIGINT, {_hash32('feature_id')}), {_hash32("'bootstrap'")}) AS s2 FROM fe2),
+mt AS (WITH RECURSIVE m(d, b, cols) AS (SELECT d, 0, list_transform(range(32), lambda k: list_reduce(range(d), lambda u, i: {_next32('u')}, 1::BIGINT << k)) FROM (SELECT DISTINCT n - 1 AS d FROM fe2 UNION SELECT DISTINCT n FROM fe2)
+  UNION ALL SELECT d, b + 1, list_transform(cols, lambda c: {_map32('cols', 'c')}) FROM m WHERE b < 12) SELECT * FROM m),
+st AS (WITH RECURSIVE q(kind, dataset_id, feature_id, d, b, i, s) AS (SELECT 1, dataset_id, feature_id, n - 1, 0, 0::BIGINT, CASE s1 WHEN 0 THEN 2654435769 ELSE s1 END FROM sd UNION ALL SELECT 2, dataset_id, feature_id, n, 0, 0, CASE s2 WHEN 0 THEN 2654435769 ELSE s2 END FROM sd
+  UNION ALL SELECT kind, dataset_id, feature_id, q.d, q.b + 1, i + h * (1 << q.b), CASE h WHEN 0 THEN s ELSE {_map32('cols', 's')} END FROM q JOIN mt ON mt.d = q.d AND mt.b = q.b, range(2) z(h) WHERE q.b < CASE kind WHEN 1 THEN 13 ELSE 11 END AND i + h * (1 << q.b) < CASE kind WHEN 1 THEN 4999 ELSE 1999 END)
+  SELECT * FROM q WHERE b = CASE kind WHEN 1 THEN 13 ELSE 11 END),
+sh2 AS (SELECT dataset_id, feature_id, rs, list_reduce(list_reverse(range(1, n)), lambda a, k: list_transform([struct_pack(s := {_next32('a.s')}, l := a.l)], lambda w: struct_pack(s := w.s, l := list_transform(w.l, lambda x, p: CASE WHEN p = k + 1 THEN w.l[((w.s * (k + 1)) >> 32) + 1] WHEN p = ((w.s * (k + 1)) >> 32) + 1 THEN w.l[k + 1] ELSE x END)))[1], struct_pack(s := s, l := gs)).l AS l FROM st JOIN sd USING (dataset_id, feature_id) WHERE kind = 1),
+ps2 AS (SELECT dataset_id, feature_id, list_sum(list_transform(range(1, len(l)), lambda i: list_sum(list_transform(range(i + 1, len(l) + 1), lambda j: CASE WHEN l[i] = l[j] THEN 0 WHEN rs[i] = rs[j] THEN 1 WHEN (l[i] < l[j]) = (rs[i] < rs[j]) THEN 2 ELSE 0 END)))) AS t FROM sh2),
+pp AS (SELECT dataset_id, feature_id, (count(*) FILTER (t >= doubled) + 1) / 5000.0 AS p_up, (count(*) FILTER (t <= doubled) + 1) / 5000.0 AS p_down, (count(*) FILTER (abs(2 * t - doubled_max) >= abs(2 * doubled - doubled_max)) + 1) / 5000.0 AS p_two FROM ps2 JOIN tr USING (dataset_id, feature_id) GROUP BY 1, 2),
+bs AS (SELECT dataset_id, feature_id, gs, list_reduce(range(1, n + 1), lambda a, k: list_transform([{_next32('a.s')}], lambda w: struct_pack(s := w, l := list_append(a.l, rs[list_position(gs, gs[k]) + ((w * len(list_filter(gs, lambda y: y = gs[k]))) >> 32)])))[1], struct_pack(s := s, l := []::BIGINT[])).l AS l FROM st JOIN sd USING (dataset_id, feature_id) WHERE kind = 2),
+be AS (SELECT dataset_id, feature_id, list_sort(list(2 * (t / 2.0::DOUBLE) / (doubled_max / 2.0::DOUBLE) - 1)) AS ef FROM (SELECT dataset_id, feature_id, list_sum(list_transform(range(1, len(l)), lambda i: list_sum(list_transform(range(i + 1, len(l) + 1), lambda j: CASE WHEN gs[i] = gs[j] THEN 0 WHEN l[i] < l[j] THEN 2 WHEN l[i] = l[j] THEN 1 ELSE 0 END)))) AS t FROM bs) JOIN tr USING (dataset_id, feature_id) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_STREAMS} SELECT dataset_id, feature_id, round(p_up, 6) AS p_up, round(p_down, 6) AS p_down, round(p_two, 6) AS p_two, 0.0002 AS resolution, round(sqrt(p_two * (1 - p_two) / 5000), 9) AS standard_error,
+  round(ef[50] * 0.05 + ef[51] * 0.95, 9) AS effect_low, round(ef[1949] * 0.95 + ef[1950] * 0.05, 9) AS effect_high FROM pp JOIN be USING (dataset_id, feature_id)""")
 def t4_sampled_permutation(spark, d):
     stats = trend.mode(_trend(spark, d, 12, 4).where("blockers = ''")).where("mode = 'monte_carlo'")
-    return trend.sampled(stats.repartition("dataset_id", "feature_id"))
+    out = trend.sampled(stats.repartition("dataset_id", "feature_id"))
+    return rounded(rounded(out, "p_up", "p_down", "p_two"), "standard_error", "effect_low", "effect_high", places=9)
 
 
 _WAYS = "SELECT dataset_id, factorial(sum(c)::INT)::DOUBLE / product(factorial(c::INT)::DOUBLE) AS allocations, sum(c) AS k FROM (SELECT dataset_id, dose_value, count(*) AS c FROM ts GROUP BY ALL) GROUP BY 1"
