@@ -14,7 +14,8 @@ nothing and are held nowhere. Repeated documents or items each have their pairs,
 dropped (``without_leaks`` keeps them, of any name).
 
 Signatures are broadcast while their count is at most ``BROADCAST`` rows, the shingles of distinct items while these have
-at most ``BYTES`` bytes of text; beyond that both are joined by a shuffle. Item ids are joined as Spark chooses.
+at most ``BYTES`` bytes of text; beyond that both are joined by a shuffle, where an item of many candidates is dealt over
+parts. Item ids are joined as Spark chooses.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_safe, table
+from .common import null_safe, table, written
 
 SIZE, SHARE = 5, 0.8
 #: Rows of signatures that may be broadcast (24 bytes each), and bytes of the texts of items (their shingles have
 #: up to ``SIZE`` times as many).
 BROADCAST, BYTES = 1_000_000, 16_000_000
+#: Candidates of one item that meet beside one copy of its shingles.
+PART = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,14 +80,28 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, size: int
     found = hashed.join(F.broadcast(signed) if small else signed, "hash").where("places >= least")
     candidates = found.groupBy("key").agg(F.collect_set("item").alias("items"))
 
-    texts = rows.join(candidates, "key").withColumn("held", shingles_of("text", sizes))
+    # the shingles of its candidates go to the document, which is cut into shingles once and then compared beside them
     wanted = kinds.select("item", F.array_distinct(_runs(F.col("ws"), F.col("k"), _text)).alias("wanted"))
-    pairs = texts.select("doc_id", "held", F.explode("items").alias("item")).join(F.broadcast(wanted) if light else wanted, "item")
-    counted = pairs.withColumn("n_common", F.size(F.array_intersect("wanted", "held")).cast("long")).withColumn("n_item", F.size("wanted").cast("long"))
-    kept = counted.where(F.col("n_common") >= share * F.col("n_item") - 1e-9).select("doc_id", "item", "n_common", "n_item")
+    pairs = candidates.select("key", F.explode("items").alias("item"))
+    near = (pairs.join(F.broadcast(wanted), "item") if light else _dealt(pairs, wanted)).groupBy("key").agg(F.collect_list(F.struct("item", "wanted")).alias("wants"))
+    texts = rows.join(near, "key").withColumn("held", shingles_of("text", sizes))
+    common = lambda w: F.size(F.array_intersect(w["wanted"], F.col("held"))).cast("long").alias("n_common")
+    counted = F.transform("wants", lambda w: F.struct(w["item"].alias("item"), common(w), F.size(w["wanted"]).cast("long").alias("n_item")))
+    kept = texts.select("doc_id", F.explode(F.filter(counted, lambda c: c["n_common"] >= share * c["n_item"] - 1e-9)).alias("c")).select("doc_id", "c.*")
     return kept.join(named.select("item", "item_id"), "item").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
+def _dealt(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Candidate pairs (key, item) with the shingles of the item. An item of very many candidates is dealt over parts by the
+    key, with a copy of its shingles for each."""
+    pairs = written(pairs, "pairs")
+    crowd = written(pairs.groupBy("item").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "crowd")
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(crowd, "item", "left").select("key", "item", F.pmod("key", parts).alias("part"))
+    right = wanted.join(crowd, "item", "left").select("item", "wanted", F.explode(F.sequence(F.lit(0), parts - 1)).cast("long").alias("part"))
+    return left.join(right, ["item", "part"]).select("key", "item", "wanted")
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item. Documents are told apart by id and text."""
     key = F.concat(F.sha2(null_safe("text").cast("binary"), 256), F.coalesce(F.concat(F.lit(" "), F.col("doc_id").cast("string")), F.lit("")))

@@ -24,8 +24,8 @@ below 10^-14.
 
 Grams that a task sees very often with different contexts (a short line in a third of all documents) would meet
 in one task. The starts of the ``LISTED`` most frequent such grams are compared one by one instead, dealt by the hash of
-the whole string. Any other gram has at most ``FREQUENT`` contexts a task or a ``LISTED``-th part of all frequent
-contexts, no more than a task's common share, and goes the way above; results are the same either way.
+the whole string. Any other gram has at most about ``CONTEXTS`` contexts over all tasks or a ``LISTED``-th part of all
+frequent contexts, and goes the way above; results are the same either way.
 
 ``doc_id`` is a whole number. Null texts count as empty, texts under ``LENGTH`` bytes lose nothing. Null ids come after
 all others. Rows that repeat an id are ordered by a row number given once when the texts are stored. Empty tables give
@@ -47,8 +47,9 @@ from .common import batch_of, mix64, scratch, table, texts_of, written
 LENGTH, GRAM = 100, 32
 #: Bytes by which groups are sorted before blind tries take over.
 SHALLOW = 16
-#: Distinct contexts of one gram in one task from which the gram counts as frequent.
-FREQUENT = 64
+#: Distinct contexts of one gram in one task from which the gram counts as frequent, and contexts that a gram may have over all
+#: tasks without that: with very many tasks the first is lowered to keep the second.
+FREQUENT, CONTEXTS = 64, 1 << 17
 #: Frequent grams that are told apart; an exact way serves those beyond.
 LISTED = 4096
 
@@ -340,8 +341,13 @@ def _owner(doc: int, uid: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.full(n, doc), np.full(n, uid)
 
 
-def _frequent_grams(batches):
-    """Grams with many distinct contexts in this task."""
+def _frequent_grams(tasks: int):
+    """Grams with many distinct contexts in a task."""
+    least = max(2, min(FREQUENT, CONTEXTS // tasks))
+    return lambda batches: _often(batches, least)
+
+
+def _often(batches, least: int):
     grams, contexts = [], []
     for b in batches:
         for text in texts_of(b):
@@ -355,7 +361,7 @@ def _frequent_grams(batches):
     order = np.lexsort([c, g])
     g, c = g[order], c[order]
     g, n = np.unique(g[np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]], return_counts=True)
-    many = n >= FREQUENT
+    many = n >= least
     if many.any():
         yield batch_of(["gram", "n"], [pa.array(g[many].view(np.int64)), pa.array(n[many].astype(np.int64))])
 
@@ -450,11 +456,15 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, uid, text) as files in the shared folder, bucketed by uid: later stages join by it without moving
     texts."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _partitions(spark)
     name, path = f"methyra_{uuid.uuid4().hex}", f"{scratch(spark)}/texts"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "uid", "text")
@@ -466,7 +476,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """(uid, first, last): runs of starts whose string also starts earlier."""
-    seen = texts.select("text").mapInArrow(_frequent_grams, "gram long, n long")
+    seen = texts.select("text").mapInArrow(_frequent_grams(_partitions(texts.sparkSession)), "gram long, n long")
     frequent = {r[0] for r in seen.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(LISTED).collect()}
     found = texts.select("doc_id", "uid", "text").mapInArrow(_anchor_rows(frequent), _ANCHOR)
     # first occurrences meet by gram, whole strings by themselves; what is known to repeat goes anywhere

@@ -31,17 +31,18 @@ from .common import SLICE, arrow_map, batch_of, null_safe, scratch, table, texts
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "service_token")
 #: Name of the rules below; a change of any rule takes a new name, and so a new scan of every blob.
-RULES = "rules-2"
+RULES = "rules-3"
 
 _KEYS = ("passw", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _PRIVATE = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
-#: A line break, written out in string literals too; headers; and lines of base64 only, or runs as long as a line.
+#: A line break, written out in string literals too; headers, on the line of the body too where that follows; and lines of base64 only, or runs as long as a line.
 _BREAK = r"(?:[^\S\n]|\\[rt])*+(?:\n|\\n)(?:\s|\\[nrt]|[>\"'+,])*+"
 _KEY_BODY = re.compile(
     rf"(?:{_BREAK}[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*+"
+    r"(?:(?:[^\S\n]++[A-Za-z][A-Za-z0-9-]*+:[^\S\n]*+[^\s\\]++)++(?=[^\S\n]++[A-Za-z0-9+/]{40}))?+"
     rf"(?:(?:{_BREAK}|[^\S\n]++)[A-Za-z0-9+/]{{40,}}+={{0,2}}|{_BREAK}[A-Za-z0-9+/]++={{0,2}}(?=[^\S\n]*+(?:\n|\\[nr]|[\"']|\Z))|[^\S\n]++(?=[A-Za-z0-9+/]*[0-9+/=])[A-Za-z0-9+/]++={{0,2}}(?!\S))*+"
 )
 _SERVICE = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
