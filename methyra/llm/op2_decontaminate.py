@@ -97,8 +97,8 @@ def _dealt(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     crowd = written(pairs.groupBy("item").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "crowd")
     parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(crowd, "item", "left").select("key", "item", F.pmod("key", parts).alias("part"))
-    right = wanted.join(crowd, "item", "left").select("item", "wanted", F.explode(F.sequence(F.lit(0), parts - 1)).cast("long").alias("part"))
+    left = pairs.join(crowd, "item", "left").select("key", "item", F.pmod("key", parts).cast("int").alias("part"))
+    right = wanted.join(crowd, "item", "left").select("item", "wanted", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     return left.join(right, ["item", "part"]).select("key", "item", "wanted")
 
 
