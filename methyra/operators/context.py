@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLACK = 1e-12
@@ -139,6 +139,25 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, what.alias("difference")).where("difference <> ''")
 
 
-def overclaims(texts: DataFrame, words: str) -> DataFrame:
-    """Texts that claim more than evidence allows, by pattern; the matched word in lower case."""
-    return texts.where(F.col("text").rlike(f"(?i)({words})")).select("id", F.lower(F.regexp_extract("text", f"(?i)({words})", 1)).alias("word"))
+#: Uses that a screening hand-off may not name, in any case.
+BLOCKED_USES = (
+    "risk|regulatory|safe|safety|advers|legal|compliance|acceptable daily intake|reference dose|"
+    "tolerable daily intake|derived no effect level|margin of exposure|health[- ]?based guidance|guidance value|threshold of toxicological concern|"
+    r"safe dose|safe level|permitted daily exposure|occupational exposure limit|market authoriz|\b(adi|rfd|tdi|dnel|oel|hbgv|pde|mrl|ttc)\b"
+)
+
+
+def folded(text: Column) -> Column:
+    """A text with its dashes and underscores as single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[-_‐-―−⁃]+", " "), r"\s+", " "))
+
+
+def names_blocked_use(text: Column) -> Column:
+    """Whether a text names a use that is blocked, as it stands or with its separators as spaces."""
+    return text.rlike(f"(?i){BLOCKED_USES}") | folded(text).rlike(f"(?i){BLOCKED_USES}")
+
+
+def overclaims(texts: DataFrame) -> DataFrame:
+    """Texts (id, text) that name a use that is blocked, and the first words that do, in lower case."""
+    found = texts.where(names_blocked_use(F.col("text"))).withColumn("text", folded(F.col("text")))
+    return found.select("id", F.lower(F.regexp_extract("text", f"(?i)({BLOCKED_USES})", 1)).alias("word"))

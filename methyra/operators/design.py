@@ -81,22 +81,30 @@ def dose_axis(samples: DataFrame) -> DataFrame:
 
 def control_axis(samples: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Per dataset: control groups (dose 0, or every sample flagged), units, timepoints, and what is wrong. ``declared``
-    (dataset_id, control_group, normalisation) names the control among several, and how mixed units were normalised."""
+    (dataset_id, control_group, normalisation) names the control, and how mixed units were normalised. A named group must be
+    one of the design's and a control; without a name there must be exactly one control. Designs of several timepoints are
+    refused before their controls are looked at."""
     groups = samples.groupBy("dataset_id", "dose_group_id", "dose_value", "dose_unit", "timepoint_hours").agg(F.bool_and("control_flag").alias("flagged"))
-    control = F.when((F.col("dose_value") == 0) | F.col("flagged"), F.col("dose_group_id"))
+    is_control = (F.col("dose_value") == 0) | F.coalesce("flagged", F.lit(False))
     if declared is not None:
         groups = groups.join(declared.select("dataset_id", "control_group", "normalisation"), "dataset_id", "left")
     else:
         groups = groups.withColumn("control_group", F.lit(None).cast("string")).withColumn("normalisation", F.lit(None).cast("string"))
+    here = F.col("dose_group_id") == F.col("control_group")
     per = groups.groupBy("dataset_id").agg(
-        F.countDistinct(control).alias("n_controls"), F.countDistinct(F.nullif(F.trim("dose_unit"), F.lit(""))).alias("n_units"),
-        F.countDistinct(F.coalesce(F.col("timepoint_hours").cast("string"), F.lit("none"))).alias("n_timepoints"),
-        F.coalesce(F.bool_or(control == F.col("control_group")), F.lit(False)).alias("named"), F.coalesce(F.bool_or(F.trim("normalisation") != ""), F.lit(False)).alias("normalised"),
-        F.count_if(F.coalesce(F.trim("dose_unit"), F.lit("")) == "").alias("n_unitless"),
+        F.countDistinct(F.when(is_control, F.col("dose_group_id"))).alias("n_controls"), F.countDistinct(F.nullif(F.trim("dose_unit"), F.lit(""))).alias("n_units"),
+        F.countDistinct(F.coalesce(F.col("timepoint_hours").cast("string"), F.lit("none"))).alias("n_timepoints"), F.max("control_group").alias("control_group"),
+        F.coalesce(F.bool_or(here), F.lit(False)).alias("known"), F.coalesce(F.bool_or(here & is_control), F.lit(False)).alias("named"), F.coalesce(F.bool_or(F.trim("normalisation") != ""), F.lit(False)).alias("normalised"),
+        F.count_if(F.coalesce(F.trim("dose_unit"), F.lit("")) == "").alias("n_unitless"), (F.count("*") > F.countDistinct("dose_group_id")).alias("repeated"),
+    )
+    unnamed = F.col("control_group").isNull()
+    control = (
+        F.when(~unnamed & ~F.col("known"), "unknown_control_group").when(~unnamed & ~F.col("named"), "named_group_is_no_control")
+        .when(unnamed & (F.col("n_controls") == 0), "no_control").when(unnamed & (F.col("n_controls") > 1), "several_controls")
     )
     problems = F.concat_ws(",",
-        F.when(F.col("n_controls") == 0, "no_control"), F.when((F.col("n_controls") > 1) & ~F.col("named"), "several_controls"), F.when(F.col("n_unitless") > 0, "missing_dose_unit"),
-        F.when((F.col("n_units") > 1) & ~F.col("normalised"), "mixed_dose_units"), F.when(F.col("n_timepoints") > 1, "multi_timepoint"),
+        F.when(F.col("n_timepoints") == 1, control), F.when(F.col("n_unitless") > 0, "missing_dose_unit"), F.when((F.col("n_units") > 1) & ~F.col("normalised"), "mixed_dose_units"),
+        F.when(F.col("n_timepoints") > 1, "multi_timepoint"), F.when(F.col("repeated"), "repeated_dose_group"),
     )
     warnings = F.when((F.col("n_units") > 1) & F.col("normalised"), "mixed_dose_units_normalised").otherwise("")
     return per.select("dataset_id", "n_controls", "n_units", "n_timepoints", problems.alias("problems"), warnings.alias("warnings"))
@@ -119,13 +127,16 @@ def split_designs(samples: DataFrame) -> DataFrame:
     return per.select("dataset_id", "n_samples", "n_groups", "has_controls", "min_replicates", state.alias("state"))
 
 
-def readiness(samples: DataFrame) -> DataFrame:
-    """Per dataset: dose levels, least effective replicates, blockers in order, and the status they leave."""
-    levels = samples.groupBy("dataset_id").agg(F.countDistinct("dose_value").alias("levels"), F.countDistinct(F.when(F.col("dose_value") > 0, F.col("dose_value"))).alias("nonzero"))
+def readiness(samples: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Per dataset: dose levels, least effective replicates, blockers in order, and the status they leave. A design is invalid
+    with any problem of ``control_axis`` or a sample that it lists twice; doses other than zero count as treated."""
+    levels = samples.groupBy("dataset_id").agg(
+        F.countDistinct("dose_value").alias("levels"), F.countDistinct(F.when(F.col("dose_value") != 0, F.col("dose_value"))).alias("nonzero"), (F.count("*") > F.countDistinct("sample_id")).alias("twice")
+    )
     least = replicates(samples).groupBy("dataset_id").agg(F.min("effective").alias("least"))
-    axis = control_axis(samples).select("dataset_id", "n_controls", "n_units", "n_timepoints")
+    axis = control_axis(samples, declared).select("dataset_id", "problems", "n_timepoints")
     rows = levels.join(least, "dataset_id").join(axis, "dataset_id").join(perfect_confounding(samples), "dataset_id")
-    invalid = (F.col("n_controls") != 1) | (F.col("n_units") > 1)
+    invalid = (F.col("problems") != "") | F.col("twice")
     common = [
         F.when(invalid, "structural_validation_failed"), F.when(F.col("nonzero") == 0, "no_treated_dose"),
         F.when(F.col("least") < MIN_REPLICATES, "insufficient_biological_replicates"), F.when(F.col("confounded"), "dose_batch_confounding"),

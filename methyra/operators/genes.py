@@ -17,7 +17,7 @@ from ..sources.scratch import written
 #: Levels of bins: powers of two that are their sizes in bases.
 LEVELS = (12, 16, 20, 24, 28, 32)
 #: Intervals of one side that a bin holds before it is split.
-DENSE = 50_000
+DENSE = 200_000
 #: Feature classes that must declare a coordinate system, and those that bear peaks.
 REGION_CLASSES = ("atac_peak", "chip_peak_narrow", "chip_peak_broad", "histone_mark_peak", "chromatin_interaction", "dmr", "differential_methylated_region")
 PEAK_CLASSES = ("atac_peak", "chip_peak_narrow", "chip_peak_broad", "histone_mark_peak")
@@ -112,18 +112,24 @@ def _level(start: Column, end: Column) -> Column:
     return out
 
 
-def _binned(df: DataFrame, start: str, end: str, first: bool) -> DataFrame:
+def _sides(a: DataFrame, b: DataFrame) -> list[tuple[int, list[int]]]:
+    """Number of intervals and the levels that occur (six at most) of both sides of an overlap."""
+    told = [df.agg(F.count("*").alias("n"), F.collect_set(_level(F.col(s), F.col(e))).alias("levels")).withColumn("side", F.lit(i)) for i, (df, s, e) in enumerate(((a, "start", "end"), (b, "o_start", "o_end")))]
+    return [(r["n"], sorted(r["levels"])) for r in sorted(told[0].unionByName(told[1]).collect(), key=lambda r: r["side"])]
+
+
+def _binned(df: DataFrame, start: str, end: str, first: bool, others: list[int]) -> DataFrame:
     """Rows by bin. In turn 0 the first side looks up its own and coarser levels and the second stands on its own; in turn 1
     the second looks up coarser levels and the first stands on its own. So two intervals meet in one turn and level only,
-    the coarser of theirs."""
-    low, high = F.col(start).cast("long"), F.col(end).cast("long")
-    own = _level(low, high)
-    every = F.array(*map(F.lit, LEVELS))
+    the coarser of theirs. Only the levels that occur on the other side are looked up."""
+    own = _level(F.col(start), F.col(end))
+    every = F.array(*map(F.lit, others)).cast("array<int>")
     keyed = lambda turn, levels: F.transform(levels, lambda x: F.struct(F.lit(turn).alias("turn"), x.alias("level")))
+    stands = F.filter(F.array(own), lambda x: F.lit(min(others, default=99)) < x) if first else F.filter(F.array(own), lambda x: F.lit(min(others, default=99)) <= x)
     if first:
-        places = F.concat(keyed(0, F.filter(every, lambda x: x >= own)), keyed(1, F.array(own)))
+        places = F.concat(keyed(0, F.filter(every, lambda x: x >= own)), keyed(1, stands))
     else:
-        places = F.concat(keyed(0, F.array(own)), keyed(1, F.filter(every, lambda x: x > own)))
+        places = F.concat(keyed(0, stands), keyed(1, F.filter(every, lambda x: x > own)))
     rows = df.select("*", F.explode(places).alias("_at")).select(*df.columns, "_at.turn", "_at.level")
     at = F.expr(f"shiftright(cast({start} as bigint), level)")
     return rows.withColumn("bin", F.explode(F.sequence(at, F.greatest(at, F.expr(f"shiftright(cast({end} as bigint) - 1, level)")))))
@@ -139,16 +145,18 @@ def _sliced(rows: DataFrame, by: list[str], own: DataFrame, other: DataFrame, mi
 def overlaps(regions: DataFrame, others: DataFrame, dense: int = DENSE) -> DataFrame:
     """All pairs of ``regions`` (feature_id, chrom, start, end) and ``others`` (gene_id, chrom, o_start, o_end) that overlap.
 
-    Bins that hold more than ``dense`` intervals of a side are counted first; there the side is dealt over slices and the
-    other side sent to each of them, so no task has a whole dense bin."""
-    a, b = _binned(regions, "start", "end", True), _binned(others, "o_start", "o_end", False)
-    crowded = lambda rows: rows.groupBy(*_BIN).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*_BIN, F.ceil(F.col("n") / dense).cast("int").alias("k"))
-    tagged = written(crowded(a).withColumn("side", F.lit(0)).unionByName(crowded(b).withColumn("side", F.lit(1))))
+    Levels that occur are asked first. Where a side has more than ``dense`` intervals, bins that hold as many are counted;
+    there the side is dealt over slices and the other side sent to each of them, so no task has a whole dense bin."""
+    (n, la), (m, lb) = _sides(regions, others)
+    a, b = _binned(regions, "start", "end", True, lb), _binned(others, "o_start", "o_end", False, la)
     keys = _BIN
-    if not tagged.isEmpty():  # few rows by their making: one for ``dense`` intervals; Spark broadcasts them by their size
-        ka, kb = (tagged.where(F.col("side") == i).drop("side") for i in (0, 1))
-        a, b = _sliced(a, ["feature_id", "start", "end"], ka, kb, "s0", "s1"), _sliced(b, ["gene_id", "o_start", "o_end"], kb, ka, "s1", "s0")
-        keys = [*_BIN, "s0", "s1"]
+    if max(n, m) > dense:
+        crowded = lambda rows: rows.groupBy(*_BIN).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*_BIN, F.ceil(F.col("n") / dense).cast("int").alias("k"))
+        tagged = written(crowded(a).withColumn("side", F.lit(0)).unionByName(crowded(b).withColumn("side", F.lit(1))))
+        if not tagged.isEmpty():  # few rows by their making: one for ``dense`` intervals; Spark broadcasts them by their size
+            ka, kb = (tagged.where(F.col("side") == i).drop("side") for i in (0, 1))
+            a, b = _sliced(a, ["feature_id", "start", "end"], ka, kb, "s0", "s1"), _sliced(b, ["gene_id", "o_start", "o_end"], kb, ka, "s1", "s0")
+            keys = [*_BIN, "s0", "s1"]
     meets = (F.col("start") < F.col("o_end")) & (F.col("o_start") < F.col("end"))
     first = F.expr("bin = greatest(shiftright(cast(start as bigint), level), shiftright(cast(o_start as bigint), level))")
     out = a.join(b, keys).where(meets & first)
@@ -233,6 +241,12 @@ def collapse(mappings: DataFrame) -> DataFrame:
     return per.select("dataset_id", "feature_id", F.concat_ws(",", "genes").alias("genes"), F.size("genes").alias("n_genes"), method.alias("method"), level.alias("confidence"), "ambiguous")
 
 
+def collapsed_counts(mappings: DataFrame) -> DataFrame:
+    """What decisions need of ``collapse``: number of genes, method and ambiguity of each feature, counted without lists."""
+    method = F.when(F.min("method") != F.max("method"), "multiple_methods").otherwise(F.min("method"))
+    return mappings.groupBy("dataset_id", "feature_id").agg(F.countDistinct("gene_id").cast("int").alias("n_genes"), method.alias("method"), F.bool_or(F.col("method") == "unknown_target_gene").alias("ambiguous"))
+
+
 def last_mapping(mappings: DataFrame) -> DataFrame:
     """The last mapping (by ``nth``) of each feature: n_genes, method, confidence, rollup_allowed, distance."""
     return mappings.groupBy("dataset_id", "feature_id").agg(F.max_by(F.struct("n_genes", "method", "confidence", "rollup_allowed", "distance"), "nth").alias("m")).select("dataset_id", "feature_id", "m.*")

@@ -206,12 +206,29 @@ def replicate_stability(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return groups.join(per, ["dataset_id", "dose_group_id"], "left").select("dataset_id", "dose_group_id", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_r", "min_r", state.alias("stability"))
 
 
-def overall(missing: DataFrame, spread: DataFrame, stability: DataFrame, batches: DataFrame) -> DataFrame:
-    """Worst of four verdicts per dataset, in the order acceptable, warning, exclusion."""
-    rank = lambda c: F.when(c == "exclusion", 2).when(c == "warning", 1).otherwise(0)
-    m = missing.where("level = 'dataset' or level = 'group'").groupBy("dataset_id").agg(F.max(rank(F.col("band"))).alias("m"))
-    v = spread.groupBy("dataset_id").agg(F.max(F.when(F.col("dynamic_range") == "low", 1).otherwise(0)).alias("v"))
-    s = stability.groupBy("dataset_id").agg(F.max(F.when(F.col("stability") == "unstable", 1).otherwise(0)).alias("s"))
-    b = batches.select("dataset_id", F.when(F.col("nested") | ~F.col("complete"), 1).otherwise(0).alias("b"))
-    worst = F.greatest("m", "v", "s", "b")
-    return m.join(v, "dataset_id").join(s, "dataset_id").join(b, "dataset_id").select("dataset_id", F.when(worst == 2, "exclusion").when(worst == 1, "warning").otherwise("acceptable").alias("overall"))
+def variance_band(spread: DataFrame, stability: DataFrame) -> DataFrame:
+    """Per dataset of ``variance`` rows: warning where replicates disagree over all groups or a feature has a low dynamic
+    range, not_applicable where no feature has two values, else acceptable."""
+    n = F.col("n_pairs")
+    agree = stability.groupBy("dataset_id").agg(F.sum(n).alias("n"), F.round(F.try_divide(F.sum(n * F.coalesce("mean_r", F.lit(0.0))), F.sum(n)), 6).alias("mean"), F.round(F.min("min_r"), 6).alias("least"))
+    unstable = F.coalesce((F.col("mean") < 0.9) | (F.col("least") < 0.7), F.lit(False))
+    kinds = spread.groupBy("dataset_id").agg(F.bool_or(F.col("dynamic_range") == "low").alias("low"), F.bool_and(F.col("dynamic_range") == "not_applicable").alias("none"))
+    band_ = F.when(F.col("unstable"), "warning").when(F.col("none"), "not_applicable").when(F.col("low"), "warning").otherwise("acceptable")
+    rows = kinds.join(agree.select("dataset_id", unstable.alias("unstable")), "dataset_id", "left").withColumn("unstable", F.coalesce("unstable", F.lit(False)))
+    return rows.select("dataset_id", band_.alias("variance_band"))
+
+
+def overall(missing: DataFrame, spread: DataFrame, stability: DataFrame, consistency: DataFrame, batches: DataFrame) -> DataFrame:
+    """Per dataset the bands of missingness (the worst of its features, samples and groups), variance, replicates (spread
+    warnings of ``replicate_consistency``) and batches (nested in doses), and the worst of the four."""
+    bands = F.array(*map(F.lit, ("acceptable", "warning", "exclusion")))
+    rank = lambda c: F.when(c == "exclusion", 3).when(c == "warning", 2).otherwise(1)
+    m = missing.where("level <> 'dataset'").groupBy("dataset_id").agg(F.max(rank(F.col("band"))).alias("m"))
+    s = consistency.groupBy("dataset_id").agg(F.bool_or("spread_warning").alias("s"))
+    rows = m.join(variance_band(spread, stability), "dataset_id", "left").join(s, "dataset_id", "left").join(batches.select("dataset_id", "nested"), "dataset_id", "left")
+    told = lambda c: F.when(F.coalesce(c, F.lit(False)), 2).otherwise(1)
+    worst = F.greatest("m", rank(F.col("variance_band")), told(F.col("s")), told(F.col("nested")))
+    return rows.select(
+        "dataset_id", F.element_at(bands, F.col("m")).alias("missingness_band"), F.coalesce("variance_band", F.lit("not_applicable")).alias("variance_band"),
+        F.when(F.coalesce("s", F.lit(False)), "unstable").otherwise("stable").alias("replicate_band"), F.coalesce("nested", F.lit(False)).alias("batch_confounding"), F.element_at(bands, worst).alias("overall"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BUILDS, HALF_OPEN, convention, stable_id
-from .context import LEVELS, NO_CONTEXT
+from .context import LEVELS, NO_CONTEXT, names_blocked_use
 from .design import readiness
 from .genes import PEAK_CLASSES, builds
 
@@ -222,10 +222,6 @@ def audit(ready: DataFrame, qualified: DataFrame, excluded: DataFrame) -> DataFr
     return out.withColumn("consistent", sum((F.col(c) for c in names), F.lit(0)) == 0)
 
 
-#: Words that claim more than ready features can bear.
-OVERCLAIMS = r"\b(proves?|causes?|causal|certain(ly)?|demonstrates? safety|safe for humans)\b"
-
-
 def readiness_audit(ready: DataFrame, decided: DataFrame, findings: DataFrame, notes: DataFrame) -> DataFrame:
     """Per policy and dataset with decisions: a representative ready feature (the first by id), the confounding categories in
     the notes of ready features, blocking findings that touch ready features, texts that claim too much, and flags.
@@ -235,7 +231,7 @@ def readiness_audit(ready: DataFrame, decided: DataFrame, findings: DataFrame, n
     told = ready.select(*keys, F.explode(F.split("notes", ",")).alias("note")).where(F.col("note").rlike("^EPIW004_"))
     confounding = told.select(*keys, F.regexp_replace("note", "^EPIW004_(.*)_CONFOUNDING$", "$1").alias("c")).groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("c"))).alias("confounding"))
     touching = ready.select(*keys, "feature_id").join(findings.where("severity = 'error'").select("dataset_id", "feature_id", "code"), ["dataset_id", "feature_id"]).groupBy(*keys).agg(F.countDistinct("code").alias("n_blocking"))
-    claims = notes.where(F.col("text").rlike("(?i)" + OVERCLAIMS)).groupBy("dataset_id").agg(F.count("*").alias("n_claims"))
+    claims = notes.where(names_blocked_use(F.col("text"))).groupBy("dataset_id").agg(F.count("*").alias("n_claims"))
     out = decided.select(*keys).distinct().join(own, keys, "left").join(confounding, keys, "left").join(touching, keys, "left").join(claims, "dataset_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = out.select(*keys, "representative", zero("n_ready"), F.coalesce("confounding", F.lit("")).alias("confounding"), zero("n_blocking"), zero("n_claims"))

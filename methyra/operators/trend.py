@@ -199,6 +199,7 @@ def exact_tails(patterns: DataFrame) -> DataFrame:
 def exact(stats: DataFrame) -> DataFrame:
     """Adds total, p_up, p_down and p_two. Tails are looked up in a map for each pattern: a join on the statistic would push
     a filter on it below the columns that it is made of, which are then worked out again for every pair of values."""
+    stats = written(stats)  # asked for its patterns first
     values = F.struct("total", "p_up", "p_down", "p_two")
     tails = exact_tails(stats).groupBy("sizes", "ties").agg(F.map_from_entries(F.collect_list(F.struct("doubled", values))).alias("tails"))
     return stats.join(tails, ["sizes", "ties"]).withColumn("t", F.element_at("tails", F.col("doubled"))).select("*", "t.*").drop("tails", "t")
@@ -345,7 +346,7 @@ def sampled(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOT
 
 def tested(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTSTRAPS) -> DataFrame:
     """p-values of features without blockers, exact or sampled as ``mode`` says."""
-    rows = mode(stats.where("blockers = ''"), resamples)
+    rows = written(mode(stats.where("blockers = ''"), resamples))
     columns = ["dataset_id", "feature_id", "effect", "mode", "allocations", "p_up", "p_down", "p_two", "resolution"]
     one = exact(rows.where("mode = 'exact'")).withColumn("resolution", 1 / F.col("total")).select(*columns)
     many = rows.where("mode = 'monte_carlo'")

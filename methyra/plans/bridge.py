@@ -65,14 +65,14 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     return t(spark, sf_dir, "orders").select(
         F.concat(F.lit("C"), c).alias("dataset_id"), F.concat(F.lit("O"), o).alias("sample_id"), F.concat(F.lit("G"), o % 4).alias("dose_group_id"), _dose(o % 4).alias("dose_value"),
-        F.when((c % 7 == 0) & (o % 4 == 3), "mM").otherwise("uM").alias("dose_unit"), F.when(c % 5 == 0, F.floor((o % 8) / 4) * 24.0).otherwise(24.0).alias("timepoint_hours"),
+        F.when((c % 7 == 0) & (o % 4 == 3), "mM").when((c % 13 == 0) & (o % 4 == 2), " ").otherwise("uM").alias("dose_unit"), F.when(c % 5 == 0, F.floor((o % 8) / 4) * 24.0).otherwise(24.0).alias("timepoint_hours"),
         F.when(o % 9 == 0, "technical").when(o % 9 == 1, "pooled").when(o % 9 != 2, "biological").alias("replicate_type"),
         F.when(o % 11 != 0, F.concat(F.lit("B"), F.when(c % 3 == 0, o % 4).otherwise(o % 2))).alias("batch_id"), (o % 4 == 0).alias("control_flag"),
     )
 
 
 REGISTRY = """reg AS (SELECT 'C' || o_custkey AS dataset_id, 'O' || o_orderkey AS sample_id, 'G' || (o_orderkey % 4) AS dose_group_id,
-  [0.0, 1.0, 10.0, 100.0][o_orderkey % 4 + 1]::DOUBLE AS dose_value, CASE WHEN o_custkey % 7 = 0 AND o_orderkey % 4 = 3 THEN 'mM' ELSE 'uM' END AS dose_unit,
+  [0.0, 1.0, 10.0, 100.0][o_orderkey % 4 + 1]::DOUBLE AS dose_value, CASE WHEN o_custkey % 7 = 0 AND o_orderkey % 4 = 3 THEN 'mM' WHEN o_custkey % 13 = 0 AND o_orderkey % 4 = 2 THEN ' ' ELSE 'uM' END AS dose_unit,
   CASE WHEN o_custkey % 5 = 0 THEN ((o_orderkey % 8) // 4) * 24.0 ELSE 24.0 END::DOUBLE AS timepoint_hours,
   CASE WHEN o_orderkey % 9 = 0 THEN 'technical' WHEN o_orderkey % 9 = 1 THEN 'pooled' WHEN o_orderkey % 9 <> 2 THEN 'biological' END AS replicate_type,
   CASE WHEN o_orderkey % 11 <> 0 THEN 'B' || (CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 4 ELSE o_orderkey % 2 END) END AS batch_id, o_orderkey % 4 = 0 AS control_flag

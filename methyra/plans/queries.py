@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chromosomes
 from ..functions import scalars as fx
-from ..operators import classes, context, design, genes, ingest, qc, qualify, summaries, trend
+from ..operators import classes, context, design, genes, handoff, ingest, qc, qualify, summaries, trend
 from ..sources import tables
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..streaming import ingest as live
 from . import bridge as b
 
@@ -99,17 +99,23 @@ def a6_replicate_stability(spark, d):
     return rounded(qc.replicate_stability(b.cells(spark, d), b.samples(spark, d)), "mean_r", "min_r")
 
 
-@query(f"""WITH {b.CELLS12}, {b.TREND_SAMPLES}, g AS (SELECT f.dataset_id, f.feature_id, s.dose_group_id, c.value FROM features f JOIN samples s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
-drop_ AS (SELECT dataset_id, max(m) AS d FROM (SELECT dataset_id, feature_id, dose_group_id, CASE WHEN count(value) = 0 THEN 2 ELSE 0 END AS m FROM g GROUP BY ALL) GROUP BY 1),
-fr AS (SELECT dataset_id, max(CASE WHEN x >= 0.2 THEN 2 WHEN x >= 0.05 THEN 1 ELSE 0 END) AS m FROM (SELECT dataset_id, avg((value IS NULL)::INT) AS x FROM g GROUP BY 1 UNION ALL SELECT dataset_id, avg((value IS NULL)::INT) FROM g GROUP BY dataset_id, dose_group_id) GROUP BY 1),
-va AS (SELECT dataset_id, max(CASE WHEN n >= 2 AND v < 0.001 THEN 1 ELSE 0 END) AS v FROM (SELECT dataset_id, feature_id, count(*) AS n, var_samp(value) AS v FROM cells GROUP BY ALL) GROUP BY 1),
-bt AS (SELECT dataset_id, (count(DISTINCT batch_id) > 1 AND bool_or(one))::INT AS b FROM (SELECT *, min(batch_id) OVER w = max(batch_id) OVER w AS one FROM ts WINDOW w AS (PARTITION BY dataset_id, dose_group_id)) GROUP BY 1),
-rp AS (SELECT * FROM cells JOIN ts USING (dataset_id, sample_id) WHERE replicate_type <> 'technical'), pr AS (SELECT x.dataset_id, x.dose_group_id, corr(x.value, y.value) AS r FROM rp x JOIN rp y ON x.dataset_id = y.dataset_id AND x.dose_group_id = y.dose_group_id AND x.feature_id = y.feature_id AND x.sample_id < y.sample_id GROUP BY x.dataset_id, x.dose_group_id, x.sample_id, y.sample_id HAVING count(*) >= 2),
-st AS (SELECT dataset_id, max(u) AS s FROM (SELECT dataset_id, (avg(r) < 0.9 OR min(r) < 0.7)::INT AS u FROM pr WHERE NOT isnan(r) GROUP BY dataset_id, dose_group_id) GROUP BY 1)
-SELECT dataset_id, ['acceptable', 'warning', 'exclusion'][greatest(d, m, v, coalesce(s, 0), b) + 1] AS overall FROM drop_ JOIN fr USING (dataset_id) JOIN va USING (dataset_id) JOIN bt USING (dataset_id) LEFT JOIN st USING (dataset_id)""")
+@query(f"""WITH {b.CELLS12}, {b.TREND_SAMPLES}, g AS (SELECT f.dataset_id, f.feature_id, s.sample_id, s.dose_group_id, c.value FROM features f JOIN ts s USING (dataset_id) LEFT JOIN cells c USING (dataset_id, feature_id, sample_id)),
+fr AS (SELECT dataset_id, avg((value IS NULL)::INT) AS x FROM g GROUP BY dataset_id, feature_id UNION ALL SELECT dataset_id, avg((value IS NULL)::INT) FROM g GROUP BY dataset_id, sample_id UNION ALL SELECT dataset_id, avg((value IS NULL)::INT) FROM g GROUP BY dataset_id, dose_group_id
+  UNION ALL SELECT dataset_id, 1 FROM g GROUP BY dataset_id, feature_id, dose_group_id HAVING count(value) = 0),
+ms AS (SELECT dataset_id, max(CASE WHEN x >= 0.2 THEN 3 WHEN x >= 0.05 THEN 2 ELSE 1 END) AS m FROM fr GROUP BY 1),
+rp AS (SELECT * FROM cells JOIN ts USING (dataset_id, sample_id) WHERE replicate_type <> 'technical'), pr AS (SELECT x.dataset_id, corr(x.value, y.value) AS r FROM rp x JOIN rp y ON x.dataset_id = y.dataset_id AND x.dose_group_id = y.dose_group_id AND x.feature_id = y.feature_id AND x.sample_id < y.sample_id GROUP BY x.dataset_id, x.dose_group_id, x.sample_id, y.sample_id HAVING count(*) >= 2),
+st AS (SELECT dataset_id, round(avg(r), 6) < 0.9 OR round(min(r), 6) < 0.7 AS unstable FROM pr WHERE NOT isnan(r) GROUP BY 1),
+va AS (SELECT dataset_id, bool_or(n >= 2 AND v < 0.001) AS low, bool_and(n < 2) AS none FROM (SELECT dataset_id, feature_id, count(*) AS n, var_samp(value) AS v FROM cells GROUP BY ALL) GROUP BY 1),
+vb AS (SELECT dataset_id, CASE WHEN coalesce(unstable, false) THEN 'warning' WHEN none THEN 'not_applicable' WHEN low THEN 'warning' ELSE 'acceptable' END AS variance_band FROM va LEFT JOIN st USING (dataset_id)),
+cv AS (SELECT dataset_id, dose_group_id, feature_id, count(value) AS n, stddev_samp(value) / abs(avg(value)) AS cv, abs(avg(value)) AS a FROM cells JOIN ts USING (dataset_id, sample_id) GROUP BY ALL),
+sp AS (SELECT dataset_id, bool_or(w) AS s FROM (SELECT dataset_id, coalesce(count(*) FILTER (n >= 2 AND a >= 1e-12 AND cv > 0.3) / nullif(count(*) FILTER (n >= 2 AND a >= 1e-12), 0) > 0.25, false) AS w FROM cv GROUP BY dataset_id, dose_group_id) GROUP BY 1),
+bt AS (SELECT dataset_id, count(DISTINCT batch_id) > 1 AND bool_or(one) AS b FROM (SELECT *, min(batch_id) OVER w = max(batch_id) OVER w AS one FROM ts WINDOW w AS (PARTITION BY dataset_id, dose_group_id)) GROUP BY 1)
+SELECT dataset_id, ['acceptable', 'warning', 'exclusion'][m] AS missingness_band, variance_band, CASE WHEN s THEN 'unstable' ELSE 'stable' END AS replicate_band, b AS batch_confounding,
+  ['acceptable', 'warning', 'exclusion'][greatest(m, (variance_band = 'warning')::INT + 1, s::INT + 1, b::INT + 1)] AS overall FROM ms JOIN vb USING (dataset_id) JOIN sp USING (dataset_id) JOIN bt USING (dataset_id)""")
 def a7_overall_qc(spark, d):
     c, f, s = b.cells(spark, d), b.features(spark, d), b.trend_samples(spark, d, 12, 4)
-    return qc.overall(qc.missingness(c, f, s), qc.variance(c), qc.replicate_stability(c, s), design.batch_provenance(s))
+    spread = summaries.replicate_consistency(summaries.group_summary(c, f, s))
+    return qc.overall(qc.missingness(c, f, s), qc.variance(c), qc.replicate_stability(c, s), spread, design.batch_provenance(s))
 
 
 @query(f"""WITH {b.CELLS12}, c2 AS (SELECT dataset_id, feature_id, sample_id, CASE WHEN NOT bad THEN value END AS value, bad::INT AS bad FROM (SELECT *, substr(feature_id, 2)::BIGINT % 97 = 0 AND sample_id = 'S2' AS bad FROM cells)),
@@ -305,18 +311,25 @@ def a14_dose_axis(spark, d):
     return design.dose_axis(b.registry(spark, d))
 
 
-_CONTROL = """ct AS (SELECT dataset_id, count(DISTINCT dose_group_id) FILTER (dose_value = 0 OR fl) AS n_controls, count(DISTINCT dose_unit) AS n_units, count(DISTINCT timepoint_hours) AS n_timepoints
-  FROM (SELECT dataset_id, dose_group_id, dose_value, dose_unit, timepoint_hours, bool_and(control_flag) AS fl FROM reg GROUP BY ALL) GROUP BY 1)"""
+_CONTROL = """cg AS (SELECT dataset_id, dose_group_id, dose_value, dose_unit, timepoint_hours, bool_and(control_flag) AS fl FROM reg GROUP BY ALL),
+ct AS (SELECT cg.dataset_id, count(DISTINCT dose_group_id) FILTER (dose_value = 0 OR fl) AS n_controls, count(DISTINCT nullif(trim(dose_unit), '')) AS n_units, count(DISTINCT coalesce(timepoint_hours, -1)) AS n_timepoints, max(control_group) AS control_group, coalesce(bool_or(dose_group_id = control_group), false) AS known,
+  coalesce(bool_or(dose_group_id = control_group AND (dose_value = 0 OR fl)), false) AS named, max(normalisation) IS NOT NULL AS norm, count(*) FILTER (coalesce(trim(dose_unit), '') = '') AS n_unitless, count(*) > count(DISTINCT dose_group_id) AS repeated FROM cg LEFT JOIN dcl USING (dataset_id) GROUP BY 1),
+cp AS (SELECT *, concat_ws(',', CASE WHEN n_timepoints > 1 THEN NULL WHEN control_group IS NOT NULL THEN CASE WHEN NOT known THEN 'unknown_control_group' WHEN NOT named THEN 'named_group_is_no_control' END WHEN n_controls = 0 THEN 'no_control' WHEN n_controls > 1 THEN 'several_controls' END,
+  CASE WHEN n_unitless > 0 THEN 'missing_dose_unit' END, CASE WHEN n_units > 1 AND NOT norm THEN 'mixed_dose_units' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint' END, CASE WHEN repeated THEN 'repeated_dose_group' END) AS problems FROM ct)"""
+# what studies declare of their control and units: nothing, or by study
+_SILENT = "dcl AS (SELECT NULL::VARCHAR AS dataset_id, NULL::VARCHAR AS control_group, NULL::VARCHAR AS normalisation WHERE false)"
+_DECLARED = "dcl AS (SELECT 'C' || c_custkey AS dataset_id, CASE WHEN c_custkey % 11 = 3 THEN 'GX' WHEN c_custkey % 5 = 1 THEN 'G1' WHEN c_custkey % 2 = 0 THEN 'G0' END AS control_group, CASE WHEN c_custkey % 14 = 0 THEN 'to uM' END AS normalisation FROM customer)"
 
 
-@query(f"""WITH {b.REGISTRY}, {_CONTROL}, de AS (SELECT 'C' || c_custkey AS dataset_id, CASE WHEN c_custkey % 2 = 0 THEN 'G0' END AS control_group, CASE WHEN c_custkey % 14 = 0 THEN 'to uM' END AS normalisation FROM customer),
-k AS (SELECT ct.*, control_group IS NOT NULL AND EXISTS (SELECT 1 FROM reg WHERE reg.dataset_id = ct.dataset_id AND dose_group_id = 'G0') AS named, normalisation IS NOT NULL AS norm FROM ct LEFT JOIN de USING (dataset_id))
-SELECT dataset_id, n_controls, n_units, n_timepoints, concat_ws(',', CASE WHEN n_controls = 0 THEN 'no_control' END, CASE WHEN n_controls > 1 AND NOT named THEN 'several_controls' END, CASE WHEN n_units > 1 AND NOT norm THEN 'mixed_dose_units' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint' END) AS problems,
-  CASE WHEN n_units > 1 AND norm THEN 'mixed_dose_units_normalised' ELSE '' END AS warnings FROM k""")
-def a15_control_axis(spark, d):
+def _declared(spark, d):
     k = F.col("c_custkey")
-    told = b.t(spark, d, "customer").select(F.concat(F.lit("C"), k).alias("dataset_id"), F.when(k % 2 == 0, "G0").alias("control_group"), F.when(k % 14 == 0, "to uM").alias("normalisation"))
-    return design.control_axis(b.registry(spark, d), told)
+    named = F.when(k % 11 == 3, "GX").when(k % 5 == 1, "G1").when(k % 2 == 0, "G0")
+    return b.t(spark, d, "customer").select(F.concat(F.lit("C"), k).alias("dataset_id"), named.alias("control_group"), F.when(k % 14 == 0, "to uM").alias("normalisation"))
+
+
+@query(f"""WITH {b.REGISTRY}, {_DECLARED}, {_CONTROL} SELECT dataset_id, n_controls, n_units, n_timepoints, problems, CASE WHEN n_units > 1 AND norm THEN 'mixed_dose_units_normalised' ELSE '' END AS warnings FROM cp""")
+def a15_control_axis(spark, d):
+    return design.control_axis(b.registry(spark, d), _declared(spark, d))
 
 
 @query(f"""WITH {b.REGISTRY}, n AS (SELECT dataset_id, count(DISTINCT timepoint_hours) AS k FROM reg GROUP BY 1), sp AS (SELECT reg.* EXCLUDE (dataset_id), CASE WHEN k > 1 THEN reg.dataset_id || '_tp' || timepoint_hours::INT ELSE reg.dataset_id END AS dataset_id FROM reg JOIN n USING (dataset_id)),
@@ -332,19 +345,19 @@ def a15_timepoint_split(spark, d):
     return design.split_timepoints(b.registry(spark, d)).groupBy("dataset_id").agg(F.count("*").alias("n_samples"), F.countDistinct("dose_group_id").alias("n_groups"))
 
 
-_READY = f"""{_REPL}, {_CONTROL}, lv AS (SELECT dataset_id, count(DISTINCT dose_value) AS levels, count(DISTINCT dose_value) FILTER (dose_value > 0) AS nonzero FROM reg GROUP BY 1), le AS (SELECT dataset_id, min(biological + pooled + pseudobulk) AS least FROM rp GROUP BY 1),
+_READY = f"""{_REPL}, {_CONTROL}, lv AS (SELECT dataset_id, count(DISTINCT dose_value) AS levels, count(DISTINCT dose_value) FILTER (dose_value <> 0) AS nonzero, count(*) > count(DISTINCT sample_id) AS twice FROM reg GROUP BY 1), le AS (SELECT dataset_id, min(biological + pooled + pseudobulk) AS least FROM rp GROUP BY 1),
 p AS (SELECT DISTINCT dataset_id, dose_group_id, batch_id FROM reg WHERE batch_id IS NOT NULL), cf AS (SELECT w.dataset_id, complete AND coalesce(one, false) AS confounded FROM (SELECT dataset_id, count(batch_id) = count(*) AS complete FROM reg GROUP BY 1) w LEFT JOIN
   (SELECT dataset_id, count(*) = count(DISTINCT dose_group_id) AND count(*) = count(DISTINCT batch_id) AND count(DISTINCT batch_id) > 1 AS one FROM p GROUP BY 1) x USING (dataset_id)),
-j AS (SELECT *, n_controls <> 1 OR n_units > 1 AS bad FROM lv JOIN le USING (dataset_id) JOIN ct USING (dataset_id) JOIN cf USING (dataset_id)),
+j AS (SELECT *, problems <> '' OR twice AS bad FROM lv JOIN le USING (dataset_id) JOIN cp USING (dataset_id) JOIN cf USING (dataset_id)),
 k AS (SELECT *, concat_ws(',', CASE WHEN bad THEN 'structural_validation_failed' END, CASE WHEN nonzero = 0 THEN 'no_treated_dose' END, CASE WHEN levels < 2 THEN 'insufficient_total_dose_levels' END, CASE WHEN nonzero > 0 AND nonzero < 2 THEN 'insufficient_nonzero_dose_levels' END,
     CASE WHEN least < 2 THEN 'insufficient_biological_replicates' END, CASE WHEN confounded THEN 'dose_batch_confounding' END, CASE WHEN n_timepoints > 1 THEN 'multi_timepoint_requires_split' END) AS blockers,
   bad OR nonzero = 0 OR least < 2 OR confounded OR n_timepoints > 1 AS nocompare FROM j),
 ready AS (SELECT dataset_id, levels, nonzero, least, blockers, CASE WHEN blockers = '' AND levels >= 4 AND least >= 3 THEN 'dose_response_preferred' WHEN blockers = '' THEN 'dose_response_minimum' WHEN NOT nocompare THEN 'comparison_only' WHEN NOT bad THEN 'structural_only' ELSE 'invalid' END AS status FROM k)"""
 
 
-@query(f"WITH {b.REGISTRY}, {_READY} SELECT * FROM ready")
+@query(f"WITH {b.REGISTRY}, {_DECLARED}, {_READY} SELECT * FROM ready")
 def a16_design_readiness(spark, d):
-    return design.readiness(b.registry(spark, d))
+    return design.readiness(b.registry(spark, d), _declared(spark, d))
 
 
 @query(f"""WITH {b.REGISTRY} SELECT dataset_id, coalesce(string_agg(DISTINCT batch_id, ',' ORDER BY batch_id), '') AS batches, count(*) FILTER (batch_id IS NULL) AS n_unnamed,
@@ -481,13 +494,13 @@ def j5_nearest_gene(spark, d):
     return genes.nearest(b.regions(spark, d).where("chrom is not null").select("feature_id", "chrom", "start", "end"), b.genes(spark, d))
 
 
-_EVID = "ev AS (SELECT DISTINCT 'P' || l_partkey AS feature_id, 'G' || l_orderkey AS gene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'enhancer_target_from_database' ELSE 'chromatin_interaction_supported' END AS method, ['exact', 'close', 'distant', 'unknown'][l_linenumber % 4 + 1] AS \"match\" FROM lineitem WHERE l_partkey % 3 <> 0)"
+_EVID = "ev AS (SELECT DISTINCT 'P' || l_partkey AS feature_id, 'G' || l_orderkey AS gene_id, CASE WHEN l_linenumber % 2 = 0 THEN 'enhancer_target_from_database' ELSE 'chromatin_interaction_supported' END AS method, ['exact', 'close', 'distant', 'unknown'][l_linenumber % 4 + 1] AS \"match\" FROM lineitem)"
 
 
 def _evidence(spark, d):
-    """Database evidence of two parts in three: each line links its part to its order."""
+    """Database evidence: each line links its part to its order."""
     n = F.col("l_linenumber")
-    return b.t(spark, d, "lineitem").where("l_partkey % 3 <> 0").select(F.concat(F.lit("P"), "l_partkey").alias("feature_id"), F.concat(F.lit("G"), "l_orderkey").alias("gene_id"), F.when(n % 2 == 0, "enhancer_target_from_database").otherwise("chromatin_interaction_supported").alias("method"), b.word(n, "exact", "close", "distant", "unknown").alias("match")).distinct()
+    return b.t(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("feature_id"), F.concat(F.lit("G"), "l_orderkey").alias("gene_id"), F.when(n % 2 == 0, "enhancer_target_from_database").otherwise("chromatin_interaction_supported").alias("method"), b.word(n, "exact", "close", "distant", "unknown").alias("match")).distinct()
 
 
 @query(f"""WITH {b.REGIONS}, {_EVID} SELECT r.feature_id, gene_id, method, coalesce("match", 'unknown') AS "match", CASE WHEN "match" IN ('exact', 'close') THEN 'allow_contextual_gene_linkage_and_pathway_rollup' WHEN "match" = 'distant' THEN 'block_pathway_rollup' ELSE 'exploratory_only' END AS use_rule,
@@ -508,11 +521,15 @@ def _promoters(spark, d):
     return genes.promoter_overlaps(r, b.genes(spark, d)).select("dataset_id", "feature_id", "gene_id", F.lit("direct_promoter_overlap").alias("method"), F.lit("high").alias("confidence"))
 
 
-def _collapsed(spark, d):
+def _mappings(spark, d):
     r = b.regions(spark, d)
     more = r.select("dataset_id", "feature_id").join(_evidence(spark, d), "feature_id").select("dataset_id", "feature_id", "gene_id", "method", F.lit("medium").alias("confidence"))
     unknown = r.where(F.substring("feature_id", 2, 20).cast("long") % 101 == 0).select("dataset_id", "feature_id", F.lit(None).cast("string").alias("gene_id"), F.lit("unknown_target_gene").alias("method"), F.lit("none").alias("confidence"))
-    return genes.collapse(_promoters(spark, d).unionByName(more).unionByName(unknown))
+    return _promoters(spark, d).unionByName(more).unionByName(unknown)
+
+
+def _collapsed(spark, d):
+    return genes.collapse(_mappings(spark, d))
 
 
 @query(f"WITH {b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS} SELECT * FROM co")
@@ -596,19 +613,25 @@ def a22_external_guards(spark, d):
     return genes.guarded_external(_evidence(spark, d)).select("feature_id", "gene_id", "method", "blocked_rollup", "blocked_cause")
 
 
-@query("""SELECT symbol, canonical_id FROM (SELECT DISTINCT 'C' || o_custkey AS symbol FROM orders) LEFT JOIN (SELECT 'C' || c_custkey AS symbol, c_name AS canonical_id FROM customer WHERE c_custkey % 3 = 0) USING (symbol)""")
+@query("""SELECT symbol, canonical_id, release, taxon FROM (SELECT DISTINCT 'C' || o_custkey AS symbol FROM orders UNION SELECT DISTINCT 'C' || user_id FROM events)
+LEFT JOIN (SELECT 'C' || c_custkey AS symbol, c_name AS canonical_id, 'r' || r_regionkey AS release, n_name AS taxon FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) USING (symbol)""")
 def j7_reference_lookup(spark, d):
-    wanted = b.t(spark, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("symbol")).distinct()
-    known = b.t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), F.col("c_name").alias("canonical_id"))
+    """Customers of orders and users of events against the customers, with the release and taxon of each."""
+    symbol = lambda t, c: b.t(spark, d, t).select(F.concat(F.lit("C"), c).alias("symbol"))
+    wanted = symbol("orders", "o_custkey").unionByName(symbol("events", "user_id")).distinct()
+    places = b.t(spark, d, "nation").join(b.t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    known = b.t(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), F.col("c_name").alias("canonical_id"), F.concat(F.lit("r"), "r_regionkey").alias("release"), F.col("n_name").alias("taxon"))
     hits, missing = genes.normalise_symbols(wanted, known)
     return hits.unionByName(missing, allowMissingColumns=True)
 
 
-@query("""WITH m AS (SELECT DISTINCT 'S' || l_suppkey AS pathway_id, l_partkey AS g FROM lineitem WHERE l_linenumber = 1), w AS (SELECT DISTINCT p_partkey AS g FROM part WHERE p_size > 20)
+@query("""WITH m AS (SELECT DISTINCT 'S' || l_suppkey AS pathway_id, l_partkey AS g FROM lineitem), w AS (SELECT p_partkey AS g FROM part UNION SELECT c_custkey FROM customer)
 SELECT pathway_id, count(*) AS n_members, count(w.g) AS n_hits FROM m LEFT JOIN w USING (g) GROUP BY 1 UNION ALL SELECT 'none', count(*), count(*) FROM w WHERE g NOT IN (SELECT g FROM m)""")
 def j7_pathway_members(spark, d):
-    members = b.t(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("S"), "l_suppkey").alias("pathway_id"), F.col("l_partkey").alias("gene_id"))
-    sizes, rest = genes.pathway_members(b.t(spark, d, "part").where("p_size > 20").select(F.col("p_partkey").alias("gene_id")), members)
+    """Parts of all lines by supplier, against the keys of parts and customers."""
+    members = b.t(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("pathway_id"), F.col("l_partkey").alias("gene_id"))
+    wanted = b.t(spark, d, "part").select(F.col("p_partkey").alias("gene_id")).unionByName(b.t(spark, d, "customer").select(F.col("c_custkey").alias("gene_id")))
+    sizes, rest = genes.pathway_members(wanted, members)
     return sizes.unionByName(rest.agg(F.lit("none").alias("pathway_id"), F.count("*").alias("n_members"), F.count("*").alias("n_hits")))
 
 
@@ -633,7 +656,7 @@ tb0 AS (SELECT *, CASE WHEN viability < 0.5 - 1e-12 THEN 3 WHEN viability < 0.7
 tox AS (SELECT dataset_id, malformed, viability, stress, malformed = 0 AND (coalesce(viability < 0.8 - 1e-12, false) OR stress > 0 OR declared) AS detected, CASE WHEN malformed > 0 THEN 'review_required' ELSE ['unlikely_confounding', 'possible_confounding', 'likely_confounding', 'dominant_confounding'][least(3, l2 + (stress > 0)::INT) + 1] END AS confounding FROM tb2)"""
 
 _Q = f"""{b.REGIONS}, {b.GENES}, {_EVID}, {_MAPS}, {b.CELLS12}, {b.DS_FRACTIONS}, {b.DS_ASSAYS}, {_COMPOSED}, {_TOXIC},
-reg AS (SELECT *, 'uM' AS dose_unit, 24.0 AS timepoint_hours, dose_value = 0 AS control_flag FROM samples), {_READY},
+reg AS (SELECT *, 'uM' AS dose_unit, 24.0 AS timepoint_hours, dose_value = 0 AS control_flag FROM samples), {_SILENT}, {_READY},
 vals AS (SELECT dataset_id, 'P' || substr(feature_id, 2) AS feature_id, sample_id, CASE WHEN substr(feature_id, 2)::BIGINT % 41 = 0 AND sample_id = 'S0' THEN 'Infinity'::DOUBLE ELSE value END AS value FROM cells),
 miss AS (SELECT r.dataset_id, r.feature_id, 1 - count(value) / any_value(n) AS missing_fraction, coalesce(bool_or(isinf(value)), false) AS non_finite FROM regions r JOIN (SELECT dataset_id, count(*) AS n FROM reg GROUP BY 1) USING (dataset_id) LEFT JOIN vals USING (dataset_id, feature_id) GROUP BY 1, 2),
 ds AS (SELECT ready.dataset_id, len(list_filter(string_split(blockers, ','), lambda x: x NOT IN ('', 'insufficient_biological_replicates'))) > 0 AS design_blocked, levels, least, coalesce(cc.confounding, 'no_context_available') AS cell, coalesce(tox.confounding, 'no_context_available') AS cyto FROM ready LEFT JOIN cc USING (dataset_id) LEFT JOIN tox USING (dataset_id)),
@@ -681,7 +704,7 @@ def _values(spark, d):
 def _decided(spark, d):
     samples = b.samples(spark, d)
     rows = qualify.measured(b.regions(spark, d), _values(spark, d), samples)
-    return qualify.cascade(rows, qualify.dataset_verdicts(samples, _contexts(spark, d)), _collapsed(spark, d), _policies(spark, d))
+    return qualify.cascade(rows, qualify.dataset_verdicts(samples, _contexts(spark, d)), genes.collapsed_counts(_mappings(spark, d)), _policies(spark, d))
 
 
 @query(f"WITH {_Q} SELECT * FROM dec")
@@ -769,7 +792,7 @@ k5 AS (SELECT policy_id, dataset_id, representative, coalesce(n_ready, 0) AS n_r
 SELECT *, concat_ws(',', CASE WHEN n_ready = 0 THEN 'nothing_ready' END, CASE WHEN confounding <> '' THEN 'confounded' END, CASE WHEN n_blocking > 0 THEN 'blocked_features_ready' END, CASE WHEN n_claims > 0 THEN 'overclaims' END) AS flags FROM k5""")
 def q11_readiness_audit(spark, d):
     decided, k = _decided(spark, d), F.col("conv_id")
-    claim = F.when((F.col("turn") % 4 == 1) & (k % 5 != 2), F.concat(F.lit("This proves it. "), F.coalesce("text", F.lit("")))).otherwise("plain words")
+    claim = F.when((F.col("turn") % 4 == 1) & (k % 5 != 2), F.concat(F.lit("A safe_level is shown. "), F.coalesce("text", F.lit("")))).otherwise("plain words")
     notes = b.t(spark, d, "conversations").select(F.concat(F.lit("DS"), k % 5).alias("dataset_id"), claim.alias("text"))
     return qualify.readiness_audit(qualify.handoff(decided, design.readiness(b.samples(spark, d))), decided, _findings(spark, d), notes)
 
@@ -780,6 +803,115 @@ def q7_qualified_table(spark, d):
     return qualify.qualified_table(b.regions(spark, d), public)
 
 
+# labels of two kinds: some name a blocked use, with separators of several kinds
+_LABELS = """lb AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'Reference_Dose ' WHEN 1 THEN 'margin of-exposure ' WHEN 2 THEN 'RfD: ' WHEN 3 THEN 'surfd ' ELSE '' END || coalesce(text, '') AS text FROM conversations)"""
+
+
+def _labels(spark, d):
+    t, words = F.col("turn") % 5, ("Reference_Dose ", "margin of-exposure ", "RfD: ", "surfd ")
+    mark = F.lit("")
+    for i, w in enumerate(words):
+        mark = F.when(t == i, w).otherwise(mark)
+    return b.t(spark, d, "conversations").select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+_FOLDED = "trim(regexp_replace(regexp_replace(text, '[-_‐-―−⁃]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_USES = context.BLOCKED_USES.replace("'", "''")
+
+
+# -- hand-off packets ----------------------------------------------------------------------------------------------
+
+# findings as warnings of the packet or of a feature, notes of decisions, and batch and stress warnings of some features
+_WARNINGS = f"""wn AS (SELECT policy_id, dataset_id, feature_id, substr(feature_id, 2)::BIGINT AS position, row_number() OVER (PARTITION BY dataset_id, feature_id, policy_id ORDER BY code || ':' || kind) AS nth, code || ':' || kind AS code, 'coordinate_semantics' AS category, severity, kind AS message, severity = 'error' AS blocks FROM fd CROSS JOIN (SELECT policy_id FROM pol)
+  UNION ALL SELECT policy_id, dataset_id, feature_id, substr(feature_id, 2)::BIGINT, 100, n, CASE WHEN n LIKE 'EPIW004_CELL%' THEN 'cell_composition' WHEN n LIKE 'EPIW004_CYTO%' THEN 'cytotoxicity' ELSE 'qualification' END, 'warning', n, false FROM (SELECT policy_id, dataset_id, feature_id, unnest(string_split(notes, ',')) AS n FROM dec WHERE notes <> '')
+  UNION ALL SELECT policy_id, dataset_id, feature_id, p, 200, CASE WHEN p % 7 = 0 THEN 'CTX_STRESS_FLAG' ELSE 'BATCH_UNRESOLVED' END, CASE WHEN p % 7 = 0 THEN 'stress_response' ELSE 'batch_effect' END, 'warning', 'of the feature', p % 14 = 0 FROM regions CROSS JOIN (SELECT policy_id FROM pol) WHERE p % 7 = 0 OR p % 11 = 0)"""
+_PACKETS = f"""{_Q}, {_FOUND}, {_WARNINGS}, rd AS (SELECT * FROM dec WHERE status LIKE 'accepted%' AND dataset_id IN (SELECT dataset_id FROM ready WHERE status LIKE 'dose_response%')), sent AS (SELECT DISTINCT policy_id, dataset_id FROM rd),
+cav AS (SELECT policy_id, dataset_id, row_number() OVER (PARTITION BY policy_id, dataset_id ORDER BY own, position, nth, code)::INT - 1 AS place, code, category, severity, message, feature_id FROM (SELECT *, feature_id IS NOT NULL AS own FROM wn WHERE blocks QUALIFY row_number() OVER (PARTITION BY policy_id, dataset_id, code ORDER BY feature_id IS NOT NULL, coalesce(position, 0), nth, category, severity, message, feature_id) = 1) SEMI JOIN sent USING (policy_id, dataset_id))"""
+
+
+def _warnings(spark, d, decided, found):
+    position = F.substring("feature_id", 2, 20).cast("long")
+    columns = ["policy_id", "dataset_id", "feature_id", position.alias("position"), "nth", "code", "category", "severity", "message", "blocks"]
+    pol = _policies(spark, d).select("policy_id")
+    code = F.concat_ws(":", "code", "kind")
+    of = Window.partitionBy("policy_id", "dataset_id", "feature_id").orderBy("code")
+    own = found.join(F.broadcast(pol)).withColumn("code", code).withColumn("nth", F.row_number().over(of)).withColumns({"category": F.lit("coordinate_semantics"), "message": F.col("kind"), "blocks": F.col("severity") == "error"})
+    note = F.col("code")
+    kind = F.when(note.startswith("EPIW004_CELL"), "cell_composition").when(note.startswith("EPIW004_CYTO"), "cytotoxicity").otherwise("qualification")
+    notes = decided.where("notes <> ''").select("policy_id", "dataset_id", "feature_id", F.explode(F.split("notes", ",")).alias("code")).withColumns({"nth": F.lit(100), "category": kind, "severity": F.lit("warning"), "message": note, "blocks": F.lit(False)})
+    stress = position % 7 == 0
+    other = b.regions(spark, d).where(stress | (position % 11 == 0)).select("dataset_id", "feature_id").join(F.broadcast(pol)).withColumns({
+        "nth": F.lit(200), "code": F.when(stress, "CTX_STRESS_FLAG").otherwise("BATCH_UNRESOLVED"), "category": F.when(stress, "stress_response").otherwise("batch_effect"), "severity": F.lit("warning"), "message": F.lit("of the feature"), "blocks": position % 14 == 0,
+    })
+    return own.select(columns).unionByName(notes.select(columns)).unionByName(other.select(columns))
+
+
+def _packet_parts(spark, d):
+    decided = written(_decided(spark, d))
+    warnings = _warnings(spark, d, decided, _findings(spark, d))
+    ready = qualify.handoff(decided, design.readiness(b.samples(spark, d)))
+    return decided, warnings, ready, handoff.mandatory_caveats(warnings, ready)
+
+
+@query(f"WITH {_PACKETS} SELECT * FROM cav")
+def q8_mandatory_caveats(spark, d):
+    return _packet_parts(spark, d)[3]
+
+
+def _designs_claimed(spark, d):
+    k = F.col("dataset_id")
+    own = b.samples(spark, d).select("dataset_id").distinct()
+    return own.select(k, F.lit("persistent").alias("persistence_status"), F.lit("reversible").alias("reversibility_status"), F.when(k != "DS3", "transgenerational").alias("heritability_claim"), (k != "DS2").alias("multigenerational"))
+
+
+@query(f"""WITH {_PACKETS}, hs AS (SELECT policy_id, dataset_id, count(*) FILTER (status LIKE 'accepted%') AS n_qualified, count(*) FILTER (status NOT LIKE 'accepted%') AS n_excluded, md5(string_agg(feature_id || rule || notes, ',' ORDER BY feature_id)) AS decisions FROM dec SEMI JOIN sent USING (policy_id, dataset_id) GROUP BY 1, 2),
+hc AS (SELECT policy_id, dataset_id, string_agg(code || '@' || coalesce(feature_id, ''), ',' ORDER BY place) AS caveats FROM cav GROUP BY 1, 2), hp AS (SELECT dataset_id, string_agg(step_no || ' ' || step_name, ',' ORDER BY step_no) AS steps FROM prov GROUP BY 1)
+SELECT policy_id, dataset_id, ceil((n_qualified + n_excluded) / 500)::BIGINT AS parts, n_qualified, n_excluded, decisions, coalesce(caveats, '') AS caveats, steps, 'not_assessed' AS persistence_status, 'not_assessed' AS reversibility_status, CASE WHEN dataset_id IN ('DS2', 'DS3') THEN NULL ELSE 'transgenerational' END AS heritability_claim
+FROM hs LEFT JOIN hc USING (policy_id, dataset_id) LEFT JOIN hp USING (dataset_id)""")
+def k2_handoff_packets(spark, d):
+    """Packets written in parts and read back as one."""
+    decided, _, _, caveats = _packet_parts(spark, d)
+    samples = b.samples(spark, d)
+    path = f"{scratch(spark)}/packets"
+    handoff.packets(decided, design.readiness(samples), caveats, design.guard_claims(_designs_claimed(spark, d), samples), b.provenance(spark, d), 500).select("document").write.text(path)
+    heads, rows = handoff.read_packets(spark, path)
+    hit = lambda x: F.count_if(F.col("list") == x)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("feature_id", "rule", "notes"))), lambda x: F.concat(x["feature_id"], x["rule"], x["notes"])), ",")
+    per = rows.groupBy("policy_id", "dataset_id").agg(hit("qualified").alias("n_qualified"), hit("excluded").alias("n_excluded"), F.md5(text.cast("binary")).alias("decisions"))
+    told = lambda c, f: F.array_join(F.transform(c, f), ",")
+    out = heads.join(per, ["policy_id", "dataset_id"])
+    return out.select(
+        "policy_id", "dataset_id", "parts", "n_qualified", "n_excluded", "decisions", F.coalesce(told("mandatory_caveats", lambda x: F.concat_ws("@", x["code"], F.coalesce(x["feature_id"], F.lit("")))), F.lit("")).alias("caveats"),
+        told("provenance", lambda x: F.concat_ws(" ", x["step_no"], x["step_name"])).alias("steps"), "persistence_status", "reversibility_status", "heritability_claim",
+    )
+
+
+_AUDIT = f"""{_PACKETS}, {_LABELS}, ap AS (SELECT DISTINCT policy_id, dataset_id FROM dec), re AS (SELECT policy_id, dataset_id, arg_min(feature_id, substr(feature_id, 2)::BIGINT) AS feature_id FROM rd GROUP BY 1, 2),
+mi AS (SELECT re.policy_id, re.dataset_id, coalesce(bool_or(category = 'cytotoxicity'), false) AS toxic, coalesce(bool_or(category = 'batch_effect'), false) AS batch, coalesce(bool_or(category IN ('cell_composition', 'stress_response') AND blocks), false) AS uncontrolled FROM re LEFT JOIN wn USING (policy_id, dataset_id, feature_id) GROUP BY 1, 2),
+nw AS (SELECT policy_id, dataset_id, count(*) AS n_warnings FROM wn WHERE feature_id IS NOT NULL GROUP BY 1, 2), bk AS (SELECT policy_id, dataset_id, string_agg(DISTINCT code, ',' ORDER BY code) AS blockers, count(DISTINCT code) AS n_blockers FROM wn SEMI JOIN rd USING (policy_id, dataset_id, feature_id) WHERE blocks GROUP BY 1, 2),
+nc AS (SELECT policy_id, dataset_id, count(*) AS n_caveats FROM cav GROUP BY 1, 2), nt AS (SELECT 'DS' || (conv_id % 5) AS dataset_id, count(*) AS n_texts FROM lb WHERE conv_id % 5 <> 1 AND (regexp_matches(text, '{_USES}', 'i') OR regexp_matches({_FOLDED}, '{_USES}', 'i')) GROUP BY 1),
+dc AS (SELECT DISTINCT dataset_id, CASE WHEN dataset_id IN ('DS2', 'DS3') THEN NULL ELSE 'transgenerational' END AS heritability_claim, CASE dataset_id WHEN 'DS0' THEN 'blocked' WHEN 'DS1' THEN 'of course' END AS transition, CASE dataset_id WHEN 'DS1' THEN 'outside' WHEN 'DS2' THEN 'somewhere' END AS domain, CASE dataset_id WHEN 'DS3' THEN 'no-BER decision' WHEN 'DS4' THEN 'No_BER or: final-risk decision' END AS boundary FROM samples),
+au AS (SELECT ap.*, re.feature_id IS NOT NULL AS some_, toxic, batch, uncontrolled, coalesce(n_warnings, 0) AS n_warnings, coalesce(blockers, '') AS blockers, coalesce(n_blockers, 0) AS n_blockers, coalesce(n_caveats, 0) AS n_caveats, coalesce(n_texts, 0) AS n_texts, heritability_claim IS NOT NULL AS heir, transition, domain, dataset_id <> 'DS3' AS bound
+  FROM ap LEFT JOIN re USING (policy_id, dataset_id) LEFT JOIN mi USING (policy_id, dataset_id) LEFT JOIN nw USING (policy_id, dataset_id) LEFT JOIN bk USING (policy_id, dataset_id) LEFT JOIN nc USING (policy_id, dataset_id) LEFT JOIN nt USING (dataset_id) LEFT JOIN dc USING (dataset_id))"""
+
+
+@query(f"""WITH {_AUDIT} SELECT policy_id, dataset_id, 'qualification_status' AS rule, CASE WHEN some_ THEN 'fit_for_screening' ELSE 'blocked' END AS verdict, NULL::BIGINT AS n FROM au
+UNION ALL SELECT policy_id, dataset_id, 'cytotoxicity', CASE WHEN NOT some_ THEN 'not_assessed' WHEN toxic THEN 'possible' ELSE 'ruled_out' END, NULL FROM au UNION ALL SELECT policy_id, dataset_id, 'batch_effect', CASE WHEN NOT some_ THEN 'not_assessed' WHEN batch THEN 'unresolved' ELSE 'not_detected' END, NULL FROM au
+UNION ALL SELECT policy_id, dataset_id, 'control_status', CASE WHEN NOT some_ THEN 'not_assessed' WHEN uncontrolled THEN 'failed' ELSE 'passed' END, NULL FROM au UNION ALL SELECT policy_id, dataset_id, 'applicability_domain', CASE WHEN domain = 'outside' THEN domain WHEN domain IS NULL AND some_ THEN 'inside' ELSE 'absent' END, NULL FROM au
+UNION ALL SELECT policy_id, dataset_id, 'claim_transition', CASE WHEN transition = 'blocked' THEN transition WHEN heir THEN 'allowed_with_review' ELSE 'blocked' END, NULL FROM au UNION ALL SELECT policy_id, dataset_id, 'overclaims', CASE WHEN n_texts + heir::INT > 0 THEN 'surfaced' ELSE 'none' END, n_texts + heir::INT FROM au
+UNION ALL SELECT policy_id, dataset_id, 'ceilings', CASE WHEN n_caveats + n_warnings + bound::INT > 0 THEN 'limited' ELSE 'absent' END, n_caveats + n_warnings + bound::INT FROM au UNION ALL SELECT policy_id, dataset_id, 'blockers', blockers, n_blockers FROM au""")
+def q11_handoff_claims(spark, d):
+    decided, warnings, ready, caveats = _packet_parts(spark, d)
+    k = F.col("dataset_id")
+    claims = design.guard_claims(_designs_claimed(spark, d), b.samples(spark, d)).select(
+        "dataset_id", "heritability_claim", F.when(k == "DS0", "blocked").when(k == "DS1", "of course").alias("transition"), F.when(k == "DS1", "outside").when(k == "DS2", "somewhere").alias("domain"),
+        F.when(k == "DS3", "no-BER decision").when(k == "DS4", "No_BER or: final-risk decision").alias("boundary"),
+    )
+    positions = b.regions(spark, d).select("dataset_id", "feature_id", F.substring("feature_id", 2, 20).cast("long").alias("position"))
+    texts = _labels(spark, d).where("conv_id % 5 <> 1").select(F.concat(F.lit("DS"), F.col("conv_id") % 5).alias("dataset_id"), "text")
+    return handoff.audit(decided, ready, positions, warnings, caveats, claims, texts)
+
+
 # -- ingestion -----------------------------------------------------------------------------------------------------
 
 
@@ -1072,10 +1204,11 @@ def u2_result_comparison(spark, d):
     return context.differences(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, "Z").otherwise(F.col("o_orderstatus"))), ["o_orderkey"])
 
 
-@query("""SELECT conv_id AS id, turn, lower(regexp_extract(text, '(proves?|causes?|certain(ly)?|the)', 1, 'i')) AS word FROM conversations WHERE regexp_matches(text, '(proves?|causes?|certain(ly)?|the)', 'i')""")
+@query(f"""WITH {_LABELS}, fo AS (SELECT conv_id, turn, {_FOLDED} AS text, regexp_matches(text, '{_USES}', 'i') OR regexp_matches({_FOLDED}, '{_USES}', 'i') AS hit FROM lb)
+SELECT conv_id AS id, turn, lower(regexp_extract(text, '({_USES})', 1, 'i')) AS word FROM fo WHERE hit""")
 def q11_overclaims(spark, d):
-    c = b.t(spark, d, "conversations").select(F.struct(F.col("conv_id"), "turn").alias("id"), "text")
-    return context.overclaims(c, "proves?|causes?|certain(ly)?|the").select(F.col("id.conv_id").alias("id"), F.col("id.turn").alias("turn"), "word")
+    c = _labels(spark, d).select(F.struct("conv_id", "turn").alias("id"), "text")
+    return context.overclaims(c).select(F.col("id.conv_id").alias("id"), F.col("id.turn").alias("turn"), "word")
 
 
 # -- sources, sinks and streams ------------------------------------------------------------------------------------
@@ -1118,6 +1251,55 @@ def s4_json_scan(spark, d):
     return tables.json_features(spark, path)
 
 
+# orders in files by status and priority: two shapes of header, blank and odd lines, in order of key
+_FILES = """ln AS (SELECT o_orderstatus || left(o_orderpriority, 1) AS k, o_orderkey, o_orderkey % 2 AS shape, CASE WHEN o_orderkey % 90 = 7 THEN '  ' WHEN o_orderkey % 50 = 0 THEN 'x;y;z;w;v' WHEN o_orderkey % 50 = 1 THEN 'x' END AS odd FROM orders),
+fi AS (SELECT *, k || shape AS name, CASE shape WHEN 0 THEN 3 ELSE 4 END AS wanted, 1 + row_number() OVER (PARTITION BY k, shape ORDER BY o_orderkey) AS line_no FROM ln)"""
+
+
+def _order_files(spark, d, path):
+    """Files of each status, priority and parity of the key, with headers of their own."""
+    o = F.col("o_orderkey")
+    note = F.concat(F.lit('"a; ""b"" '), "o_orderpriority", F.lit('"'))
+    line = F.when(o % 2 == 0, F.concat_ws(";", o, "o_custkey", note)).otherwise(F.concat_ws(";", "o_custkey", o, note, "o_orderstatus"))
+    text = F.when(o % 90 == 7, "  ").when(o % 50 == 0, "x;y;z;w;v").when(o % 50 == 1, "x").otherwise(line)
+    name = F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1), (o % 2).cast("string")).alias("name")
+    rows = b.t(spark, d, "orders").select(name, o.alias("n"), text.alias("value"))
+    heads = rows.select("name").distinct().select("name", F.lit(-1).cast("long").alias("n"), F.when(F.col("name").endswith("0"), "o_orderkey;o_custkey;note").otherwise("o_custkey;o_orderkey;note;o_orderstatus").alias("value"))
+    rows.unionByName(heads).repartition("name").sortWithinPartitions("name", "n").select("name", "value").write.partitionBy("name").text(path)
+
+
+@query(f"""WITH {_FILES} SELECT name, line_no, CASE WHEN trim(odd) = '' THEN 'blank' ELSE 'malformed' END AS kind, CASE WHEN trim(odd) = '' THEN 'Skipped empty row at line ' || line_no ELSE 'Malformed row at line ' || line_no || ': expected ' || wanted || ' columns, got ' || (length(odd) - length(replace(odd, ';', '')) + 1) END AS message FROM fi WHERE odd IS NOT NULL""")
+def s1_line_numbers(spark, d):
+    """Blank and malformed lines of files of two shapes, with their numbers."""
+    path = f"{scratch(spark)}/numbered"
+    _order_files(spark, d, path)
+    found = tables.line_problems(spark, path)
+    return found.select(F.regexp_extract("file_path", "name=([^/]+)/", 1).alias("name"), "line_no", "kind", "message")
+
+
+@query("""SELECT o_orderkey % 2 AS shape, count(*) AS n, sum(length('a; "b" ' || o_orderpriority))::BIGINT AS n_chars, sum(o_custkey)::BIGINT AS total, count(CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END) AS n_status FROM orders WHERE o_orderkey % 90 <> 7 AND o_orderkey % 50 > 1 GROUP BY 1""")
+def s1_shapes(spark, d):
+    """The same files read together, each by its own header."""
+    path = f"{scratch(spark)}/shapes"
+    _order_files(spark, d, path)
+    rows = tables.delimited_shapes(spark, path)[0]
+    shape = (F.col("o_orderkey").cast("long") % 2).alias("shape")
+    return rows.groupBy(shape).agg(F.count("*").alias("n"), F.sum(F.length("note")).alias("n_chars"), F.sum(F.col("o_custkey").cast("long")).alias("total"), F.count("o_orderstatus").alias("n_status"))
+
+
+@query("""WITH f AS (SELECT 's' || (p_size % 7) AS name, string_agg(p_partkey || ',' || p_name || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY 1)
+SELECT name, name <> 's0' AS packed, octet_length(text::BLOB)::BIGINT AS content_bytes, sha256(text) AS content_sha256 FROM f""")
+def s5_file_digests(spark, d):
+    """Digests of the contents of plain and compressed files; those of a compressed file as stored differ."""
+    path = f"{scratch(spark)}/digests"
+    rows = b.t(spark, d, "part").select(F.concat(F.lit("s"), F.col("p_size") % 7).alias("name"), "p_partkey", F.concat_ws(",", "p_partkey", "p_name").alias("value"))
+    dealt = rows.repartition("name").sortWithinPartitions("name", "p_partkey").select("name", "value")
+    dealt.where("name = 's0'").write.partitionBy("name").text(path)
+    dealt.where("name <> 's0'").write.mode("append").partitionBy("name").option("compression", "gzip").text(path)
+    found = tables.digests(spark, path)
+    return found.select(F.regexp_extract("file_path", "name=([^/]+)/", 1).alias("name"), (F.col("sha256") != F.col("content_sha256")).alias("packed"), "content_bytes", "content_sha256")
+
+
 @query("""WITH k AS (SELECT DISTINCT p_partkey // 50 AS k FROM part) SELECT * FROM (SELECT CASE WHEN k % 7 = 1 THEN 'mismatch' WHEN k % 7 = 2 THEN 'unexpected' ELSE 'ok' END AS state, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'missing', count(*) FROM k WHERE k % 7 = 3) WHERE n > 0""")
 def s5_file_manifest(spark, d):
     """A file for every 50 parts, and a manifest with wrong digests, lacking files and files that do not exist."""
@@ -1157,6 +1339,15 @@ def x1_stream_ingest(spark, d):
     return spark.read.parquet(f"{base}/out/batches").groupBy("dataset_id").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
 
 
+@query(f"""WITH {b.RAW}, x AS (SELECT *, NOT (trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$') AS bad FROM raw_cells) SELECT dataset_id, count(*) AS n_rows, count(*) FILTER (bad) AS n_bad, count(DISTINCT raw) FILTER (bad) AS n_warnings FROM x GROUP BY 1""")
+def x1_stream_totals(spark, d):
+    """Totals and distinct warnings after the last batch of a stream."""
+    base = scratch(spark)
+    b.raw_cells(spark, d).select("dataset_id", "feature_id", "sample_id", "raw").repartition(8).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
+    live.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    return live.totals(spark, f"{base}/out").select("dataset_id", "n_rows", "n_bad", "n_warnings")
+
+
 @query(SQL["x1_stream_ingest"])
 def x2_running_totals(spark, d):
     base = scratch(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -123,8 +124,9 @@ def json_features(spark: SparkSession, path: str) -> DataFrame:
 
 #: Bytes of a file up to which it is hashed as one value, and of the pieces that longer ones are hashed by.
 WHOLE, PIECE = 1 << 28, 1 << 20
-#: No file suffix is taken for a compression.
-_STORED = ("io.compression.codecs", "org.apache.hadoop.io.compress.DefaultCodec")
+#: The longest binary value, and the mark that the reader of lines leaves out.
+LONGEST = (1 << 31) - 1024
+_MARK = b"\xef\xbb\xbf"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,58 +172,93 @@ class _Content:
             self.broken = True
 
 
+_DIGESTS = "file_path string, n_bytes long, sha256 string, content_bytes long, content_sha256 string"
+
+
+def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _DIGESTS.split(", ")])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of gzip files that are one value each, inflated a piece at a time."""
+    for b in batches:
+        for path, data in zip(b.column(0).to_pylist(), b.column(1)):
+            data, content = data.as_py(), _Content()
+            content.update(data)
+            inner = (None, None) if content.broken else (content.size, content.hash.hexdigest())
+            yield _digest_rows([(path, len(data), hashlib.sha256(data).hexdigest(), *inner)])
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of pieces that stand in order by file. Of the last line break the file's size tells whether it is there."""
-    now, h, content, n, size, tail = None, None, None, 0, 0, b""
+    """Digests of pieces that stand in order by file. The file's size tells whether there is a last line break, and a mark
+    before the first line; both digests go on side by side until then. Without a size (decompressed) there is the one and
+    not the other."""
+    now, h, marked, n, size, tail = None, None, None, 0, 0, b""
 
     def put(data: bytes) -> None:
         nonlocal n
         h.update(data)
+        marked.update(data)
         n += len(data)
-        if content:
-            content.update(data)
 
     def out() -> pa.RecordBatch:
-        put(tail[: size - n])
-        inner = (None, None) if content and content.broken else (content.size, content.hash.hexdigest()) if content else (n, h.hexdigest())
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((now, n, h.hexdigest(), *inner), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names=[x.split()[0] for x in _DIGESTS.split(", ")])
+        nonlocal h, n
+        if size is not None and n + len(tail) < size:
+            h, n = marked, n + len(_MARK)
+        last = tail if size is None else tail[: size - n]
+        h.update(last)
+        n += len(last)
+        return _digest_rows([(now, n, h.hexdigest(), n, h.hexdigest())])
 
     for b in batches:
         for path, length, piece in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))):
             if path != now:
                 if now is not None:
                     yield out()
-                now, h, content, n, size, tail = path, hashlib.sha256(), _Content() if path.endswith(".gz") else None, 0, length, b""
+                now, h, marked, n, size, tail = path, hashlib.sha256(), hashlib.sha256(_MARK), 0, length, b""
             put(tail)
             tail = piece
     if now is not None:
         yield out()
 
 
-_DIGESTS = "file_path string, n_bytes long, sha256 string, content_bytes long, content_sha256 string"
+def _by_piece(spark: SparkSession, paths: list[str], stored: bool) -> DataFrame:
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    size = F.col("_metadata.file_size") if stored else F.lit(None).cast("long")
+    rows = raw.select(F.col("_metadata.file_path").alias("file_path"), size.alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("value"))
+    pieces = rows.mapInArrow(_pieces, "file_path string, file_size long, block long, n long, piece binary")
+    return pieces.repartition("file_path").sortWithinPartitions("file_path", "block", "n").mapInArrow(_hashed, _DIGESTS)
 
 
 def digests(spark: SparkSession, path: str | list[str], whole: int = WHOLE) -> DataFrame:
     """(file_path, n_bytes, sha256, content_bytes, content_sha256) of files: as stored, and decompressed where the name ends
     with .gz (null where that is damaged).
 
-    Files of up to ``whole`` bytes are hashed as one value by the scan. Longer and compressed ones are read by splits and put
-    together in order, a piece of about a megabyte at a time, so memory is bounded for files of any size; one file is one
-    task's in the end, for the hashes are sequential. Paths go to the driver, as they do in any listing of files."""
-    files = spark.read.format("binaryFile").load(path)
-    pieced = F.col("path").endswith(".gz") | (F.col("length") > whole)
-    n, sha = F.col("length"), F.sha2("content", 256)
-    small = files.where((F.col("length") <= whole) & ~F.col("path").endswith(".gz")).select(
-        F.col("path").alias("file_path"), n.alias("n_bytes"), sha.alias("sha256"), n.alias("content_bytes"), sha.alias("content_sha256")
-    )
-    paths = [r[0] for r in files.where(pieced & (F.col("length") > 0)).select("path").collect()]
-    if not paths:
-        return small
-    # files are taken as stored and cut at line breaks
-    raw = spark.read.option("lineSep", "\n").option(*_STORED).text(paths)
-    rows = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("value"))
-    pieces = rows.mapInArrow(_pieces, "file_path string, file_size long, block long, n long, piece binary")
-    return small.unionByName(pieces.repartition("file_path").sortWithinPartitions("file_path", "block", "n").mapInArrow(_hashed, _DIGESTS))
+    Files of up to ``whole`` bytes are one value to the scan. Longer ones are read by splits and put together in order, a piece
+    of about a megabyte at a time, so memory is bounded for files of any size; one file is one task's in the end, for the
+    hashes are sequential. Contents of compressed files beyond ``whole`` bytes are read in the same way, as the reader
+    decompresses them, and taken to end with a line break; as stored these are hashed up to ``LONGEST`` bytes (else null), since
+    no reader gives the stored bytes of a compressed file in pieces. Paths go to the driver, as they do in any listing."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    n, sha, small, packed = F.col("length"), F.sha2("content", 256), F.col("length") <= whole, F.col("path").endswith(".gz")
+    out = files.where(small & ~packed).select(F.col("path").alias("file_path"), n.alias("n_bytes"), sha.alias("sha256"), n.alias("content_bytes"), sha.alias("content_sha256"))
+    listed = files.select("path", packed.alias("packed"), small.alias("small")).collect()
+    plain = lambda x: re.sub("^([a-z0-9]+):/+", r"\1:///", x)
+    nothing = hashlib.sha256(b"").hexdigest()
+    if empty := {plain(x) for x in files.inputFiles()} - {plain(r["path"]) for r in listed}:  # scans pass over these
+        out = out.unionByName(spark.createDataFrame([(x, 0, nothing, 0, nothing) for x in sorted(empty)], _DIGESTS))
+    if any(r["packed"] and r["small"] for r in listed):
+        out = out.unionByName(files.where(small & packed).select("path", "content").mapInArrow(_unpacked, _DIGESTS))
+    if long := [r["path"] for r in listed if not r["packed"] and not r["small"]]:
+        out = out.unionByName(_by_piece(spark, long, True))
+    if large := [r["path"] for r in listed if r["packed"] and not r["small"]]:
+        stored = files.where(~small & packed & (n <= LONGEST)).select(F.col("path").alias("file_path"), sha.alias("_sha"))
+        sizes = files.where(~small & packed).select(F.col("path").alias("file_path"), n.alias("_n"))
+        inner = _by_piece(spark, large, False).select("file_path", "content_bytes", "content_sha256")
+        both = sizes.join(stored, "file_path", "left").join(inner, "file_path", "left")
+        out = out.unionByName(both.select("file_path", F.col("_n").alias("n_bytes"), F.col("_sha").alias("sha256"), "content_bytes", "content_sha256"))
+    return out
 
 
 def manifest(spark: SparkSession, path: str, expected: DataFrame, name: Column | None = None) -> DataFrame:

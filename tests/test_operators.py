@@ -200,16 +200,6 @@ def test_exact_or_sampled(spark, sizes, mode):
     assert r["mode"] == mode and abs(r["allocations"] / trend.allocations(sizes) - 1) < 1e-12
 
 
-def test_sampling_in_blocks(spark, monkeypatch):
-    c, s = _cells(spark, [[1, 2, 4], [3, 5, 6], [7, 8, 9]])
-    s = s.withColumns({"dose_unit": F.lit("uM"), "timepoint_hours": F.lit(1.0), "batch_id": F.lit("b")})
-    stats = trend.statistic(trend.blockers(trend.observations(c, s), trend.design_blockers(s)))
-    whole = trend.sampled(stats).first()
-    monkeypatch.setattr(trend, "BLOCK", 5000)
-    small = trend.sampled(stats).first()
-    assert abs(whole["p_two"] - small["p_two"]) < 0.02 and abs(whole["standard_error"] - (whole["p_two"] * (1 - whole["p_two"]) / 5000) ** 0.5) < 1e-12
-
-
 def test_classes_go_through_findings_to_decisions(spark):
     files = [(1, ["chr", "start", "end"], "chromatin", "chip_seq", None, None, None, ["histone"], False), (2, ["chr", "start", "end"], "chromatin", "atac_seq", None, None, None, ["accessibility"], False), (3, ["chr", "start", "end"], "chromatin", "other", None, None, None, [], False)]
     schema = "file_id int, headers array<string>, family string, modality string, shape string, semantics string, explicit_class string, enabled array<string>, mixed boolean"
