@@ -23,9 +23,10 @@ nothing but the training weights of what is repeated. Columns in ``keep`` must n
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -331,9 +332,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (text, toxic) of a task, pickled; the order of rows does not matter."""
+    rows = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    yield batch_of(["model"], [pa.array([pickle.dumps(train(sorted(rows)))], pa.binary())])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    rows = sorted((r["text"], r["toxic"]) for r in training_rows(docs, labels, max_toxic, max_clean).collect())
-    return train(rows)
+    """A model of the training sample, whose bound lets one task of an executor train it; only the model comes to the driver."""
+    rows = training_rows(docs, labels, max_toxic, max_clean).repartition(1)
+    made = rows.mapInArrow(_trained, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else train([])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
