@@ -282,6 +282,25 @@ def mapping_report(pairs: DataFrame) -> DataFrame:
     )
 
 
+def inferred_targets(pairs: DataFrame) -> DataFrame:
+    """Mappings to genes that a heuristic inferred, from (dataset_id, feature_id, gene_id, distance) with null genes for none:
+    of low confidence, never rolled up or causal, with a warning where there is a gene."""
+    per = pairs.groupBy("dataset_id", "feature_id").agg(F.countDistinct("gene_id").cast("int").alias("n_genes"), F.min("distance").alias("distance"))
+    some = F.col("n_genes") > 0
+    return per.select(
+        "dataset_id", "feature_id", "n_genes", F.lit(METHODS[6]).alias("method"), F.when(some, CONFIDENCE[2]).otherwise(CONFIDENCE[3]).alias("confidence"), "distance", F.lit(False).alias("rollup_allowed"),
+        F.lit(BLOCK_ROLLUP).alias("use_rule"), F.lit(True).alias("blocked_rollup"), F.lit(True).alias("blocked_cause"), F.when(some, "EPIW011_INFERRED_TARGET_GENE").otherwise("").alias("warnings"),
+    )
+
+
+def unknown_targets(features: DataFrame) -> DataFrame:
+    """Mappings of features (dataset_id, feature_id) that no method gave a gene: nothing may be made of them."""
+    return features.select("dataset_id", "feature_id").distinct().select(
+        "dataset_id", "feature_id", F.lit(0).alias("n_genes"), F.lit(METHODS[7]).alias("method"), F.lit(CONFIDENCE[3]).alias("confidence"), F.lit(None).cast("long").alias("distance"), F.lit(False).alias("rollup_allowed"),
+        F.lit(BLOCK_ALL).alias("use_rule"), F.lit(True).alias("blocked_rollup"), F.lit(True).alias("blocked_cause"), F.lit("EPIW012_UNKNOWN_TARGET_GENE").alias("warnings"),
+    )
+
+
 def guarded(mappings: DataFrame) -> DataFrame:
     """Each mapping with what it blocks: pathway roll-up by its method, causal claims, and whether it declares a roll-up that
     its method does not bear; with the warnings of these."""

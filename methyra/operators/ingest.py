@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import header_key, number_melt, number_strict
+from ..functions.scalars import header_key, number_lenient, number_melt, number_strict, trimmed
 from .genes import REGION_CLASSES
 
 #: Normalised column names that tell the shape of a table.
@@ -193,24 +193,51 @@ def table_shape(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "long", "wide", "summary", shape.alias("shape"), sure.alias("confidence"))
 
 
-def group_statistics(rows: DataFrame) -> DataFrame:
-    """(feature_id, group, mean, sd, n) from a map of normalised column names such as lowmean, lowsd, lown."""
-    long = rows.select("feature_id", F.explode("raw_values").alias("key", "raw"))
-    pattern = r"^(.*?)(mean|sd|se|stderr|n|median)$"
-    key = header_key(F.col("key"))
-    named = long.select("feature_id", F.regexp_extract(key, pattern, 1).alias("group"), F.regexp_extract(key, pattern, 2).alias("metric"), F.col("raw").try_cast("double").alias("x")).where("metric <> ''")
-    pick: Column = lambda m: F.max(F.when(F.col("metric") == m, F.col("x")))
-    return named.groupBy("feature_id", "group").agg(pick("mean").alias("mean"), pick("sd").alias("sd"), pick("n").alias("n"))
-
+def group_statistics(rows: DataFrame, designs: DataFrame) -> DataFrame:
+    """(dataset_id, feature_id, group, dose_value, mean, sd, n) from a map of column names such as Low_mean, low sd, LOW-N and
+    texts, with the dose groups of ``designs`` (dataset_id, dose_group_id, dose_value).
 
-def summary_evidence(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per feature, whether group statistics support a dose response: two group means or more, one at a dose above 0."""
-    rows = stats.join(groups, "group", "left")
-    per = rows.groupBy("feature_id").agg(F.count("mean").alias("n_means"), F.count_if(F.col("mean").isNotNull() & (F.col("dose_value") > 0)).alias("n_treated"))
+    Names are read without case and separators; a metric without a group in front is none. Only finite numbers count (a blank
+    text is 0), whole numbers of samples are rounded down, and of names that say the same the last one stays. A dose group
+    whose id begins a name with a number is one of the feature's groups too, with or without statistics; other groups take
+    the dose of the design's group of equal name. The groups of a design go to its features as one list, and all
+    is worked out beside the feature.
+    """
+    told = designs.select("dataset_id", "dose_group_id", "dose_value").distinct()
+    told = told.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct(F.col("dose_group_id").alias("id"), header_key(F.col("dose_group_id")).alias("key"), "dose_value"))).alias("told"))
+    pattern = r"^(.*?)(mean|sd|se|stderr|n|median)$"
+    long = rows.select("dataset_id", "feature_id", F.posexplode(F.map_entries("raw_values")).alias("place", "e")).select("dataset_id", "feature_id", "place", header_key(F.col("e.key")).alias("key"), F.col("e.value").alias("raw"))
+    x = F.when(trimmed(F.col("raw")) == "", 0.0).otherwise(number_lenient(F.col("raw")))
+    long = long.withColumn("x", x).where("x is not null")
+    named = long.select("dataset_id", "feature_id", "place", F.regexp_extract("key", pattern, 1).alias("group"), F.regexp_extract("key", pattern, 2).alias("metric"), "x").where("metric <> '' and `group` <> ''")
+    ids = ["dataset_id", "feature_id", "group"]
+    pick = lambda m: F.max_by("x", F.when(F.col("metric") == m, F.col("place")))
+    own = named.groupBy(*ids).agg(pick("mean").alias("mean"), pick("sd").alias("sd"), F.floor(pick("n")).cast("double").alias("n"))
+    by_design = long.join(told, "dataset_id").select("dataset_id", "feature_id", F.explode(F.filter("told", lambda g: F.col("key").startswith(g["key"]))).alias("g"))
+    matched = by_design.select("dataset_id", "feature_id", F.col("g.id").alias("group"), F.col("g.dose_value").alias("own_dose")).distinct()
+    both = own.join(matched, ids, "full_outer").join(told, "dataset_id", "left")
+    same = F.filter("told", lambda g: g["key"] == header_key(F.col("group")))
+    return both.select(*ids, F.coalesce("own_dose", F.get(same, F.lit(0))["dose_value"]).alias("dose_value"), "mean", "sd", "n")
+
+
+def summary_evidence(stats: DataFrame, designs: DataFrame) -> DataFrame:
+    """Per feature, whether group statistics support a dose response: two group means or more, one of a group of the design
+    whose dose is not zero. Features of data sets without a design, and all others, are exploratory."""
+    groups = designs.select("dataset_id", F.col("dose_group_id").alias("group"), (F.col("dose_value") != 0).alias("treated")).distinct()
+    rows = stats.join(groups, ["dataset_id", "group"], "left")
+    per = rows.groupBy("dataset_id", "feature_id").agg(F.count("mean").alias("n_means"), F.count_if(F.col("mean").isNotNull() & F.col("treated")).alias("n_treated"))
     ok = (F.col("n_means") >= 2) & (F.col("n_treated") >= 1)
     return per.withColumn("supports", ok).withColumn("status", F.when(ok, "accepted_for_pod").otherwise("exploratory_only"))
 
 
+def qualifications(evidence: DataFrame) -> DataFrame:
+    """Evidence of summaries as decisions of features, as a hand-off takes them: nothing is mapped to genes."""
+    warnings = F.col("warning") if "warning" in evidence.columns else F.lit(None).cast("string")
+    return evidence.select(
+        "dataset_id", "feature_id", "status", F.coalesce(warnings, F.lit("")).alias("notes"), F.lit("").alias("genes"), F.lit("none").alias("mapping_confidence"), F.lit("unknown").alias("mapping_method")
+    )
+
+
 #: What the key of a contrast holds, normalised, and how the label of a group begins.
 CONTRAST_WORDS = ("contrast", "vs", "versus", "comparison", "diff", "change")
 GROUP_LABEL = r"(?i)^(ctrl|control|low|mid|high|dose|treatment|group)"
@@ -252,14 +279,20 @@ def contrast_evidence(values: DataFrame) -> DataFrame:
     return every.withColumn("status", F.lit("exploratory_only")).withColumn("warning", F.lit("EPIW007_CONTRAST_ONLY_VALUES"))
 
 
-def ingestion_result(rows: DataFrame, samples: DataFrame, provenance: DataFrame, detail: int = 20) -> DataFrame:
-    """Per dataset of ``long_rows`` output: rows, features, samples, batches of ``detail`` thousand rows, first and last
+#: Rows of an ingestion batch by default and at most.
+BATCH, LARGEST_BATCH = 2_000, 5_000
+
+
+def ingestion_result(rows: DataFrame, samples: DataFrame, provenance: DataFrame, detail: int = 20, batch: int = BATCH) -> DataFrame:
+    """Per dataset of ``long_rows`` output: rows, features, samples, batches of ``batch`` rows, first and last
     feature, errors and warnings (duplicates), the first ``detail`` errors in file order, and whether it is ingested: it
     has data, a design, and provenance that names it."""
+    if not 1 <= batch <= LARGEST_BATCH:
+        raise ValueError(f"a batch has 1 to {LARGEST_BATCH} rows")
     kept = F.when(F.col("state") == "kept", F.col("feature_id"))
     bad = F.when(~F.col("state").isin("kept", "EPI006"), F.struct("file_row", F.concat_ws(":", F.col("state"), F.coalesce("feature_id", F.lit("")))).alias("e"))
     per = rows.groupBy("dataset_id").agg(
-        F.count("*").alias("n_rows"), F.countDistinct(kept).alias("n_features"), F.countDistinct("sample_id").alias("n_samples"), F.ceil(F.count("*") / (1000 * detail)).alias("n_batches"),
+        F.count("*").alias("n_rows"), F.countDistinct(kept).alias("n_features"), F.countDistinct("sample_id").alias("n_samples"), F.ceil(F.count("*") / batch).alias("n_batches"),
         F.min_by("feature_id", "file_row").alias("first_feature"), F.max_by("feature_id", "file_row").alias("last_feature"),
         F.count(bad).alias("n_errors"), F.count_if(F.col("state") == "EPI006").alias("n_warnings"),
     )

@@ -603,6 +603,16 @@ def a22_mapping_guards(spark, d):
     return genes.guarded(_answers(spark, d)).select("dataset_id", "feature_id", "method", "blocked_rollup", "blocked_cause", "inconsistent", "warnings")
 
 
+@query(f"""WITH {_MAPPED} SELECT dataset_id, feature_id, count(DISTINCT gene_id)::INT AS n_genes, 'inferred_target_gene' AS method, 'low' AS confidence, min(distance) AS distance, false AS rollup_allowed, 'block_pathway_rollup' AS use_rule, true AS blocked_rollup, true AS blocked_cause, 'EPIW011_INFERRED_TARGET_GENE' AS warnings FROM near GROUP BY 1, 2
+UNION ALL SELECT DISTINCT dataset_id, feature_id, 0, 'unknown_target_gene', 'none', NULL, false, 'block_gene_and_pathway_rollup', true, true, 'EPIW012_UNKNOWN_TARGET_GENE' FROM regions WHERE feature_id NOT IN (SELECT feature_id FROM near)""")
+def a22_target_rows(spark, d):
+    """Targets inferred from the nearest gene, and features without one."""
+    r = b.regions(spark, d)
+    near = written(genes.nearest(r.where("chrom is not null").select("feature_id", "chrom", "start", "end"), b.genes(spark, d)))
+    ids = r.select("dataset_id", "feature_id")
+    return genes.inferred_targets(ids.join(near, "feature_id")).unionByName(genes.unknown_targets(ids.join(near, "feature_id", "left_anti")))
+
+
 @query(f"WITH {_MAPPED}, {_GUARD} SELECT dataset_id, count(*) FILTER (NOT blocked_rollup) AS n_allowed, count(*) FILTER (blocked_rollup) AS n_blocked, count(*) FILTER (blocked_cause) AS n_blocked_causes, count(*) FILTER (inconsistent) AS n_inconsistent FROM gu GROUP BY 1")
 def a22_guard_counts(spark, d):
     return genes.guard_counts(genes.guarded(_answers(spark, d)))
@@ -930,7 +940,7 @@ def p7_latest_rows(spark, d):
 @query(f"""WITH {b.RAW}, {b.PROVENANCE}, s AS (SELECT *, trim(raw) = 'NA' OR trim(raw) ~ '^[0-9]+$' AS ok, row_number() OVER (PARTITION BY dataset_id, feature_id, sample_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS nth FROM raw_cells),
 k AS (SELECT *, CASE WHEN trim(sample_id) = '' THEN 'missing_key' WHEN NOT ok THEN 'not_numeric' WHEN nth > 1 THEN 'EPI006' ELSE 'kept' END AS state FROM s),
 fw AS (SELECT dataset_id, string_agg(state, ',' ORDER BY i) AS first_errors FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS i FROM k WHERE state NOT IN ('kept', 'EPI006')) WHERE i <= 20 GROUP BY 1)
-SELECT dataset_id, count(*) AS n_rows, count(DISTINCT feature_id) FILTER (state = 'kept') AS n_features, count(DISTINCT sample_id) AS n_samples, ceil(count(*) / 20000)::BIGINT AS n_batches, arg_min(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS first_feature, arg_max(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS last_feature,
+SELECT dataset_id, count(*) AS n_rows, count(DISTINCT feature_id) FILTER (state = 'kept') AS n_features, count(DISTINCT sample_id) AS n_samples, ceil(count(*) / 2000)::BIGINT AS n_batches, arg_min(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS first_feature, arg_max(feature_id, (o, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax)) AS last_feature,
   count(*) FILTER (state NOT IN ('kept', 'EPI006')) AS n_errors, count(*) FILTER (state = 'EPI006') AS n_warnings, any_value(first_errors) AS first_errors, dataset_id <> 'DS2' AND dataset_id IN (SELECT dataset_id FROM prov) AND dataset_id <> 'DS3' AS ingested FROM k LEFT JOIN fw USING (dataset_id) GROUP BY 1""")
 def a24_ingestion_result(spark, d):
     rows = ingest.long_rows(b.raw_cells(spark, d), ["dataset_id", "feature_id", "sample_id"])
@@ -1102,13 +1112,29 @@ def p8_canonical_summary(spark, d):
     return classes.canonical_summary(rows, "Feature", "at")
 
 
-_STATS = """st AS (SELECT 'P' || p_partkey AS feature_id, unnest(['low', 'high', 'ctrl']) AS "group", unnest([p_size::DOUBLE, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END, CASE WHEN p_partkey % 3 = 0 THEN 1.5 END]) AS mean, unnest([NULL, 2.0, NULL]::DOUBLE[]) AS sd, unnest([p_partkey % 7, NULL, NULL]::DOUBLE[]) AS n FROM part)"""
+# names of several spellings, numbers of which some are none, a metric without a group, and a group named by its id alone
+_STATS = """ra AS (SELECT 'DS' || (p_partkey % 5) AS dataset_id, 'P' || p_partkey AS feature_id, p_partkey AS k, p_size, p_retailprice FROM part),
+dg AS (SELECT 'DS' || r_regionkey AS dataset_id, unnest(['Low', 'high', 'ctrl', 'mid1']) AS dose_group_id, unnest([1.0, 10.0, 0.0, 5.0])::DOUBLE AS dose_value FROM region WHERE r_regionkey <> 4),
+st0 AS (SELECT dataset_id, feature_id, 'low' AS "group", p_size::DOUBLE AS mean, NULL::DOUBLE AS sd, (k % 7)::DOUBLE AS n FROM ra UNION ALL SELECT dataset_id, feature_id, 'high', CASE k % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN 0 END, 2.0, NULL FROM ra UNION ALL SELECT dataset_id, feature_id, 'ctrl', 1.5, NULL, NULL FROM ra WHERE k % 3 = 0
+  UNION ALL SELECT dataset_id, feature_id, 'mid1', NULL, NULL, NULL FROM ra WHERE k % 2 = 0),
+md AS (SELECT ra.dataset_id, feature_id, dose_group_id AS "group", dose_value FROM ra JOIN dg USING (dataset_id) WHERE dose_group_id IN ('Low', 'high') OR dose_group_id = 'ctrl' AND k % 3 = 0 OR dose_group_id = 'mid1'),
+st AS (SELECT dataset_id, feature_id, "group", coalesce(md.dose_value, (SELECT max(dose_value) FROM dg WHERE dg.dataset_id = st0.dataset_id AND lower(dose_group_id) = "group")) AS dose_value, mean, sd, n FROM st0 FULL JOIN md USING (dataset_id, feature_id, "group"))"""
+
+
+def _summary_designs(spark, d):
+    groups = F.array(*(F.struct(F.lit(g).alias("dose_group_id"), F.lit(x).alias("dose_value")) for g, x in (("Low", 1.0), ("high", 10.0), ("ctrl", 0.0), ("mid1", 5.0))))
+    return b.t(spark, d, "region").where("r_regionkey <> 4").select(F.concat(F.lit("DS"), "r_regionkey").alias("dataset_id"), F.explode(groups).alias("g")).select("dataset_id", "g.*")
 
 
 def _stats(spark, d):
     k = F.col("p_partkey")
-    m = F.create_map(F.lit("Low_Mean"), F.col("p_size").cast("string"), F.lit("low n"), (k % 7).cast("string"), F.lit("high-mean"), F.when(k % 2 == 0, F.col("p_retailprice").cast("string")).otherwise("x"), F.lit("HIGH_SD"), F.lit("2"), F.lit("ctrl_mean"), F.when(k % 3 == 0, "1.5"), F.lit("note"), F.lit("3"))
-    return ingest.group_statistics(b.t(spark, d, "part").select(F.concat(F.lit("P"), k).alias("feature_id"), m.alias("raw_values")))
+    text = lambda x: x.cast("string")
+    m = F.create_map(
+        F.lit("Low_Mean"), text(F.col("p_size")), F.lit("low n"), F.concat(text(k % 7), F.lit(".9")), F.lit("high-mean"), F.when(k % 3 == 0, text(F.col("p_retailprice"))).when(k % 3 == 1, " ").otherwise("12d"), F.lit("HIGH_SD"), F.lit("2"),
+        F.lit("ctrl_mean"), F.when(k % 3 == 0, "1.5").otherwise("inf"), F.lit("mean"), F.lit("3"), F.lit("mid1_median"), F.when(k % 2 == 0, "4").otherwise("x"), F.lit("MID1"), F.lit("7"), F.lit("note"), F.lit("3"),
+    )
+    rows = b.t(spark, d, "part").select(F.concat(F.lit("DS"), k % 5).alias("dataset_id"), F.concat(F.lit("P"), k).alias("feature_id"), m.alias("raw_values"))
+    return ingest.group_statistics(rows, _summary_designs(spark, d))
 
 
 @query(f"""WITH {_STATS} SELECT * FROM st""")
@@ -1116,11 +1142,18 @@ def p15_group_statistics(spark, d):
     return _stats(spark, d)
 
 
-@query(f"""WITH {_STATS}, e AS (SELECT feature_id, count(mean) AS n_means, count(mean) FILTER ("group" <> 'ctrl') AS n_treated FROM st GROUP BY 1) SELECT *, n_means >= 2 AND n_treated >= 1 AS supports, CASE WHEN n_means >= 2 AND n_treated >= 1 THEN 'accepted_for_pod' ELSE 'exploratory_only' END AS status FROM e""")
+_EVIDENCE = f"""{_STATS}, es AS (SELECT dataset_id, feature_id, count(mean) AS n_means, count(mean) FILTER (dg.dose_value <> 0) AS n_treated FROM st LEFT JOIN dg ON dg.dataset_id = st.dataset_id AND dg.dose_group_id = st."group" GROUP BY ALL),
+ev2 AS (SELECT *, n_means >= 2 AND n_treated >= 1 AS supports, CASE WHEN n_means >= 2 AND n_treated >= 1 THEN 'accepted_for_pod' ELSE 'exploratory_only' END AS status FROM es)"""
+
+
+@query(f"""WITH {_EVIDENCE.replace('SELECT dataset_id, feature_id, count(mean)', 'SELECT st.dataset_id, feature_id, count(mean)')} SELECT * FROM ev2""")
 def q10_summary_evidence(spark, d):
-    stats = _stats(spark, d)
-    groups = stats.select("group").distinct().select("group", F.when(F.col("group") == "ctrl", 0.0).otherwise(1.0).alias("dose_value"))
-    return ingest.summary_evidence(stats, groups)
+    return ingest.summary_evidence(_stats(spark, d), _summary_designs(spark, d))
+
+
+@query(f"""WITH {_EVIDENCE.replace('SELECT dataset_id, feature_id, count(mean)', 'SELECT st.dataset_id, feature_id, count(mean)')} SELECT dataset_id, feature_id, status, '' AS notes, '' AS genes, 'none' AS mapping_confidence, 'unknown' AS mapping_method FROM ev2""")
+def q10_qualifications(spark, d):
+    return ingest.qualifications(ingest.summary_evidence(_stats(spark, d), _summary_designs(spark, d)))
 
 
 _KEYED = f"""{b.CELLS12}, k AS (SELECT DISTINCT dataset_id, feature_id, CASE substr(feature_id, 2)::BIGINT % 6 WHEN 0 THEN 'a_vs_' || sample_id WHEN 3 THEN 'a_vs_' || sample_id WHEN 1 THEN 'low' || sample_id WHEN 4 THEN 'D' || (substr(sample_id, 2)::INT % 4) ELSE sample_id END AS key FROM cells),
