@@ -91,7 +91,7 @@ def word(k, *ws: str | None):
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    start = (p * 7919) % 1_000_000 + F.when(p % 43 == 0, 300_000_000).otherwise(0)
+    start = F.floor(p / 20_000) % 200 * 1_000_000 + (p * 7919) % 1_000_000 + F.when(p % 43 == 0, 300_000_000).otherwise(0)
     return t(spark, sf_dir, "part").select(
         F.concat(F.lit("DS"), p % 5).alias("dataset_id"), F.concat(F.lit("P"), p).alias("feature_id"), word(p, *_CLASSES).alias("feature_class"), word(p, *_MODALITIES).alias("modality"),
         F.when(p % 53 == 0, "chrUn").when(p % 47 == 0, (1 + p % 22).cast("string")).when(p % 17 != 0, F.concat(F.lit("chr"), 1 + p % 22)).alias("chrom"), start.alias("start"),
@@ -109,7 +109,7 @@ def _list(words) -> str:
 
 REGIONS = f"""regions AS (SELECT *, r_start AS "start", r_start + CASE WHEN p % 61 = 0 THEN 0 ELSE 200 + p_size * 10 END AS "end" FROM (SELECT p_partkey AS p, p_size, 'DS' || (p_partkey % 5) AS dataset_id, 'P' || p_partkey AS feature_id,
   {_list(_CLASSES)}[p_partkey % 8 + 1] AS feature_class, {_list(_MODALITIES)}[p_partkey % 4 + 1] AS modality,
-  CASE WHEN p_partkey % 53 = 0 THEN 'chrUn' WHEN p_partkey % 47 = 0 THEN (1 + p_partkey % 22)::VARCHAR WHEN p_partkey % 17 <> 0 THEN 'chr' || (1 + p_partkey % 22) END AS chrom, (p_partkey * 7919) % 1000000 + CASE WHEN p_partkey % 43 = 0 THEN 300000000 ELSE 0 END AS r_start,
+  CASE WHEN p_partkey % 53 = 0 THEN 'chrUn' WHEN p_partkey % 47 = 0 THEN (1 + p_partkey % 22)::VARCHAR WHEN p_partkey % 17 <> 0 THEN 'chr' || (1 + p_partkey % 22) END AS chrom, p_partkey // 20000 % 200 * 1000000 + (p_partkey * 7919) % 1000000 + CASE WHEN p_partkey % 43 = 0 THEN 300000000 ELSE 0 END AS r_start,
   CASE WHEN p_partkey % 5 = 4 THEN ['hg38', 'mm10'][p_partkey % 2 + 1] WHEN p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 29 = 0 THEN 'hg17' ELSE 'hg38' END END AS build,
   CASE WHEN p_partkey % 19 = 0 THEN 'gff_gtf_1based_closed' WHEN p_partkey % 31 = 0 THEN 'platform_native_probe' WHEN p_partkey % 37 = 0 THEN 'no_coordinates_feature_id_only' WHEN p_partkey % 41 = 0 THEN 'bed' WHEN p_partkey % 23 <> 0 THEN 'ucsc_bed_0based_half_open' END AS coord_system,
   CASE WHEN p_partkey % 3 <> 0 THEN 'cg' || p_partkey END AS measured_identifier, CASE WHEN p_partkey % 7 <> 0 THEN '450k' END AS platform, CASE WHEN p_partkey % 9 <> 0 THEN '1.2' END AS manifest_version, CASE WHEN p_partkey % 11 <> 0 THEN 'ab12' END AS annotation_hash,
@@ -118,11 +118,11 @@ REGIONS = f"""regions AS (SELECT *, r_start AS "start", r_start + CASE WHEN p %
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
-    start = (o * 104729) % 1_000_000
+    start = F.floor(o / 150_000) % 200 * 1_000_000 + (o * 104729) % 1_000_000  # so many keys to a million bases, as of regions
     return t(spark, sf_dir, "orders").select(F.concat(F.lit("G"), o).alias("gene_id"), F.concat(F.lit("chr"), 1 + o % 21).alias("chrom"), start.alias("start"), (start + 1000 + (o % 50) * 100).alias("end"), F.when(o % 2 == 0, "+").otherwise("-").alias("strand"))
 
 
-GENES = """genes AS (SELECT 'G' || o_orderkey AS gene_id, 'chr' || (1 + o_orderkey % 21) AS chrom, (o_orderkey * 104729) % 1000000 AS "start", (o_orderkey * 104729) % 1000000 + 1000 + (o_orderkey % 50) * 100 AS "end",
+GENES = """genes AS (SELECT 'G' || o_orderkey AS gene_id, 'chr' || (1 + o_orderkey % 21) AS chrom, o_orderkey // 150000 % 200 * 1000000 + (o_orderkey * 104729) % 1000000 AS "start", o_orderkey // 150000 % 200 * 1000000 + (o_orderkey * 104729) % 1000000 + 1000 + (o_orderkey % 50) * 100 AS "end",
   CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM orders)"""
 
 
