@@ -14,13 +14,14 @@ The fingerprint is the root, the branches (hash and length in characters of ever
 sections that differ, and ``likeness`` estimates the share of common leaves (exact up to ``KEEP`` leaves).
 A leaf that a text repeats counts each time: its second and later occurrences have hashes of their own.
 
-The query pairs each text with the next one in descending order of id. Ids fall into value ranges of about equal
-counts; each range also receives the first row of the range below, so a task reads its ranges in order and holds two
-texts at a time. Only range borders and one id per range reach the driver. The columns ``lost`` and ``gained`` locate
+The query pairs each text with the next one in descending order of id. Rows fall into ranges of about equal counts, by id
+and, where one id (or none) has more rows than a range, by the hash of the text; each range also receives the first row of the range
+below, so a task reads its ranges in order and holds two texts at a time. Only range borders and one id and hash per range
+reach the driver. The columns ``lost`` and ``gained`` locate
 the edit: characters start:end of the text that the edited one lacks, and of the edited text that the text lacks.
 
-``doc_id`` is a whole number. Null texts count as empty: their tree has no leaves. Null ids stand last. Equal ids are ordered by text; each row has
-its own successor. A table of one row is its own successor; an empty table gives no rows. Extra columns are dropped.
+``doc_id`` is a whole number. Null texts count as empty: their tree has no leaves. Null ids stand last. Equal ids are ordered by the hash of the text
+(64 bits), then by text; each row has its own successor. A table of one row is its own successor; an empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -187,35 +188,56 @@ def likeness(a: str, b: str) -> float:
     return 2 * common / (len(union) + common)
 
 
-def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (id_range, late, doc_id, text), each range in descending order of id, its successor from below last (late)."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), max(10_000, 4 * ranges))).first()[0] if shares else None
-    borders = np.array(sorted(set(cuts or [])), dtype=np.int64)
+class Ranges:
+    """Which range of the order (id downwards, nulls last, then hash of the text) a row falls into.
+
+    Ranges are numbered against the order. ``cuts`` are quantiles of the ids, in order; an id that is several of them is cut
+    itself, into as many ranges of the hash, and null ids are cut into ``nulls`` ranges."""
+
+    def __init__(self, cuts: list[int], nulls: int):
+        self.borders, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.parts, self.nulls = np.where(times > 1, times, 0), max(1, nulls)
+        self.step = int(self.parts.max(initial=0)) + 1
 
-    def places(s: pd.Series) -> np.ndarray:
-        known = s.notna().to_numpy()
-        at = np.zeros(len(s), np.int64)
-        at[known] = 1 + np.searchsorted(borders, s[known].to_numpy(np.int64), side="left")
-        return at  # null ids are range 0, below all others
+    def of(self, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+        known, h = ids.notna().to_numpy(), hashes.to_numpy(np.int64)
+        share = (h.astype(np.float64) + 2.0**63) / 2.0**64
+        part = lambda n: (n - 1 - np.minimum(np.floor(share * n), n - 1)).astype(np.int64)
+        at = -self.nulls + part(np.full(len(h), self.nulls))
+        values = ids[known].to_numpy(np.int64)
+        i = np.searchsorted(self.borders, values, side="left")
+        inside = np.minimum(i, max(0, len(self.borders) - 1))
+        n = np.where((i < len(self.borders)) & (self.borders[inside] == values), self.parts[inside], 0) if len(self.borders) else np.zeros(len(values), np.int64)
+        cut = np.full(len(h), 1)
+        cut[known] = np.maximum(n, 1)
+        at[known] = i * self.step + np.where(n > 0, 1 + part(cut)[known], 0)
+        return at
 
-    range_of = F.pandas_udf(lambda s: pd.Series(places(s)), "long")
-    firsts = {r[0]: r[1] for r in ids.select(range_of("doc_id").alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id")).collect()}
+
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows (doc_id, text, late, id_range), each range in order, its successor from the range after it last (late)."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shares = [i / ranges for i in range(1, ranges)]
+    quantiles = F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), max(10_000, 4 * ranges)) if shares else F.lit(None).cast("array<long>")
+    cuts, nulls, n = whole.select("doc_id").agg(quantiles, F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    parts = Ranges(cuts or [], -(-nulls * ranges // max(1, n)))
+    hashed = whole.withColumn("h", F.xxhash64("text"))
+    range_of = F.pandas_udf(lambda s, h: pd.Series(parts.of(s, h)), "long")
+    first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("first")
+    firsts = {r["r"]: (r["first"]["doc_id"], ~r["first"]["h"]) for r in hashed.select(range_of("doc_id", "h").alias("r"), "doc_id", "h").groupBy("r").agg(first).collect()}
     order = sorted(firsts)
-    # the first row of each range goes to the range above as well; that of the highest to the lowest
+    # the first row of each range goes to the range before it as well; that of the first one to the last
     extra = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
 
-    def targets(s: pd.Series) -> pd.Series:
+    def targets(s: pd.Series, h: pd.Series) -> pd.Series:
         out = []
-        for r, v in zip(places(s), s):
-            head = firsts[r]
-            out.append([r, extra[r]] if (head is None and pd.isna(v)) or head == v else [r])
+        for r, v, x in zip(parts.of(s, h), s, h):
+            head, own = firsts[r]
+            out.append([r, extra[r]] if own == x and ((head is None and pd.isna(v)) or head == v) else [r])
         return pd.Series(out)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.select("doc_id", "text", F.posexplode(F.pandas_udf(targets, "array<long>")("doc_id")).alias("late", "id_range"))
-    return dealt.repartition("id_range").sortWithinPartitions("id_range", "late", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = hashed.select("doc_id", "text", "h", F.posexplode(F.pandas_udf(targets, "array<long>")("doc_id", "h")).alias("late", "id_range"))
+    return dealt.repartition("id_range").sortWithinPartitions("id_range", "late", F.col("doc_id").desc_nulls_last(), "h", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -182,6 +182,21 @@ def test_fingerprint_corner_cases(spark, odd):
     assert op3_merkle.likeness(op3_merkle.fingerprint(""), op3_merkle.fingerprint("a b")) == 0
 
 
+def test_frequent_and_null_ids_span_ranges(spark):
+    import xxhash
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randrange(0, 9)))
+    rows = [(7, f"{text()} {i}") for i in range(200)] + [(None, f"{text()} {i}") for i in range(200)] + [(i, text()) for i in range(200)] + [(3, "the same")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+    want = sorted((repr(i), _sha(op3_merkle.edited(t, u))) for (i, t), (_, u) in zip(order, order[1:] + order[:1]))
+    assert sorted((repr(r["doc_id"]), r["edited_sha256"]) for r in op3_merkle.fingerprints(d).collect()) == want
+    dealt = op3_merkle.with_next(d, 24)
+    assert dealt.groupBy("id_range").count().agg({"count": "max"}).first()[0] < 80 and dealt.where("late = 0").count() == len(rows)
+
+
 def test_branches_locate_edits():
     rng = random.Random(7)
     lines = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(12)) + ".\n" for _ in range(120)]
