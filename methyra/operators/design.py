@@ -73,9 +73,9 @@ def perfect_confounding(samples: DataFrame) -> DataFrame:
 
 
 def dose_axis(samples: DataFrame) -> DataFrame:
-    """Groups by dose and then id: position, sample count, sorted samples, and the first control."""
+    """Groups by dose and then id (without case first): position, sample count, sorted samples, and the first control."""
     per = samples.groupBy("dataset_id", "dose_value", "dose_group_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("sample_id")), ",").alias("samples"))
-    order = Window.partitionBy("dataset_id").orderBy("dose_value", "dose_group_id")
+    order = Window.partitionBy("dataset_id").orderBy("dose_value", F.lower("dose_group_id"), "dose_group_id")
     return per.withColumn("position", F.row_number().over(order)).withColumn("is_control", (F.col("dose_value") == 0) & (F.col("position") == 1))
 
 

@@ -257,6 +257,15 @@ def validation_rollup(features: DataFrame, decided: DataFrame, mappings: DataFra
     return out.select(*per.columns, refused.alias("refused"))
 
 
+def exclusion_causes(decided: DataFrame, designs: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """(policy_id, dataset_id, cause, n): why a report excludes: its design (a status of ``readiness`` that is invalid), its
+    coordinates (``genes.validity``), and features by their status."""
+    packets = decided.select("policy_id", "dataset_id").distinct()
+    whole = lambda rows, cause: packets.join(rows.select("dataset_id").distinct(), "dataset_id", "left_semi").select("policy_id", "dataset_id", F.lit(cause).alias("cause"), F.lit(1).cast("long").alias("n"))
+    own = decided.where(~F.col("status").isin(*ACCEPTED)).groupBy("policy_id", "dataset_id", F.col("status").alias("cause")).agg(F.count("*").alias("n"))
+    return whole(designs.where("status = 'invalid'"), "design_validation_failed").unionByName(whole(coordinates.where("not valid"), "coordinate_validation_failed")).unionByName(own)
+
+
 def class_counts(features: DataFrame) -> DataFrame:
     """Features by class and by modality of each dataset."""
     by = lambda c: features.groupBy("dataset_id", F.lit(c).alias("kind"), F.coalesce(c, F.lit("none")).alias("name")).agg(F.count("*").alias("n"))

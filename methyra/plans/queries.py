@@ -306,7 +306,7 @@ def a10_replicate_verdicts(spark, d):
 
 
 @query(f"""WITH {b.REGISTRY}, g AS (SELECT dataset_id, dose_value, dose_group_id, count(*) AS n, string_agg(sample_id, ',' ORDER BY sample_id) AS samples FROM reg GROUP BY 1, 2, 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY dose_value, dose_group_id)::INT AS position FROM g) SELECT *, dose_value = 0 AND position = 1 AS is_control FROM k""")
+k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY dose_value, lower(dose_group_id), dose_group_id)::INT AS position FROM g) SELECT *, dose_value = 0 AND position = 1 AS is_control FROM k""")
 def a14_dose_axis(spark, d):
     return design.dose_axis(b.registry(spark, d))
 
@@ -790,6 +790,12 @@ def a23_validation_rollup(spark, d):
     return qualify.validation_rollup(b.regions(spark, d), _decided(spark, d), genes.last_mapping(_answers(spark, d)), complete, design.guard_claims(claims, samples))
 
 
+@query(f"""WITH {_Q}, {_FOUND}, xd AS (SELECT DISTINCT policy_id, dataset_id FROM dec) SELECT policy_id, dataset_id, 'design_validation_failed' AS cause, 1::BIGINT AS n FROM xd WHERE dataset_id IN (SELECT dataset_id FROM ready WHERE status = 'invalid')
+UNION ALL SELECT policy_id, dataset_id, 'coordinate_validation_failed', 1 FROM xd WHERE dataset_id IN (SELECT dataset_id FROM fd WHERE severity = 'error') UNION ALL SELECT policy_id, dataset_id, status, count(*) FROM dec WHERE status NOT LIKE 'accepted%' GROUP BY ALL""")
+def a23_exclusions(spark, d):
+    return qualify.exclusion_causes(_decided(spark, d), design.readiness(b.samples(spark, d)), genes.validity(_findings(spark, d)))
+
+
 @query(f"WITH {b.REGIONS} SELECT dataset_id, 'feature_class' AS kind, feature_class AS name, count(*) AS n FROM regions GROUP BY ALL UNION ALL SELECT dataset_id, 'modality', modality, count(*) FROM regions GROUP BY ALL")
 def a23_class_counts(spark, d):
     return qualify.class_counts(b.regions(spark, d))

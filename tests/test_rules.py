@@ -118,3 +118,16 @@ def test_audit_has_a_row_for_each_rule(spark):
         "qualification_status": ("blocked", None), "cytotoxicity": ("not_assessed", None), "batch_effect": ("not_assessed", None), "control_status": ("not_assessed", None), "applicability_domain": ("inside", None),
         "claim_transition": ("blocked", None), "overclaims": ("none", 0), "ceilings": ("absent", 0), "blockers": ("", 0),
     }
+
+
+def test_groups_of_one_dose_are_ordered_without_case(spark):
+    s = spark.createDataFrame([("d", f"s{i}", g, x) for i, (g, x) in enumerate([("B", 0.0), ("a", 0.0), ("b", 0.0), ("A", 1.0)])], "dataset_id string, sample_id string, dose_group_id string, dose_value double")
+    assert [r["dose_group_id"] for r in design.dose_axis(s).orderBy("position").collect()] == ["a", "B", "b", "A"]
+
+
+def test_causes_of_exclusion(spark):
+    decided = spark.createDataFrame([("p", "d", "f1", "accepted_for_pod"), ("p", "d", "f2", "excluded_qc_failure"), ("p", "d", "f3", "excluded_qc_failure"), ("p", "e", "f1", "accepted_with_caveats")], "policy_id string, dataset_id string, feature_id string, status string")
+    designs = spark.createDataFrame([("d", "invalid"), ("e", "comparison_only")], "dataset_id string, status string")
+    coordinates = spark.createDataFrame([("d", True), ("e", False)], "dataset_id string, valid boolean")
+    got = {(r["dataset_id"], r["cause"]): r["n"] for r in qualify.exclusion_causes(decided, designs, coordinates).collect()}
+    assert got == {("d", "design_validation_failed"): 1, ("d", "excluded_qc_failure"): 2, ("e", "coordinate_validation_failed"): 1}
