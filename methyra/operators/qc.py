@@ -77,11 +77,13 @@ def simple_qc(cells: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def variance(cells: DataFrame) -> DataFrame:
-    """Per feature: n, mean, variance (0 for fewer than two values), coefficient of variation, dynamic-range band."""
+    """Per feature: n, mean, variance (0 for fewer than two values), coefficient of variation, dynamic-range band. The band looks
+    at 15 places of the variance, so a value on a limit does not fall to the order in which it was summed."""
     per = cells.where(present()).groupBy("dataset_id", "feature_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("v"))
     v = F.when(F.col("n") < 2, 0.0).otherwise(F.col("v"))
     cv = F.when(F.abs("mean") >= 1e-12, F.sqrt(v) / F.abs("mean"))
-    level = F.when(F.col("n") < 2, "not_applicable").when(v >= 0.01, "high").when(v >= 0.001, "moderate").otherwise("low")
+    told = F.round(v, 15)
+    level = F.when(F.col("n") < 2, "not_applicable").when(told >= 0.01, "high").when(told >= 0.001, "moderate").otherwise("low")
     return per.select("dataset_id", "feature_id", "n", "mean", v.alias("variance"), cv.alias("cv"), level.alias("dynamic_range"))
 
 

@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import connection
 from methyra.functions import chromosomes
 from methyra.functions import scalars as fx
 from methyra.operators import classes, context, genes, qc, qualify, summaries, trend
+from methyra.plans.queries import QUERIES, SQL
 from methyra.sources import tables
 from methyra.streaming import ingest as live
 
@@ -295,3 +297,15 @@ def test_headers_and_quoted_line_breaks(spark, tmp_path):
 def test_white_space_of_any_kind_is_trimmed(spark):
     raw = spark.createDataFrame([("\t1.5 ",), ("\n NA\r",), ("﻿2",)], "raw string")
     assert [r["v"] for r in raw.select(fx.number_strict(F.col("raw"))[0].alias("v")).collect()] == [1.5, None, 2.0]
+
+
+def test_variance_on_a_limit_does_not_depend_on_order(spark):
+    # exactly 0.001; summed in this order a little less
+    cells = spark.createDataFrame([("d", "f", f"s{i}", x) for i, x in enumerate((0.075, 0.085, 0.045, 0.005, 0.065))], "dataset_id string, feature_id string, sample_id string, value double").coalesce(1)
+    assert qc.variance(cells).first()["dynamic_range"] == "moderate"
+    # 0.00062103125 and the like: halves of the tenth place
+    q = SQL["a5_variance"]
+    con = connection("/root/testdata/sf0.1")
+    want = {r[1]: r[4] for r in con.sql(q).fetchall()}
+    got = {r["feature_id"]: r["variance"] for r in QUERIES["a5_variance"](spark, "/root/testdata/sf0.1").collect()}
+    assert got == want
