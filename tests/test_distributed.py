@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
+from methyra.plans.queries import QUERIES
 from methyra.operators import genes, qc, trend
 from methyra.sources import tables
 from methyra.streaming import ingest as live
@@ -248,3 +250,17 @@ def test_stream_counts_a_repeated_batch_once(spark, tmp_path):
     assert {(r["file_name"], r["sha256"]) for r in files} == {(p.name, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "in").iterdir()}
     warnings = spark.read.parquet(str(tmp_path / "out/warnings")).select("dataset_id", "value").collect()
     assert sorted(map(tuple, warnings)) == [("d", "x"), ("d", "z"), ("e", "y")]
+
+
+def test_collapsed_counts_hash_numbers_and_equal_the_lists(spark):
+    rows = [("d", "f", "g1", "direct_promoter_overlap", "high"), ("d", "f", "g1", "enhancer_target_from_database", "medium"), ("d", "f", "g2", "enhancer_target_from_database", "medium"), ("d", "h", None, "unknown_target_gene", "none"), ("e", "f", "g9", "nearest_gene", "low")]
+    m = spark.createDataFrame(rows, "dataset_id string, feature_id string, gene_id string, method string, confidence string")
+    counts = genes.collapsed_counts(m)
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    names = ["dataset_id", "feature_id", "n_genes", "method", "ambiguous"]
+    assert sorted(map(tuple, counts.select(names).collect())) == sorted(map(tuple, genes.collapse(m).select(names).collect()))
+
+
+@pytest.mark.parametrize("name", ["q9_handoff_audit", "q11_readiness_audit"])
+def test_decisions_asked_several_times_are_worked_out_once(spark, name):
+    assert not any("lineitem" in f for f in QUERIES[name](spark, DATA).inputFiles())
