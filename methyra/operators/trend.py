@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -240,20 +241,34 @@ def _applied(columns: np.ndarray, states: np.ndarray) -> np.ndarray:
     return out
 
 
-def _starts(seed: int, draws: int, count: int) -> np.ndarray:
-    """States of a stream before draws 0, ``draws``, 2 ``draws``, ...: the generator is linear over bits, so the second half
-    of any run of starts is one map of the first, and each doubling squares the map."""
+@lru_cache(maxsize=4)
+def _start_tables(draws: int, count: int) -> np.ndarray:
+    """States before draws 0, ``draws``, 2 ``draws``, ... of every value of each four bits of a seed: the generator is linear
+    over bits, so the second half of any run of starts is one map of the first, and each doubling squares the map."""
     jump = np.uint32(1) << np.arange(32, dtype=np.uint32)
     for _ in range(draws):
         jump = _next(jump)
-    out = np.empty(count, np.uint32)
-    out[0] = seed or ZERO_STATE
+    bits = np.empty((32, count), np.uint32)
+    bits[:, 0] = np.uint32(1) << np.arange(32, dtype=np.uint32)
     have = 1
     while have < count:
         more = min(have, count - have)
-        out[have : have + more] = _applied(jump, out[:more])
+        bits[:, have : have + more] = _applied(jump, bits[:, :more])
         jump = _applied(jump, jump)
         have += more
+    tables = np.zeros((8, 16, count), np.uint32)
+    for bit in range(32):
+        part, at = tables[bit // 4], 1 << bit % 4
+        part[at : 2 * at] = part[:at] ^ bits[bit]
+    return tables
+
+
+def _starts(seed: int, draws: int, count: int) -> np.ndarray:
+    """States of a stream before draws 0, ``draws``, 2 ``draws``, ..., put together from those of the parts of its seed."""
+    tables, state = _start_tables(draws, count), seed or ZERO_STATE
+    out = np.zeros(count, np.uint32)
+    for i in range(8):
+        out ^= tables[i, state >> 4 * i & 15]
     return out
 
 
@@ -272,23 +287,31 @@ def permuted(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int) -
     """Doubled statistics of shuffled labels. All shuffles of a feature go on side by side; values are then met in ascending
     order with running numbers of lower labels, so a shuffle of n labels takes n steps for each group."""
     n, g = len(groups), int(groups.max())
-    labels = np.repeat((groups - 1)[:, None], resamples, 1)
-    state, row = _starts(seed, n - 1, resamples), np.arange(resamples)
+    # labels of a shuffle lie side by side, so a swap touches one place
+    labels = np.repeat((groups - 1)[None, :].astype(np.min_scalar_type(g)), resamples, 0)
+    state, flat, base = _starts(seed, n - 1, resamples), labels.reshape(-1), np.arange(resamples) * n
     for i in range(n - 1, 0, -1):
         state = _next(state)
         j = _below(state, i + 1)
-        held = labels[i].copy()
-        labels[i] = labels[j, row]
-        labels[j, row] = held
-    lower, total = np.zeros((g, resamples), np.int64), np.zeros(resamples, np.int64)
+        j += base
+        held = labels[:, i].copy()
+        labels[:, i] = flat.take(j)
+        flat[j] = held
+    labels = np.ascontiguousarray(labels.T)
+    lower, total = np.zeros((g, resamples), np.int32), np.zeros(resamples, np.int64)
+    where, row = labels.astype(np.int64), np.arange(resamples)
+    where *= resamples
+    where += row
     for places in _ties(ranks):
-        here = np.zeros((g, resamples), np.int64)
         for k in places:
-            total += 2 * lower[labels[k], row]
-            here[labels[k], row] += 1
+            total += 2 * lower.take(where[k])
         if len(places) > 1:
-            total += (len(places) ** 2 - (here * here).sum(0)) // 2
-        lower[1:] += np.cumsum(here, 0)[:-1]
+            here = np.stack([(labels[places] == x).sum(0, dtype=np.int32) for x in range(g)])
+            total += (len(places) ** 2 - (here * here).sum(0, dtype=np.int64)) // 2
+            lower[1:] += np.cumsum(here, 0, dtype=np.int32)[:-1]
+        else:
+            for x in range(1, g):
+                lower[x] += labels[places[0]] < x
     return total
 
 
@@ -299,9 +322,14 @@ def resampled(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int)
     first = np.searchsorted(groups, groups)  # groups ascend
     size = np.bincount(groups)[groups]
     times = np.zeros((n, resamples), np.int64)
+    flat = times.reshape(-1)
     for k in range(n):
         state = _next(state)
-        times[first[k] + _below(state, int(size[k])), row] += 1
+        at = _below(state, int(size[k]))
+        at += first[k]
+        at *= resamples
+        at += row
+        flat[at] += 1
     lower, total = np.zeros((g, resamples), np.int64), np.zeros(resamples, np.int64)
     for places in _ties(ranks):
         here = np.zeros((g, resamples), np.int64)
@@ -341,6 +369,8 @@ def sampled(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOT
             yield pd.DataFrame(rows, columns=names)
 
     cols = stats.select("dataset_id", "feature_id", "groups", "ranks", "doubled", "doubled_max")
+    # small rows with much work each: dealt out by number, so that they are not put together for their size
+    cols = cols.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dataset_id", "feature_id")
     return cols.mapInPandas(run, "dataset_id string, feature_id string, " + ", ".join(f"{c} double" for c in names[2:]))
 
 
@@ -350,7 +380,7 @@ def tested(stats: DataFrame, resamples: int = RESAMPLES, bootstraps: int = BOOTS
     columns = ["dataset_id", "feature_id", "effect", "mode", "allocations", "p_up", "p_down", "p_two", "resolution"]
     one = exact(rows.where("mode = 'exact'")).withColumn("resolution", 1 / F.col("total")).select(*columns)
     many = rows.where("mode = 'monte_carlo'")
-    drawn = sampled(many.repartition("dataset_id", "feature_id"), resamples, bootstraps).select("dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution")
+    drawn = sampled(many, resamples, bootstraps).select("dataset_id", "feature_id", "p_up", "p_down", "p_two", "resolution")
     return one.unionByName(many.select(*columns[:5]).join(drawn, ["dataset_id", "feature_id"]).select(*columns))
 
 

@@ -264,3 +264,10 @@ def test_collapsed_counts_hash_numbers_and_equal_the_lists(spark):
 @pytest.mark.parametrize("name", ["q9_handoff_audit", "q11_readiness_audit"])
 def test_decisions_asked_several_times_are_worked_out_once(spark, name):
     assert not any("lineitem" in f for f in QUERIES[name](spark, DATA).inputFiles())
+
+
+def test_sampled_rows_are_dealt_over_all_partitions(spark):
+    # few bytes, much work: a shuffle without a number would be put together into one task
+    rows = [("d", f"f{i}", [1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6], 24, 24) for i in range(64)]
+    stats = spark.createDataFrame(rows, "dataset_id string, feature_id string, groups array<int>, ranks array<int>, doubled long, doubled_max long").coalesce(1)
+    assert trend.sampled(stats, 99, 99).select(F.spark_partition_id().alias("p")).distinct().count() > 1
