@@ -283,6 +283,12 @@ def _ties(ranks: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(ranks[order])) + 1)
 
 
+def _apart(below: np.ndarray, size) -> np.ndarray:
+    """Pairs of different groups among ``size`` equal values, of which so many are of groups lower than each."""
+    each, last = np.diff(below, axis=0), size - below[-1]
+    return (np.square(size) - (each * each).sum(0) - last * last) // 2
+
+
 def permuted(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     """Doubled statistics of shuffled labels. All shuffles of a feature go on side by side; values are then met in ascending
     order with running numbers of lower labels, so a shuffle of n labels takes n steps for each group."""
@@ -303,15 +309,14 @@ def permuted(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int) -
     where *= resamples
     where += row
     for places in _ties(ranks):
+        before = lower.copy()
         for k in places:
             total += 2 * lower.take(where[k])
-        if len(places) > 1:
-            here = np.stack([(labels[places] == x).sum(0, dtype=np.int32) for x in range(g)])
-            total += (len(places) ** 2 - (here * here).sum(0, dtype=np.int64)) // 2
-            lower[1:] += np.cumsum(here, 0, dtype=np.int32)[:-1]
-        else:
+        for k in places:
             for x in range(1, g):
-                lower[x] += labels[places[0]] < x
+                lower[x] += labels[k] < x
+        if len(places) > 1:
+            total += _apart(lower - before, len(places))
     return total
 
 
@@ -332,13 +337,12 @@ def resampled(groups: np.ndarray, ranks: np.ndarray, resamples: int, seed: int)
         flat[at] += 1
     lower, total = np.zeros((g, resamples), np.int64), np.zeros(resamples, np.int64)
     for places in _ties(ranks):
-        here = np.zeros((g, resamples), np.int64)
+        before = lower.copy()
         for k in places:
-            total += 2 * times[k] * lower[groups[k] - 1]
-            here[groups[k] - 1] += times[k]
+            total += 2 * times[k] * before[groups[k] - 1]
+            lower[groups[k] :] += times[k]
         if len(places) > 1:
-            total += (here.sum(0) ** 2 - (here * here).sum(0)) // 2
-        lower[1:] += np.cumsum(here, 0)[:-1]
+            total += _apart(lower - before, times[places].sum(0))
     return total
 
 
