@@ -309,3 +309,14 @@ def test_variance_on_a_limit_does_not_depend_on_order(spark):
     want = {r[1]: r[4] for r in con.sql(q).fetchall()}
     got = {r["feature_id"]: r["variance"] for r in QUERIES["a5_variance"](spark, "/root/testdata/sf0.1").collect()}
     assert got == want
+
+
+def test_numbers_stand_in_the_plan_once(spark):
+    texts = [None, "", " NA ", "1", " +1.5e3\t", " .5﻿", "1.", "12d", "inf", "1e400", "-1E-2", "1 2", "--1", "1\n", "nan", "Missing", "0x1", "1f", " "]
+    df = spark.createDataFrame([(x,) for x in texts], "raw string")
+    value, ok = fx.number_strict(F.col("raw"))
+    numbers = {"1": 1.0, " +1.5e3\t": 1500.0, " .5﻿": 0.5, "1.": 1.0, "-1E-2": -0.01, "1\n": 1.0}
+    null = {None, "", " NA ", "nan", "Missing", " "}
+    for raw, v, o in df.select("raw", value, ok).collect():
+        assert (v, o) == (numbers.get(raw), raw in numbers or raw in null), raw
+    assert df.select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString().count("regexp") == 1
