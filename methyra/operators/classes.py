@@ -153,7 +153,8 @@ def canonical_summary(rows: DataFrame, feature: str, order: str) -> DataFrame:
     for c in rows.columns:
         keys.setdefault("".join(x for x in c.lower() if not x.isspace() and x not in "_-"), c)
     found = {name: next((keys[a] for a in aliases if a in keys), None) for name, aliases in SUMMARY_COLUMNS.items()}
-    number = lambda c: number_strict(F.col(f"`{c}`").cast("string"))[0] if c else F.lit(None).cast("double")
-    values = F.struct(*(number(c).alias(name) for name, c in found.items()))
-    good = rows.select(F.trim(F.col(feature)).alias("feature_id"), F.col(order).alias("at"), values.alias("v")).where("feature_id <> ''")
-    return good.groupBy("feature_id").agg(F.max_by("v", "at").alias("v"), F.count("*").alias("n_rows")).select("feature_id", "n_rows", "v.*")
+    # only the texts of the rows that stay are read as numbers
+    texts = F.struct(*((F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(name) for name, c in found.items()))
+    good = rows.select(F.trim(F.col(feature)).alias("feature_id"), F.col(order).alias("at"), texts.alias("v")).where("feature_id <> ''")
+    last = good.groupBy("feature_id").agg(F.max_by("v", "at").alias("v"), F.count("*").alias("n_rows"))
+    return last.select("feature_id", "n_rows", *((number_strict(F.col("v")[name])[0] if c else F.lit(None).cast("double")).alias(name) for name, c in found.items()))
