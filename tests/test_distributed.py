@@ -261,6 +261,25 @@ def test_collapsed_counts_hash_numbers_and_equal_the_lists(spark):
     assert sorted(map(tuple, counts.select(names).collect())) == sorted(map(tuple, genes.collapse(m).select(names).collect()))
 
 
+@pytest.mark.parametrize("crowd", [(50_000, 5_000), (6, 5_000), (50_000, 2), (0, 0)])
+def test_collapse_by_lists_equals_the_collapse_of_pairs(spark, crowd):
+    # several and long regions, doubled and null genes, empty regions, no places, no names, features with mappings or regions only
+    rng, ids = random.Random(5), "dataset_id string, feature_id string, "
+    place = lambda: (lambda a, n: (a, a + n))(rng.randrange(0, 40_000), rng.choice([0, 1, 300, 1024, 1025, 9000, 5_000_000]))
+    r = [(f"d{i % 2}", f"f{i % 90}", rng.choice(["chr1", "chr2", "chr3", None]), *place()) for i in range(100)] + [("d0", "bare", "chr1", None, None), ("d0", "below", "chr1", -50, 20), ("d0", None, "chr1", 0, 900), ("d0", None, "chr2", 0, 900)]
+    g = [(rng.choice([f"g{i}", f"g{i % 7}", None]), f"chr{i % 2 + 1}", a := rng.randrange(0, 45_000), a + rng.randrange(0, 3000), rng.choice("+-")) for i in range(120)]
+    kinds = [("enhancer_target_from_database", "medium"), ("direct_promoter_overlap", "high"), ("unknown_target_gene", "none"), (None, None)]
+    m = [(f"d{i % 2}", f"f{i % 130}", rng.choice([f"g{i % 9}", f"x{i}", None]), *rng.choice(kinds)) for i in range(160)] + [("d0", None, "g0", *kinds[0])]
+    regions, sites = spark.createDataFrame(r, ids + "chrom string, start long, end long"), spark.createDataFrame(g, "gene_id string, chrom string, start long, end long, strand string")
+    others = spark.createDataFrame(m, ids + "gene_id string, method string, confidence string")
+    pairs = genes.promoter_overlaps(regions, sites).select("dataset_id", "feature_id", "gene_id", F.lit("direct_promoter_overlap").alias("method"), F.lit("high").alias("confidence"))
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want = key(genes.collapse(pairs.unionByName(others)))
+    assert len(want) > 130 and key(genes.promoter_collapse(regions, sites, others, crowd=crowd)) == want
+    assert key(genes.promoter_collapse(regions.limit(0), sites, others, crowd=crowd)) == key(genes.collapse(others))
+    assert key(genes.promoter_collapse(regions, sites.limit(0), others.limit(0), crowd=crowd)) == []
+
+
 @pytest.mark.parametrize("name", ["q9_handoff_audit", "q11_readiness_audit"])
 def test_decisions_asked_several_times_are_worked_out_once(spark, name):
     assert not any("lineitem" in f for f in QUERIES[name](spark, DATA).inputFiles())
